@@ -26,9 +26,9 @@ def severity(ratio: Column) -> Column:
 
 
 def ratio_label(ratio: Column) -> Column:
-    return F.when(ratio.isNull(), settings.NO_BASELINE).otherwise(
-        F.format_string("%.2f×", ratio)
-    )
+    """Two decimals; an exact tie goes to the even digit, as ``format_number`` rounds."""
+    digits = F.call_function("format_number", ratio, F.lit("0.00"))
+    return F.when(ratio.isNull(), settings.NO_BASELINE).otherwise(F.concat(digits, F.lit("×")))
 
 
 def severity_label(level: Column) -> Column:
