@@ -17,7 +17,7 @@ from fieldpulse.operators.normalise import (
     reject_counts,
 )
 from fieldpulse.plans.profile import ingest_report, mentions
-from fieldpulse.runtime import scratch_path
+from fieldpulse.runtime import scratch_path, spread
 from fieldpulse.sources import flat, landed
 
 # --- delimited feed -------------------------------------------------------------------
@@ -34,8 +34,8 @@ def flat_rows(spark: SparkSession, sf: str) -> DataFrame:
     orders = b.table(spark, sf, "orders").join(customer, "o_custkey")
     parts = b.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_name")
     rows = (
-        b.table(spark, sf, "lineitem")
-        .select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_linestatus")
+        spread(b.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus"), "l_orderkey")
+        .withColumnRenamed("l_orderkey", "o_orderkey")
         .join(parts, "l_partkey")
         .join(orders, "o_orderkey")
     )
@@ -143,7 +143,7 @@ def family_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def responses(spark: SparkSession, sf: str) -> DataFrame:
     """One landed response per order, with the failures and bad records real feeds show."""
-    rows = b.table(spark, sf, "orders").join(
+    rows = spread(b.table(spark, sf, "orders"), "o_orderkey").join(
         b.table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")
     )
     status, priority, on = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderdate")

@@ -13,6 +13,7 @@ from fieldpulse.operators.merge import classification_counts, classify_missing
 from fieldpulse.plans.embedding import embed, pending_texts
 from fieldpulse.plans.novelty import parse_verdict
 from fieldpulse.plans.profile import rule_shares, value_shares
+from fieldpulse.runtime import spread
 
 # Sentences and words that recur in the test corpus, besides the standard rules.
 CORPUS_RULES = (
@@ -64,7 +65,7 @@ _RULES = settings.BOILERPLATE + CORPUS_RULES
 
 @query("strip_boilerplate", _strip_sql("documents", "doc_id", _RULES))
 def strip_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = b.table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(b.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", strip_boilerplate(F.col("text"), _RULES).alias("s")).select(
         "doc_id", "s.text", "s.fell_back"
     )
@@ -72,7 +73,7 @@ def strip_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("strip_conversations", _strip_sql("conversations", "conv_id, turn", _RULES))
 def strip_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    rows = b.table(spark, sf, "conversations")
+    rows = spread(b.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     return rows.select(
         "conv_id", "turn", strip_boilerplate(F.col("text"), _RULES).alias("s")
     ).select("conv_id", "turn", "s.text", "s.fell_back")
@@ -83,7 +84,7 @@ _FAILURE = f"coalesce(length(text) > 0 and not regexp_matches(text, {_rule(MARKE
 
 @query("failure_report", f"select doc_id, {_FAILURE} as is_failure_report from documents")
 def failure_report(spark: SparkSession, sf: str) -> DataFrame:
-    return b.table(spark, sf, "documents").select(
+    return spread(b.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", is_failure_report(F.col("text"), MARKERS).alias("is_failure_report")
     )
 
@@ -125,7 +126,8 @@ def classified(spark: SparkSession, sf: str) -> DataFrame:
     + ") group by 1",
 )
 def rule_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return rule_shares(b.table(spark, sf, "documents"), F.col("text"), PROFILE).select(
+    docs = spread(b.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return rule_shares(docs, F.col("text"), PROFILE).select(
         "rule", "n", F.round("share", 6).alias("share")
     )
 

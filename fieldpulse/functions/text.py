@@ -5,6 +5,7 @@ Everything is a Column expression, so no text leaves the JVM.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -23,16 +24,32 @@ def strip_ws(col: Column) -> Column:
     return F.regexp_replace(col, f"(?U)^{_WS}+|{_WS}+$", "")
 
 
-def squeeze_ws(col: Column) -> Column:
-    return strip_ws(F.regexp_replace(col, f"(?U){_WS}+", " "))
-
-
 def is_blank(col: Column) -> Column:
     return F.coalesce(F.length(strip_ws(col)) == 0, F.lit(True))
 
 
 def any_of(patterns: Iterable[str]) -> str:
-    return _FLAGS + "|".join(f"(?:{p})" for p in patterns)
+    """One alternation of all patterns.
+
+    Patterns that open with the same anchor share it, so that most positions of a text fail
+    on one test instead of one per pattern.
+    """
+    shared: dict[str, list[str]] = {"^": [], r"\b": [], "": []}
+    for p in patterns:
+        anchor = next((a for a in ("^", r"\b") if p.startswith(a) and not _splits(p)), "")
+        shared[anchor].append(p[len(anchor):])
+    groups = [
+        f"{anchor}(?:{'|'.join(f'(?:{p})' for p in rest)})" for anchor, rest in shared.items() if rest
+    ]
+    return _FLAGS + "|".join(groups)
+
+
+def _splits(pattern: str) -> bool:
+    """Does the pattern have an alternation outside all groups?"""
+    flat = re.sub(r"\\.|\[[^\]]*\]", "", pattern)
+    while re.search(r"\([^()]*\)", flat):
+        flat = re.sub(r"\([^()]*\)", "", flat)
+    return "|" in flat
 
 
 def sentences(text: Column) -> Column:
@@ -53,7 +70,8 @@ def strip_boilerplate(
 ) -> Column:
     """``struct<text, fell_back>``: the kept sentences, or the trimmed original
     when too little is left to embed."""
-    kept = squeeze_ws(F.array_join(kept_sentences(text, patterns), " "))
+    # Kept sentences are trimmed, so only the white space inside them is left to collapse.
+    kept = F.regexp_replace(F.array_join(kept_sentences(text, patterns), " "), f"(?U){_WS}+", " ")
     return F.when(
         F.coalesce(F.length(text) == 0, F.lit(True)),
         F.struct(F.lit("").alias("text"), F.lit(False).alias("fell_back")),
@@ -79,12 +97,6 @@ def is_failure_report(
     return F.coalesce((F.length(text) > 0) & ~text.rlike(any_of(markers)), F.lit(False))
 
 
-def rule_hits(text: Column, rules: dict[str, str]) -> Column:
-    """Names of the rules that occur anywhere in the text."""
-    hits = [F.when(text.rlike(_FLAGS + rx), F.lit(name)) for name, rx in rules.items()]
-    return F.array_compact(F.array(*hits))
-
-
 def clip(col: Column, chars: int | None) -> Column:
     return col if chars is None else F.substring(col, 1, chars)
 

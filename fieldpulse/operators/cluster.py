@@ -78,14 +78,12 @@ def resolve_in_order(
         "i", F.col("i").alias("cluster"), F.lit(1.0).alias("join_sim")
     )
     # A voter that listens to nobody is a founder, so its cluster is its own id.
-    pending = cut(
-        votes.join(
-            listeners.select(F.col("i").alias("j"), F.lit(True).alias("_waits")), "j", "left"
-        ).select(
-            "block", "i", "j", "sim", "rk",
-            F.coalesce("cluster", F.when(F.col("_waits"), F.lit(-1)).otherwise(F.col("j")))
-            .cast("bigint").alias("cluster"),
-        )
+    pending = votes.join(
+        listeners.select(F.col("i").alias("j"), F.lit(True).alias("_waits")), "j", "left"
+    ).select(
+        "block", "i", "j", "sim", "rk",
+        F.coalesce("cluster", F.when(F.col("_waits"), F.lit(-1)).otherwise(F.col("j")))
+        .cast("bigint").alias("cluster"),
     )
     left = listeners.count()
     resolved = [founders]

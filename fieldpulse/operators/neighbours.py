@@ -144,7 +144,8 @@ def _block_units(
         placed = placed.withColumn("_cells", F.slice("_cells", 1, 1)).unionByName(
             query.withColumn("_cells", all_cells(F.col("vec"))).withColumn("_q", F.lit(True))
         )
-    spots = placed.select("*", F.posexplode("_cells").alias("_pos", "cell")).withColumn(
+    # Every row has a cell; the outer form keeps the optimizer from filtering on the UDF's result.
+    spots = placed.select("*", F.posexplode_outer("_cells").alias("_pos", "cell")).withColumn(
         "visitor", F.col("_q") | (F.col("_pos") > 0)
     )
     if wanted == 1:
@@ -348,6 +349,11 @@ def neighbours(
 # --- search from a second set ---------------------------------------------------------
 
 
+def _stored(units: DataFrame, *columns: str) -> DataFrame:
+    """Unit vectors written once: the block join reads them for sizes, pivots, cells and units."""
+    return as_table(units.select(F.col("id").alias("rep"), *columns), "units")
+
+
 def search(
     queries: DataFrame,
     base: DataFrame,
@@ -359,9 +365,8 @@ def search(
 
     Both inputs are ``(id, vec)``; a base row with the query's own id is not a match.
     """
-    b = base.select(F.col("id").alias("rep"), "vec")
-    q = queries.select(F.col("id").alias("rep"), "vec")
-    members, _ = _block_units(b, q, base.count(), queries.count(), floor, grid)
+    b, q = _stored(base, "vec"), _stored(queries, "vec")
+    members, _ = _block_units(b, q, b.count(), q.count(), floor, grid)
     pairs = members.groupBy("cell", "a", "b").applyInPandas(
         _top_pairs(floor, k, both_ways=False), _PAIRS
     )
@@ -383,9 +388,8 @@ def threshold_counts(
     each unit, so no pair leaves it.
     """
     levels = sorted(thresholds)
-    b = base.select(F.col("id").alias("rep"), "vec", "scope")
-    q = queries.select(F.col("id").alias("rep"), "vec", "scope")
-    members, _ = _block_units(b, q, base.count(), queries.count(), levels[0], grid)
+    b, q = _stored(base, "vec", "scope"), _stored(queries, "vec", "scope")
+    members, _ = _block_units(b, q, b.count(), q.count(), levels[0], grid)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = _sides(pdf)

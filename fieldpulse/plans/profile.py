@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.text import rule_hits
+from fieldpulse.functions.text import any_of
 from fieldpulse.operators.normalise import reject_counts
 
 
@@ -24,10 +24,9 @@ def value_shares(df: DataFrame, column: Column, name: str) -> DataFrame:
 
 def rule_shares(df: DataFrame, text: Column, rules: dict[str, str]) -> DataFrame:
     """Rows hit by each text rule and their share of all rows, from one scan."""
-    hits = rule_hits(text, rules)
-    counted = df.select(hits.alias("_h")).agg(
+    counted = df.agg(
         F.count("*").alias("_rows"),
-        *[F.count_if(F.array_contains("_h", r)).alias(r) for r in rules],
+        *[F.count_if(text.rlike(any_of([rx]))).alias(r) for r, rx in rules.items()],
     )
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules])
     return counted.select("_rows", F.inline(rows)).select(

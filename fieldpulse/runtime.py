@@ -75,6 +75,17 @@ def dense_ids(df: DataFrame, order: str, name: str, partitions: int | None = Non
     )
 
 
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give a CPU-heavy step on a bare scan as many tasks as the session has cores.
+
+    A scan with enough splits, as any large table has, is returned as it is.
+    """
+    wanted = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= wanted:
+        return scan
+    return scan.repartition(wanted, *keys)
+
+
 def first_true(*branches: tuple[Column, str]) -> Column:
     """Label of the first branch that holds, NULL when none does."""
     chain = F.when(F.coalesce(branches[0][0], F.lit(False)), branches[0][1])

@@ -54,8 +54,9 @@ def triage(responses: DataFrame) -> DataFrame:
 
 def open_envelope(responses: DataFrame, record: str, *keys: str) -> DataFrame:
     """``(*keys, rec_ord, record)``: one row per record of the usable responses."""
-    usable = triage(responses).filter(F.col("failure").isNull())
+    # A body without a results array, or that is not JSON, yields NULL and so no row.
     results = F.from_json("body", f"results array<{record}>")["results"]
+    usable = responses.filter(F.col("status") < 400)
     return usable.select(*keys, F.posexplode(results).alias("rec_ord", "record"))
 
 
