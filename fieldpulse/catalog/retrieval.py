@@ -13,8 +13,8 @@ from fieldpulse.functions.vectors import centroids
 from fieldpulse.operators.cluster import assign_new, connected_components, grow, keep_large
 from fieldpulse.operators.merge import last_wins
 from fieldpulse.operators.neighbours import neighbours, pool, search, threshold_counts
-from fieldpulse.plans.formation import form_members, formation_pool, provisional_names
-from fieldpulse.plans.inbox import ranking, top_categories, top_vehicles
+from fieldpulse.plans.formation import form_members, formation_pool, member_facts, pattern_name
+from fieldpulse.plans.inbox import ranking
 from fieldpulse.plans.novelty import assess, assessment_report, search_result, shortlist
 from fieldpulse.plans.profile import sharing_components, top_k_sweep
 from fieldpulse.plans.scoring import score_patterns
@@ -148,13 +148,15 @@ def patterns_ranked(spark: SparkSession, sf: str) -> DataFrame:
     mine = as_table(reports.join(members.select("odi_number"), "odi_number", "left_semi"), "reports")
     patterns = sizes.withColumnRenamed("pattern_id", "id")
     scores = score_patterns(patterns, members, mine, b.TODAY, b.RECENT, b.BASELINE)
-    names = provisional_names(members, mine).withColumnRenamed("pattern_id", "id")
+    facts = member_facts(members, mine, "vehicle", "category", "component").select(
+        F.col("pattern_id").alias("id"), "vehicle", "vehicle_n", "vehicle_kinds", "category", "component"
+    )
     return (
         patterns.withColumn("state", F.lit("new"))
         .join(scores, "id")
-        .join(names, "id")
-        .join(top_vehicles(members, mine), "id", "left")
-        .join(top_categories(members, mine), "id", "left")
+        .join(facts, "id")
+        .withColumn("name", pattern_name(F.col("member_count")))
+        .withColumn("vehicles", F.col("vehicle_kinds"))
         .orderBy(*ranking())
         .select(
             "id", "name", F.col("member_count").cast("bigint").alias("member_count"), "recent_count",

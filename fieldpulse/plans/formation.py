@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldpulse import settings
+from fieldpulse.functions.labels import vehicle
 from fieldpulse.operators.cluster import (
     BLOCK_ROWS,
     formation_report,
@@ -18,23 +19,53 @@ from fieldpulse.operators.neighbours import Grid, pool
 from fieldpulse.runtime import as_table
 
 
-def modal(df: DataFrame, group: str, value: list[str], name: str) -> DataFrame:
-    """Most frequent value per group, ties to the smallest value.
+def member_facts(
+    members: DataFrame, reports: DataFrame, *kinds: str
+) -> DataFrame:
+    """Most frequent vehicle, category and component per pattern, from one pass over its members.
 
-    Two combining aggregates; no group is ever sorted in one task. Adds ``<name>_n`` (its
-    count), ``<name>_kinds`` (distinct values) and ``<name>_total``.
+    ``kinds`` picks the facts. For each the result has its value, ``<kind>_n`` (rows with it) and
+    ``<kind>_kinds`` (distinct values); ties go to the smallest value. A missing list of coarse
+    components counts as uncategorised, an empty one for nothing. Both aggregates combine
+    before their shuffle, so no pattern is ever gathered or sorted in one task.
     """
-    counts = df.groupBy(group, *value).agg(F.count("*").alias("_n"))
-    return counts.groupBy(group).agg(
-        F.min(F.struct((-F.col("_n")).alias("_neg"), *value)).alias("_top"),
-        F.count("*").alias(f"{name}_kinds"),
-        F.sum("_n").alias(f"{name}_total"),
-    ).select(
-        group,
-        F.struct(*[F.col(f"_top.{v}").alias(v) for v in value]).alias(name),
-        (-F.col("_top._neg")).alias(f"{name}_n"),
-        f"{name}_kinds",
-        f"{name}_total",
+    needs = {
+        "vehicle": ("make", "model"), "category": ("components_coarse",), "component": ("components",)
+    }
+    labels = {
+        "vehicle": lambda: F.array(vehicle(F.col("make"), F.col("model"))),
+        "category": lambda: F.coalesce("components_coarse", F.array(F.lit(settings.NO_CATEGORY))),
+        "component": lambda: F.coalesce("components", F.array().cast("array<string>")),
+    }
+    columns = [c for k in kinds for c in needs[k]]
+    rows = members.select("pattern_id", "odi_number").join(
+        reports.select("odi_number", *columns), "odi_number"
+    )
+
+    def tagged(k: str) -> Column:
+        return F.transform(labels[k](), lambda v: F.struct(F.lit(k).alias("kind"), v.alias("value")))
+
+    counts = (
+        rows.select("pattern_id", F.explode(F.concat(*[tagged(k) for k in kinds])).alias("_l"))
+        .groupBy("pattern_id", "_l")
+        .agg(F.count("*").alias("_n"))
+    )
+
+    def facts(k: str) -> list[Column]:
+        mine = F.col("_l.kind") == k
+        top = F.min(F.when(mine, F.struct((-F.col("_n")).alias("neg"), F.col("_l.value").alias("value"))))
+        return [top.alias(f"_{k}"), F.count_if(mine).alias(f"{k}_kinds")]
+
+    best = counts.groupBy("pattern_id").agg(*[c for k in kinds for c in facts(k)])
+    return best.select(
+        "pattern_id",
+        *[
+            c
+            for k in kinds
+            for c in (
+                F.col(f"_{k}.value").alias(k), (-F.col(f"_{k}.neg")).alias(f"{k}_n"), F.col(f"{k}_kinds")
+            )
+        ],
     )
 
 
@@ -45,25 +76,22 @@ def formation_pool(reports: DataFrame, embeddings: DataFrame, vector: str = "emb
     return pool(vectors.join(chosen, "odi_number"), "odi_number", vector)
 
 
-def provisional_names(members: DataFrame, reports: DataFrame) -> DataFrame:
-    """``(pattern_id, name)`` from the dominant vehicle and full component of the members."""
-    rows = members.select("pattern_id", "odi_number").join(
-        reports.select("odi_number", "make", "model", "components"), "odi_number"
-    )
-    vehicles = modal(rows, "pattern_id", ["make", "model"], "vehicle")
-    parts = modal(
-        rows.select("pattern_id", F.explode("components").alias("component")),
-        "pattern_id", ["component"], "part",
-    )
-    others = F.when(F.col("vehicle_n") == F.col("vehicle_total"), F.lit("")).otherwise(
+def pattern_name(members: Column) -> Column:
+    """Display name from :func:`member_facts`: dominant vehicle, other vehicles, component."""
+    others = F.when(F.col("vehicle_n") == members, F.lit("")).otherwise(
         F.concat(F.lit(" +"), (F.col("vehicle_kinds") - 1).cast("string"), F.lit(" other"))
     )
-    return vehicles.join(parts, "pattern_id", "left").select(
-        "pattern_id",
-        F.concat(
-            F.col("vehicle.make"), F.lit(" "), F.col("vehicle.model"), others, F.lit(" — "),
-            F.coalesce("part.component", F.lit("uncategorised")),
-        ).alias("name"),
+    return F.concat(
+        "vehicle", others, F.lit(" — "), F.coalesce("component", F.lit("uncategorised"))
+    )
+
+
+def provisional_names(members: DataFrame, sizes: DataFrame, reports: DataFrame) -> DataFrame:
+    """``(pattern_id, name)`` from the members' vehicles and full components."""
+    return (
+        member_facts(members, reports, "vehicle", "component")
+        .join(sizes, "pattern_id")
+        .select("pattern_id", pattern_name(F.col("member_count")).alias("name"))
     )
 
 
@@ -105,7 +133,7 @@ def form_patterns(
     if units.isEmpty():
         return None
     members, sizes, report = form_members(units, floor, cap, min_members, grid, block_rows)
-    named = sizes.join(provisional_names(members, reports), "pattern_id")
+    named = sizes.join(provisional_names(members, sizes, reports), "pattern_id")
     patterns = named.select(
         F.col("pattern_id").alias("id"),
         "name",

@@ -13,12 +13,11 @@ def value_shares(df: DataFrame, column: Column, name: str) -> DataFrame:
     """Count and share of rows per value; an array column counts each of its values."""
     is_array = df.select(column.alias("v")).schema["v"].dataType.typeName() == "array"
     rows = df.select((F.explode(column) if is_array else column).alias(name))
-    total = df.agg(F.count("*").alias("_rows"))  # one row
+    total = df.agg(F.count("*")).scalar()
     return (
         rows.groupBy(name)
         .agg(F.count("*").alias("n"))
-        .join(F.broadcast(total), F.lit(True))
-        .select(name, "n", (F.col("n") / F.col("_rows")).alias("share"))
+        .select(name, "n", (F.col("n") / total).alias("share"))
     )
 
 

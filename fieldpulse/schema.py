@@ -140,10 +140,12 @@ def violations(name: str, frames: dict[str, DataFrame], tables: dict[str, Table]
     found = []
     for label, cols in [("primary_key", spec.key)] + [("unique", u) for u in spec.unique]:
         found.append(
-            df.groupBy(key_text(cols).alias("key"))
+            df.groupBy(*cols)
             .agg(F.count("*").alias("n"))
             .filter(F.col("n") > 1)
-            .select(F.lit(f"{label}:{','.join(cols)}").alias("rule"), "key", "n")
+            .select(
+                F.lit(f"{label}:{','.join(cols)}").alias("rule"), key_text(cols).alias("key"), "n"
+            )
         )
     missing = F.array_compact(
         F.array(*[F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in spec.key + spec.required])

@@ -85,7 +85,8 @@ def test_samples_and_names(inbox_data):
     _, members, reports = inbox_data
     got = {(r["pattern_id"], r["rank"]): r["text"] for r in views.sample_narratives(members, reports, 2, 5).collect()}
     assert got == {(1, 1): "eleve", (1, 2): "twelv", (2, 1): "twent", (3, 1): "xxxxx"}
-    names = {r["pattern_id"]: r["name"] for r in provisional_names(members, reports).collect()}
+    sizes = members.groupBy("pattern_id").agg(F.count("*").alias("member_count"))
+    names = {r["pattern_id"]: r["name"] for r in provisional_names(members, sizes, reports).collect()}
     assert names == {1: "T A +1 other — X: 1", 2: "T B — uncategorised", 3: "T C — uncategorised"}
 
 
