@@ -27,7 +27,8 @@ def unit(v: Column) -> Column:
     return F.element_at(
         F.transform(
             F.array(norm(wide)),
-            lambda n: F.transform(wide, lambda x: F.when(n > 0, x / n).otherwise(x)),
+            # Adding zero turns -0.0 into 0.0, so that equal vectors are also identical.
+            lambda n: F.transform(wide, lambda x: F.when(n > 0, x / n).otherwise(x) + F.lit(0.0)),
         ),
         1,
     )

@@ -53,6 +53,11 @@ def pool(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return raw.filter(norm(F.col("raw")) > 0).select("id", unit(F.col("raw")).alias("vec"))
 
 
+def with_vector_key(df: DataFrame) -> DataFrame:
+    """A hash ahead of the vector keeps sorts and joins on it cheap; both are compared."""
+    return df.withColumn("_vh", F.xxhash64("vec"))
+
+
 @dataclass(frozen=True)
 class Groups:
     """Identical vectors collapsed: ``table(rep, vec, ids, copies)``."""
@@ -78,12 +83,15 @@ def group_copies(units: DataFrame, keep: int) -> Groups:
     ``row_number() <= keep`` is limited before the shuffle, so a vector shared by a
     third of all rows sends at most ``keep`` rows per map task.
     """
-    by_vec = Window.partitionBy("vec").orderBy("id")
-    heads = units.withColumn("_rn", F.row_number().over(by_vec)).filter(F.col("_rn") <= keep)
+    by_vec = Window.partitionBy("_vh", "vec").orderBy("id")
+    whole = by_vec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = with_vector_key(units).withColumn("_rn", F.row_number().over(by_vec))
+    heads = ranked.filter(F.col("_rn") <= keep)
+    # The second window reuses the first one's shuffle; a group has at most `keep` rows by now.
     table = as_table(
-        heads.groupBy("vec")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
-        .select(F.col("ids")[0].alias("rep"), "vec", "ids"),
+        heads.withColumn("ids", F.collect_list("id").over(whole))
+        .filter(F.col("_rn") == 1)
+        .select(F.col("id").alias("rep"), "vec", "ids"),
         "groups",
     )
     rows = units.count()
@@ -320,11 +328,6 @@ def head_edges(groups: Groups, floor: float, cap: int, grid: Grid = Grid()) -> D
     return _row_edges(lists.select(F.explode("ids").alias("i"), "ids", "near"), cap)
 
 
-def with_vector_key(df: DataFrame) -> DataFrame:
-    """A hash before the vector keeps the join's comparisons cheap; both are matched."""
-    return df.withColumn("_vh", F.xxhash64("vec"))
-
-
 def neighbours(
     units: DataFrame,
     floor: float = settings.SIMILARITY_FLOOR,

@@ -49,17 +49,15 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dense_ids(df: DataFrame, order: str, name: str, partitions: int | None = None) -> DataFrame:
+def dense_ids(df: DataFrame, order: str, name: str) -> DataFrame:
     """Number rows 1..n by ``order`` without pulling them into one task.
 
     Rows are range-partitioned, numbered inside their range, and shifted by the
     row count of the lower ranges. Only one count per range is ever gathered.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(df.repartitionByRange(n, order).withColumn("_range", F.spark_partition_id()))
+    ranged = cut(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    # One row per range (at most `n`), so the single-partition window is bounded.
+    # One row per range, at most `spark.sql.shuffle.partitions`, so this window is bounded.
     offsets = counts.select(
         "_range",
         F.coalesce(

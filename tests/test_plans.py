@@ -251,3 +251,41 @@ def test_retries():
     with pytest.raises(RuntimeError):
         with_retries(lambda t: (_ for _ in ()).throw(Status(500)), attempts=3, cap=0.5, sleep=waits.append)(["a"])
     assert max(waits[2:]) <= 0.5
+
+
+def test_shortlist_blocks_match_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    cars = [("T", "A"), ("T", "B")]
+    reports, members, vectors = [], [], []
+    for odi in range(60):
+        reports.append((odi, *cars[rng.random() < 0.2]))
+        members.append((odi % 12, odi, 1.0))
+        vectors.append((odi, [float(x) for x in rng.normal(size=6)]))
+    recalls = [
+        (f"C{int(rng.integers(0, 15))}", *cars[rng.random() < 0.3], n, [float(x) for x in rng.normal(size=6)])
+        for n in range(80)
+    ]
+    frame = spark.createDataFrame(
+        recalls, "campaign_number string, make string, model string, model_year int, embedding array<double>"
+    ).withColumns({c: F.lit(None).cast("string") for c in ("component", "summary", "consequence")})
+    got = shortlist(
+        spark.createDataFrame(members, "pattern_id bigint, odi_number bigint, similarity double"),
+        spark.createDataFrame(reports, "odi_number bigint, make string, model string"),
+        spark.createDataFrame(vectors, "odi_number bigint, embedding_stripped array<double>"),
+        frame.drop("embedding"), frame, block_rows=4,
+    )
+    by_pattern = {}
+    for r in got.orderBy("pattern_id", "rank").collect():
+        by_pattern.setdefault(r["pattern_id"], []).append((r["campaign_number"], round(r["similarity"], 9)))
+    for p in range(12):
+        mine = [o for q, o, _ in members if q == p]
+        mean = np.mean([vectors[o][1] for o in mine], axis=0)
+        near = {}
+        for c, mk, md, _, v in recalls:
+            if (mk, md) in {reports[o][1:] for o in mine}:
+                sim = float(mean @ v / np.linalg.norm(mean) / np.linalg.norm(v))
+                near[c] = max(sim, near.get(c, -2.0))
+        want = sorted(near.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert by_pattern[p] == [(c, round(s, 9)) for c, s in want]
