@@ -12,6 +12,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from fieldpulse.functions.text import coarse_components
 from fieldpulse.operators.merge import last_wins
@@ -20,9 +21,18 @@ TODAY = dt.date(1999, 6, 30)
 RECENT, BASELINE = 365, 1095
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """Base table with its zone-less timestamps read as UTC instants."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    """Base table with its zone-less timestamps read as UTC instants.
+
+    The schema is looked up once per table; later reads declare it and start no job.
+    """
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    df = spark.read.schema(_SCHEMAS[path]).parquet(path)
     zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
