@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldpulse import settings
 from fieldpulse.catalog import bindings as b
 from fieldpulse.catalog.registry import query
-from fieldpulse.operators.merge import arrivals, last_wins
+from fieldpulse.operators.merge import RECALL_KEY, arrivals, last_wins
 from fieldpulse.operators.normalise import (
     accepted,
     ingest_bounds,
@@ -350,6 +350,30 @@ def recall_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return reject_counts(normalise_recalls(recall_records(spark, sf)))
 
 
+@query(
+    "recall_ingest_report",
+    f"""with {_RECALL_SQL},
+good as (
+  select make, model, p_size >= 10 as fresh, count(*) as n
+  from notices where reject_reason is null group by p_brand, make, model, model_year, p_size >= 10)
+select 'keys_attempted' as metric, '' as detail, count(*) as n from part
+union all select 'keys_failed', '', 0
+union all select 'fetched', '', count(*) from part
+union all select 'distinct', '', count(*) from good
+union all select 'inserted', '', count(*) from good where fresh
+union all select 'refreshed', '', count(*) from good where not fresh
+union all select 'dropped', reject_reason, count(*) from notices where reject_reason is not null group by 2
+union all select 'model_seen', make || ' ' || model, count(*) from good group by 2""",
+)
+def recall_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Recalls named after the searched make are stored already."""
+    rows = normalise_recalls(recall_records(spark, sf))
+    unique = last_wins(accepted(rows), RECALL_KEY, ["p_partkey"])
+    stored = unique.filter(F.col("make") == "SEARCHED").select(*RECALL_KEY)
+    landed_parts = b.table(spark, sf, "part").select(F.lit(None).cast("string").alias("failure"))
+    return ingest_report(rows, arrivals(stored, unique, RECALL_KEY), landed_parts)
+
+
 # --- listings and pages ------------------------------------------------------------------
 
 

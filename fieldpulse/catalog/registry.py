@@ -19,6 +19,11 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
+def quoted(text: str) -> str:
+    """An SQL string literal."""
+    return "'" + text.replace("'", "''") + "'"
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         REGISTRY[name] = Entry(fn, sql)

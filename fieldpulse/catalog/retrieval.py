@@ -8,14 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpulse.catalog import bindings as b
-from fieldpulse.catalog.registry import query
-from fieldpulse.functions.vectors import centroids
+from fieldpulse.catalog.registry import query, quoted as _quote
+from fieldpulse.functions.vectors import centroids, parse_vector
 from fieldpulse.operators.cluster import assign_new, connected_components, grow, keep_large
 from fieldpulse.operators.merge import last_wins
 from fieldpulse.operators.neighbours import neighbours, pool, search, threshold_counts
 from fieldpulse.plans.formation import form_members, formation_pool, member_facts, pattern_name
-from fieldpulse.plans.inbox import ranking
-from fieldpulse.plans.novelty import assess, assessment_report, search_result, shortlist
+from fieldpulse.plans.inbox import ranking, sample_narratives
+from fieldpulse.plans.novelty import (
+    INSTRUCTIONS,
+    assess,
+    assessment_report,
+    pattern_vehicles,
+    prompts,
+    search_result,
+    shortlist,
+)
 from fieldpulse.plans.profile import sharing_components, top_k_sweep
 from fieldpulse.plans.scoring import score_patterns
 from fieldpulse.runtime import as_table, cut
@@ -480,6 +488,45 @@ def _assess(spark: SparkSession, sf: str):
     )
 
 
+@query(
+    "judge_prompts",
+    f"""with {_SHORTLIST},
+fleet as (select label, string_agg(make || ' ' || model, ', ' order by make, model) as vehicles from vehicles group by 1),
+told as (
+  select label, string_agg('- ' || text, chr(10) order by rank) as lines from (
+    select label, coalesce(case when o_orderstatus = 'F' then 'Kept ' || vec_id end,
+                           'Order ' || vec_id || ' ' || o_orderpriority) as text,
+           row_number() over (partition by label order by embedding[1] desc, vec_id) as rank
+    from embeddings join orders on o_orderkey = vec_id) where rank <= 4 group by 1),
+offered as (
+  select label, count(*) as n, string_agg('- ' || campaign_number || ' (' || make || ' ' || model || ' ' || model_year
+           || ', ' || component || '): ' || summary || ' ' || coalesce(consequence, ''), chr(10) order by rank) as lines
+  from short group by 1)
+select label::bigint as id, n::bigint as candidates,
+       printf({_quote(INSTRUCTIONS)}, 'group ' || label, vehicles, told.lines, offered.lines) as prompt
+from fleet join told using (label) join offered using (label)""",
+)
+def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    members, reports = _label_members(spark, sf), b.reports(spark, sf, components=False)
+    rows = prompts(
+        _label_patterns(spark, sf), pattern_vehicles(members, reports),
+        sample_narratives(members, reports, chars=None), _shortlist(spark, sf), None, None,
+    )
+    return rows.select("id", F.col("candidates").cast("bigint").alias("candidates"), "prompt")
+
+
+@query(
+    "vector_text",
+    """select vec_id as id, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as first_component
+from embeddings""",
+)
+def vector_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors printed as text, parsed back and normalised."""
+    text = F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("]"))
+    rows = b.table(spark, sf, "embeddings").select("vec_id", parse_vector(text).alias("v"))
+    return pool(rows, "vec_id", "v").select("id", F.round(F.col("vec")[0], 5).alias("first_component"))
+
+
 @query(
     "assess_patterns",
     _JUDGED + " select *, changed as rewritten from results",

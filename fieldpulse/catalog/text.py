@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from fieldpulse import settings
 from fieldpulse.catalog import bindings as b
-from fieldpulse.catalog.registry import query
+from fieldpulse.catalog.registry import query, quoted as _quote
 from fieldpulse.functions.text import is_failure_report, strip_boilerplate
-from fieldpulse.operators.merge import classification_counts, classify_missing
-from fieldpulse.plans.embedding import embed, pending_texts
-from fieldpulse.plans.novelty import parse_verdict
+from fieldpulse.operators.merge import classification_counts, classify_missing, fill_stripped
+from fieldpulse.plans.embedding import embed, embedding_report, pending_texts
+from fieldpulse.plans.novelty import parse_verdict, verdict_precision
 from fieldpulse.plans.profile import rule_shares, value_shares
 from fieldpulse.runtime import spread
 
@@ -32,10 +32,6 @@ PROFILE = {
 _WS = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-def _quote(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def _rule(patterns) -> str:
     return _quote("(?i)" + "|".join(f"(?:{p})" for p in patterns))
 
@@ -71,6 +67,20 @@ def strip_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "fill_stripped",
+    f"""with s as ({_strip_sql("documents", "doc_id", _RULES)})
+select doc_id, case when l.doc_id is null then s.text else 'stored' end as summary_stripped
+from s left join labels l using (doc_id)""",
+)
+def fill_stripped_column(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents have their stripped text already."""
+    stored = b.table(spark, sf, "labels").select("doc_id", F.lit("stored").alias("summary_stripped"))
+    docs = spread(b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("summary")), "doc_id")
+    rows = fill_stripped(docs.join(stored, "doc_id", "left"), patterns=_RULES)
+    return rows.select("doc_id", "summary_stripped")
+
+
 @query("strip_conversations", _strip_sql("conversations", "conv_id, turn", _RULES))
 def strip_conversations(spark: SparkSession, sf: str) -> DataFrame:
     rows = spread(b.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
@@ -180,6 +190,38 @@ def embed_missing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "embedding_report",
+    """select count(*) as to_embed, count(*) filter (where n_chars >= 200) as embedded,
+       count(*) filter (where n_chars >= 200) as written, 10::bigint as dim
+from documents anti join labels using (doc_id)""",
+)
+def embedded_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """An interrupted run: only the longer of the pending documents got their vector."""
+    docs = b.table(spark, sf, "documents")
+    stored = b.table(spark, sf, "labels").select("doc_id", F.array(F.lit(0.0)).alias("vector"))
+    todo = pending_texts(docs, stored, ["doc_id"], F.col("text"), "vector")
+    longer = todo.join(docs.filter(F.col("n_chars") >= 200).select("doc_id"), "doc_id", "left_semi")
+    vectors = embed(longer, ["doc_id"], letter_counts, partitions=8, chars=None)
+    report = embedding_report(todo, vectors, ["doc_id"], 10)
+    return report.select([F.col(c).cast("bigint").alias(c) for c in report.columns])
+
+
+@query(
+    "verdict_precision",
+    """select case when quality = 1 then 'known' else 'novel' end as verdict, count(*) as reviewed,
+       count(*) filter (where toxic = 0) as confirmed, round(avg((toxic = 0)::int), 6) as precision
+from labels group by 1""",
+)
+def precision(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality as the verdict, the absence of toxicity as the reviewer's confirmation."""
+    review = b.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "known").otherwise("novel").alias("verdict"),
+        (F.col("toxic") == 0).alias("confirmed"),
+    )
+    return verdict_precision(review).withColumn("precision", F.round("precision", 6))
+
+
 @query(
     "embed_recalls",
     f"""with {b.SQL_RECALLS}

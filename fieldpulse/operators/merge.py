@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.text import is_failure_report
+from fieldpulse.functions.text import is_failure_report, strip_boilerplate
 
 
 def last_wins(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
@@ -185,6 +185,15 @@ def classify_missing(reports: DataFrame, **options) -> DataFrame:
     )
 
 
+def fill_stripped(reports: DataFrame, **options) -> DataFrame:
+    """Write the boilerplate-free text where it is missing; stored text is kept."""
+    stripped = strip_boilerplate(F.col("summary"), **options)["text"]
+    missing = F.col("summary_stripped").isNull() & F.col("summary").isNotNull()
+    return reports.withColumn(
+        "summary_stripped", F.when(missing, stripped).otherwise(F.col("summary_stripped"))
+    )
+
+
 def classification_counts(reports: DataFrame, **options) -> DataFrame:
     """One row: rows classified by a run over ``reports``, split by outcome."""
     todo = reports.filter(F.col("is_failure_report").isNull())
