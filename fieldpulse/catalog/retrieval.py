@@ -35,41 +35,66 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
     return pool(b.table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
-_PAIRS = f"""
-pairs as (
+def _pairs_sql(name: str, left: str, right: str) -> str:
+    """Ranked neighbour pairs above the floor from one set of vectors to another."""
+    return f"""
+{name} as (
   select i, j, sim, row_number() over (partition by i order by sim desc, j) as rk from (
     select a.vec_id as i, b.vec_id as j,
            list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as sim
-    from embeddings a join embeddings b on a.vec_id <> b.vec_id)
+    from {left} a join {right} b on a.vec_id <> b.vec_id)
   where sim >= {FLOOR})"""
 
-# Rows in id order, each joining the cluster most of its smaller neighbours belong to.
-_GROW = _PAIRS + f""",
-lower as materialized (
-  select i, list({{'j': j, 's': sim, 'rk': rk}} order by rk) as l
-  from pairs where rk <= {CAP} and j < i group by i),
-ordered as materialized (
+
+def _grow_sql(p: str, source: str, votes: str) -> str:
+    """Rows of ``source`` in id order, each joining the cluster most of its voters belong to.
+
+    ``votes`` selects ``i, j, sim, rk, c`` with the voter's cluster, NULL when it is a row of ``source``.
+    """
+    return f"""
+{p}votes as materialized (
+  select i, list({{'j': j, 's': sim, 'rk': rk, 'c': c}} order by rk) as l from ({votes}) group by i),
+{p}ordered as materialized (
   select vec_id as i, row_number() over (order by vec_id) as pos, l
-  from embeddings left join lower on i = vec_id),
-walk(pos, owner, strength) as (
+  from {source} left join {p}votes on i = vec_id),
+{p}walk(pos, owner, strength) as (
   select 0::bigint, map([]::bigint[], []::bigint[]), map([]::bigint[], []::double[])
   union all
   select pos, map_concat(owner, map([i], [coalesce(w.c, i)])),
          map_concat(strength, map([i], [coalesce(w.ms, 1.0)]))
   from (select o.pos, w0.owner, w0.strength, o.i,
                (select {{'c': c, 'ms': ms}} from
-                  (select w0.owner[x.j] as c, count(*) as n, max(x.s) as ms, min(x.rk) as first_rk
+                  (select coalesce(x.c, w0.owner[x.j]) as c, count(*) as n, max(x.s) as ms, min(x.rk) as first_rk
                    from (select unnest(o.l) as x) group by 1) order by n desc, ms desc, first_rk limit 1) as w
-        from walk w0 join ordered o on o.pos = w0.pos + 1)),
-final as (select owner, strength from walk order by pos desc limit 1),
-assigned as (
+        from {p}walk w0 join {p}ordered o on o.pos = w0.pos + 1)),
+{p}final as (select owner, strength from {p}walk order by pos desc limit 1),
+{p}assigned as (
   select unnest(map_keys(owner)) as i, unnest(map_values(owner)) as cluster,
-         unnest(map_values(strength)) as join_sim from final),
-counted as (select *, count(*) over (partition by cluster) as n from assigned),
+         unnest(map_values(strength)) as join_sim from {p}final),
+{p}counted as (select *, count(*) over (partition by cluster) as n from {p}assigned)"""
+
+
+_LOWER = f"select i, j, sim, rk, null::bigint as c from {{}} where rk <= {CAP} and j < i"
+
+_PAIRS = _pairs_sql("pairs", "embeddings", "embeddings")
+
+_GROW = _PAIRS + "," + _grow_sql("", "embeddings", _LOWER.format("pairs")) + f""",
 formed as (
   select dense_rank() over (order by cluster) as pattern_id, i as odi_number, join_sim as similarity, n
   from counted where n >= {MIN})"""
 
+_PLACED = f"""with recursive
+settled as (select e.* from embeddings e join orders on o_orderkey = vec_id where o_orderstatus = 'F'),
+fresh as (select e.* from embeddings e join orders on o_orderkey = vec_id where o_orderstatus <> 'F'),
+everyone as (select * from settled union all select * from fresh),
+{_pairs_sql("old_pairs", "settled", "settled")}, {_grow_sql("old_", "settled", _LOWER.format("old_pairs"))},
+{_pairs_sql("new_pairs", "fresh", "everyone")},
+kept as (select i as k, cluster as kept_cluster from old_counted where n >= {MIN}),
+{_grow_sql("new_", "fresh", f"""
+    select i, j, sim, rk, kept_cluster as c from new_pairs left join kept on k = j
+    where rk <= {CAP} and (kept_cluster is not null or (j < i and j in (select vec_id from fresh)))""")}
+select i as odi_number, cluster as seed, round(join_sim, 4) as similarity from new_assigned"""
+
 
 @query(
     "knn_floor_cap",
@@ -296,7 +321,7 @@ def seed_search(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("assign_new")
+@query("assign_new", _PLACED)
 def place_new_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Patterns formed from settled orders, then the vectors of open ones placed among them."""
     status = b.table(spark, sf, "orders").select(
