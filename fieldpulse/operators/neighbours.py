@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fieldpulse import settings
@@ -85,7 +85,11 @@ def group_copies(units: DataFrame, keep: int) -> Groups:
     """
     by_vec = Window.partitionBy("_vh", "vec").orderBy("id")
     whole = by_vec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = with_vector_key(units).withColumn("_rn", F.row_number().over(by_vec))
+    # Counted on the way through, which saves a pass over the vectors. A rerun task may count
+    # twice; a count that is too high only costs the joins for copies that are not there.
+    seen = Observation()
+    counted = with_vector_key(units.observe(seen, F.count(F.lit(1)).alias("rows")))
+    ranked = counted.withColumn("_rn", F.row_number().over(by_vec))
     heads = ranked.filter(F.col("_rn") <= keep)
     # The second window reuses the first one's shuffle; a group has at most `keep` rows by now.
     table = as_table(
@@ -94,7 +98,7 @@ def group_copies(units: DataFrame, keep: int) -> Groups:
         .select(F.col("id").alias("rep"), "vec", "ids"),
         "groups",
     )
-    rows = units.count()
+    rows = seen.get["rows"]
     sizes = table.agg(F.count("*").alias("g"), F.sum(F.size("ids")).alias("h")).first()
     return Groups(table, rows, int(sizes["h"] or 0), int(sizes["g"]))
 
