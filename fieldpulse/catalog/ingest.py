@@ -179,7 +179,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     ).otherwise(F.col("o_orderkey").cast("string"))
     body = F.concat(
         F.lit('{"count":1,"message":"Results returned successfully","results":[{"odiNumber":'), number,
-        F.lit(","), F.substring(F.to_json(record), 2, 1_000_000), F.lit("]}"),
+        F.lit(","), F.substr(F.to_json(record), F.lit(2)), F.lit("]}"),
     )
     nation = F.col("c_nationkey")
     return rows.select(

@@ -53,7 +53,7 @@ def title_case(col: Column) -> Column:
     return F.array_join(
         F.transform(
             runs,
-            lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, 2147483647)),
+            lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2))),
         ),
         "",
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.text import any_of
-from fieldpulse.operators.normalise import reject_counts
 
 
 def value_shares(df: DataFrame, column: Column, name: str) -> DataFrame:
@@ -54,30 +55,40 @@ def ingest_report(normalised: DataFrame, arrivals: DataFrame, responses: DataFra
     """``(metric, detail, n)`` rows of one ingest run.
 
     ``responses`` is triaged, ``normalised`` carries ``reject_reason``, ``arrivals`` is the
-    reduced set tagged inserted or refreshed with make and model.
+    reduced set tagged inserted or refreshed with make and model. Each input is read once.
     """
-    none = F.lit("").alias("detail")
-    keys = responses.agg(
-        F.count("*").alias("keys_attempted"), F.count("failure").alias("keys_failed")
-    )
-    fetched = normalised.agg(F.count("*").alias("fetched"))
-    tally = arrivals.agg(
-        F.count("*").alias("distinct"),
-        F.count_if(F.col("arrival") == "inserted").alias("inserted"),
-        F.count_if(F.col("arrival") == "refreshed").alias("refreshed"),
-    )
 
-    def long(df: DataFrame) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("n")) for c in df.columns])
-        return df.select(F.inline(pairs)).select("metric", none, "n")
-
-    dropped = reject_counts(normalised).select(
-        F.lit("dropped").alias("metric"), F.col("reject_reason").alias("detail"), "n"
-    )
-    seen = arrivals.groupBy("make", "model").agg(F.count("*").alias("n")).select(
-        F.lit("model_seen").alias("metric"), F.concat_ws(" ", "make", "model").alias("detail"), "n"
+    def entry(metric: Column, detail: Column | str = "") -> Column:
+        text = F.lit(detail) if isinstance(detail, str) else detail
+        return F.struct(metric.alias("metric"), text.alias("detail"))
+
+    def tally(df: DataFrame, by: list[str], *entries: Column) -> DataFrame:
+        counts = df.groupBy(*by).agg(F.count("*").alias("n"))
+        return counts.select(F.explode(F.array_compact(F.array(*entries))).alias("_e"), "n")
+
+    always = ("keys_attempted", "keys_failed", "fetched", "distinct", "inserted", "refreshed")
+    reason, failed = F.col("reject_reason"), F.col("failure").isNotNull()
+    parts = (
+        tally(
+            responses, ["failure"], entry(F.lit("keys_attempted")),
+            F.when(failed, entry(F.lit("keys_failed"))),
+        ),
+        tally(
+            normalised, ["reject_reason"], entry(F.lit("fetched")),
+            F.when(reason.isNotNull(), entry(F.lit("dropped"), reason)),
+        ),
+        tally(
+            arrivals, ["make", "model", "arrival"], entry(F.lit("distinct")), entry(F.col("arrival")),
+            entry(F.lit("model_seen"), F.concat_ws(" ", "make", "model")),
+        ),
+        # A metric without rows is still reported, as zero.
+        normalised.sparkSession.range(1).select(
+            F.explode(F.array(*[entry(F.lit(m)) for m in always])).alias("_e"),
+            F.lit(0).cast("bigint").alias("n"),
+        ),
     )
-    return long(keys).unionByName(long(fetched)).unionByName(long(tally)).unionByName(dropped).unionByName(seen)
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("_e").agg(F.sum("n").alias("n")).select("_e.metric", "_e.detail", "n")
 
 
 def mentions(reports: DataFrame, component: str) -> DataFrame:
