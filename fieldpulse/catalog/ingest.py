@@ -195,7 +195,7 @@ def responses(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_LANDED_SQL = """
+LANDED_SQL = """
 landed as (
   select c_mktsegment as make, c_nationkey as nation, o.*, c_name, o_orderdate::date as d,
          case c_nationkey when 0 then 'server_error' when 1 then 'client_error' when 2 then 'not_json'
@@ -219,7 +219,7 @@ def _normalised(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "landing_triage",
-    f"""with {_LANDED_SQL}
+    f"""with {LANDED_SQL}
 select make, coalesce(failure, 'ok') as outcome, coalesce(failure = 'server_error', false) as retryable, count(*) as n
 from landed group by all""",
 )
@@ -233,7 +233,7 @@ def landing_triage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "normalise_reports",
-    f"""with {_LANDED_SQL}
+    f"""with {LANDED_SQL}
 select o_orderkey as odi_number, make, 'NATION ' || nation as model, year(o_orderdate)::bigint as model_year,
        'PRIORITY ' || o_orderpriority || '|STATUS ' || o_orderstatus as components_coarse,
        'Order of ' || c_name as summary,
@@ -252,7 +252,7 @@ def normalised_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "normalise_rejects",
-    f"with {_LANDED_SQL} select reject_reason, count(*) as n from records where reject_reason is not null group by 1",
+    f"with {LANDED_SQL} select reject_reason, count(*) as n from records where reject_reason is not null group by 1",
 )
 def normalise_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return reject_counts(_normalised(spark, sf))
@@ -260,7 +260,7 @@ def normalise_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ingest_report",
-    f"""with {_LANDED_SQL},
+    f"""with {LANDED_SQL},
 good as (select *, o_orderstatus = 'F' as known from records where reject_reason is null)
 select 'keys_attempted' as metric, '' as detail, count(*) as n from landed
 union all select 'keys_failed', '', count(failure) from landed

@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from fieldpulse.catalog import bindings as b
 from fieldpulse.catalog.registry import query
-from fieldpulse.operators.merge import upsert
+from fieldpulse.catalog.ingest import LANDED_SQL, responses
+from fieldpulse.operators.merge import upsert, upsert_api
+from fieldpulse.operators.normalise import accepted
 from fieldpulse.runtime import scratch_path
+from fieldpulse.schema import TABLES
 from fieldpulse.streaming.incremental import (
     counts_over_time,
     epoch_sink,
@@ -18,6 +21,8 @@ from fieldpulse.streaming.incremental import (
     lateness,
     latest_epoch,
     merge_sink,
+    newest_version,
+    report_stream,
     run_available,
 )
 
@@ -78,20 +83,38 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Micro-batches merged into a versioned table keyed by user."""
     root, progress = scratch_path(spark, "merged"), scratch_path(spark, "progress")
     stream = _events(spark, sf).select("user_id", "event_id", "event_type", "value", "ts")
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.parquet(f"{root}/version=-1")
-    versions = [-1]
-
-    def load() -> DataFrame:
-        return spark.read.schema(stream.schema).parquet(f"{root}/version={versions[-1]}")
+    sink = merge_sink(
+        root, spark.createDataFrame([], stream.schema),
+        lambda current, batch: upsert(current, batch, ["user_id"]), ["user_id"], ["ts", "event_id"],
+    )
+    run_available(stream, sink, progress)
+    return newest_version(spark, root, stream.schema).drop("ts")
 
-    def save(rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{root}/version={epoch}")
-        versions.append(epoch)
 
-    merge = lambda current, batch: upsert(current, batch, ["user_id"])
-    run_available(stream, merge_sink(load, save, merge, ["user_id"], ["ts", "event_id"]), progress)
-    return load().drop("ts")
+@query(
+    "stream_ingest",
+    f"""with {LANDED_SQL}
+select o_orderkey as odi_number, make, 'NATION ' || nation as model, year(o_orderdate)::bigint as model_year,
+       'PRIORITY ' || o_orderpriority || '|STATUS ' || o_orderstatus as components_coarse, null::varchar as components,
+       'Order of ' || c_name as summary, 'api' as source
+from records where reject_reason is null""",
+)
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed responses streamed through normalisation into the complaint table."""
+    path, root = scratch_path(spark, "landing"), scratch_path(spark, "complaints")
+    responses(spark, sf).drop("key_ord").write.json(path)
+    schema = TABLES["complaints"].schema
+    now = F.lit("2000-02-01 00:00:00").cast("timestamp")
+    sink = merge_sink(
+        root, spark.createDataFrame([], schema), lambda current, batch: upsert_api(current, batch, now),
+        ["odi_number"], ["query_model", "rec_ord"],
+    )
+    run_available(accepted(report_stream(spark, path)), sink, scratch_path(spark, "progress"))
+    return newest_version(spark, root, schema).select(
+        "odi_number", "make", "model", F.col("model_year").cast("bigint").alias("model_year"),
+        F.array_join("components_coarse", "|").alias("components_coarse"),
+        F.array_join("components", "|").alias("components"), "summary", "source",
+    )
 
 
 @query(

@@ -23,13 +23,13 @@ RECALL_RECORD = (
 )
 LISTING_RECORD = "struct<modelYear:string,make:string,model:string>"
 
-_LANDING = "make string, query_model string, model_year int, status int, body string"
+LANDING = "make string, query_model string, model_year int, status int, body string"
 MESSAGE_CHARS = 120
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """Landed responses under ``make=/query_model=/model_year=``; key columns come from the path."""
-    return spark.read.schema(_LANDING).json(path)
+    return spark.read.schema(LANDING).json(path)
 
 
 def triage(responses: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldpulse.operators.merge import last_wins
+from fieldpulse.operators.normalise import normalise_reports
+from fieldpulse.sources.landed import LANDING, REPORT_RECORD, open_envelope
 
 
 def landing_stream(
@@ -46,20 +49,47 @@ def epoch_sink(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def merge_sink(
-    load: Callable[[], DataFrame],
-    save: Callable[[DataFrame, int], None],
+    path: str,
+    initial: DataFrame,
     merge: Callable[[DataFrame, DataFrame], DataFrame],
     keys: list[str],
     order: list[str],
 ) -> Callable[[DataFrame, int], None]:
-    """Micro-batch upsert: reduce the batch to one row per key, merge, save the next version."""
+    """Micro-batch upsert into a versioned table: ``version=<epoch>`` follows ``version=<epoch - 1>``.
+
+    The batch is reduced to one row per key first. A replayed batch reads the same predecessor
+    and replaces its own version, so it never applies twice. ``initial`` is what came before
+    the stream; the columns of every version are its columns.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        save(merge(load(), last_wins(batch, keys, order)), epoch)
+        spark = batch.sparkSession
+        before = (
+            initial if epoch == 0
+            else spark.read.schema(initial.schema).parquet(f"{path}/version={epoch - 1}")
+        )
+        after = merge(before, last_wins(batch, keys, order))
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in initial.schema.fields]
+        after.select(*typed).write.mode("overwrite").parquet(f"{path}/version={epoch}")
 
     return write
 
 
+def newest_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table as the last finished micro-batch left it; older versions are not read."""
+    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(path)
+    return every.filter(F.col("version") == every.agg(F.max("version")).scalar()).drop("version")
+
+
+def report_stream(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
+    """Normalised complaint rows of landed responses, rejects included, as they arrive."""
+    reader = spark.readStream.schema(LANDING)
+    if per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    records = open_envelope(reader.json(path), REPORT_RECORD, "make", "query_model", "model_year")
+    return normalise_reports(records.withColumnRenamed("model_year", "query_year"))
+
+
 def filed_once(stream: DataFrame, key: str, filed: str, delay: str) -> DataFrame:
     """First sighting of each key within the filing watermark; older state is dropped."""
     return stream.withWatermark(filed, delay).dropDuplicatesWithinWatermark([key])
