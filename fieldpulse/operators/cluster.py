@@ -8,6 +8,8 @@ the new decisions to the rows that wait for them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +100,9 @@ def resolve_in_order(
             raise RuntimeError(f"{left} rows cannot be resolved: the votes are not acyclic")
         resolved.append(done)
         left -= newly
+        if len(resolved) > 50:
+            # Many rounds: fold their results so that the plan stays short.
+            resolved = [cut(reduce(DataFrame.unionByName, resolved))]
         if left:
             answers = done.select(F.col("i").alias("j"), F.col("cluster").alias("_known"))
             pending = cut(
@@ -109,10 +114,7 @@ def resolve_in_order(
                     .otherwise(F.col("cluster")).alias("cluster"),
                 )
             )
-    result = resolved[0]
-    for part in resolved[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, resolved)
 
 
 def _followers(units: DataFrame, groups: Groups, heads: DataFrame) -> DataFrame:
