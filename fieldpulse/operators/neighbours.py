@@ -36,12 +36,18 @@ _SLACK = 1e-6
 
 @dataclass(frozen=True)
 class Grid:
-    """Bounds of the block join. ``max_pivots`` also bounds what tasks receive."""
+    """Bounds of the block join. ``max_pivots`` also bounds what tasks receive.
 
-    rows_per_cell: int = 20_000
+    Cells are used when they save work: comparing a pair costs 1 and sending a row to a unit
+    costs ``copy_cost``. ``always_cells`` skips that comparison.
+    """
+
+    rows_per_cell: int = 1_000
     max_pivots: int = 1_024
     block_rows: int = 4_096
     max_partitions: int = 20_000
+    copy_cost: int = 500
+    always_cells: bool = False
 
 
 def pool(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -107,9 +113,18 @@ def group_copies(units: DataFrame, keep: int) -> Groups:
 
 
 def _pivots(table: DataFrame, count: int) -> np.ndarray:
-    """At most ``max_pivots`` vectors, chosen by hash so that reruns agree."""
-    rows = table.select("vec", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(count)
-    return np.array([r["vec"] for r in rows.collect()], dtype=np.float64)
+    """``count`` vectors far apart from each other, out of four times as many taken by hash.
+
+    Both numbers are bounded by the grid, and reruns agree.
+    """
+    rows = table.select("vec", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(4 * count)
+    sample = np.array([r["vec"] for r in rows.collect()], dtype=np.float64)
+    chosen = [0]
+    nearest = sample @ sample[0]
+    while len(chosen) < min(count, len(sample)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
+    return sample[chosen]
 
 
 def _cells(pivots: np.ndarray, floor: float, upward_only: bool) -> Callable[[Column], Column]:
@@ -147,28 +162,42 @@ def _block_units(
     base rows also visit higher cells; with ``query`` the query rows do all the visiting.
     """
     wanted = min(grid.max_pivots, max(1, -(-n_base // grid.rows_per_cell)))
-    pivots = _pivots(base, wanted) if wanted > 1 else np.zeros((1, 1))
-    self_cells = _cells(pivots, floor, upward_only=True)
-    all_cells = _cells(pivots, floor, upward_only=False)
-
-    placed = base.withColumn("_cells", self_cells(F.col("vec"))).withColumn("_q", F.lit(False))
-    if query is not None:
-        placed = placed.withColumn("_cells", F.slice("_cells", 1, 1)).unionByName(
-            query.withColumn("_cells", all_cells(F.col("vec"))).withColumn("_q", F.lit(True))
+
+    def place(pivots: np.ndarray) -> DataFrame:
+        """Each row once per cell it lives in or visits."""
+        own = _cells(pivots, floor, upward_only=True)(F.col("vec"))
+        rows = base.withColumn("_cells", own).withColumn("_q", F.lit(False))
+        if query is not None:
+            every = _cells(pivots, floor, upward_only=False)(F.col("vec"))
+            rows = rows.withColumn("_cells", F.slice("_cells", 1, 1)).unionByName(
+                query.withColumn("_cells", every).withColumn("_q", F.lit(True))
+            )
+        # Every row has a cell; the outer form keeps the optimizer from filtering on the UDF's result.
+        return rows.select("*", F.posexplode_outer("_cells").alias("_pos", "cell")).withColumn(
+            "visitor", F.col("_q") | (F.col("_pos") > 0)
         )
-    # Every row has a cell; the outer form keeps the optimizer from filtering on the UDF's result.
-    spots = placed.select("*", F.posexplode_outer("_cells").alias("_pos", "cell")).withColumn(
-        "visitor", F.col("_q") | (F.col("_pos") > 0)
-    )
-    if wanted == 1:
-        counts = {0: (n_base, n_query)}
-    else:
+
+    def cost(counts: dict[int, tuple[int, int]]) -> float:
+        total = 0.0
+        for h, v in counts.values():
+            hb, vb = -(-h // grid.block_rows), -(-v // grid.block_rows)
+            among = 0 if query is not None else h * h / 2
+            copies = h * (vb + (0 if query is not None else hb)) + v * hb
+            total += among + h * v + grid.copy_cost * copies
+        return total
+
+    counts = {0: (n_base, n_query)}
+    spots = place(np.zeros((1, 1)))
+    if wanted > 1:
+        celled = place(_pivots(base, wanted))
         rows = (
-            spots.groupBy("cell")
+            celled.groupBy("cell")
             .agg(F.count_if(~F.col("visitor")).alias("h"), F.count_if("visitor").alias("v"))
             .collect()  # one row per cell, at most max_pivots
         )
-        counts = {r["cell"]: (r["h"], r["v"]) for r in rows}
+        found = {r["cell"]: (r["h"], r["v"]) for r in rows}
+        if grid.always_cells or cost(found) < cost(counts):
+            spots, counts = celled, found
 
     blocks = {
         c: (-(-h // grid.block_rows), -(-v // grid.block_rows)) for c, (h, v) in counts.items()

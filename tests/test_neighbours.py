@@ -13,7 +13,7 @@ from fieldpulse.operators.cluster import (
 from fieldpulse.operators.neighbours import Grid, neighbours, pool, search, threshold_counts
 from fieldpulse.runtime import dense_ids
 
-SMALL = Grid(rows_per_cell=20, block_rows=8, max_pivots=6)
+SMALL = Grid(rows_per_cell=20, block_rows=8, max_pivots=6, always_cells=True)
 
 
 def points(n, dim=4, seed=0, copies=0):
