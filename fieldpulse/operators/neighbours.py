@@ -5,8 +5,9 @@ All neighbour searches share one shape:
 1. identical vectors collapse to one group row that keeps its ``cap + 1`` smallest
    ids, which is all a capped neighbour list can ever show of them;
 2. group rows are assigned to the cell of their nearest pivot, and visit another
-   cell only when the half-space bound says a partner within the floor can live
-   there, so pairs that cannot match never meet;
+   cell only when its radius and the half-space border allow a partner within the
+   floor there, so pairs that cannot match never meet; cells are dropped when
+   their counted cost is not below that of comparing everything;
 3. cells are cut into blocks of bounded size, and every (block, block) unit is one
    Spark group whose similarities are a single matrix product;
 4. a unit returns only its partial answer (top-k per row, counts per row, or a
@@ -38,8 +39,8 @@ _SLACK = 1e-6
 class Grid:
     """Bounds of the block join. ``max_pivots`` also bounds what tasks receive.
 
-    Cells are used when they save work: comparing a pair costs 1 and sending a row to a unit
-    costs ``copy_cost``. ``always_cells`` skips that comparison.
+    Cells are used when they save work: comparing a pair costs 1, sending a row to a unit
+    ``copy_cost`` and starting a unit ``unit_cost``. ``always_cells`` skips that comparison.
     """
 
     rows_per_cell: int = 1_000
@@ -47,6 +48,7 @@ class Grid:
     block_rows: int = 4_096
     max_partitions: int = 20_000
     copy_cost: int = 500
+    unit_cost: int = 1_000_000
     always_cells: bool = False
 
 
@@ -127,23 +129,58 @@ def _pivots(table: DataFrame, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _cells(pivots: np.ndarray, floor: float, upward_only: bool) -> Callable[[Column], Column]:
-    """Column function: nearest cell first, then the cells to visit."""
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
+
+
+def _radii(base: DataFrame, pivots: np.ndarray) -> np.ndarray:
+    """Largest angle between a pivot and a base row that lives in its cell."""
+
+    @F.pandas_udf("array<double>")
+    def home(vecs: pd.Series) -> pd.Series:
+        angle = _angles(np.stack(vecs.to_numpy()), pivots)
+        cell = angle.argmin(axis=1)
+        return pd.Series(list(np.column_stack((cell, angle[np.arange(len(cell)), cell]))))
+
+    rows = (
+        base.select(home("vec").alias("_h"))
+        .groupBy(F.col("_h")[0].cast("int").alias("cell"))
+        .agg(F.max(F.col("_h")[1]).alias("radius"))
+        .collect()  # one row per cell, at most max_pivots
+    )
+    radii = np.full(len(pivots), -np.inf)
+    for r in rows:
+        radii[r["cell"]] = r["radius"]
+    return radii
+
+
+def _cells(
+    pivots: np.ndarray, radii: np.ndarray, floor: float, upward_only: bool
+) -> Callable[[Column], Column]:
+    """Column function: nearest cell first, then the cells to visit.
+
+    A partner is at most ``acos(floor)`` away. No partner lives in a cell whose pivot is further than
+    that plus the cell's radius, nor beyond a half-space border that is further away than the
+    matching chord.
+    """
     if len(pivots) <= 1:
         return lambda vec: F.array(F.lit(0))
+    turn = float(np.arccos(min(1.0, max(-1.0, floor)))) + _SLACK
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * floor))) + _SLACK
     gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
 
     @F.pandas_udf("array<int>")
     def assign(vecs: pd.Series) -> pd.Series:
         x = np.stack(vecs.to_numpy())
-        sq = np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T))
-        home = sq.argmin(axis=1)
-        near = sq[np.arange(len(x)), home]
+        angle = _angles(x, pivots)
+        home = angle.argmin(axis=1)
+        each = np.arange(len(x))
+        sq = 2.0 - 2.0 * np.cos(angle)
         with np.errstate(divide="ignore", invalid="ignore"):
-            margin = (sq - near[:, None]) / (2.0 * gaps[home])
-        visit = ~(margin > reach)  # NaN (coinciding pivots) must be visited
-        visit[np.arange(len(x)), home] = False
+            border = (sq - sq[each, home][:, None]) / (2.0 * gaps[home])
+        # Coinciding pivots give NaN, which must not prune.
+        visit = (angle <= turn + radii[None, :]) & ~(border > reach)
+        visit[each, home] = False
         if upward_only:
             visit &= np.arange(len(pivots))[None, :] > home[:, None]
         return pd.Series(
@@ -165,10 +202,11 @@ def _block_units(
 
     def place(pivots: np.ndarray) -> DataFrame:
         """Each row once per cell it lives in or visits."""
-        own = _cells(pivots, floor, upward_only=True)(F.col("vec"))
+        radii = _radii(base, pivots) if len(pivots) > 1 else np.zeros(1)
+        own = _cells(pivots, radii, floor, upward_only=True)(F.col("vec"))
         rows = base.withColumn("_cells", own).withColumn("_q", F.lit(False))
         if query is not None:
-            every = _cells(pivots, floor, upward_only=False)(F.col("vec"))
+            every = _cells(pivots, radii, floor, upward_only=False)(F.col("vec"))
             rows = rows.withColumn("_cells", F.slice("_cells", 1, 1)).unionByName(
                 query.withColumn("_cells", every).withColumn("_q", F.lit(True))
             )
@@ -183,7 +221,8 @@ def _block_units(
             hb, vb = -(-h // grid.block_rows), -(-v // grid.block_rows)
             among = 0 if query is not None else h * h / 2
             copies = h * (vb + (0 if query is not None else hb)) + v * hb
-            total += among + h * v + grid.copy_cost * copies
+            units = hb * vb + (0 if query is not None else hb * (hb + 1) / 2)
+            total += among + h * v + grid.copy_cost * copies + grid.unit_cost * units
         return total
 
     counts = {0: (n_base, n_query)}
