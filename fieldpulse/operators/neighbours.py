@@ -227,7 +227,8 @@ def _block_units(
 
     counts = {0: (n_base, n_query)}
     spots = place(np.zeros((1, 1)))
-    if wanted > 1:
+    # Rows that fit one block leave nothing to prune.
+    if wanted > 1 and (n_base > grid.block_rows or grid.always_cells):
         celled = place(_pivots(base, wanted))
         rows = (
             celled.groupBy("cell")
