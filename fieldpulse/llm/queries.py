@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import exact, simhash
+from fieldpulse.llm import decontaminate, exact, simhash
 from fieldpulse.llm.rows import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,33 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+SQL_DECONTAMINATE = f"""
+with words as (
+  select doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+items as (
+  select item_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark),
+item_windows as (
+  select distinct item_id, array_to_string(w[s:least(s + 9, len(w))], ' ') as win, least(10, len(w)) as size
+  from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) as s from items where len(w) > 0)),
+sizes as (select distinct size from item_windows),
+doc_windows as (
+  select doc_id, s, size, array_to_string(w[s:s + size - 1], ' ') as win
+  from (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as s
+        from words, sizes where len(w) >= size)),
+hits as (select d.doc_id, d.s, d.size, i.item_id from doc_windows d join item_windows i using (size, win)),
+hit_words as (
+  select doc_id, count(distinct p) as n_hit
+  from (select doc_id, unnest(generate_series(s, s + size - 1)) as p from hits) group by 1),
+hit_items as (
+  select doc_id, count(*) as n_items, string_agg(i, ',' order by i) as items
+  from (select distinct doc_id, item_id::varchar as i from hits) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hit_words using (doc_id) left join hit_items using (doc_id)"""
+
+
+@query("op7_benchmark_decontamination", SQL_DECONTAMINATE)
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
