@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import chat, decontaminate, exact, secrets, simhash
+from fieldpulse.llm import chat, decontaminate, exact, quality, secrets, simhash
 from fieldpulse.llm.rows import table
 from fieldpulse.runtime import scratch_path
 
@@ -158,3 +158,8 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *map(number, ("assign", "access", "hex")), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans")
     )
+
+
+@query("op8_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
