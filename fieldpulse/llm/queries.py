@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import chat, decontaminate, exact, quality, secrets, simhash
+from fieldpulse.llm import chat, decontaminate, exact, packing, quality, secrets, simhash
 from fieldpulse.llm.rows import table
 from fieldpulse.runtime import scratch_path
 
@@ -163,3 +163,10 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_packing")
+def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
