@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import chat, decontaminate, exact, packing, quality, secrets, simhash
+from fieldpulse.llm import chat, decontaminate, exact, packing, quality, secrets, simhash, spans
 from fieldpulse.llm.rows import table
 from fieldpulse.runtime import scratch_path
 
@@ -170,3 +170,10 @@ def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.without_repeated_spans(table(spark, sf_dir, "documents"))
+    ranges = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string")))
+    return found.select("doc_id", "n_sentences", "n_removed", F.array_join(ranges, ",").alias("removed"), "text")
