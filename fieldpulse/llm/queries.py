@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import chat, decontaminate, exact, packing, quality, secrets, simhash, spans
+from fieldpulse.llm import chat, decontaminate, exact, license, packing, quality, secrets, simhash, spans
 from fieldpulse.llm.rows import table
 from fieldpulse.runtime import scratch_path
 
@@ -177,3 +177,24 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans.without_repeated_spans(table(spark, sf_dir, "documents"))
     ranges = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string")))
     return found.select("doc_id", "n_sentences", "n_removed", F.array_join(ranges, ",").alias("removed"), "text")
+
+
+@query("op2_license_scans")
+def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source: folders by id, every fourth block of ids as licence files.
+
+    Licence files lie in the folder of their block, in the folder above, or at the top of the source.
+    """
+    doc = F.col("doc_id")
+    outer, inner = F.concat(F.lit("d"), F.floor(doc / 10_000)), F.concat(F.lit("s"), F.floor(doc / 200) % 50)
+    level = F.floor(doc / 28) % 3
+    notice = F.concat(F.lit("LICENSE."), doc)
+    path = (
+        F.when(F.floor(doc / 7) % 4 != 0, F.concat_ws("/", "source", outer, inner, F.concat(F.lit("f"), doc)))
+        .when(level == 0, F.concat_ws("/", "source", outer, inner, notice))
+        .when(level == 1, F.concat_ws("/", "source", outer, notice))
+        .otherwise(F.concat_ws("/", "source", notice))
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    found = license.license_of_files(docs)
+    return docs.select("doc_id", "path").join(found, "path")
