@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import chat, decontaminate, exact, license, packing, quality, secrets, simhash, spans
+from fieldpulse.llm import chat, decontaminate, exact, license, lines, packing, quality, secrets, simhash, spans
 from fieldpulse.llm.rows import table
 from fieldpulse.runtime import scratch_path
 
@@ -198,3 +198,10 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
     found = license.license_of_files(docs)
     return docs.select("doc_id", "path").join(found, "path")
+
+
+@query("op6_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+    ranges = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string")))
+    return found.select("doc_id", "n_lines", "n_removed", "longest", F.array_join(ranges, ",").alias("removed"), "text")
