@@ -10,11 +10,14 @@ from fieldpulse.runtime import as_table
 
 PREFIX_CHARS = 128
 
-_SIZE = F.octet_length("_text")
-_PREFIX = F.xxhash64(ascii_lower(F.substring("_text", 1, PREFIX_CHARS)))
-# The normal form differs from the text in the case of A-Z only, so both have the same length.
-_FULL = F.sha2(ascii_lower(F.col("_text")), 256)
-_LEVELS = ({"_size": _SIZE}, {"_size": _SIZE, "_prefix": _PREFIX}, {"_size": _SIZE, "_prefix": _PREFIX, "_full": _FULL})
+
+def _levels() -> tuple[dict[str, Column], dict[str, Column], dict[str, Column]]:
+    """The key of each level, one column finer each time."""
+    size = {"_size": F.octet_length("_text")}
+    prefix = {"_prefix": F.xxhash64(ascii_lower(F.substring("_text", 1, PREFIX_CHARS)))}
+    # The normal form differs from the text in the case of A-Z only, so both have the same length.
+    full = {"_full": F.sha2(ascii_lower(F.col("_text")), 256)}
+    return size, size | prefix, size | prefix | full
 
 
 def _shared(keyed: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,11 +52,11 @@ def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Other columns of the input are ignored. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    by_size, by_prefix, by_full = _LEVELS
-    sizes = as_table(_shared(rows.select(_SIZE.alias("_size")), ["_size"]), "exact-sizes")
-    prefixed = _only(rows, [], sizes, by_size, {"_prefix": _PREFIX}, max_rows)
+    by_size, by_prefix, by_full = _levels()
+    sizes = as_table(_shared(rows.select(by_size["_size"].alias("_size")), ["_size"]), "exact-sizes")
+    prefixed = _only(rows, [], sizes, by_size, {"_prefix": by_prefix["_prefix"]}, max_rows)
     prefixes = as_table(_shared(prefixed, list(by_prefix)), "exact-prefixes")
-    hashed = _only(rows, ["_id"], prefixes, by_prefix, {"_full": _FULL}, max_rows)
+    hashed = _only(rows, ["_id"], prefixes, by_prefix, {"_full": by_full["_full"]}, max_rows)
     keys = list(by_full)
     # Small rows of ids and hashes; written once because the groups and their members both need them.
     members = as_table(hashed.groupBy("_id", *keys).agg(F.count("*").alias("n_rows")), "exact-members")

@@ -13,7 +13,10 @@ from pyspark.sql.utils import AnalysisException
 from fieldpulse.llm.rows import narrow, text_or_empty
 from fieldpulse.runtime import as_table
 
-LEDGER = "blob binary, rules array<string>, findings array<struct<rule: string, start: bigint, stop: bigint>>"
+LEDGER_FIELDS = (
+    "blob binary", "rules array<string>", "findings array<struct<rule: string, start: bigint, stop: bigint>>",
+)
+LEDGER = ", ".join(LEDGER_FIELDS)
 
 
 @dataclass(frozen=True)
@@ -55,7 +58,8 @@ def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGER)
+        fields = (f"cast(null as {kind}) as {name}" for name, kind in (f.split(" ", 1) for f in LEDGER_FIELDS))
+        return spark.range(0).selectExpr(*fields)
 
 
 def _matches(rule: Rule) -> Column:
