@@ -283,11 +283,7 @@ from tagged, (select unnest([5, 10, 20]) as k) where rk <= k group by all""",
 def topk_sweep(spark: SparkSession, sf: str) -> DataFrame:
     pairs = neighbours(units(spark, sf), FLOOR, 20)
     tagged = sharing_components(pairs, b.order_components(spark, sf))
-    # An order without lines has no components row; its pairs share nothing.
-    lost = pairs.join(tagged.select("i", "j", "shared"), ["i", "j"], "left").withColumn(
-        "shared", F.coalesce("shared", F.lit(False))
-    )
-    return top_k_sweep(lost, (5, 10, 20)).select(
+    return top_k_sweep(tagged, (5, 10, 20)).select(
         "seed", F.col("k").cast("bigint").alias("k"), "kept", "scoped",
         F.round("weakest", 6).alias("weakest"), F.round("lost", 6).alias("lost"),
     )
@@ -321,6 +317,33 @@ def seed_search(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_SHIFT = 1_000_000_000
+_TWICE = f"""
+twice as (
+  select vec_id, embedding from embeddings union all select vec_id + {_SHIFT}, embedding from embeddings)"""
+_EQUAL = f"""with {_TWICE}
+select i, j, 1.0::double as sim, rk::bigint as rk from (
+  select a.vec_id as i, b.vec_id as j, row_number() over (partition by a.vec_id order by b.vec_id) as rk
+  from {{left}} a join twice b on a.embedding = b.embedding and a.vec_id <> b.vec_id) where rk <= {CAP}"""
+
+
+def _twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector under two ids."""
+    rows = units(spark, sf)
+    return rows.unionByName(rows.withColumn("id", F.col("id") + _SHIFT))
+
+
+@query("equal_vector_neighbours", _EQUAL.format(left="twice"))
+def equal_vector_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """A floor of one keeps identical vectors and nothing else, whatever rounding does to products."""
+    return neighbours(_twice(spark, sf), 1.0, CAP).withColumn("rk", F.col("rk").cast("bigint"))
+
+
+@query("equal_vector_search", _EQUAL.format(left="embeddings"))
+def equal_vector_search(spark: SparkSession, sf: str) -> DataFrame:
+    return search(units(spark, sf), _twice(spark, sf), 1.0, CAP).withColumn("rk", F.col("rk").cast("bigint"))
+
+
 @query("assign_new", _PLACED)
 def place_new_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Patterns formed from settled orders, then the vectors of open ones placed among them."""

@@ -10,10 +10,10 @@ from fieldpulse.catalog import bindings as b
 from fieldpulse.catalog.registry import query, quoted as _quote
 from fieldpulse.functions.text import is_failure_report, strip_boilerplate
 from fieldpulse.operators.merge import classification_counts, classify_missing, fill_stripped
-from fieldpulse.plans.embedding import embed, embedding_report, pending_texts
+from fieldpulse.plans.embedding import embed, embed_in_slices, embedding_report, pending_texts
 from fieldpulse.plans.novelty import parse_verdict, verdict_precision
 from fieldpulse.plans.profile import rule_shares, value_shares
-from fieldpulse.runtime import spread
+from fieldpulse.runtime import scratch_path, spread
 
 # Sentences and words that recur in the test corpus, besides the standard rules.
 CORPUS_RULES = (
@@ -183,7 +183,7 @@ def embed_missing(spark: SparkSession, sf: str) -> DataFrame:
     docs = b.table(spark, sf, "documents").select("doc_id", "text")
     stored = b.table(spark, sf, "labels").select("doc_id", F.array(F.lit(0.0)).alias("embedding"))
     todo = pending_texts(docs, stored, ["doc_id"], F.col("text"), "embedding")
-    rows = embed(todo, ["doc_id"], letter_counts, partitions=8, chars=None)
+    rows = embed(todo, ["doc_id"], letter_counts, spark.sparkContext.defaultParallelism)
     at = {c: i for i, c in enumerate("aeiourstln")}
     return rows.select(
         "doc_id", *[F.col("vector")[at[c]].cast("double").alias(f"{c}_count") for c in "aet"]
@@ -192,18 +192,19 @@ def embed_missing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "embedding_report",
-    """select count(*) as to_embed, count(*) filter (where n_chars >= 200) as embedded,
-       count(*) filter (where n_chars >= 200) as written, 10::bigint as dim
+    """select count(*) as to_embed, count(*) as embedded,
+       count(*) + (select count(*) from labels) as written, 10::bigint as dim
 from documents anti join labels using (doc_id)""",
 )
 def embedded_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """An interrupted run: only the longer of the pending documents got their vector."""
+    """A run in slices beside the vectors that labelled documents have already."""
     docs = b.table(spark, sf, "documents")
-    stored = b.table(spark, sf, "labels").select("doc_id", F.array(F.lit(0.0)).alias("vector"))
+    zeros = F.array(*[F.lit(0.0).cast("float")] * 10).alias("vector")
+    stored = b.table(spark, sf, "labels").select("doc_id", zeros)
     todo = pending_texts(docs, stored, ["doc_id"], F.col("text"), "vector")
-    longer = todo.join(docs.filter(F.col("n_chars") >= 200).select("doc_id"), "doc_id", "left_semi")
-    vectors = embed(longer, ["doc_id"], letter_counts, partitions=8, chars=None)
-    report = embedding_report(todo, vectors, ["doc_id"], 10)
+    path = scratch_path(spark, "vectors")
+    embed_in_slices(todo, ["doc_id"], letter_counts, path, spark.sparkContext.defaultParallelism, slices=2)
+    report = embedding_report(todo, stored.unionByName(spark.read.parquet(path)), ["doc_id"])
     return report.select([F.col(c).cast("bigint").alias(c) for c in report.columns])
 
 
@@ -237,12 +238,37 @@ def embed_recalls(spark: SparkSession, sf: str) -> DataFrame:
     rows = b.recalls(spark, sf)
     none_yet = rows.select(*keys, F.lit(None).cast("array<float>").alias("embedding"))
     todo = pending_texts(rows, none_yet, keys, recall_text(), "embedding")
-    return embed(todo, keys, letter_counts, partitions=8).select(
+    return embed(todo, keys, letter_counts, spark.sparkContext.defaultParallelism).select(
         "campaign_number", "make", "model", F.col("model_year").cast("bigint").alias("model_year"),
         F.col("vector")[0].cast("double").alias("a_count"),
     )
 
 
+_LETTERS = "aeiourstln"
+
+
+@query(
+    "embed_long_texts",
+    "select p_partkey, " + ", ".join(
+        f"(length(t) - length(replace(t, '{c}', '')))::double as {c}_count" for c in _LETTERS
+    ) + """
+from (select p_partkey, lower(trim(concat_ws(' ', text, p_name))) as t from part join documents on doc_id = p_partkey)""",
+)
+def embed_long_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Notices whose text is a whole document: every letter of it reaches the embedder."""
+    from fieldpulse.plans.embedding import recall_text
+
+    rows = b.table(spark, sf, "part").join(b.table(spark, sf, "documents"), F.col("doc_id") == F.col("p_partkey")).select(
+        "p_partkey", F.col("text").alias("summary"), F.col("p_name").alias("consequence")
+    )
+    none_yet = rows.select("p_partkey", F.lit(None).cast("array<float>").alias("embedding"))
+    todo = pending_texts(rows, none_yet, ["p_partkey"], recall_text(), "embedding")
+    vectors = embed(todo, ["p_partkey"], letter_counts, spark.sparkContext.defaultParallelism)
+    return vectors.select(
+        "p_partkey", *[F.col("vector")[n].cast("double").alias(f"{c}_count") for n, c in enumerate(_LETTERS)]
+    )
+
+
 @query(
     "verdict_parse",
     """select doc_id,

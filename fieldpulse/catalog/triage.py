@@ -132,7 +132,7 @@ def inbox_all(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(
         views.inbox(
             _patterns(spark, sf), b.members(spark, sf), b.reports(spark, sf),
-            where=views.view_filter(show_all=True, show_dismissed=True), limit=None,
+            where=views.in_view(everything=True, with_hidden=True), limit=None,
         )
     )
 
@@ -154,7 +154,7 @@ def inbox_labels(spark: SparkSession, sf: str) -> DataFrame:
     return views.inbox_labels(
         views.inbox(
             _patterns(spark, sf), b.members(spark, sf), b.reports(spark, sf),
-            where=views.view_filter(show_all=True, show_dismissed=True), limit=None,
+            where=views.in_view(everything=True, with_hidden=True), limit=None,
         )
     )
 

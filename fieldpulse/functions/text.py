@@ -101,10 +101,10 @@ def clip(col: Column, chars: int | None) -> Column:
     return col if chars is None else F.substring(col, 1, chars)
 
 
-def token_variant(configured: Column, actual: Column) -> Column:
-    """Equal after punctuation folding, or a prefix that ends at a token boundary."""
-    want, got = fold_tokens(configured), fold_tokens(actual)
-    return (got == want) | got.startswith(F.concat(want, F.lit(" ")))
+def names_variant(model: Column, listed: Column) -> Column:
+    """Does a listed name begin with all tokens of a model name? Case and punctuation do not count."""
+    gap = F.lit(" ")
+    return F.startswith(F.concat(fold_tokens(listed), gap), F.concat(fold_tokens(model), gap))
 
 
 def fold_tokens(col: Column) -> Column:

@@ -7,21 +7,41 @@ deliveries are reduced with :func:`last_wins` first.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpulse.functions.text import is_failure_report, strip_boilerplate
+from fieldpulse.runtime import dense_ids
 
 
 def last_wins(df: DataFrame, keys: Iterable[str], order: Iterable[str]) -> DataFrame:
-    """The last sighting of each key. A partial aggregate, so hot keys combine before the shuffle."""
+    """The last sighting of each key.
+
+    Ranks are limited to the first before the shuffle and after it, so a hot key leaves one row per
+    task, and rows are never copied into an aggregate.
+    """
     keys, order = list(keys), list(order)
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
+    latest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return df.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank").select(
+        *keys, *[c for c in df.columns if c not in keys]
     )
-    return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def unique_rows(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """``df``, failing when it is read if a key occurs twice.
+
+    The count shares the partitioning and order that a join on the keys needs anyway.
+    """
+    keys = list(keys)
+    repeated = F.count("*").over(Window.partitionBy(*keys)) > 1
+    known = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    named = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    message = F.concat(F.lit("more than one row for the key "), named)
+    return df.withColumn("_twice", repeated & known).filter(
+        F.when(F.col("_twice"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    ).drop("_twice")
 
 
 def upsert(
@@ -35,10 +55,11 @@ def upsert(
 
     An incoming column overwrites the stored one, a column that is not delivered is kept.
     ``merge[c](old, new)`` replaces the overwrite on conflict, ``on_insert[c]`` the inserted value.
+    A key that is delivered twice fails the update instead of multiplying the stored row.
     """
     keys, merge, on_insert = list(keys), merge or {}, on_insert or {}
     old = current.select(F.struct(*current.columns).alias("o"), *keys)
-    new = incoming.select(F.struct(*incoming.columns).alias("n"), *keys)
+    new = unique_rows(incoming, keys).select(F.struct(*incoming.columns).alias("n"), *keys)
     both = old.join(new, keys, "full_outer")
     o, n = F.col("o"), F.col("n")
 
@@ -133,9 +154,10 @@ def write_verdicts(
     """``(next patterns, history rows, unknown ids)`` from ``(id, verdict, recall_ref)``.
 
     A history row is written only when a stored verdict is replaced by a different one. Both
-    outputs derive from the same input snapshot, so a replaced verdict is always recorded.
+    outputs derive from the same input snapshot, so a replaced verdict is always recorded. Two verdicts
+    for one id fail the write. History rows get their ids from :func:`append_history`.
     """
-    answer = verdicts.select(
+    answer = unique_rows(verdicts, ["id"]).select(
         "id", F.col("verdict").alias("_v"), F.col("recall_ref").alias("_r"), F.lit(True).alias("_hit")
     )
     joined = patterns.join(answer, "id", "left")
@@ -163,6 +185,16 @@ def write_verdicts(
     return updated, history, unknown
 
 
+def append_history(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored audit history with new rows after it, their ids counting on from the largest stored one."""
+    numbered = dense_ids(rows, "pattern_id", "_n")
+    top = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
+    added = numbered.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").withColumn(
+        "id", F.col("_n") + F.col("_top")
+    )
+    return history.unionByName(added.select(*history.columns))
+
+
 def apply_states(patterns: DataFrame, events: DataFrame) -> DataFrame:
     """Triage events ``(id, state, at, seq)``: the last event of a pattern sets its state."""
     last = events.groupBy("id").agg(

@@ -301,11 +301,34 @@ def _matrix(side: pd.DataFrame) -> np.ndarray:
     return np.stack(side["vec"].to_numpy())
 
 
+_BELOW_ONE = float(np.nextafter(1.0, 0.0))
+
+
+def _copy_codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number per row, the same for rows of both sides whose vectors are identical."""
+    # Adding zero turns -0.0, which equals 0.0, into it.
+    both = np.ascontiguousarray(np.concatenate((left, right)) + 0.0)
+    keys = both.view(np.dtype((np.void, both.dtype.itemsize * both.shape[1]))).ravel()
+    codes = np.unique(keys, return_inverse=True)[1].ravel()
+    return codes[: len(left)], codes[len(left) :]
+
+
+def _cosines(rows_vec, cols_vec, row_codes, col_codes) -> np.ndarray:
+    """Cosines of unit vectors: one for identical vectors, below one for all others.
+
+    Products are off by rounding on either side of one, whichever vectors they are of.
+    """
+    sims = np.minimum(rows_vec @ cols_vec.T, _BELOW_ONE)
+    sims[row_codes[:, None] == col_codes[None, :]] = 1.0
+    return sims
+
+
 def _best(rows_id, rows_vec, cols_id, cols_vec, floor, cap):
     """Top ``cap`` columns per row by similarity, then id; columns arrive sorted by id."""
     out = []
+    row_codes, col_codes = _copy_codes(rows_vec, cols_vec)
     for part in _chunks(len(rows_id), len(cols_id)):
-        sims = rows_vec[part] @ cols_vec.T
+        sims = _cosines(rows_vec[part], cols_vec, row_codes[part], col_codes)
         sims[rows_id[part][:, None] == cols_id[None, :]] = -2.0
         r, c = np.nonzero(sims >= floor)
         s = sims[r, c]
@@ -334,8 +357,7 @@ def _top_pairs(floor: float, cap: int, both_ways: bool):
             if both_ways:
                 found += _best(li, lv, ri, rv, floor, cap)
         rep, other, sim = (np.concatenate(x) for x in zip(*found))
-        # Unit vectors that differ have a cosine below one; above is rounding.
-        return pd.DataFrame({"rep": rep, "other": other, "sim": np.minimum(sim, 1.0)})
+        return pd.DataFrame({"rep": rep, "other": other, "sim": sim})
 
     return kernel
 
@@ -439,7 +461,8 @@ def search(
 ) -> DataFrame:
     """``(i, j, sim, rk)``: for each query row the ``k`` nearest base rows above the floor.
 
-    Both inputs are ``(id, vec)``; a base row with the query's own id is not a match.
+    Both inputs are ``(id, vec)``; a base row with the query's own id is not a match. Identical
+    vectors have a cosine of exactly one and come first, as in :func:`neighbours`.
     """
     b, q = _stored(base, "vec"), _stored(queries, "vec")
     members, _ = _block_units(b, q, b.count(), q.count(), floor, grid)
@@ -451,6 +474,33 @@ def search(
     )
 
 
+_NAMES = 1_024
+
+
+def _scope_entries(left: pd.Series, right: pd.Series):
+    """``(row, name)`` entries of both sides for the names that occur on both, and their number."""
+    sides = []
+    for scopes in (left, right):
+        rows = np.repeat(np.arange(len(scopes)), [len(s) for s in scopes])
+        sides.append((rows, np.array([c for s in scopes for c in s], dtype=object)))
+    common = sorted(set(sides[0][1]) & set(sides[1][1]))
+    number = {c: n for n, c in enumerate(common)}
+    out = []
+    for rows, names in sides:
+        codes = np.array([number.get(c, -1) for c in names], dtype=np.int64)
+        out.append((rows[codes >= 0], codes[codes >= 0]))
+    return out[0], out[1], len(common)
+
+
+def _flags(entries, rows: slice, names: slice) -> np.ndarray:
+    """Which of ``names`` each of ``rows`` has, as a small dense matrix."""
+    row, name = entries
+    mine = (row >= rows.start) & (row < rows.stop) & (name >= names.start) & (name < names.stop)
+    m = np.zeros((rows.stop - rows.start, names.stop - names.start), dtype=np.float32)
+    m[row[mine] - rows.start, name[mine] - names.start] = 1.0
+    return m
+
+
 def threshold_counts(
     queries: DataFrame,
     base: DataFrame,
@@ -461,7 +511,7 @@ def threshold_counts(
 
     Inputs are ``(id, vec, scope)`` where ``scope`` is an array of component names;
     ``n_scoped`` counts the matches that share a component. Counts are summed inside
-    each unit, so no pair leaves it.
+    each unit, which returns a row only for query rows with a match in it.
     """
     levels = sorted(thresholds)
     b, q = _stored(base, "vec", "scope"), _stored(queries, "vec", "scope")
@@ -473,29 +523,29 @@ def threshold_counts(
             return pd.DataFrame({"id": [], "threshold": [], "n": [], "n_scoped": []})
         li, lv = left["rep"].to_numpy(), _matrix(left)
         ri, rv = right["rep"].to_numpy(), _matrix(right)
-        names = {c: n for n, c in enumerate(sorted({c for s in pdf["scope"] for c in s}))}
-
-        def flags(scopes):
-            m = np.zeros((len(scopes), max(1, len(names))), dtype=np.float32)
-            for row, scope in enumerate(scopes):
-                m[row, [names[c] for c in scope]] = 1.0
-            return m
-
-        lf, rf = flags(left["scope"]), flags(right["scope"])
+        left_scope, right_scope, names = _scope_entries(left["scope"], right["scope"])
+        row_codes, col_codes = _copy_codes(rv, lv)
         out = []
         for part in _chunks(len(ri), len(li)):
-            sims = rv[part] @ lv.T
+            sims = _cosines(rv[part], lv, row_codes[part], col_codes)
             sims[ri[part][:, None] == li[None, :]] = -2.0
-            shared = (rf[part] @ lf.T) > 0
+            shared = np.zeros(sims.shape, dtype=bool)
+            # Some names at a time, so that memory does not follow the vocabulary.
+            for start in range(0, names, _NAMES):
+                held = slice(start, min(names, start + _NAMES))
+                ours = _flags(right_scope, part, held)
+                shared |= (ours @ _flags(left_scope, slice(0, len(li)), held).T) > 0
             for t in levels:
                 hit = sims >= t
+                n = hit.sum(axis=1)
+                some = n > 0
                 out.append(
                     pd.DataFrame(
                         {
-                            "id": ri[part],
+                            "id": ri[part][some],
                             "threshold": t,
-                            "n": hit.sum(axis=1),
-                            "n_scoped": (hit & shared).sum(axis=1),
+                            "n": n[some],
+                            "n_scoped": (hit & shared).sum(axis=1)[some],
                         }
                     )
                 )
@@ -531,22 +581,31 @@ def _star_edges(floor: float):
         else:
             rv = lv
         offset = 0 if right is None else len(left)
-        label = ids.copy()
-        # Smallest id reachable inside the unit, spread until stable.
-        links = [
-            (r + part.start, c + offset)
-            for part in _chunks(len(lv), len(rv))
-            for r, c in [np.nonzero(lv[part] @ rv.T >= floor)]
-        ]
-        while True:
-            before = label.copy()
-            for r, c in links:
-                np.minimum.at(label, r, before[c])
-                np.minimum.at(label, c, before[r])
-            if np.array_equal(before, label):
-                break
-        linked = label != ids
-        return pd.DataFrame({"u": ids[linked], "v": label[linked]})
+        n = len(ids)
+        order = np.argsort(ids, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.arange(n)
+
+        def tied(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+            """Smallest rank reachable over these links, spread until stable."""
+            low = rank.copy()
+            while True:
+                before = low.copy()
+                np.minimum.at(low, r, before[c])
+                np.minimum.at(low, c, before[r])
+                if np.array_equal(before, low):
+                    return low
+
+        # A part's links shrink to one per row before the next part is looked at.
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        for part in _chunks(len(lv), len(rv)):
+            r, c = np.nonzero(lv[part] @ rv.T >= floor)
+            low = tied(r + part.start, c + offset)
+            moved = np.flatnonzero(low != rank)
+            kept.append((moved, order[low[moved]]))
+        low = tied(*(np.concatenate(x) for x in zip(*kept))) if kept else rank
+        linked = low != rank
+        return pd.DataFrame({"u": ids[linked], "v": ids[order[low[linked]]]})
 
     return kernel
 

@@ -9,14 +9,29 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldpulse import settings
 from fieldpulse.functions.text import clip, strip_ws
 from fieldpulse.operators.merge import missing_vectors
+from fieldpulse.runtime import scratch_path
 
 Embedder = Callable[[list[str]], list[list[float]]]
 
 
+# What an HTTP-like status asks for; a status that is not listed is final.
+_WAIT, _RENEW, _STOP = "wait", "renew", "stop"
+
+
+def retry_action(status: int | None) -> str:
+    """Throttling and server faults pass by themselves, a rejected credential has to be renewed."""
+    if status is None:
+        return _STOP
+    if status == 429 or status >= 500:
+        return _WAIT
+    return _RENEW if status in (401, 403) else _STOP
+
+
 def with_retries(
     call: Embedder,
     attempts: int = settings.EMBED_ATTEMPTS,
@@ -24,29 +39,31 @@ def with_retries(
     refresh: Callable[[], None] | None = None,
     sleep: Callable[[float], None] = time.sleep,
 ) -> Embedder:
-    """Retry throttled and failing calls with capped, jittered backoff.
+    """``call`` with a budget of attempts; its exceptions may carry a ``status``.
 
-    The call reports an HTTP-like ``status`` on its exception: 429 and 5xx are retried, 401
-    and 403 refresh the credential first, anything else is final.
+    Pauses double from one second up to ``cap`` and are jittered, so that callers throttled together do
+    not come back together. Without ``refresh`` a rejected credential is final.
     """
 
-    def run(texts: list[str]) -> list[list[float]]:
-        last: Exception | None = None
-        for attempt in range(attempts):
+    def guarded(texts: list[str]) -> list[list[float]]:
+        pause, spent = 1.0, 0
+        while True:
+            spent += 1
             try:
                 return call(texts)
-            except Exception as exc:
-                status = getattr(exc, "status", None)
-                last = exc
-                if status in (401, 403) and refresh is not None:
+            except Exception as failure:
+                action = retry_action(getattr(failure, "status", None))
+                if action == _STOP or (action == _RENEW and refresh is None):
+                    raise
+                if spent == attempts:
+                    raise RuntimeError(f"gave up on a batch of {len(texts)} texts, tried {spent} times") from failure
+                if action == _RENEW:
                     refresh()
-                elif status == 429 or (status is not None and status >= 500):
-                    sleep(min(2**attempt + random.random(), cap))
                 else:
-                    raise
-        raise RuntimeError(f"embedding still failing after {attempts} attempts") from last
+                    sleep(min(cap, pause + random.random()))
+                    pause *= 2
 
-    return run
+    return guarded
 
 
 def pending_texts(
@@ -67,14 +84,15 @@ def embed(
     todo: DataFrame,
     keys: list[str],
     call: Embedder,
-    partitions: int = 1,
+    partitions: int,
     batch: int = settings.EMBED_BATCH,
-    chars: int | None = settings.EMBED_CHARS,
+    chars: int | None = None,
 ) -> DataFrame:
     """``(*keys, vector)`` for ``(*keys, text)`` rows.
 
-    ``partitions`` bounds concurrent callers, ``batch`` the texts per call. Vectors come back as
-    rows; nothing is written from inside a task.
+    ``partitions`` bounds concurrent callers, ``batch`` the texts per call. Texts are whole unless
+    ``chars`` asks for a cut, as an embedder of limited input does. Vectors come back as rows;
+    nothing is written from inside a task.
     """
     types = {f.name: f.dataType.simpleString() for f in todo.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["vector array<float>"])
@@ -92,22 +110,40 @@ def embed(
 
 
 def embed_in_slices(
-    todo: DataFrame, keys: list[str], call: Embedder, path: str, slices: int = 8, **options
+    todo: DataFrame, keys: list[str], call: Embedder, path: str, partitions: int, slices: int = 8, **options
 ) -> None:
     """Embed and append slice by slice, so an interrupted run loses at most one slice.
 
-    A rerun starts from :func:`pending_texts` against the rows already appended to ``path``.
+    The pending rows are worked out once and written by slice; each slice reads its own part. A rerun
+    starts from :func:`pending_texts` against the rows already appended to ``path``.
     """
+    spark = todo.sparkSession
+    pending = scratch_path(spark, "pending")
+    part = F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
+    todo.withColumn("_slice", part).write.partitionBy("_slice").parquet(pending)
+    schema = T.StructType([*todo.schema.fields, T.StructField("_slice", T.IntegerType())])
+    every = spark.read.schema(schema).parquet(pending)
     for n in range(slices):
-        part = todo.filter(F.pmod(F.xxhash64(*keys), F.lit(slices)) == n)
-        embed(part, keys, call, **options).write.mode("append").parquet(path)
-
-
-def embedding_report(todo: DataFrame, stored: DataFrame, keys: list[str], dim: int) -> DataFrame:
-    """One row: texts to embed, vectors written for them, and their dimension."""
-    have = stored.filter(F.col("vector").isNotNull()).select(*keys, F.lit(1).alias("_w"))
-    return todo.join(have, keys, "left").agg(
-        F.count("*").alias("to_embed"),
-        F.coalesce(F.sum("_w"), F.lit(0)).alias("embedded"),
-        F.coalesce(F.sum("_w"), F.lit(0)).alias("written"),
-    ).withColumn("dim", F.lit(dim))
+        mine = every.filter(F.col("_slice") == n).drop("_slice")
+        embed(mine, keys, call, partitions, **options).write.mode("append").parquet(path)
+
+
+def embedding_report(todo: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: texts to embed, those with a vector now, vectors written, and their dimension.
+
+    ``written`` counts the stored rows themselves and ``dim`` is the size of the stored vectors,
+    NULL if they have none or differ.
+    """
+    have = stored.filter(F.col("vector").isNotNull()).select(*keys, F.size("vector").alias("_size"))
+    none = F.lit(None).cast("int").alias("_size")
+    rows = (
+        todo.select(F.lit("asked").alias("_kind"), none)
+        .unionByName(todo.join(have, keys, "left_semi").select(F.lit("met").alias("_kind"), none))
+        .unionByName(have.select(F.lit("stored").alias("_kind"), "_size"))
+    )
+    return rows.agg(
+        F.count_if(F.col("_kind") == "asked").alias("to_embed"),
+        F.count_if(F.col("_kind") == "met").alias("embedded"),
+        F.count_if(F.col("_kind") == "stored").alias("written"),
+        F.when(F.min("_size") == F.max("_size"), F.min("_size")).alias("dim"),
+    )

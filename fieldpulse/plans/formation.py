@@ -129,7 +129,8 @@ def form_patterns(
 ) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Replacement ``(patterns, members, report)``; None for an empty pool, so that the
     caller keeps the stored patterns."""
-    units = formation_pool(reports, embeddings, vector)
+    # Written once: tested for rows, then read by every step of the formation.
+    units = as_table(formation_pool(reports, embeddings, vector), "pool")
     if units.isEmpty():
         return None
     members, sizes, report = form_members(units, floor, cap, min_members, grid, block_rows)

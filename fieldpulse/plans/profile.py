@@ -97,12 +97,15 @@ def mentions(reports: DataFrame, component: str) -> DataFrame:
 
 
 def sharing_components(pairs: DataFrame, reports: DataFrame) -> DataFrame:
-    """Neighbour pairs ``(i, j, ...)`` with ``shared``: do both name a common component?"""
-    scope = reports.select("odi_number", F.coalesce("components", F.array().cast("array<string>")).alias("c"))
+    """Neighbour pairs ``(i, j, ...)`` with ``shared``: do both name a common component?
+
+    Every pair stays; a report without components, or without a row, shares none.
+    """
+    scope = reports.select("odi_number", F.col("components").alias("c"))
     return (
-        pairs.join(scope.select(F.col("odi_number").alias("i"), F.col("c").alias("_ci")), "i")
-        .join(scope.select(F.col("odi_number").alias("j"), F.col("c").alias("_cj")), "j")
-        .select(*pairs.columns, F.arrays_overlap("_ci", "_cj").alias("shared"))
+        pairs.join(scope.select(F.col("odi_number").alias("i"), F.col("c").alias("_ci")), "i", "left")
+        .join(scope.select(F.col("odi_number").alias("j"), F.col("c").alias("_cj")), "j", "left")
+        .select(*pairs.columns, F.coalesce(F.arrays_overlap("_ci", "_cj"), F.lit(False)).alias("shared"))
     )
 
 

@@ -38,6 +38,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """``(file system, path)`` of a folder in any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = hadoop_path(spark, path)
+    return fs.exists(at)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application cut and wrote to its own folder below the shared one.
+
+    For the end of a job: tables from :func:`as_table` are read up to then.
+    """
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        fs, at = hadoop_path(spark, folder)
+        fs.delete(at, True)
+
+
 def as_table(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back.
 

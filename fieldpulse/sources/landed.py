@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.functions.text import token_variant
+from fieldpulse.functions.text import clip, names_variant
 from fieldpulse.runtime import first_true
 
 REPORT_RECORD = (
@@ -24,7 +24,6 @@ RECALL_RECORD = (
 LISTING_RECORD = "struct<modelYear:string,make:string,model:string>"
 
 LANDING = "make string, query_model string, model_year int, status int, body string"
-MESSAGE_CHARS = 120
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
@@ -32,13 +31,15 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LANDING).json(path)
 
 
-def triage(responses: DataFrame) -> DataFrame:
+def triage(responses: DataFrame, message_chars: int | None = None) -> DataFrame:
     """Adds ``failure`` (NULL when usable), ``retryable`` and ``message``.
 
-    The status decides; a body that claims success under a 4xx status is still a failure.
+    The status decides; a body that claims success under a 4xx status is still a failure, and so is
+    one without a status. Messages hold the whole body unless ``message_chars`` asks for a cut.
     """
     doc = F.try_parse_json("body")
     failure = first_true(
+        (F.col("status").isNull(), "no_status"),
         (F.col("status") >= 500, "server_error"),
         (F.col("status") >= 400, "client_error"),
         (doc.isNull(), "not_json"),
@@ -48,13 +49,17 @@ def triage(responses: DataFrame) -> DataFrame:
     return responses.select(
         "*",
         failure.alias("failure"),
-        (F.col("status") >= 500).alias("retryable"),
-    ).withColumn("message", F.when(F.col("failure").isNotNull(), F.substring(detail, 1, MESSAGE_CHARS)))
+        F.coalesce(F.col("status") >= 500, F.lit(False)).alias("retryable"),
+    ).withColumn("message", F.when(F.col("failure").isNotNull(), clip(detail, message_chars)))
 
 
 def open_envelope(responses: DataFrame, record: str, *keys: str) -> DataFrame:
-    """``(*keys, rec_ord, record)``: one row per record of the usable responses."""
-    # A body without a results array, or that is not JSON, yields NULL and so no row.
+    """``(*keys, rec_ord, record)``: one row per record of the usable responses.
+
+    Usable is what :func:`triage` finds no failure in: a status below 400, and a results array. A body
+    without one, or that is not JSON, parses to NULL and gives no row; a missing status is no status
+    below 400.
+    """
     results = F.from_json("body", f"results array<{record}>")["results"]
     usable = responses.filter(F.col("status") < 400)
     return usable.select(*keys, F.posexplode(results).alias("rec_ord", "record"))
@@ -108,7 +113,7 @@ def discover(work: DataFrame, listing: DataFrame) -> tuple[DataFrame, DataFrame]
     ).distinct()
     matched = (
         work.join(listed, ["make", "model_year"])
-        .filter(token_variant(F.col("model"), F.col("query_model")))
+        .filter(names_variant(F.col("model"), F.col("query_model")))
     )
     keys = matched.select("make", "query_model", "model_year", F.col("model").alias("configured"))
     found = keys.select("make", F.col("configured").alias("model"), "model_year").distinct()

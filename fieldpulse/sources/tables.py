@@ -3,26 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from fieldpulse.runtime import hadoop_path
 from fieldpulse.schema import TABLES, conform
 
 
-def save_snapshot(df: DataFrame, root: str, name: str, version: int) -> str:
-    """Write one version of a table from the executors; an existing version is never replaced."""
+def _versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Published versions, from the names of their markers; no table file is opened."""
+    fs, at = hadoop_path(spark, f"{root}/{name}/_published")
+    if not fs.exists(at):
+        return []
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(at))
+
+
+def save_snapshot(df: DataFrame, root: str, name: str, version: int, keep: int | None = None) -> str:
+    """Write one version of a table from the executors, then publish it by an empty marker file.
+
+    Readers see a version only with its marker, which is made in one step after all files are
+    there; what a failed run left without a marker is replaced. A published version is never
+    replaced. ``keep`` drops all but that many newest versions, markers first.
+    """
+    spark = df.sparkSession
     path = f"{root}/{name}/version={version}"
-    conform(df, name).write.mode("errorifexists").parquet(path)
+    if version in _versions(spark, root, name):
+        raise ValueError(f"version {version} of {name} is published already")
+    conform(df, name).write.mode("overwrite").parquet(path)
+    fs, marker = hadoop_path(spark, f"{root}/{name}/_published/{version}")
+    fs.create(marker, False).close()
+    for old in _versions(spark, root, name)[: -keep] if keep else ():
+        fs.delete(hadoop_path(spark, f"{root}/{name}/_published/{old}")[1], False)
+        fs.delete(hadoop_path(spark, f"{root}/{name}/version={old}")[1], True)
     return path
 
 
 def load_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
-    """One version of a table, the newest by default."""
-    schema = TABLES[name].schema.add("version", T.IntegerType())
-    every = spark.read.schema(schema).parquet(f"{root}/{name}")
-    if version is None:
-        version = every.agg(F.max("version")).first()[0]
-    return every.filter(F.col("version") == version).drop("version")
+    """One published version of a table, the newest by default."""
+    there = _versions(spark, root, name)
+    chosen = max(there, default=None) if version is None else version
+    if chosen not in there:
+        raise ValueError(f"{name} has no published version" + (f" {version}" if version is not None else ""))
+    return spark.read.schema(TABLES[name].schema).parquet(f"{root}/{name}/version={chosen}")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], partitions: int, **options: str) -> DataFrame:

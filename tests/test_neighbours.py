@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldpulse.operators.cluster import (
     assign_new,
@@ -172,3 +173,18 @@ def test_dense_ids(spark):
     df = spark.range(0, 1000, 7).selectExpr("id * 5 AS k").repartition(5)
     got = [tuple(r) for r in dense_ids(df, "k", "n").orderBy("k").select("k", "n").collect()]
     assert got == [(k * 5, n) for n, k in enumerate(range(0, 1000, 7), 1)]
+
+
+def test_identical_vectors_are_alike_to_every_operator(spark):
+    rng = np.random.default_rng(9)
+    kinds = [list(map(float, rng.normal(size=7))) for _ in range(12)]
+    rows = [(n, kinds[n % 12 if n % 3 else 0]) for n in range(60)]
+    units = pool(spark.createDataFrame(rows, "k bigint, e array<double>"), "k", "e")
+    same = {(i, j) for i, a in rows for j, b in rows if i != j and a == b}
+    for grid in (Grid(), Grid(block_rows=5, rows_per_cell=6, always_cells=True)):
+        for found in (neighbours(units, 1.0, 60, grid), search(units, units, 1.0, 60, grid)):
+            got = found.collect()
+            assert {(r["i"], r["j"]) for r in got} == same and {r["sim"] for r in got} == {1.0}
+        scoped = units.withColumn("scope", F.array(F.lit("x")))
+        counts = {r["id"]: (r["n"], r["n_scoped"]) for r in threshold_counts(scoped, scoped, (1.0,), grid).collect()}
+        assert counts == {i: (sum(a == i for a, _ in same),) * 2 for i, _ in rows}

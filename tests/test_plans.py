@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from fieldpulse.plans.embedding import (
     with_retries,
 )
 from fieldpulse.plans.formation import form_patterns, provisional_names
-from fieldpulse.plans.novelty import assess, assessment_report, search_result, shortlist, verdict_precision
+from fieldpulse.plans.novelty import ask_in_slices, assess, assessment_report, search_result, shortlist, verdict_precision
 from fieldpulse.plans.scoring import score_patterns, scoring_report
 from fieldpulse.schema import TABLES
 
@@ -74,7 +75,7 @@ def test_inbox(inbox_data):
     assert (empty["vehicle"], empty["category"]) == ("T B", None)
     assert rows[3]["category"] == "UNCATEGORISED"
     assert [r["id"] for r in views.inbox(*inbox_data, limit=2).collect()] == [1, 7]
-    every = views.inbox(*inbox_data, where=views.view_filter(True, True), limit=None)
+    every = views.inbox(*inbox_data, where=views.in_view(True, True), limit=None)
     assert every.count() == 7
     assert views.view_counts(inbox_data[0]).first()["total"] == 4
     assert views.pattern_detail(*inbox_data, pattern_id=6).first()["state"] == "hidden"
@@ -168,13 +169,17 @@ def test_assess(spark, world, answer, want):
         return ["Well. " + json.dumps(answer) + " End" for _ in prompts]
 
     out = assess(patterns, members_of(spark), reports, embeddings, recalls.drop("embedding"), recalls, judge, now(),
-                 only_missing=False, source="tool",
+                 source="tool", error_chars=160,
                  pattern_ids=spark.createDataFrame([(1,), (2,), (77,)], "id bigint"))
     rows = {r["id"]: r for r in out.results.collect()}
     assert (rows[1]["status"], rows[1]["verdict"], rows[1]["recall_ref"], rows[1]["changed"]) == want
     assert (rows[2]["verdict"], rows[2]["candidates_considered"], rows[2]["changed"]) == ("novel", 0, False)
     assert rows[77]["message"] == "no pattern with id 77"
     assert all(len(r["message"] or "") <= 160 for r in rows.values())
+    if answer is None:
+        whole = assess(patterns, members_of(spark), reports, embeddings, recalls.drop("embedding"), recalls, judge, now(),
+                       pattern_ids=spark.createDataFrame([(1,)], "id bigint"))
+        assert whole.results.first()["message"] == "endpoint down " + "x" * 300
     stored = {r["id"]: r["novelty_verdict"] for r in out.patterns.collect()}
     assert stored == {1: want[1] or "partially_covered", 2: "novel"}
     assert out.history.count() == (1 if want[0] == "ok" else 0)
@@ -182,6 +187,27 @@ def test_assess(spark, world, answer, want):
     assert (report["no_candidates"], report["failed"]) == (1, 1 if want[0] == "ok" else 2)
 
 
+def test_answers_are_kept_as_they_are_earned(spark, tmp_path):
+    asked = spark.createDataFrame([(n, f"prompt {n}") for n in range(40)], "id bigint, prompt string")
+    path, log = str(tmp_path / "answers"), str(tmp_path / "log")
+
+    def judge(prompts):
+        if any(p == "prompt 7" for p in prompts) and not os.path.exists(log + ".up"):
+            raise RuntimeError("down")
+        with open(log, "a") as f:
+            f.writelines(p + "\n" for p in prompts)
+        return [f"answer to {p}" for p in prompts]
+
+    first = {r["id"]: r for r in ask_in_slices(asked, judge, path, 4).collect()}
+    assert first[7]["error"] == "down" and first[8]["response"] == "answer to prompt 8" and len(first) == 40
+    open(log + ".up", "w").close()
+    again = {r["id"]: r["response"] for r in ask_in_slices(asked, judge, path, 4).collect()}
+    assert again == {n: f"answer to prompt {n}" for n in range(40)}
+    assert sorted(open(log).read().split("\n"))[1:] == sorted(f"prompt {n}" for n in range(40))
+    changed = asked.withColumn("prompt", F.concat("prompt", F.lit("!")))
+    assert {r["response"] for r in ask_in_slices(changed.filter("id = 3"), judge, path, 2).collect()} == {"answer to prompt 3!"}
+
+
 def test_only_missing_and_limit(spark, world):
     reports, embeddings, recalls = world
     patterns = spark.createDataFrame(
@@ -219,15 +245,18 @@ def test_embedding_resumes(spark, tmp_path):
     assert {k: v[0] for k, v in got.items()} == {n: float(min(n, 15)) for n in range(1, 21)}
     assert max(v[1] for v in got.values()) <= 8
     path = str(tmp_path / "vectors")
-    embed_in_slices(todo.filter(F.col("odi_number") < 11), ["odi_number"], call, path, slices=3)
+    embed_in_slices(todo.filter(F.col("odi_number") < 11), ["odi_number"], call, path, partitions=2, slices=3)
     stored = spark.read.parquet(path)
     rest = pending_texts(rows, stored, ["odi_number"], F.col("text"), "vector")
     assert rest.count() == 10
-    embed_in_slices(rest, ["odi_number"], call, path, slices=2)
+    embed_in_slices(rest, ["odi_number"], call, path, partitions=2, slices=2)
     stored = spark.read.parquet(path)
     assert pending_texts(rows, stored, ["odi_number"], F.col("text"), "vector").isEmpty()
-    report = embedding_report(todo, stored, ["odi_number"], 2).first()
-    assert (report["to_embed"], report["embedded"], report["dim"]) == (20, 20, 2)
+    report = embedding_report(todo, stored, ["odi_number"]).first()
+    assert (report["to_embed"], report["embedded"], report["written"], report["dim"]) == (20, 20, 20, 2)
+    odd = stored.limit(3).withColumn("vector", F.array(F.lit(1.0).cast("float")))
+    report = embedding_report(todo, stored.unionByName(odd), ["odi_number"]).first()
+    assert (report["embedded"], report["written"], report["dim"]) == (20, 23, None)
 
 
 class Status(Exception):

@@ -56,10 +56,11 @@ def test_top_rows_are_limited_before_the_shuffle(spark):
     assert "ReadSchema: struct<odi_number:bigint,summary:string,summary_stripped:string>" in text
 
 
-def test_last_wins_combines_before_the_shuffle(spark):
+def test_last_wins_is_limited_before_the_shuffle_and_aggregates_no_rows(spark):
     _, members = tables(spark)
     text = plan(last_wins(members, ["pattern_id"], ["similarity", "odi_number"]))
-    assert "partial_max_by" in text and "Window" not in text
+    assert "SortAggregate" not in text
+    assert text.index("Final") < text.index("Exchange hashpartitioning(pattern_id") < text.index("Partial")
 
 
 def test_merge_and_vehicles_use_equi_joins(spark):

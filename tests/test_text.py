@@ -91,7 +91,7 @@ def test_every_rule_is_stated_once():
 def test_variant(spark):
     rows = [("Z-9", n) for n in ("Z-9", "z 9", "Z  9 SUPER", "Z9", "Z-90", None)]
     df = spark.createDataFrame(rows, "a string, b string")
-    got = [r[0] for r in df.select(X.token_variant(F.col("a"), F.col("b"))).collect()]
+    got = [r[0] for r in df.select(X.names_variant(F.col("a"), F.col("b"))).collect()]
     assert got == [True, True, True, False, False, None]
 
 

@@ -79,6 +79,22 @@ def test_verdict_audit(spark):
     assert rows[2]["updated_at"] is not None and rows[5]["updated_at"] is None
     assert (rows[4]["novelty_recall_ref"], rows[5]["novelty_recall_ref"]) == ("R2", "R1")
     assert [r["id"] for r in unknown.collect()] == [99]
+    stored_history = conform(spark.createDataFrame([(7, 3)], "id bigint, pattern_id bigint"), "novelty_history")
+    grown = merge.append_history(stored_history, history)
+    assert sorted((r["id"], r["pattern_id"]) for r in grown.collect()) == [(7, 3), (8, 3), (9, 4)]
+    assert conform(grown, "novelty_history").count() == 3
+    assert [r["id"] for r in merge.append_history(stored_history.limit(0), history).orderBy("id").collect()] == [1, 2]
+
+
+def test_a_key_that_is_delivered_twice_fails_the_update(spark):
+    stored = spark.createDataFrame([(1, "a")], "id bigint, x string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d")], "id bigint, x string")
+    with pytest.raises(Exception, match="more than one row for the key 1"):
+        merge.upsert(stored, twice, ["id"]).collect()
+    assert merge.upsert(stored, twice.filter("x <> 'c'"), ["id"]).count() == 2
+    patterns = stored.selectExpr("id", "x as novelty_verdict", "x as novelty_recall_ref").withColumn("updated_at", now())
+    with pytest.raises(Exception, match="more than one row"):
+        merge.write_verdicts(patterns, twice.selectExpr("id", "x as verdict", "x as recall_ref"), "batch", now())[0].collect()
 
 
 def test_last_state_wins(spark):
@@ -118,6 +134,25 @@ def test_schema_registry(spark, tmp_path):
     assert load_snapshot(spark, str(tmp_path), "patterns", 1).first()["name"] == "p"
 
 
+def test_a_version_without_its_marker_is_not_read_and_can_be_written_again(spark, tmp_path):
+    root = str(tmp_path)
+    rows = lambda name: spark.createDataFrame([(1, name)], "id int, name string")
+    with pytest.raises(ValueError):
+        load_snapshot(spark, root, "patterns")
+    save_snapshot(rows("one"), root, "patterns", 1)
+    conform(rows("half"), "patterns").write.parquet(f"{root}/patterns/version=2")
+    assert load_snapshot(spark, root, "patterns").first()["name"] == "one"
+    save_snapshot(rows("two"), root, "patterns", 2)
+    assert [r["name"] for r in load_snapshot(spark, root, "patterns").collect()] == ["two"]
+    with pytest.raises(ValueError):
+        save_snapshot(rows("again"), root, "patterns", 2)
+    save_snapshot(rows("three"), root, "patterns", 3, keep=2)
+    with pytest.raises(ValueError):
+        load_snapshot(spark, root, "patterns", 1)
+    assert not (tmp_path / "patterns" / "version=1").exists()
+    assert load_snapshot(spark, root, "patterns", 2).first()["name"] == "two"
+
+
 def test_integrity(spark):
     members = spark.createDataFrame([(1, 10, 1.0), (1, 10, 1.0), (2, 10, 0.9), (3, 11, None)], TABLES["pattern_members"].columns)
     frames = {
