@@ -17,7 +17,7 @@ from fieldpulse.operators.normalise import (
     reject_counts,
 )
 from fieldpulse.plans.profile import ingest_report, mentions
-from fieldpulse.runtime import scratch_path, spread
+from fieldpulse.runtime import as_table, scratch_path, spread
 from fieldpulse.sources import flat, landed
 
 # --- delimited feed -------------------------------------------------------------------
@@ -231,6 +231,32 @@ def landing_triage(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "landing_messages",
+    f"""with {LANDED_SQL},
+marked as (
+  select o_orderkey, nation, case when nation = 5 then 'no_status' else failure end as failure,
+         case nation when 0 then ' status 500' when 1 then ' status 404' when 5 then ' status' else ' status 200' end as said,
+         case nation when 2 then ' <html>busy</html>' when 3 then ' {{"count":0,"message":"none"}}' end as body
+  from landed)
+select o_orderkey, coalesce(failure, 'ok') as outcome, failure = 'server_error' as retryable,
+       case when nation in (2, 3) then failure || said || body end as message, failure in ('no_status', 'ok') as has_body
+from (select * replace (coalesce(failure, 'ok') as failure) from marked)""",
+)
+def landing_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Triage with responses that were landed without a status; short messages are shown whole."""
+    rows = responses(spark, sf).withColumn(
+        "status", F.when(F.col("query_model") != "NATION 5", F.col("status"))
+    )
+    triaged = landed.triage(rows)
+    plain = F.col("failure").isin("not_json", "no_results")
+    return triaged.select(
+        F.col("key_ord").alias("o_orderkey"), F.coalesce("failure", F.lit("ok")).alias("outcome"), "retryable",
+        F.when(plain, F.col("message")).alias("message"),
+        (F.col("failure").isNull() | (F.col("failure") == "no_status")).alias("has_body"),
+    )
+
+
 @query(
     "normalise_reports",
     f"""with {LANDED_SQL}
@@ -272,13 +298,16 @@ union all select 'dropped', reject_reason, count(*) from records where reject_re
 union all select 'model_seen', make || ' NATION ' || nation, count(*) from good group by 2""",
 )
 def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _normalised(spark, sf)
+    # Every body is triaged and parsed once, and every record normalised once.
+    opened = as_table(landed.opened(responses(spark, sf), landed.REPORT_RECORD, "make", "query_model", "key_ord"), "opened")
+    records = opened.select("make", "query_model", "key_ord", F.posexplode("records").alias("rec_ord", "record"))
+    rows = as_table(normalise_reports(records), "normalised")
     unique = last_wins(accepted(rows), ["odi_number"], ["key_ord", "rec_ord"])
     stored = b.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "F").select(
         F.col("o_orderkey").alias("odi_number")
     )
     return ingest_report(
-        rows, arrivals(stored, unique, ["odi_number"]), landed.triage(responses(spark, sf))
+        rows, arrivals(stored, unique, ["odi_number"]), opened
     )
 
 
@@ -367,7 +396,7 @@ union all select 'model_seen', make || ' ' || model, count(*) from good group by
 )
 def recall_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Recalls named after the searched make are stored already."""
-    rows = normalise_recalls(recall_records(spark, sf))
+    rows = as_table(normalise_recalls(recall_records(spark, sf)), "normalised")
     unique = last_wins(accepted(rows), RECALL_KEY, ["p_partkey"])
     stored = unique.filter(F.col("make") == "SEARCHED").select(*RECALL_KEY)
     landed_parts = b.table(spark, sf, "part").select(F.lit(None).cast("string").alias("failure"))

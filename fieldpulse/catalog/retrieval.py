@@ -13,6 +13,7 @@ from fieldpulse.functions.vectors import centroids, parse_vector
 from fieldpulse.operators.cluster import assign_new, connected_components, grow, keep_large
 from fieldpulse.operators.merge import last_wins
 from fieldpulse.operators.neighbours import neighbours, pool, search, threshold_counts
+from fieldpulse.plans import formation
 from fieldpulse.plans.formation import form_members, formation_pool, member_facts, pattern_name
 from fieldpulse.plans.inbox import ranking, sample_narratives
 from fieldpulse.plans.novelty import (
@@ -26,7 +27,8 @@ from fieldpulse.plans.novelty import (
 )
 from fieldpulse.plans.profile import sharing_components, top_k_sweep
 from fieldpulse.plans.scoring import score_patterns
-from fieldpulse.runtime import as_table, cut
+from fieldpulse.runtime import as_table, cut, scratch_path
+from fieldpulse.sources.tables import load_snapshot, save_snapshot
 
 FLOOR, CAP, MIN = 0.30, 25, 5
 
@@ -199,6 +201,31 @@ def patterns_ranked(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "rebuild_patterns",
+    f"""with recursive {b.SQL_REPORTS}, {_GROW}, {_NAMES}
+select pattern_id::bigint as id, name, count(*) as member_count, 'new' as state, count(*) as members,
+       round(sum(similarity), 2) as similarity
+from formed join named using (pattern_id) group by all""",
+)
+def rebuild_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """A formation from scratch published as the second version, read back from there."""
+    root = scratch_path(spark, "formation")
+    reports = b.reports(spark, sf).withColumn("is_failure_report", F.lit(True))
+    now = F.lit("2000-02-01 00:00:00").cast("timestamp")
+    patterns, members, _ = formation.form_patterns(reports, _vectors(spark, sf), now, FLOOR, CAP, MIN)
+    stale = patterns.withColumns({"id": F.col("id") + 1, "name": F.lit("stale")})
+    for version, rows in ((1, stale), (2, patterns)):
+        save_snapshot(rows, root, "patterns", version)
+    save_snapshot(members, root, "pattern_members", 1)
+    listed = load_snapshot(spark, root, "pattern_members").groupBy(F.col("pattern_id").alias("id")).agg(
+        F.count("*").alias("members"), F.round(F.sum("similarity"), 2).alias("similarity")
+    )
+    return load_snapshot(spark, root, "patterns").join(listed, "id").select(
+        "id", "name", F.col("member_count").cast("bigint").alias("member_count"), "state", "members", "similarity"
+    )
+
+
 _LINK = 0.35
 
 
@@ -531,8 +558,7 @@ def _assess(spark: SparkSession, sf: str):
     return assess(
         _label_patterns(spark, sf), _label_members(spark, sf), b.reports(spark, sf, components=False),
         _vectors(spark, sf), notices.drop("embedding"), notices, nearest_notice_judge,
-        F.lit("2000-02-01 00:00:00").cast("timestamp"), only_missing=False, sample_chars=None,
-        summary_chars=None, consequence_chars=None,
+        F.lit("2000-02-01 00:00:00").cast("timestamp"), only_missing=False,
     )
 
 
@@ -589,6 +615,40 @@ def assess_patterns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_DOWN = "PATTERN: group 3\n"
+
+
+def judge_down_for_one(prompts: list[str]) -> list[str]:
+    """As :func:`nearest_notice_judge`, but out of order for one pattern."""
+    if any(_DOWN in p for p in prompts):
+        raise RuntimeError("judge is down for this one")
+    return nearest_notice_judge(prompts)
+
+
+@query(
+    "check_novelty",
+    _JUDGED + """
+select a.id, case when r.id is null or r.id = 3 then 'error' else 'ok' end as status, r.name,
+       case when r.id <> 3 then verdict end as verdict, case when r.id <> 3 then recall_ref end as recall_ref,
+       case when r.id <> 3 then 'nearest' end as reason, candidates_considered::bigint as candidates_considered,
+       case when r.id is null then 'no pattern with id ' || a.id when r.id = 3 then 'judge is down for this one' end as message,
+       case when r.id <> 3 then true end as ref_in_candidates, previous_verdict,
+       case when r.id < 5 then 'C1' end as previous_recall_ref, case when r.id <> 3 then changed end as changed
+from (select s_suppkey as id from supplier) a left join results r on r.id = a.id""",
+)
+def check_novelty(spark: SparkSession, sf: str) -> DataFrame:
+    """Every supplier key asked by name: assessed and unassessed patterns, one that fails, and unknown ids."""
+    asked = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    notices = _notices(spark, sf)
+    outcome = assess(
+        _label_patterns(spark, sf), _label_members(spark, sf), b.reports(spark, sf, components=False),
+        _vectors(spark, sf), notices.drop("embedding"), notices, judge_down_for_one,
+        F.lit("2000-02-01 00:00:00").cast("timestamp"), pattern_ids=asked, source="tool",
+        answers_path=scratch_path(spark, "answers"), slices=2,
+    )
+    return outcome.results.withColumn("candidates_considered", F.col("candidates_considered").cast("bigint"))
+
+
 @query(
     "assessment_report",
     _JUDGED + """ select count(*) as patterns, count(*) filter (where candidates_considered = 0) as no_candidates,

@@ -10,7 +10,9 @@ from fieldpulse.catalog.registry import query
 from fieldpulse.functions.labels import rate_ratio, severity
 from fieldpulse.operators import merge
 from fieldpulse.plans.profile import feed_agreement
-from fieldpulse.schema import Table, cascade, conform, violations
+from fieldpulse.runtime import scratch_path
+from fieldpulse.schema import TABLES, Table, cascade, conform, violations
+from fieldpulse.sources.tables import load_snapshot, save_snapshot
 from fieldpulse.streaming.incremental import snapshot_changes
 
 NOW = "2000-02-01 00:00:00"
@@ -254,6 +256,37 @@ def verdict_history(spark: SparkSession, sf: str) -> DataFrame:
     return _written(spark, sf)[1].drop("changed_at")
 
 
+@query(
+    "history_appended",
+    f"""with {_ANSWERS},
+first as (
+  select row_number() over (order by id) as hid, id as pattern_id, novelty_verdict as old_verdict,
+         novelty_recall_ref as old_recall_ref, verdict as new_verdict, recall_ref as new_recall_ref, 'batch' as source
+  from stored join answers using (id)
+  where novelty_verdict is not null
+    and (novelty_verdict <> verdict or novelty_recall_ref is distinct from recall_ref)),
+renewed as (
+  select id, case when verdict is null then novelty_verdict else verdict end as v,
+         case when verdict is null then novelty_recall_ref else recall_ref end as r
+  from stored left join answers using (id))
+select hid as id, * exclude (hid) from first
+union all
+select (select count(*) from first) + row_number() over (order by id), id, v, r, 'novel', null, 'recheck'
+from renewed where v is not null and (v <> 'novel' or r is not null)""",
+)
+def history_appended(spark: SparkSession, sf: str) -> DataFrame:
+    """Two audited writes, the second onto what the first left; the history is stored and read between them."""
+    root = scratch_path(spark, "audit")
+    none_yet = spark.createDataFrame([], TABLES["novelty_history"].schema)
+    renewed, first, _ = _written(spark, sf)
+    save_snapshot(merge.append_history(none_yet, first), root, "novelty_history", 1)
+    recheck = renewed.select("id", F.lit("novel").alias("verdict"), F.lit(None).cast("string").alias("recall_ref"))
+    _, second, _ = merge.write_verdicts(renewed, recheck, "recheck", _now())
+    stored = load_snapshot(spark, root, "novelty_history")
+    save_snapshot(merge.append_history(stored, second), root, "novelty_history", 2)
+    return load_snapshot(spark, root, "novelty_history").drop("changed_at")
+
+
 @query("verdict_unknown", "select p_partkey as id from part anti join customer on c_custkey = p_partkey")
 def verdict_unknown(spark: SparkSession, sf: str) -> DataFrame:
     return _written(spark, sf)[2]

@@ -53,6 +53,12 @@ def triage(responses: DataFrame, message_chars: int | None = None) -> DataFrame:
     ).withColumn("message", F.when(F.col("failure").isNotNull(), clip(detail, message_chars)))
 
 
+def opened(responses: DataFrame, record: str, *keys: str) -> DataFrame:
+    """``(*keys, failure, records)``: every response triaged and, if usable, parsed, in one pass."""
+    found = F.from_json("body", f"results array<{record}>")["results"]
+    return triage(responses).select(*keys, "failure", F.when(F.col("failure").isNull(), found).alias("records"))
+
+
 def open_envelope(responses: DataFrame, record: str, *keys: str) -> DataFrame:
     """``(*keys, rec_ord, record)``: one row per record of the usable responses.
 

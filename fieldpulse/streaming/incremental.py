@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fieldpulse.operators.merge import last_wins
 from fieldpulse.operators.normalise import normalise_reports
+from fieldpulse.runtime import hadoop_path, path_exists
 from fieldpulse.sources.landed import LANDING, REPORT_RECORD, open_envelope
 
 
@@ -76,9 +77,17 @@ def merge_sink(
 
 
 def newest_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table as the last finished micro-batch left it; older versions are not read."""
-    every = spark.read.schema(T.StructType([*schema.fields, T.StructField("version", T.IntegerType())])).parquet(path)
-    return every.filter(F.col("version") == every.agg(F.max("version")).scalar()).drop("version")
+    """The table as the last finished micro-batch left it.
+
+    The version is found among the folder names, by the marker of a finished write; no older file is opened.
+    """
+    fs, at = hadoop_path(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    done = [
+        int(n.partition("=")[2]) for n in names
+        if n.startswith("version=") and path_exists(spark, f"{path}/{n}/_SUCCESS")
+    ]
+    return spark.read.schema(schema).parquet(f"{path}/version={max(done)}")
 
 
 def report_stream(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
