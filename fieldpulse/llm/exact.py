@@ -60,11 +60,13 @@ def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = list(by_full)
     # Small rows of ids and hashes; written once because the groups and their members both need them.
     members = as_table(hashed.groupBy("_id", *keys).agg(F.count("*").alias("n_rows")), "exact-members")
-    groups = (
+    # Written, so that the join below deals out the members anew and a group with very many of them
+    # is split by the skew join instead of following the aggregation's partitions.
+    groups = as_table(
         members.groupBy(*keys).agg(F.max("_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-        .filter("group_size > 1")
+        .filter("group_size > 1"),
+        "exact-groups",
     )
-    # One row per group on the right; a group with very many members is split by the skew join.
     return members.join(groups, keys).select(
         F.col("_id").alias(id_col), F.col("_full").alias("text_sha256"), "keep_id", "group_size", "n_rows"
     )
