@@ -33,6 +33,18 @@ from fieldpulse.sources.tables import load_snapshot, save_snapshot
 FLOOR, CAP, MIN = 0.30, 25, 5
 
 
+# A sum weighted by position shows a change of any component.
+_WEIGHTED_SQL = (
+    "round(list_sum(list_transform(embedding::double[], lambda x, i: x * i))"
+    " / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 3)"
+)
+
+
+def _weighted(name: str):
+    products = F.transform(name, lambda x, i: x * (i + 1))
+    return F.round(F.aggregate(products, F.lit(0.0), lambda total, x: total + x), 3).alias("weighted")
+
+
 def units(spark: SparkSession, sf: str) -> DataFrame:
     return pool(b.table(spark, sf, "embeddings"), "vec_id", "embedding")
 
@@ -244,8 +256,9 @@ def linkage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "formation_pool",
-    """select vec_id as id,
-       round(embedding[1] / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) as first_component
+    f"""select vec_id as id,
+       round(embedding[1] / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 6) as first_component,
+       {_WEIGHTED_SQL} as weighted
 from embeddings join labels on doc_id = vec_id where toxic = 0""",
 )
 def pool_of_failure_reports(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,7 +270,7 @@ def pool_of_failure_reports(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("odi_number"), (F.col("toxic") == 0).alias("is_failure_report")
     )
     return formation_pool(flags, vectors).select(
-        "id", F.round(F.col("vec")[0], 6).alias("first_component")
+        "id", F.round(F.col("vec")[0], 6).alias("first_component"), _weighted("vec")
     )
 
 
@@ -591,14 +604,17 @@ def judge_prompts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "vector_text",
-    """select vec_id as id, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as first_component
+    """select vec_id as id, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as first_component,
+       """ + _WEIGHTED_SQL + """ as weighted
 from embeddings""",
 )
 def vector_text(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors printed as text, parsed back and normalised."""
     text = F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("]"))
     rows = b.table(spark, sf, "embeddings").select("vec_id", parse_vector(text).alias("v"))
-    return pool(rows, "vec_id", "v").select("id", F.round(F.col("vec")[0], 5).alias("first_component"))
+    return pool(rows, "vec_id", "v").select(
+        "id", F.round(F.col("vec")[0], 5).alias("first_component"), _weighted("vec")
+    )
 
 
 @query(

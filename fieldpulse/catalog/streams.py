@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,13 +67,23 @@ def _zoneless(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
-@query("stream_filed_once", "select distinct user_id from events")
+@query(
+    "stream_filed_once",
+    """select user_id, true as kept_is_a_sighting, count(*) as sightings from events group by 1""",
+)
 def stream_filed_once(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's first event within a watermark longer than the feed."""
     out, progress = scratch_path(spark, "once"), scratch_path(spark, "progress")
     rows = filed_once(_events(spark, sf), "user_id", "ts", "60 days")
     run_available(rows, epoch_sink(out), progress)
-    return spark.read.parquet(out).select("user_id")
+    kept = spark.read.parquet(out)
+    # Which of a micro-batch's sightings comes first is the stream's choice; it is one whole row of the feed.
+    feed = b.table(spark, sf, "events")
+    own = [F.col(f"k.{c}").eqNullSafe(F.col(c)) for c in feed.columns]
+    both = feed.join(kept.select("user_id", F.struct(*feed.columns).alias("k")), "user_id")
+    return both.groupBy("user_id").agg(
+        F.bool_or(reduce(Column.__and__, own)).alias("kept_is_a_sighting"), F.count("*").alias("sightings")
+    )
 
 
 @query(

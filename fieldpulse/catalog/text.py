@@ -165,16 +165,19 @@ def component_profile(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_LETTERS = "aeiourstln"
+
+
 def letter_counts(texts: list[str]) -> list[list[float]]:
     """Deterministic stand-in for an embedding endpoint: letter counts of the whole text."""
-    return [[float(t.lower().count(c)) for c in "aeiourstln"] for t in texts]
+    return [[float(t.lower().count(c)) for c in _LETTERS] for t in texts]
 
 
 @query(
     "embed_missing",
     "select doc_id, "
     + ", ".join(
-        f"(length(lower(text)) - length(replace(lower(text), '{c}', '')))::double as {c}_count" for c in "aet"
+        f"(length(lower(text)) - length(replace(lower(text), '{c}', '')))::double as {c}_count" for c in _LETTERS
     )
     + " from documents anti join labels using (doc_id) where text is not null",
 )
@@ -184,9 +187,8 @@ def embed_missing(spark: SparkSession, sf: str) -> DataFrame:
     stored = b.table(spark, sf, "labels").select("doc_id", F.array(F.lit(0.0)).alias("embedding"))
     todo = pending_texts(docs, stored, ["doc_id"], F.col("text"), "embedding")
     rows = embed(todo, ["doc_id"], letter_counts, spark.sparkContext.defaultParallelism)
-    at = {c: i for i, c in enumerate("aeiourstln")}
     return rows.select(
-        "doc_id", *[F.col("vector")[at[c]].cast("double").alias(f"{c}_count") for c in "aet"]
+        "doc_id", *[F.col("vector")[n].cast("double").alias(f"{c}_count") for n, c in enumerate(_LETTERS)]
     )
 
 
@@ -244,9 +246,6 @@ def embed_recalls(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_LETTERS = "aeiourstln"
-
-
 @query(
     "embed_long_texts",
     "select p_partkey, " + ", ".join(
