@@ -26,7 +26,7 @@ from fieldpulse.operators.neighbours import (
 )
 from fieldpulse.runtime import cut, dense_ids
 
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 10_000
 
 
 def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -54,7 +54,9 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
             known[i] = winner
             out.append((i, winner, support[winner][1]))
         start = end
-    return pd.DataFrame(out, columns=["i", "cluster", "join_sim"])
+    decided = pd.DataFrame(out, columns=["i", "cluster", "join_sim"])
+    decided.insert(0, "block", pdf["block"].iloc[0])
+    return decided
 
 
 def resolve_in_order(
@@ -67,13 +69,11 @@ def resolve_in_order(
     without votes founds a cluster. Ids must not be negative.
 
     The lowest unresolved id range always completes, so the number of rounds is at most
-    the number of ranges and at most the depth of the graph.
+    the number of ranges and at most the depth of the graph. A range runs again only when another
+    range has decided a row that it waits for.
     """
     blocks = max(1, -(-node_count // block_rows))
-    if blocks == 1:
-        votes = votes.withColumn("block", F.lit(0))
-    else:
-        votes = votes.repartitionByRange(blocks, "i").withColumn("block", F.spark_partition_id())
+    votes = votes.repartitionByRange(blocks, "i").withColumn("block", F.spark_partition_id())
     votes = cut(votes.select("block", "i", "j", "sim", "rk", "cluster"))
     listeners = votes.select("i").distinct()
     founders = nodes.select("i").join(listeners, "i", "left_anti").select(
@@ -86,25 +86,29 @@ def resolve_in_order(
         "block", "i", "j", "sim", "rk",
         F.coalesce("cluster", F.when(F.col("_waits"), F.lit(-1)).otherwise(F.col("j")))
         .cast("bigint").alias("cluster"),
+        F.lit(True).alias("_news"),
     )
     left = listeners.count()
     resolved = [founders]
     while left:
+        called = pending.filter("_news").select("block").distinct()
         done = cut(
-            pending.repartition(blocks, "block")
+            pending.drop("_news").join(called, "block", "left_semi")
+            .repartition(blocks, "block")
             .groupBy("block")
-            .applyInPandas(_decide, "i bigint, cluster bigint, join_sim double")
+            .applyInPandas(_decide, "block int, i bigint, cluster bigint, join_sim double")
         )
         newly = done.count()
         if newly == 0:
             raise RuntimeError(f"{left} rows cannot be resolved: the votes are not acyclic")
-        resolved.append(done)
+        resolved.append(done.drop("block"))
         left -= newly
         if len(resolved) > 50:
             # Many rounds: fold their results so that the plan stays short.
             resolved = [cut(reduce(DataFrame.unionByName, resolved))]
         if left:
-            answers = done.select(F.col("i").alias("j"), F.col("cluster").alias("_known"))
+            answers = done.select(F.col("i").alias("j"), F.col("cluster").alias("_known"), F.col("block").alias("_from"))
+            told = (F.col("cluster") < 0) & F.col("_known").isNotNull() & (F.col("_from") != F.col("block"))
             pending = cut(
                 pending.join(done.select("i"), "i", "left_anti")
                 .join(answers, "j", "left")
@@ -112,6 +116,7 @@ def resolve_in_order(
                     "block", "i", "j", "sim", "rk",
                     F.when(F.col("cluster") < 0, F.coalesce("_known", "cluster"))
                     .otherwise(F.col("cluster")).alias("cluster"),
+                    F.coalesce(told, F.lit(False)).alias("_news"),
                 )
             )
     return reduce(DataFrame.unionByName, resolved)
