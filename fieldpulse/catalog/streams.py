@@ -16,6 +16,7 @@ from fieldpulse.operators.normalise import accepted
 from fieldpulse.runtime import scratch_path
 from fieldpulse.schema import TABLES
 from fieldpulse.streaming.incremental import (
+    counting_sink,
     counts_over_time,
     epoch_sink,
     filed_once,
@@ -24,6 +25,7 @@ from fieldpulse.streaming.incremental import (
     latest_epoch,
     merge_sink,
     newest_version,
+    release,
     report_stream,
     run_available,
 )
@@ -129,6 +131,40 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "stream_rejects",
+    f"""with {LANDED_SQL}
+select coalesce(reject_reason, 'accepted') as outcome, count(*) as n, true as kept_all from records group by 1""",
+)
+def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Several micro-batches, one landed file each: rejects counted by reason, accepted rows passed on."""
+    path, counts, out = (scratch_path(spark, n) for n in ("landing", "rejects", "accepted"))
+    responses(spark, sf).drop("key_ord").repartition(3).write.json(path)
+    stream = report_stream(spark, path, per_batch=1)
+    run_available(stream, counting_sink(epoch_sink(out), counts), scratch_path(spark, "progress"))
+    outcome = F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")
+    seen = spark.read.parquet(counts).select(outcome, "n", F.lit(0).alias("passed"))
+    passed = spark.read.parquet(out).select(F.lit("accepted").alias("outcome"), F.lit(0).alias("n"), F.lit(1).alias("passed"))
+    both = seen.unionByName(passed).groupBy("outcome").agg(F.sum("n").alias("n"), F.sum("passed").alias("passed"))
+    kept_all = (F.col("outcome") != "accepted") | (F.col("passed") == F.col("n"))
+    return both.select("outcome", "n", kept_all.alias("kept_all"))
+
+
+@query(
+    "held_back",
+    """select o_orderkey, filed < date '1998-06-01' as first_run
+from (select o_orderkey, o_orderdate::date as filed from orders) where filed < date '1998-12-01'""",
+)
+def held_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs half a year apart with a month's holdback; the second releases what the first held."""
+    rows = b.table(spark, sf, "orders").select("o_orderkey", b.day("o_orderdate").alias("filed"))
+    early, held = release(rows, "filed", F.lit("1998-06-30").cast("date"), 30)
+    late, _ = release(held, "filed", F.lit("1998-12-30").cast("date"), 30)
+    return early.select("o_orderkey", F.lit(True).alias("first_run")).unionByName(
+        late.select("o_orderkey", F.lit(False).alias("first_run"))
+    )
+
+
 @query(
     "filing_lateness",
     """select o_orderpriority as make, count(*) as reports, count(*) filter (where lag > 60) as late, max(lag)::bigint as max_lag_days

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from fieldpulse.operators.merge import last_wins
 from fieldpulse.operators.normalise import normalise_reports
-from fieldpulse.runtime import hadoop_path, path_exists
+from fieldpulse.runtime import as_table, hadoop_path, path_exists
 from fieldpulse.sources.landed import LANDING, REPORT_RECORD, open_envelope
 
 
@@ -49,6 +49,45 @@ def epoch_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def counting_sink(
+    sink: Callable[[DataFrame, int], None], path: str, reason: str = "reject_reason"
+) -> Callable[[DataFrame, int], None]:
+    """Pass the rows without a ``reason`` on and count all others by it under ``epoch=`` of ``path``.
+
+    Accepted rows are counted under a NULL reason. The micro-batch is read once; a replayed one
+    replaces its counts.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        rows = as_table(batch, "batch")
+        counts = rows.groupBy(reason).agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        sink(rows.filter(F.col(reason).isNull()).drop(reason), epoch)
+
+    return write
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """What came behind the watermark of a finished run and was dropped by its stateful steps.
+
+    Counted as it reaches such a step: single rows for :func:`filed_once`, but for windowed counts the
+    partial counts of a task, so there it tells that rows were late, and at least how many.
+    """
+    return sum(
+        state.numRowsDroppedByWatermark for p in query.recentProgress for state in p.stateOperators
+    )
+
+
+def release(rows: DataFrame, filed: str, as_of: Column, holdback_days: int) -> tuple[DataFrame, DataFrame]:
+    """``(ready, held)``: rows filed at least ``holdback_days`` before ``as_of``, and those that wait on.
+
+    Recent filings are incomplete; a later run releases what it held, so no row is lost or doubled.
+    Rows without a filing date are ready.
+    """
+    waits = F.coalesce(F.datediff(as_of, F.col(filed)) < holdback_days, F.lit(False))
+    return rows.filter(~waits), rows.filter(waits)
+
+
 def merge_sink(
     path: str,
     initial: DataFrame,

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from fieldpulse.operators.merge import last_wins, upsert
 from fieldpulse.runtime import scratch_path
 from fieldpulse.streaming.incremental import (
+    counting_sink,
     counts_over_time,
     epoch_sink,
     filed_once,
     landing_stream,
+    late_rows,
     lateness,
     latest_epoch,
     merge_sink,
@@ -74,3 +76,22 @@ def test_lateness(spark):
     df = spark.createDataFrame([("a", d(2024, 1, 1), d(2024, 1, 31)), ("a", d(2024, 1, 1), d(2024, 2, 1)), ("b", None, d(2024, 1, 1))], "g string, i date, f date")
     got = {r["g"]: (r["reports"], r["late"], r["max_lag_days"]) for r in lateness(df, "i", "f", 30, "g").collect()}
     assert got == {"a": (2, 1, 31), "b": (1, 0, None)}
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    late = [*BATCHES[:2], [(9, "late", -400, 7), (9, "late", -500, 8), (9, "in time", 40, 9)]]
+    rows = counts_over_time(landed(spark, str(tmp_path / "in"), late), "at", ["v"], "1 day", delay="1 day")
+    run = run_available(rows, epoch_sink(scratch_path(spark, "out")), scratch_path(spark, "cp"), mode="update")
+    assert late_rows(run) == 2
+
+
+def test_rejects_are_counted_and_a_replay_does_not_count_twice(spark, tmp_path):
+    counts, out = str(tmp_path / "counts"), str(tmp_path / "out")
+    sink = counting_sink(epoch_sink(out), counts)
+    batch = spark.createDataFrame([(1, None), (2, "bad"), (3, "bad"), (4, "worse")], "k bigint, reject_reason string")
+    for epoch in (0, 1, 1):
+        sink(batch, epoch)
+    got = {r["reject_reason"]: r["n"] for r in spark.read.parquet(counts).groupBy("reject_reason").agg(F.sum("n").alias("n")).collect()}
+    assert got == {None: 2, "bad": 4, "worse": 2}
+    kept = spark.read.parquet(out)
+    assert sorted((r["k"], r["epoch"]) for r in kept.collect()) == [(1, 0), (1, 1)] and "reject_reason" not in kept.columns
