@@ -125,11 +125,14 @@ def test_recalls(spark, record, want):
 
 def test_triage_trusts_the_status_only(spark):
     ok = '{"count":0,"message":"Results returned successfully","results":[]}'
-    rows = [(200, ok), (400, ok), (503, ok), (200, "<html>"), (200, '{"count":1}'), (200, "x" * 500)]
-    got = landed.triage(spark.createDataFrame(rows, "status int, body string")).collect()
-    assert [r["failure"] for r in got] == [None, "client_error", "server_error", "not_json", "no_results", "not_json"]
-    assert [r["retryable"] for r in got] == [False, False, True, False, False, False]
-    assert max(len(r["message"] or "") for r in got) == 120
+    rows = [(200, ok), (400, ok), (503, ok), (200, "<html>"), (200, '{"count":1}'), (200, "x" * 500), (None, ok)]
+    frame = spark.createDataFrame(rows, "status int, body string")
+    got = landed.triage(frame).collect()
+    assert [r["failure"] for r in got] == [None, "client_error", "server_error", "not_json", "no_results", "not_json", "no_status"]
+    assert [r["retryable"] for r in got] == [False, False, True, False, False, False, False]
+    assert got[5]["message"] == "not_json status 200 " + "x" * 500
+    assert max(len(r["message"] or "") for r in landed.triage(frame, message_chars=120).collect()) == 120
+    assert landed.opened(frame, landed.REPORT_RECORD, "status").filter("failure is null").count() == 1
 
 
 def test_landing_folder_keys_come_from_the_path(spark, tmp_path):
