@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.rows import ascii_lower, drop_ids, text_or_empty
+from fieldpulse.llm.rows import ascii_lower, drop_ids, map_texts, text_or_empty
 from fieldpulse.runtime import as_table
 
 WINDOW_WORDS = 10
@@ -189,7 +189,7 @@ def _hits(spark: SparkSession, rows: DataFrame, texts: list[str], shingle_words:
     """One block: ``(row, id, n_words)`` of every document and ``(row, start, stop, window)`` of every hit."""
     block, shingles = _block(texts, shingle_words)
     shared = spark.sparkContext.broadcast(block)
-    rarity = rows.mapInArrow(_counter(shared), "k int, key bigint, n bigint").groupBy("k", "key").agg(F.sum("n").alias("n"))
+    rarity = map_texts(rows, _counter(shared), "k int, key bigint, n bigint").groupBy("k", "key").agg(F.sum("n").alias("n"))
     listed = spark.createDataFrame(shingles, "window string, k int, offset int, key bigint, run array<int>")
     # A window occurs only where all of its shingles do, so its rarest one is a sufficient prefix.
     ranked = listed.join(rarity, ["k", "key"])
@@ -204,7 +204,8 @@ def _hits(spark: SparkSession, rows: DataFrame, texts: list[str], shingle_words:
     chosen = Block(block.numbers, {k: array("q", sorted(keys)) for k, keys in anchors.items()})
     before = WINDOW_WORDS - 1
     scanned = as_table(
-        rows.mapInArrow(
+        map_texts(
+            rows,
             _finder(spark.sparkContext.broadcast(chosen), before),
             "row bigint, id bigint, n_words bigint, "
             "found array<struct<k: int, key: bigint, pos: int, around: array<int>>>",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.rows import BROADCAST_ROWS, ascii_lower, narrow, text_or_empty
+from fieldpulse.llm.rows import BROADCAST_CELLS, ascii_lower, narrow, text_or_empty
 from fieldpulse.runtime import as_table
 
 PREFIX_CHARS = 128
@@ -25,14 +25,14 @@ def _shared(keyed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _only(rows: DataFrame, keep: list[str], survivors: DataFrame, known: dict[str, Column], more: dict[str, Column],
-          max_rows: int) -> DataFrame:
+          max_cells: int) -> DataFrame:
     """Rows whose keys survived so far, with the next key.
 
     While the surviving keys are few, they are broadcast and the next key is computed for
     surviving rows only. Beyond that, hashing every text in place is cheaper than moving
     texts to a join, so the hashes are joined instead. No text is ever shuffled.
     """
-    side, small = narrow(survivors, max_rows)
+    side, small = narrow(survivors, 2, max_cells)
     keys = list(known)
     if small:
         return rows.withColumns(known).join(side, keys, "left_semi").select(
@@ -42,7 +42,7 @@ def _only(rows: DataFrame, keep: list[str], survivors: DataFrame, known: dict[st
 
 
 def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                   max_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Documents whose text occurs more than once:
     ``(doc_id, text_sha256, keep_id, group_size, n_rows)``.
 
@@ -54,9 +54,9 @@ def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     by_size, by_prefix, by_full = _levels()
     sizes = as_table(_shared(rows.select(by_size["_size"].alias("_size")), ["_size"]), "exact-sizes")
-    prefixed = _only(rows, [], sizes, by_size, {"_prefix": by_prefix["_prefix"]}, max_rows)
+    prefixed = _only(rows, [], sizes, by_size, {"_prefix": by_prefix["_prefix"]}, max_cells)
     prefixes = as_table(_shared(prefixed, list(by_prefix)), "exact-prefixes")
-    hashed = _only(rows, ["_id"], prefixes, by_prefix, {"_full": by_full["_full"]}, max_rows)
+    hashed = _only(rows, ["_id"], prefixes, by_prefix, {"_full": by_full["_full"]}, max_cells)
     keys = list(by_full)
     # Small rows of ids and hashes; written once because the groups and their members both need them.
     members = as_table(hashed.groupBy("_id", *keys).agg(F.count("*").alias("n_rows")), "exact-members")
@@ -73,13 +73,13 @@ def repeated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                     max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                     max_cells: int = BROADCAST_CELLS) -> DataFrame:
     """One row per input row: ``(doc_id, keep_id, group_size, kept, text_sha256)``.
 
     See :func:`repeated_texts` for nulls, ties and empty texts. Rows that repeat id and text
     share one verdict.
     """
-    found = repeated_texts(docs, id_col, text_col, max_rows).select(
+    found = repeated_texts(docs, id_col, text_col, max_cells).select(
         F.col(id_col).alias("_dup"), F.col("text_sha256").alias("_dup_sha"), F.col("keep_id").alias("_keep"), "group_size"
     )
     every = docs.select(F.col(id_col), F.sha2(ascii_lower(text_or_empty(text_col)), 256).alias("text_sha256"))
@@ -105,7 +105,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = as_table(repeated_texts(docs, id_col, text_col), "exact-found")
     keys = (F.col(id_col).alias("__dup"), F.col("text_sha256").alias("__dup_sha"))
     stays = F.col("keep_id").eqNullSafe(F.col(id_col))
-    losers, small = narrow(found.filter(~stays).select(*keys))
+    losers, small = narrow(found.filter(~stays).select(*keys), 10)
     losers = losers if small else losers.hint("shuffle_hash")
     match = F.col(id_col).eqNullSafe(F.col("__dup")) & (F.col("__own_sha") == F.col("__dup_sha"))
     keyed = docs.withColumn("__own_sha", F.sha2(ascii_lower(text_or_empty(text_col)), 256))

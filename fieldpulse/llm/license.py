@@ -9,7 +9,7 @@ from math import log
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.rows import text_or_empty
+from fieldpulse.llm.rows import map_texts, text_or_empty
 from fieldpulse.runtime import as_table
 
 MIN_COSINE = 0.8
@@ -113,7 +113,7 @@ def _counts(files: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
                         seen[k] += 1
         yield pa.RecordBatch.from_arrays([pa.array([*vocabulary, ""]), pa.array([*seen, total], pa.int64())], ["term", "n"])
 
-    return files.mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    return map_texts(files, run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _candidates(files: DataFrame, weight: dict[str, float], unknown: float, min_cosine: float) -> DataFrame:
@@ -151,7 +151,7 @@ def _candidates(files: DataFrame, weight: dict[str, float], unknown: float, min_
                 ["path", "passage", "norm", "terms"],
             )
 
-    return files.mapInArrow(run, "path string, passage int, norm double, terms array<struct<term: string, w: double>>")
+    return map_texts(files, run, "path string, passage int, norm double, terms array<struct<term: string, w: double>>")
 
 
 def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.rows import narrow, text_or_empty
+from fieldpulse.llm.rows import map_texts, narrow, text_or_empty
 from fieldpulse.runtime import as_table, cut
 
 MIN_LINES = 3
@@ -152,7 +152,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     no rows.
     """
     found = as_table(repeated_runs(docs, id_col, text_col, min_lines), "lines-found")
-    side, small = narrow(found)
+    side, small = narrow(found, 5 + F.size("starts"))
     side = side if small else side.hint("shuffle_hash")
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST_ID)).alias("id"),
@@ -160,4 +160,4 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
     joined = rows.join(side, ["id", "sig"]).select("doc", "n_lines", "longest", "starts", "text")
     fields = "doc bigint, n_lines int, n_removed int, longest int, removed array<struct<start: int, stop: int>>, text string"
-    return joined.mapInArrow(_cleaner(min_lines), fields).withColumnRenamed("doc", id_col)
+    return map_texts(joined, _cleaner(min_lines), fields).withColumnRenamed("doc", id_col)

@@ -10,7 +10,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.rows import drop_ids
+from fieldpulse.llm.rows import drop_ids, map_texts
 from fieldpulse.runtime import as_table
 
 FEATURES = 256
@@ -94,7 +94,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
     )
-    return rows.mapInArrow(run, "id bigint, x array<float>")
+    return map_texts(rows, run, "id bigint, x array<float>")
 
 
 @dataclass(frozen=True)

@@ -97,7 +97,7 @@ def scan_new(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
         first.join(seen, "blob", "left").select("at", F.col("blob").alias("key"), todo.alias("todo")).filter(F.size("todo") > 0),
         "secrets-pending",
     )
-    side, small = narrow(pending)
+    side, small = narrow(pending, 7 + 3 * F.size("todo"))
     side = side if small else side.hint("shuffle_hash")
     scanned = versions.join(
         side, F.col("path").eqNullSafe(F.col("at")) & (F.col("blob") == F.col("key"))

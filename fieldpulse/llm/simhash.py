@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse.llm.components import components
-from fieldpulse.llm.rows import drop_ids
+from fieldpulse.llm.rows import drop_ids, map_texts
 from fieldpulse.runtime import as_table
 
 SHINGLE_WORDS = 3
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
     )
-    return rows.mapInArrow(_hasher(shingle_words), "id bigint, fp bigint")
+    return map_texts(rows, _hasher(shingle_words), "id bigint, fp bigint")
 
 
 def _byte(fp: Column, position: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldpulse.llm.rows import narrow, text_or_empty
+from fieldpulse.llm.rows import map_texts, narrow, text_or_empty
 from fieldpulse.runtime import as_table
 
 MIN_SENTENCES = 2
@@ -138,7 +138,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("id"),
         F.xxhash64(text_or_empty(text_col)).alias("sig"), text_or_empty(text_col).alias("text"),
     )
-    scanned = as_table(rows.mapInArrow(_scanner(min_sentences, min_words), _SCAN), "spans-scan")
+    scanned = as_table(map_texts(rows, _scanner(min_sentences, min_words), _SCAN), "spans-scan")
     runs = scanned.select("row", "id", F.inline("runs"))
     news = runs.filter("fresh")
     # Written, so that the join deals out the runs anew and one that very many documents share is split.
@@ -163,11 +163,11 @@ def without_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: st
     first; see :func:`repeated_spans`. Other columns are ignored; an empty table gives no rows.
     """
     found = as_table(repeated_spans(docs, id_col, text_col, min_sentences, min_words), "spans-found")
-    side, small = narrow(found)
+    side, small = narrow(found, 4 + 3 * F.size("removed"))
     side = side if small else side.hint("shuffle_hash")
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("id"),
         F.xxhash64(text_or_empty(text_col)).alias("sig"), text_or_empty(text_col).alias("text"),
     )
     joined = rows.join(side, ["id", "sig"]).select("doc", "n_sentences", "n_removed", "removed", "text")
-    return joined.mapInArrow(_cleaner, joined.schema).withColumnRenamed("doc", id_col)
+    return map_texts(joined, _cleaner, joined.schema).withColumnRenamed("doc", id_col)

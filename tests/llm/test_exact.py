@@ -22,10 +22,10 @@ def expected(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("max_rows", [500_000, 0])
-def test_groups_match_brute_force(spark, max_rows):
+@pytest.mark.parametrize("max_cells", [4_000_000, 0])
+def test_groups_match_brute_force(spark, max_cells):
     rows, df = awkward(spark)
-    got = exact_duplicates(df, max_rows=max_rows)
+    got = exact_duplicates(df, max_cells=max_cells)
     assert got.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == expected(rows)
 
