@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldpulse.llm.rows import MEMORY, map_texts
 from fieldpulse.runtime import as_table
 
 SEQUENCE_TOKENS = 2048
@@ -14,7 +15,7 @@ MAX_SEGMENTS = 512
 END_ID = 1
 # Pieces that one task packs together; large enough that the last, part-filled sequence does not matter.
 SHARD_PIECES = 2_000
-CACHED_WORDS = 400_000
+KEPT_WORDS = 400_000
 PIECE_BYTES = 1 << 20
 
 PIECES = "row bigint, id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss bigint, own bigint"
@@ -22,23 +23,100 @@ PIECES = "row bigint, id bigint, start bigint, length bigint, ids_crc32 bigint,
 _OWN = 1 << 62
 
 
-def _cutter(tokenizer_path: str, limit: int, end_id: int, cached_words: int):
-    def memory() -> dict:
-        """Token bytes of words seen by this worker process, kept from task to task."""
-        import sys
-        from types import ModuleType
+class WordEncoder:
+    """Token bytes of words, little-endian and 32 bits each, remembered while they keep coming.
 
-        held = sys.modules.setdefault("_packing_words", ModuleType("_packing_words"))
-        if not hasattr(held, "by_path"):
-            held.by_path = {}
-        if tokenizer_path not in held.by_path:
-            import os
+    For tokenizers that drop white space, never join across it, lower-case, and end every piece of
+    their pre-tokenizer with a token that carries an end mark. Words of letters are encoded many at
+    a time and cut apart at the end marks; anything else, and a batch whose end marks do not add up,
+    is encoded word by word. Two generations of words are kept, each of a bounded number.
+    """
 
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
+    def __init__(self, path: str, kept_words: int):
+        import os
+
+        import numpy as np
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.kept_words = Tokenizer.from_file(path), kept_words
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for t, n in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        from array import array
 
-            held.by_path[tokenizer_path] = (Tokenizer.from_file(tokenizer_path), {})
-        return held.by_path[tokenizer_path]
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        import numpy as np
+
+        out: list[bytes] = []
+        for at in range(0, len(words), 2_000):
+            part = words[at : at + 2_000]
+            raw = self.whole([" ".join(part)])[0]
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
+            if len(stops) != len(part):
+                out += self.whole(part)
+                continue
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)]
+        return out
+
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.known) + len(words) > self.kept_words:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        plain: dict[bytes, tuple[str, bytes]] = {}
+        odd: list[bytes] = []
+        for w in words:
+            if (held := older.get(w)) is not None:
+                known[w] = held
+                continue
+            # A full stop or comma after a letter is a piece of its own.
+            tail = w[-1:] if w[-1] in b".," and len(w) > 1 else b""
+            stem = (w[:-1] if tail else w).decode()
+            if stem.isalpha():
+                plain[w] = (stem.lower() if stem.isascii() else stem, tail)
+            else:
+                odd.append(w)
+        stems = {stem for stem, _ in plain.values()}
+        new = [x for x in stems if x.encode() not in known]
+        known.update(zip(map(str.encode, new), self.letters(new), strict=True))
+        known.update(zip(odd, self.whole([w.decode() for w in odd]), strict=True))
+        for tail in (b".", b","):
+            if tail not in known:
+                known[tail] = self.whole([tail.decode()])[0]
+        known.update((w, known[stem.encode()] + (known[tail] if tail else b"")) for w, (stem, tail) in plain.items())
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of each list of words in a row."""
+        get = self.known.get
+        found = [list(map(get, words)) for words in texts]
+        gaps = [[n for n, p in enumerate(parts) if p is None] for parts in found]
+        if any(gaps):
+            self.learn({words[n] for words, open_ in zip(texts, gaps, strict=True) for n in open_})
+            get = self.known.get
+            for words, parts, open_ in zip(texts, found, gaps, strict=True):
+                for n in open_:
+                    parts[n] = get(words[n])
+        return [b"".join(parts) for parts in found]
+
+
+def _cutter(tokenizer_path: str, limit: int, end_id: int, kept_words: int):
+    def encoder() -> WordEncoder:
+        """One for each worker process, kept from task to task."""
+        import sys
+        from types import ModuleType
+
+        held = sys.modules.setdefault(MEMORY, ModuleType(MEMORY)).__dict__
+        if (tokenizer_path, kept_words) not in held:
+            held[tokenizer_path, kept_words] = WordEncoder(tokenizer_path, kept_words)
+        return held[tokenizer_path, kept_words]
 
     def word_runs(data: bytes) -> Iterator[list[bytes]]:
         import re
@@ -50,27 +128,22 @@ def _cutter(tokenizer_path: str, limit: int, end_id: int, cached_words: int):
             yield data[at:stop].split()
             at = stop
 
-    def learn(words: list[bytes], tokenizer, known: dict) -> None:
-        from array import array
-
-        new = list(set(words).difference(known))
-        if len(known) + len(new) > cached_words:
-            known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, found, strict=True))
-
-    def encode(data: bytes, tokenizer, known: dict) -> bytes:
-        out = []
-        for words in word_runs(data):
-            try:
-                out.append(b"".join([known[w] for w in words]))
-            except KeyError:
-                learn(words, tokenizer, known)
-                out.append(b"".join([known[w] for w in words]))
-        return b"".join(out)
+    def encoded(texts: Iterator[bytes], words: WordEncoder) -> Iterator[bytes]:
+        """Ids of each text; small texts are encoded together, a long one piece by piece."""
+        group: list[list[bytes]] = []
+        size = 0
+        for data in texts:
+            if len(data) > PIECE_BYTES:
+                yield from words.encode(group)
+                group, size = [], 0
+                yield b"".join(words.encode([run])[0] for run in word_runs(data))
+                continue
+            group.append(data.split())
+            size += len(data)
+            if size >= PIECE_BYTES:
+                yield from words.encode(group)
+                group, size = [], 0
+        yield from words.encode(group)
 
     def lengths(n: int) -> list[int]:
         """Whole sequences, then one half and the rest; pieces of half a sequence or less pack almost gapless."""
@@ -84,13 +157,14 @@ def _cutter(tokenizer_path: str, limit: int, end_id: int, cached_words: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokenizer, known = memory()
+        words = encoder()
         row = own = TaskContext.get().partitionId() << 33
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py(), tokenizer, known) + end
+            docs = batch.column(0).to_pylist()
+            for doc, ids in zip(docs, encoded((t.as_py() for t in batch.column(1)), words), strict=True):
+                ids += end
                 n, at = len(ids) // 4, 0
                 for size in lengths(n):
                     crc = zlib.crc32(memoryview(ids)[4 * at : 4 * (at + size)])
@@ -108,7 +182,7 @@ def _cutter(tokenizer_path: str, limit: int, end_id: int, cached_words: int):
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-               limit: int = SEQUENCE_TOKENS, end_id: int = END_ID, cached_words: int = CACHED_WORDS) -> DataFrame:
+               limit: int = SEQUENCE_TOKENS, end_id: int = END_ID, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Pieces of at most ``limit`` ids of every text and its end id; every id lies in one piece.
 
     The tokenizer must drop white space and never join across it, so that a text's ids are those of
@@ -118,7 +192,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")
     )
-    return rows.mapInArrow(_cutter(tokenizer_path, limit, end_id, cached_words), PIECES)
+    return map_texts(rows, _cutter(tokenizer_path, limit, end_id, kept_words), PIECES, remembers=True)
 
 
 def _packer(limits: tuple[int, int, int]):

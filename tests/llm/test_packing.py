@@ -7,7 +7,7 @@ from llm_fixtures import awkward, no_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldpulse.llm.packing import PIECES, cut_pieces, pack, packed_documents
+from fieldpulse.llm.packing import PIECES, WordEncoder, cut_pieces, pack, packed_documents
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Don't STOP<|endoftext|>now 3.14\x85x\x0b\x1cy", "ÉÀ ΣΑΣ İstanbul é ́a ﬁ", "日本語 العربية 🙂🙂 a b c", "x" * 5000]
@@ -60,3 +60,17 @@ def test_pieces_of_documents_pack_almost_gapless(spark):
     padding, total = got.selectExpr("sum(if(n & (n - 1) = 0, 0, 2048 - n))", "sum(n)").first()
     assert padding < 0.005 * total
     assert cut_pieces(docs, PATH).columns == [c.split()[0] for c in PIECES.split(", ")]
+
+
+def test_words_are_encoded_as_in_whole_texts_whatever_is_remembered():
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = [
+        "Word word. WORD, word.. word!, don't I'VE it's a1b2 3.14 e-mail co-op. x_y <|endoftext|> <|ENDOFTEXT|>", "ΣΑΣ Σας. İstanbul, ISTANBUL ſ K ß é é. Å",
+        "日本語。 日本語, 한국어 각 𝔸𝔹 ﬁn. ǅ ª º ⅷ ² x². a​b ﻿c d́.", ", . ., a. A, .a", "café. café, naïve", "hello" * 60 + ".", "'s 't 'll 's.",
+    ]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for kept in (1_000_000, 8, 1):
+        words = WordEncoder(PATH, kept)
+        for _ in range(3):
+            assert words.encode([t.encode().split() for t in texts]) == want
+            assert [words.encode([t.encode().split()])[0] for t in texts[::-1]] == want[::-1]
