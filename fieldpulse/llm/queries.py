@@ -202,6 +202,6 @@ def license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_line_dedup")
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+    found = lines.without_repeated_lines(table(spark, sf_dir, "documents"), min_words=lines.MIN_WORDS)
     ranges = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string")))
     return found.select("doc_id", "n_lines", "n_removed", "longest", F.array_join(ranges, ",").alias("removed"), "text")

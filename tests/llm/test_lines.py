@@ -42,3 +42,24 @@ def test_later_copies_of_runs_go(spark, min_lines):
 def test_less_than_one_line_is_refused(spark):
     with pytest.raises(ValueError):
         without_repeated_lines(spark.createDataFrame([], "doc_id bigint, text string"), min_lines=0)
+
+
+@pytest.mark.parametrize(("min_lines", "min_words"), [(3, 25), (5, 8)])
+def test_short_runs_of_many_words_go(spark, min_lines, min_words):
+    rng = random.Random(min_words)
+    pool = [" ".join(f"w{rng.randrange(9**6)}" for _ in range(n)) for n in (0, 1, 2, 3, 5, 8, 13, 14, 25, 40)]
+    rows = [(n, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f" line  {n} {k}\t" for k in range(rng.randrange(1, 9)))) for n in range(120)]
+    seen, want = set(), {}
+    for doc, text in rows:
+        parts, gone = text.split("\n"), set()
+        for i in range(len(parts)):
+            for j in range(i + 1, min(len(parts), i + min_lines) + 1):
+                run = tuple(parts[i:j])
+                if (len(run) == min_lines or sum(len(x.split()) for x in run) >= min_words) and run in seen:
+                    gone |= set(range(i, j))
+                seen.add(run)
+        want[doc] = (len(gone), "\n".join(x for k, x in enumerate(parts) if k not in gone))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = without_repeated_lines(df, min_lines=min_lines, min_words=min_words).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in found} == want
+    assert sum(n for n, _ in want.values()) > sum(r["n_removed"] for r in without_repeated_lines(df, min_lines=min_lines).collect())
