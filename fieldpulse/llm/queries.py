@@ -174,7 +174,7 @@ def sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.without_repeated_spans(table(spark, sf_dir, "documents"))
+    found = spans.without_repeated_spans(table(spark, sf_dir, "documents"), single_words=spans.SINGLE_WORDS)
     ranges = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string")))
     return found.select("doc_id", "n_sentences", "n_removed", F.array_join(ranges, ",").alias("removed"), "text")
 

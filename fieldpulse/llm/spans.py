@@ -12,13 +12,14 @@ from fieldpulse.runtime import as_table
 
 MIN_SENTENCES = 2
 MIN_WORDS = 25
+SINGLE_WORDS = 50
 SEED = 11
 
 _RUN = "struct<h: bigint, g: int, i: int, j: int, fresh: boolean>"
 _SCAN = f"row bigint, id bigint, sig bigint, bounds array<int>, runs array<{_RUN}>"
 
 
-def _scanner(min_sentences: int, min_words: int):
+def _scanner(min_sentences: int, min_words: int, single_words: int | None):
     def run(batches: Iterator) -> Iterator:
         import re
 
@@ -34,19 +35,24 @@ def _scanner(min_sentences: int, min_words: int):
         fields = list(pa.struct([("h", pa.int64()), ("g", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("fresh", pa.bool_())]))
 
         def runs_of(text: str) -> tuple[list[int], tuple[list, ...]]:
-            """Sentence bounds, and the runs from each sentence on: hash parts, first and last sentence, news."""
+            """Sentence bounds, and the runs from and up to each sentence: hash parts, first and last sentence, news."""
             bounds = [0, *(m.end() for m in edge.finditer(text))]
             if bounds[-1] < len(text):
                 bounds.append(len(text))
             words = [text[a:b].split() for a, b in zip(bounds, bounds[1:])]
-            if len(words) < min_sentences:
+            if not words or len(words) < min_sentences and single_words is None:
                 return bounds, ([], [], [], [], [])
             spelled = [" ".join(w).encode().lower() for w in words]
             size = np.cumsum([len(w) for w in words])
             before = np.concatenate([[0], size[:-1]])
             first = np.arange(len(words))
             last = np.maximum(first + min_sentences - 1, np.searchsorted(size, before + min_words))
-            first, last = first[last < len(words)], last[last < len(words)]
+            begin = np.minimum(first - min_sentences + 1, np.searchsorted(before, size - min_words, "right") - 1)
+            pairs = {*zip(first[last < len(words)].tolist(), last[last < len(words)].tolist(), strict=True)}
+            pairs |= {*zip(begin[begin >= 0].tolist(), first[begin >= 0].tolist(), strict=True)}
+            if single_words is not None:
+                pairs |= {(k, k) for k, w in enumerate(words) if len(w) >= single_words}
+            first, last = np.array(sorted(pairs), np.int64).reshape(-1, 2).T
             ends = np.cumsum([len(s) + 1 for s in spelled])
             begins = np.concatenate([[0], ends[:-1]])
             joined = b" ".join(spelled)
@@ -125,12 +131,13 @@ def _cleaner(batches: Iterator) -> Iterator:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+                   min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, single_words: int | None = None) -> DataFrame:
     """``(id, sig, n_sentences, n_removed, removed)`` of every distinct document.
 
-    ``sig`` is the hash of its text; ``removed`` are code point ranges. From every sentence on, the
-    shortest run of at least ``min_sentences`` sentences and ``min_words`` words is hashed (words
-    joined by one space, A-Z lower-cased). A run is first in the document of the smallest id that
+    ``sig`` is the hash of its text; ``removed`` are code point ranges. From every sentence on, and
+    up to every sentence, the shortest run of at least ``min_sentences`` sentences and ``min_words``
+    words is hashed (words joined by one space, A-Z lower-cased); together these cover every longer
+    run. With ``single_words`` one sentence of as many words is a run, too. A run is first in the document of the smallest id that
     has it, and there at its first place; sentences that any other place of the run covers are
     removed. Rows that repeat an id count as one document; null ids count as the largest.
     """
@@ -138,7 +145,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("id"),
         F.xxhash64(text_or_empty(text_col)).alias("sig"), text_or_empty(text_col).alias("text"),
     )
-    scanned = as_table(map_texts(rows, _scanner(min_sentences, min_words), _SCAN), "spans-scan")
+    scanned = as_table(map_texts(rows, _scanner(min_sentences, min_words, single_words), _SCAN), "spans-scan")
     runs = scanned.select("row", "id", F.inline("runs"))
     news = runs.filter("fresh")
     # Written, so that the join deals out the runs anew and one that very many documents share is split.
@@ -156,13 +163,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                           min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+                           min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS,
+                           single_words: int | None = None) -> DataFrame:
     """One row per input row: ``(doc_id, n_sentences, n_removed, removed, text)``, ``text`` without the repeats.
 
     Null and empty texts have no sentence and stay empty. Rows that repeat an id share what is
     first; see :func:`repeated_spans`. Other columns are ignored; an empty table gives no rows.
     """
-    found = as_table(repeated_spans(docs, id_col, text_col, min_sentences, min_words), "spans-found")
+    found = as_table(repeated_spans(docs, id_col, text_col, min_sentences, min_words, single_words), "spans-found")
     side, small = narrow(found, 4 + 3 * F.size("removed"))
     side = side if small else side.hint("shuffle_hash")
     rows = docs.select(

@@ -57,3 +57,29 @@ def test_repeated_passages_go_and_their_first_place_stays(spark):
     assert {r["doc_id"]: r["text"] for r in found}[70] == "Number 70 begins. Number 70 ends\n"
     assert {r["doc_id"]: r["text"] for r in found}[40].startswith("Mine. ")
     assert without_repeated_spans(no_rows(df)).count() == 0
+
+
+def test_every_run_of_enough_words_is_covered(spark):
+    rng = random.Random(9)
+    pool = [words(rng, n, 10**6).capitalize() + ". " for n in (1, 2, 3, 6, 11, 20, 20, 3, 24, 49, 50, 60)]
+    rows = [(n, "".join(rng.choice(pool) if rng.random() < 0.6 else f"Own {n} {k}. " for k in range(9))) for n in range(80)]
+    rows += [(90, "".join(pool[5:8]) + "Ends here."), (91, "Before. " + "".join(pool[5:8]) + "Other end."), (92, pool[11])]
+    first, want = {}, {}
+
+    def every(parts):
+        for i in range(len(parts)):
+            for j in range(i, len(parts)):
+                spelled = " ".join(" ".join(parts[i : j + 1]).split()).lower()
+                if len(spelled.split()) >= (50 if i == j else 25):
+                    yield i, j, spelled
+
+    for doc, text in rows:
+        for i, _, run in every(sentences(text)):
+            first.setdefault(run, (doc, i))
+    for doc, text in rows:
+        parts = sentences(text)
+        gone = {k for i, j, run in every(parts) if first[run] != (doc, i) for k in range(i, j + 1)}
+        want[doc] = "".join(x for k, x in enumerate(parts) if k not in gone)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: r["text"] for r in without_repeated_spans(df, single_words=50).collect()} == want
+    assert want[91] == "Before. Other end." and want[92] == ""
