@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import chat, decontaminate, exact, license, lines, packing, quality, secrets, simhash, spans
+from fieldpulse.llm import chat, decontaminate, exact, fim, license, lines, packing, quality, secrets, simhash, spans
 from fieldpulse.llm.rows import table
 from fieldpulse.runtime import scratch_path
 
@@ -205,3 +205,36 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.without_repeated_lines(table(spark, sf_dir, "documents"), min_words=lines.MIN_WORDS)
     ranges = F.transform("removed", lambda r: F.concat_ws(":", r["start"].cast("string"), r["stop"].cast("string")))
     return found.select("doc_id", "n_lines", "n_removed", "longest", F.array_join(ranges, ",").alias("removed"), "text")
+
+
+SQL_FIM = r"""
+with texts as (
+  select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as lines from documents),
+drawn as (
+  select *, len(lines)::bigint as n, ('0x' || substr(h, 1, 8))::bigint % (len(lines) + 1) as k1,
+         ('0x' || substr(h, 9, 8))::bigint % (len(lines) + 1) as k2,
+         t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>')
+           or ('0x' || substr(h, 17, 8))::bigint % 100 >= 100 as plain,
+         ('0x' || substr(h, 25, 8))::bigint % 100 < 50 as spm
+  from texts),
+cuts as (
+  select *, array_to_string(lines[1:least(k1, k2)], '') as prefix,
+         array_to_string(lines[least(k1, k2) + 1:greatest(k1, k2)], '') as middle,
+         array_to_string(lines[greatest(k1, k2) + 1:], '') as suffix from drawn)
+select doc_id, n, case when plain then 'plain' when spm then 'spm' else 'psm' end as form,
+       case when not plain then length(prefix) end as prefix_chars,
+       case when not plain then length(middle) end as middle_chars,
+       sha256(case when plain then t when spm then '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   else '<P>' || prefix || '<S>' || suffix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256
+from cuts"""
+
+
+@query("op13_fill_in_middle", SQL_FIM)
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
