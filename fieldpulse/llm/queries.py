@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import chat, decontaminate, exact, fim, license, lines, packing, quality, secrets, simhash, spans
+from fieldpulse.llm import chat, decontaminate, exact, fim, license, lines, negatives, packing, quality, secrets, simhash, spans
 from fieldpulse.llm.rows import table
 from fieldpulse.runtime import scratch_path
 
@@ -238,3 +238,30 @@ def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+SQL_NEGATIVES = """
+with rows as (
+  select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.id as anchor, r.id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+  from rows a, rows r where a.id % 50 = 0 and a.id <> r.id),
+positives as (
+  select * from scored where same qualify row_number() over (partition by anchor order by score desc, id) <= 5)
+select p.anchor as anchor_id, p.id as positive_id,
+       row_number() over (partition by p.anchor, p.id order by n.score desc, n.id)::int as rank,
+       n.id as negative_id, p.score as positive_score, n.score as negative_score
+from positives p join scored n
+  on n.anchor = p.anchor and not n.same and 50 * p.score <= 100 * n.score and 100 * n.score <= 95 * p.score
+qualify rank <= 3"""
+
+
+@query("op11_hard_negatives", SQL_NEGATIVES)
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec, label = F.col("vec_id"), F.col("label")
+    shifted = F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=shifted)

@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="shared tables are
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels", "conversations"):
+    for table in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = QUERIES[name](spark, SF)
     result = con.execute(SQL[name])
