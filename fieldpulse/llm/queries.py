@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.llm import chat, decontaminate, exact, fim, license, lines, negatives, packing, quality, secrets, simhash, spans
+from fieldpulse.llm import (
+    chat, decontaminate, exact, fim, license, lines, minhash, negatives, packing, quality, secrets, simhash, spans,
+)
 from fieldpulse.llm.rows import table
 from fieldpulse.runtime import scratch_path
 
@@ -265,3 +267,26 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vec, label = F.col("vec_id"), F.col("label")
     shifted = F.when(vec % 7 == 0, (label + 1) % 10).otherwise(label)
     return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label=shifted)
+
+
+SQL_MINHASH = f"""
+with recursive words as (select doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (
+  select doc_id, case when len(w) < 2 then w else list_distinct(list_transform(
+    generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) end as s from words),
+shingles as (select doc_id, len(s) as n, unnest(s) as g from sets),
+links as (
+  select a.doc_id as x, b.doc_id as y from shingles a join shingles b using (g)
+  where a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by 1, 2, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ways as (select x, y from links union all select y, x from links),
+reach(x, y) as (select x, y from ways union select reach.x, ways.y from reach join ways on reach.y = ways.x),
+named as (select x, min(y) as low from reach group by 1)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id,
+       doc_id = least(doc_id, coalesce(low, doc_id)) as kept
+from sets left join named on x = doc_id"""
+
+
+@query("op12_minhash_near_dedup", SQL_MINHASH)
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
