@@ -24,7 +24,7 @@ class Plan:
 
     At a similarity of 0.8, 48 bands of 6 hashes miss a pair with probability (1 - 0.8**6)**48 = 5e-7.
     ``miss`` is the posterior probability below which a pair is dropped before all hashes are compared.
-    A bucket of more than ``list_rows`` texts is compared in blocks of about ``left`` by ``right`` texts.
+    A bucket of more than ``list_rows`` texts is compared in blocks of about ``left`` by ``right`` shingles.
     """
 
     bands: int = 48
@@ -32,8 +32,8 @@ class Plan:
     batch: int = 24
     miss: float = 1e-7
     list_rows: int = 16
-    left: int = 1024
-    right: int = 2048
+    left: int = 1 << 17
+    right: int = 1 << 18
 
     def __post_init__(self) -> None:
         if min(self.bands, self.rows, self.batch, self.left, self.right) < 1 or self.list_rows < 2:
@@ -227,27 +227,32 @@ def star_pairs(listed: DataFrame, percent: int) -> DataFrame:
 
 
 def open_buckets(listed: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(key, cls, n, root, m, big, others)`` of the buckets of three and more texts that are not in one component.
+    """``(key, cls, n, root, m, big, held, others)`` of the buckets of three and more texts that are not in one component.
 
-    ``big`` marks the members of the bucket's component of the most texts, ``others`` counts the rest.
-    Buckets of two were compared whole by the first round.
+    ``big`` marks the members of the bucket's component of the most texts; ``held`` counts the shingles of all
+    members and ``others`` those of the rest. Buckets of two were compared whole by the first round.
     """
     three = listed.filter("m > 2")
     rooted = as_table(three.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")),
                       "minhash-rooted")
-    parts = as_table(rooted.groupBy("key", "root").agg(F.count("*").alias("size")), "minhash-parts")
+    parts = as_table(rooted.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("held")), "minhash-parts")
     most = as_table(parts.groupBy("key").agg(
-        F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("held"), F.count("*").alias("roots")
-    ).filter("roots > 1").select("key", F.col("most.root").alias("top"), (F.col("held") - F.col("most.size")).alias("others")), "minhash-most")
-    return as_table(rooted.join(most, "key").select("key", "cls", "n", "root", "m", (F.col("root") == F.col("top")).alias("big"), "others"),
-                    "minhash-open")
+        F.max(F.struct("size", "root", "held")).alias("most"), F.sum("held").alias("held"), F.count("*").alias("roots")
+    ).filter("roots > 1").select("key", "held", F.col("most.root").alias("top"), (F.col("held") - F.col("most.held")).alias("others")),
+                    "minhash-most")
+    return as_table(
+        rooted.join(most, "key").select("key", "cls", "n", "root", "m", (F.col("root") == F.col("top")).alias("big"), "held", "others"),
+        "minhash-open",
+    )
 
 
-def _block_pairs(opened: DataFrame, codes: DataFrame, plan: Plan, needed: list[int], percent: int) -> DataFrame:
-    """Pairs of different components in large buckets that the codes do not rule out.
+def _block_links(crowds: DataFrame, heads: DataFrame, sets: DataFrame, plan: Plan, needed: list[int], percent: int) -> DataFrame:
+    """Links ``(a, b)`` between the components that meet in large buckets.
 
-    The texts outside the largest component, in blocks of ``plan.left``, meet all texts of the bucket, in blocks of
-    ``plan.right``. Each (block, block) is a group of bounded size; only surviving pairs leave it.
+    The texts outside the largest component, in blocks of about ``plan.left`` shingles, meet all texts of the
+    bucket, in blocks of about ``plan.right``. Each (block, block) is a group of bounded size. Pairs of one component are
+    passed over, and so are pairs that share an earlier band; the others are pruned by their codes and
+    confirmed on their sets there, and one link for two components leaves the group.
     """
     stay, batch_pairs = _pruner(needed, plan.batch), 1 << 18
 
@@ -255,11 +260,31 @@ def _block_pairs(opened: DataFrame, codes: DataFrame, plan: Plan, needed: list[i
         import numpy as np
         import pyarrow as pa
 
-        side = table["side"].to_numpy()
-        cls, root, n = (table[c].to_numpy() for c in ("cls", "root", "n"))
-        code = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(cls), -1)
-        ours, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = [np.zeros((2, 0), np.int64)]
+        key = table["key"][0].as_py()
+        side, root, n = (table[c].to_numpy() for c in ("side", "root", "n"))
+        rows = np.arange(len(root))
+        code = np.frombuffer(b"".join(table["codes"].to_pylist()), np.uint8).reshape(len(root), -1)
+        bands = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(root), -1)
+        hashes = table["hashes"].combine_chunks().flatten().to_numpy()
+        words = np.unique(hashes, return_inverse=True)[1].ravel()
+        starts = np.concatenate([[0], np.cumsum(n)])
+        held = np.zeros(len(hashes), bool)
+        ours, theirs = rows[side == 0], rows[side == 1]
+        found: set[tuple[int, int]] = set()
+
+        def confirm(i: int, others) -> None:
+            """Those of ``others`` whose sets are alike enough to that of ``i``."""
+            own = words[starts[i] : starts[i + 1]]
+            held[own] = True
+            sizes = n[others]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(starts[others] - (ends - sizes), sizes)
+            common = np.add.reduceat(held[words[at]].astype(np.int64), ends - sizes)
+            held[own] = False
+            alike = 100 * common >= percent * (n[i] + sizes - common)
+            for other in set(root[others[alike]].tolist()):
+                found.add((min(int(root[i]), other), max(int(root[i]), other)))
+
         step = max(1, batch_pairs // max(1, len(theirs)))
         for k in range(0, len(ours), step):
             mine = ours[k : k + step]
@@ -267,26 +292,34 @@ def _block_pairs(opened: DataFrame, codes: DataFrame, plan: Plan, needed: list[i
             i, j = np.nonzero((root[mine][:, None] != root[theirs]) & (100 * small >= percent * large))
             i, j = mine[i], theirs[j]
             kept = stay(code, code, i, j)
-            u, v = cls[i[kept]], cls[j[kept]]
-            found.append(np.stack((np.minimum(u, v), np.maximum(u, v))))
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table({"a": a, "b": b})
+            i, j = i[kept], j[kept]
+            first = (bands[i] == bands[j]).argmax(axis=1)
+            kept = bands[i, first] == key
+            i, j = i[kept], j[kept]
+            cuts = np.flatnonzero(np.diff(i)) + 1
+            for some, others in zip(np.split(i, cuts), np.split(j, cuts)):
+                # Bounded parts, so that their words fit beside the block.
+                for at in range(0, len(others), 512):
+                    confirm(int(some[0]), others[at : at + 512])
+        links = sorted(found)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     def numbers(count: Column) -> Column:
         return F.sequence(F.lit(0), (F.greatest(count, F.lit(1)) - 1).cast("int"))
 
-    lefts, rights = F.ceil(F.col("others") / plan.left), F.ceil(F.col("m") / plan.right)
+    lefts, rights = F.ceil(F.col("others") / plan.left), F.ceil(F.col("held") / plan.right)
     spot = F.xxhash64(F.lit("block"), F.col("cls"))
     own_left, own_right = F.pmod(spot, lefts).cast("int"), F.pmod(spot, rights).cast("int")
     columns = ["key", "i", "j", "side", "cls", "root", "n"]
-    as_left = opened.filter("not big").withColumns({"i": own_left, "side": F.lit(0)}).withColumn("j", F.explode(numbers(rights)))
-    as_right = opened.withColumns({"j": own_right, "side": F.lit(1)}).withColumn("i", F.explode(numbers(lefts)))
-    met = as_left.select(*columns).union(as_right.select(*columns)).join(codes, "cls")
+    as_left = crowds.filter("not big").withColumns({"i": own_left, "side": F.lit(0)}).withColumn("j", F.explode(numbers(rights)))
+    as_right = crowds.withColumns({"j": own_right, "side": F.lit(1)}).withColumn("i", F.explode(numbers(lefts)))
+    known = as_table(heads.select("cls", "codes", "keys").join(sets, "cls"), "minhash-known")
+    met = as_left.select(*columns).union(as_right.select(*columns)).join(known, "cls")
     return met.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity; the sets are made again, from the texts asked for only."""
+def _sets(wanted: DataFrame, texts: DataFrame, classes: DataFrame, shingle_words: int) -> DataFrame:
+    """``(cls, hashes)``: full sets of the classes ``wanted``, made again from the texts asked for only."""
     shingles, name = _shingler(shingle_words)
 
     def run(batches: Iterator) -> Iterator:
@@ -303,13 +336,19 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, shingle_w
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["hi", "lo", "hashes"],
             )
 
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    asked = as_table(classes.join(wanted, "cls").select("cls", "hi", "lo", F.coalesce("first_id", F.lit(_LAST_ID)).alias("id")), "minhash-asked")
+    asked = as_table(classes.join(wanted.distinct(), "cls").select("cls", "hi", "lo", F.col("first_id").alias("id")), "minhash-asked")
     ids, small = narrow(asked.select("id").distinct(), 1)
     ids = ids if small else ids.hint("shuffle_hash")
     found = map_texts(texts.join(ids, "id", "left_semi").select("text"), run, "hi bigint, lo bigint, hashes array<bigint>")
-    named = found.dropDuplicates(["hi", "lo"]).join(asked.drop("id"), ["hi", "lo"])
-    sets = as_table(named.select("cls", "hashes"), "minhash-sets")
+    return as_table(found.dropDuplicates(["hi", "lo"]).join(asked.drop("id"), ["hi", "lo"]).select("cls", "hashes"), "minhash-sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls")))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the similarity."""
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a").join(
         sets.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b"
     )
@@ -347,28 +386,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = as_table(worded.groupBy("hi", "lo").agg(F.min("id").alias("first_id"), F.min("row").alias("cls")), "minhash-classes")
     copies = worded.select("hi", "lo", "row").join(classes.select("hi", "lo", "cls"), ["hi", "lo"]).filter("row <> cls")
     heads = drop_ids(worded, as_table(copies.select("row"), "minhash-copies"), "row").withColumnRenamed("row", "cls")
-    codes = as_table(heads.select("cls", "n", "codes", "keys"), "minhash-heads")
+    heads = as_table(heads.select("cls", "n", "codes", "keys"), "minhash-heads")
+    codes = heads.select("cls", "codes")
 
-    postings = codes.select("cls", "n", F.explode("keys").alias("key"))
+    postings = heads.select("cls", "n", F.explode("keys").alias("key"))
     sizes = as_table(postings.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "minhash-sizes")
     side, _ = narrow(sizes, 2)
     listed = as_table(postings.join(side, "key"), "minhash-listed")
     needed = least_matches(min_percent, plan.bands * plan.rows, plan.batch, plan.miss)
-    small_codes = codes.select("cls", "codes")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return as_table(_confirmed(as_table(pairs, "minhash-pairs"), texts, classes, shingle_words, min_percent), "minhash-links")
+    stars = as_table(_prune(star_pairs(listed, min_percent), codes, needed, plan.batch), "minhash-stars")
+    first = as_table(_confirmed(stars, _sets(_ends(stars), texts, classes, shingle_words), min_percent), "minhash-links")
 
-    first = confirmed(_prune(star_pairs(listed, min_percent), small_codes, needed, plan.batch))
     opened = open_buckets(listed, components(first))
     short = opened.filter(F.col("m") <= plan.list_rows).select("key", "cls", "n", "root")
-    paired = (
+    crowds = opened.filter(F.col("m") > plan.list_rows)
+    met = (
         short.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         .join(short.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")), "key")
         .filter("a < b and ra <> rb").filter(_sizes_allow(F.col("na"), F.col("nb"), min_percent)).select("a", "b").distinct()
     )
-    blocked = _block_pairs(opened.filter(F.col("m") > plan.list_rows), small_codes, plan, needed, min_percent)
-    second = confirmed(_prune(paired, small_codes, needed, plan.batch).union(blocked).distinct())
+    pairs = as_table(_prune(met, codes, needed, plan.batch), "minhash-pairs")
+    sets = _sets(_ends(pairs).union(crowds.select("cls")), texts, classes, shingle_words)
+    blocks = _block_links(crowds, heads, sets, plan, needed, min_percent)
+    second = as_table(_confirmed(pairs, sets, min_percent).union(blocks), "minhash-links")
 
     linked = components(first.union(second))
     named = as_table(
