@@ -161,8 +161,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = as_table(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-classes")
     linked = components(link_fingerprints(classes, list_rows))
     named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    members = named.select("fp", "root").join(roots, "root").select("fp", "component_id")
+    named = as_table(named.select("fp", "first_id", "root"), "simhash-named")
+    # Written, so that the join deals out anew and splits a component of very many fingerprints.
+    roots = as_table(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-roots")
+    members = as_table(named.join(roots, "root").select("fp", "component_id"), "simhash-members")
     # A fingerprint that very many documents share is split by the skew join.
     return prints.join(members, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
