@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from fieldpulse.catalog import bindings as b
 from fieldpulse.catalog.registry import query, quoted as _quote
 from fieldpulse.functions.vectors import centroids, parse_vector
-from fieldpulse.operators.cluster import assign_new, connected_components, grow, keep_large
+from fieldpulse.operators.cells import Grid
+from fieldpulse.operators.cluster import assign_new, connected_components, grow, keep_large, place_arrivals
 from fieldpulse.operators.merge import last_wins
 from fieldpulse.operators.neighbours import neighbours, pool, search, threshold_counts
+from fieldpulse.operators.vector_index import VectorIndex
 from fieldpulse.plans import formation
 from fieldpulse.plans.formation import form_members, formation_pool, member_facts, pattern_name
 from fieldpulse.plans.inbox import ranking, sample_narratives
@@ -49,14 +51,14 @@ def units(spark: SparkSession, sf: str) -> DataFrame:
     return pool(b.table(spark, sf, "embeddings"), "vec_id", "embedding")
 
 
-def _pairs_sql(name: str, left: str, right: str) -> str:
+def _pairs_sql(name: str, left: str, right: str, on: str = "a.vec_id <> b.vec_id") -> str:
     """Ranked neighbour pairs above the floor from one set of vectors to another."""
     return f"""
 {name} as (
   select i, j, sim, row_number() over (partition by i order by sim desc, j) as rk from (
     select a.vec_id as i, b.vec_id as j,
            list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as sim
-    from {left} a join {right} b on a.vec_id <> b.vec_id)
+    from {left} a join {right} b on {on})
   where sim >= {FLOOR})"""
 
 
@@ -119,6 +121,16 @@ def knn_floor_cap(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("i", "j", F.round("sim", 4).alias("sim"), F.col("rk").cast("bigint").alias("rk"))
 
 
+@query(
+    "knn_cells",
+    f"with {_PAIRS} select i, j, round(sim, 4) as sim, rk::bigint as rk from pairs where rk <= {CAP}",
+)
+def knn_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lists with about two vectors to a cell, so that hundreds of cells are bounded, visited and cut."""
+    rows = neighbours(units(spark, sf), FLOOR, CAP, Grid(rows_per_cell=2))
+    return rows.select("i", "j", F.round("sim", 4).alias("sim"), F.col("rk").cast("bigint").alias("rk"))
+
+
 @query(
     "form_patterns",
     f"with recursive {_GROW} select pattern_id::bigint as pattern_id, odi_number, "
@@ -414,6 +426,39 @@ def place_new_rows(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_ARRIVED = f"""with recursive
+settled as (select e.* from embeddings e join orders on o_orderkey = vec_id where o_orderstatus = 'F'),
+fresh as (select e.* from embeddings e join orders on o_orderkey = vec_id where o_orderstatus <> 'F'),
+everyone as (select *, true as stored from settled union all select *, false from fresh),
+{_pairs_sql("old_pairs", "settled", "settled")}, {_grow_sql("old_", "settled", _LOWER.format("old_pairs"))},
+{_pairs_sql("new_pairs", "fresh", "everyone", "b.stored or b.vec_id < a.vec_id")},
+kept as (select i as k, cluster as kept_cluster from old_counted where n >= {MIN}),
+{_grow_sql("new_", "fresh", f"""
+    select i, j, sim, rk, kept_cluster as c from new_pairs left join kept on k = j
+    where rk <= {CAP} and (kept_cluster is not null or j in (select vec_id from fresh))""")}
+select i as odi_number, cluster as seed, round(join_sim, 4) as similarity from new_assigned"""
+
+
+@query("assign_batches", _ARRIVED)
+def place_in_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Open orders placed in two batches through a stored index; in SQL they come as one."""
+    status = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").alias("settled")
+    )
+    rows = as_table(units(spark, sf).join(status, "id"), "units")
+    old, new = rows.filter("settled").select("id", "vec"), rows.filter(~F.col("settled")).select("id", "vec")
+    index = VectorIndex(spark, scratch_path(spark, "index"), CAP + 1, Grid(rows_per_cell=64)).create(old)
+    formed = as_table(grow(old, FLOOR, CAP), "formed")
+    owners = formed.join(keep_large(formed, MIN).select("cluster"), "cluster", "left_semi").select("i", "cluster")
+    middle = new.agg(F.percentile_approx("id", 0.5).alias("m")).first()["m"] or 0
+    first = as_table(place_arrivals(index, owners, new.filter(F.col("id") <= middle), FLOOR, CAP), "placed")
+    index.append(new.filter(F.col("id") <= middle))
+    second = place_arrivals(index, owners.union(first.select("i", "cluster")), new.filter(F.col("id") > middle), FLOOR, CAP)
+    return first.unionByName(second).select(
+        F.col("i").alias("odi_number"), F.col("cluster").alias("seed"), F.round("join_sim", 4).alias("similarity"),
+    )
+
+
 # --- shortlist and assessment ----------------------------------------------------------------
 
 

@@ -20,10 +20,13 @@ from fieldpulse.operators.neighbours import (
     Groups,
     group_copies,
     head_edges,
+    keep_top,
     linkage_edges,
+    preceding,
     search,
     with_vector_key,
 )
+from fieldpulse.operators.vector_index import VectorIndex
 from fieldpulse.runtime import cut, dense_ids
 
 BLOCK_ROWS = 10_000
@@ -184,6 +187,30 @@ def assign_new(
     return resolve_in_order(nodes, votes, nodes.count(), block_rows)
 
 
+def place_arrivals(
+    index: VectorIndex,
+    members: DataFrame,
+    arrivals: DataFrame,
+    floor: float = settings.SIMILARITY_FLOOR,
+    cap: int = settings.NEIGHBOUR_CAP,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``(i, cluster, join_sim)`` of newly arrived rows, placed among the stored ones without reading them all.
+
+    A row listens to its ``cap`` nearest rows among those before it: the stored ones and the arrivals of smaller
+    ids. Stored rows vote if ``members (i, cluster)`` has them. As no row looks at later ones, arrivals in
+    batches of ascending ids, each appended to the index after its placement and its decisions added to
+    ``members``, end up as they would in one batch.
+    """
+    ahead = preceding(arrivals, floor, cap, index.grid).withColumn("_new", F.lit(True))
+    stored = index.search(arrivals, floor, cap).withColumn("_new", F.lit(False))
+    near = keep_top(ahead.unionByName(stored).drop("rk"), "i", "j", cap)
+    owners = members.select(F.col("i").alias("j"), F.col("cluster").alias("cluster"))
+    votes = near.join(owners, "j", "left").filter(F.col("cluster").isNotNull() | F.col("_new")).select("i", "j", "sim", "rk", "cluster")
+    nodes = arrivals.select(F.col("id").alias("i"))
+    return resolve_in_order(nodes, votes, nodes.count(), block_rows)
+
+
 def keep_large(assigned: DataFrame, min_members: int = settings.MIN_PATTERN_MEMBERS) -> DataFrame:
     """Clusters of at least ``min_members`` rows: ``(cluster, member_count)``."""
     return (

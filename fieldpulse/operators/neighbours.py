@@ -4,12 +4,11 @@ All neighbour searches share one shape:
 
 1. identical vectors collapse to one group row that keeps its ``cap + 1`` smallest
    ids, which is all a capped neighbour list can ever show of them;
-2. group rows are assigned to the cell of their nearest pivot, and visit another
-   cell only when its radius and the half-space border allow a partner within the
-   floor there, so pairs that cannot match never meet; cells are dropped when
-   their counted cost is not below that of comparing everything;
-3. cells are cut into blocks of bounded size, and every (block, block) unit is one
-   Spark group whose similarities are a single matrix product;
+2. group rows live in cells on two levels, whose number follows the rows, and visit the
+   other cells that their bounds allow (:mod:`fieldpulse.operators.cells`), so pairs
+   that cannot match never meet;
+3. cells and their visitors are cut into blocks of bounded size, and every (block, block)
+   unit is one Spark group whose similarities are a single matrix product;
 4. a unit returns only its partial answer (top-k per row, counts per row, or a
    spanning star), and a second aggregation merges the partial answers exactly.
 
@@ -19,38 +18,19 @@ spread over as many units as its size asks for.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from fieldpulse import settings
 from fieldpulse.functions.vectors import norm, unit
+from fieldpulse.operators.cells import Cells, Grid, build_cells, matrix, visits
 from fieldpulse.runtime import as_table
 
-# Slack for rounding in the pruning bound; the similarity test itself is exact.
-_SLACK = 1e-6
-
-
-@dataclass(frozen=True)
-class Grid:
-    """Bounds of the block join. ``max_pivots`` also bounds what tasks receive.
-
-    Cells are used when they save work: comparing a pair costs 1, sending a row to a unit
-    ``copy_cost`` and starting a unit ``unit_cost``. ``always_cells`` skips that comparison.
-    """
-
-    rows_per_cell: int = 1_000
-    max_pivots: int = 1_024
-    block_rows: int = 4_096
-    max_partitions: int = 20_000
-    copy_cost: int = 500
-    unit_cost: int = 1_000_000
-    always_cells: bool = False
-
 
 def pool(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, vec)`` with unit vectors; missing and zero vectors match nothing and drop."""
@@ -106,159 +86,67 @@ def group_copies(units: DataFrame, keep: int) -> Groups:
         .select(F.col("id").alias("rep"), "vec", "ids"),
         "groups",
     )
-    rows = seen.get["rows"]
     sizes = table.agg(F.count("*").alias("g"), F.sum(F.size("ids")).alias("h")).first()
+    # An input known to be empty is planned without the count.
+    rows = seen.get["rows"] if sizes["g"] else 0
     return Groups(table, rows, int(sizes["h"] or 0), int(sizes["g"]))
 
 
 # --- cells and blocks ------------------------------------------------------------
 
 
-def _pivots(table: DataFrame, count: int) -> np.ndarray:
-    """``count`` vectors far apart from each other, out of four times as many taken by hash.
+@dataclass(frozen=True)
+class Load:
+    """Size of a block join: cells, visits to cells, and (block, block) units."""
 
-    Both numbers are bounded by the grid, and reruns agree.
-    """
-    rows = table.select("vec", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(4 * count)
-    sample = np.array([r["vec"] for r in rows.collect()], dtype=np.float64)
-    chosen = [0]
-    nearest = sample @ sample[0]
-    while len(chosen) < min(count, len(sample)):
-        chosen.append(int(nearest.argmin()))
-        nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
-    return sample[chosen]
-
-
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
-
-
-def _radii(base: DataFrame, pivots: np.ndarray) -> np.ndarray:
-    """Largest angle between a pivot and a base row that lives in its cell."""
-
-    @F.pandas_udf("array<double>")
-    def home(vecs: pd.Series) -> pd.Series:
-        angle = _angles(np.stack(vecs.to_numpy()), pivots)
-        cell = angle.argmin(axis=1)
-        return pd.Series(list(np.column_stack((cell, angle[np.arange(len(cell)), cell]))))
-
-    rows = (
-        base.select(home("vec").alias("_h"))
-        .groupBy(F.col("_h")[0].cast("int").alias("cell"))
-        .agg(F.max(F.col("_h")[1]).alias("radius"))
-        .collect()  # one row per cell, at most max_pivots
-    )
-    radii = np.full(len(pivots), -np.inf)
-    for r in rows:
-        radii[r["cell"]] = r["radius"]
-    return radii
+    cells: int
+    visits: int
+    units: int
 
 
-def _cells(
-    pivots: np.ndarray, radii: np.ndarray, floor: float, upward_only: bool
-) -> Callable[[Column], Column]:
-    """Column function: nearest cell first, then the cells to visit.
+def dimension(rows: DataFrame) -> int:
+    first = rows.select(F.size("vec")).first()
+    return first[0] if first else 1
 
-    A partner is at most ``acos(floor)`` away. No partner lives in a cell whose pivot is further than
-    that plus the cell's radius, nor beyond a half-space border that is further away than the
-    matching chord.
-    """
-    if len(pivots) <= 1:
-        return lambda vec: F.array(F.lit(0))
-    turn = float(np.arccos(min(1.0, max(-1.0, floor)))) + _SLACK
-    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * floor))) + _SLACK
-    gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
-
-    @F.pandas_udf("array<int>")
-    def assign(vecs: pd.Series) -> pd.Series:
-        x = np.stack(vecs.to_numpy())
-        angle = _angles(x, pivots)
-        home = angle.argmin(axis=1)
-        each = np.arange(len(x))
-        sq = 2.0 - 2.0 * np.cos(angle)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            border = (sq - sq[each, home][:, None]) / (2.0 * gaps[home])
-        # Coinciding pivots give NaN, which must not prune.
-        visit = (angle <= turn + radii[None, :]) & ~(border > reach)
-        visit[each, home] = False
-        if upward_only:
-            visit &= np.arange(len(pivots))[None, :] > home[:, None]
-        return pd.Series(
-            [np.concatenate(([h], np.flatnonzero(v))).astype(np.int32) for h, v in zip(home, visit)]
-        )
-
-    return lambda vec: assign(vec)
-
-
-def _block_units(
-    base: DataFrame, query: DataFrame | None, n_base: int, n_query: int, floor: float, grid: Grid
-) -> tuple[DataFrame, int]:
-    """Rows ``(cell, a, b, blk, side, rep, vec, ...)``: every unit of the join with its members.
-
-    ``base`` rows live in their home cell. Without ``query`` the join is a self-join and
-    base rows also visit higher cells; with ``query`` the query rows do all the visiting.
+
+def _members(cells: Cells, base: DataFrame, visitors: DataFrame | None, dim: int, grid: Grid) -> tuple[DataFrame, Load]:
+    """Rows ``(cell, a, b, blk, rep, vec, ...)``: every unit of the join with its members.
+
+    ``visitors`` are rows with a list of ``cells``. The rows of a cell are compared among themselves only in a
+    self-join, where the visitors are rows of the base.
     """
-    wanted = min(grid.max_pivots, max(1, -(-n_base // grid.rows_per_cell)))
-
-    def place(pivots: np.ndarray) -> DataFrame:
-        """Each row once per cell it lives in or visits."""
-        radii = _radii(base, pivots) if len(pivots) > 1 else np.zeros(1)
-        own = _cells(pivots, radii, floor, upward_only=True)(F.col("vec"))
-        rows = base.withColumn("_cells", own).withColumn("_q", F.lit(False))
-        if query is not None:
-            every = _cells(pivots, radii, floor, upward_only=False)(F.col("vec"))
-            rows = rows.withColumn("_cells", F.slice("_cells", 1, 1)).unionByName(
-                query.withColumn("_cells", every).withColumn("_q", F.lit(True))
-            )
-        # Every row has a cell; the outer form keeps the optimizer from filtering on the UDF's result.
-        return rows.select("*", F.posexplode_outer("_cells").alias("_pos", "cell")).withColumn(
-            "visitor", F.col("_q") | (F.col("_pos") > 0)
-        )
-
-    def cost(counts: dict[int, tuple[int, int]]) -> float:
-        total = 0.0
-        for h, v in counts.values():
-            hb, vb = -(-h // grid.block_rows), -(-v // grid.block_rows)
-            among = 0 if query is not None else h * h / 2
-            copies = h * (vb + (0 if query is not None else hb)) + v * hb
-            units = hb * vb + (0 if query is not None else hb * (hb + 1) / 2)
-            total += among + h * v + grid.copy_cost * copies + grid.unit_cost * units
-        return total
-
-    counts = {0: (n_base, n_query)}
-    spots = place(np.zeros((1, 1)))
-    # Rows that fit one block leave nothing to prune.
-    if wanted > 1 and (n_base > grid.block_rows or grid.always_cells):
-        celled = place(_pivots(base, wanted))
-        rows = (
-            celled.groupBy("cell")
-            .agg(F.count_if(~F.col("visitor")).alias("h"), F.count_if("visitor").alias("v"))
-            .collect()  # one row per cell, at most max_pivots
-        )
-        found = {r["cell"]: (r["h"], r["v"]) for r in rows}
-        if grid.always_cells or cost(found) < cost(counts):
-            spots, counts = celled, found
-
-    blocks = {
-        c: (-(-h // grid.block_rows), -(-v // grid.block_rows)) for c, (h, v) in counts.items()
-    }
-    homes = F.create_map(*[F.lit(x) for c, (h, _) in blocks.items() for x in (c, h)])
-    visits = F.create_map(*[F.lit(x) for c, (_, v) in blocks.items() for x in (c, v)])
-    n_units = sum((0 if query is not None else h * (h + 1) // 2) + h * v for h, v in blocks.values())
+    among = visitors is None or "_query" not in visitors.columns
+    homes = cells.homes.select("cell", *base.columns).withColumn("visitor", F.lit(False))
+    held = cells.table.select("cell", F.col("rows").alias("h"))
+    if visitors is None:
+        spots, sizes = homes, held.withColumn("v", F.lit(0).cast("bigint"))
+    else:
+        came = visitors.select("rep", "vec", *[c for c in base.columns if c not in ("rep", "vec")], F.explode("cells").alias("cell"))
+        counts = visitors.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("v"))
+        spots = homes.unionByName(came.withColumn("visitor", F.lit(True)))
+        sizes = held.join(counts, "cell", "left").select("cell", "h", F.coalesce("v", F.lit(0)).alias("v"))
+    rows, own = grid.rows_in_block(dim), F.col("_h") * (F.col("_h") + 1) / 2 if among else F.lit(0)
+    if cells.single is not None:
+        came = 0 if visitors is None else visitors.count()
+        h, v = -(-cells.single // rows), -(-came // rows)
+        load = Load(1, came, (h * (h + 1) // 2 if among else 0) + h * v)
+        spots = spots.withColumns({"_h": F.lit(h), "_v": F.lit(v)})
+    else:
+        sizes = as_table(sizes.select(
+            "cell", "v", F.ceil(F.col("h") / rows).cast("int").alias("_h"), F.ceil(F.col("v") / rows).cast("int").alias("_v")
+        ), "cells-sizes")
+        told = sizes.agg(F.count("*").alias("cells"), F.sum("v").alias("visits"), F.sum(own + F.col("_h") * F.col("_v")).alias("units")).first()
+        load = Load(told["cells"], int(told["visits"] or 0), int(told["units"] or 0))
+        spots = spots.join(sizes.drop("v"), "cell")
 
     spread = F.xxhash64(F.lit("block"), F.col("rep"))
-    spots = (
-        spots.withColumn("_h", homes[F.col("cell")])
-        .withColumn("_v", visits[F.col("cell")])
-        .filter(F.col("_h") > 0)
-        .withColumn(
-            "blk",
-            F.when(F.col("visitor"), F.col("_h") + F.pmod(spread, F.greatest("_v", F.lit(1))))
-            .otherwise(F.pmod(spread, F.col("_h")))
-            .cast("int"),
-        )
-    )
     blk = F.col("blk")
+    spots = spots.withColumn(
+        "blk",
+        F.when(F.col("visitor"), F.col("_h") + F.pmod(spread, F.greatest("_v", F.lit(1))))
+        .otherwise(F.pmod(spread, F.col("_h")))
+        .cast("int"),
+    )
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(
         F.array().cast("array<int>")
     )
@@ -270,16 +158,35 @@ def _block_units(
         lambda h: F.struct(F.least(blk, h).alias("a"), F.greatest(blk, h).alias("b")),
     )
     as_visitor = F.transform(upto(F.col("_h")), lambda h: F.struct(h.alias("a"), blk.alias("b")))
-    as_home = with_visitors if query is not None else F.concat(among_homes, with_visitors)
+    as_home = F.concat(among_homes, with_visitors) if among else with_visitors
     members = (
         spots.withColumn("_u", F.explode(F.when(F.col("visitor"), as_visitor).otherwise(as_home)))
         .withColumn("a", F.col("_u.a"))
         .withColumn("b", F.col("_u.b"))
-        .drop("_cells", "_pos", "_q", "_h", "_v", "_u", "visitor")
+        .drop("_h", "_v", "_u", "visitor")
     )
-    parts = int(max(1, min(n_units, grid.max_partitions)))
+    parts = int(max(1, min(load.units, grid.max_partitions)))
     # An explicit count keeps adaptive execution from merging heavy units into one task.
-    return members.repartition(parts, "cell", "a", "b"), n_units
+    return members.repartition(parts, "cell", "a", "b"), load
+
+
+def self_units(base: DataFrame, n: int, floor: float, grid: Grid) -> tuple[DataFrame, Load]:
+    """Units in which every two rows of ``base (rep, vec, ...)`` that can reach the floor meet once."""
+    dim = dimension(base)
+    cells = build_cells(base, n, dim, grid)
+    met = None if cells.single is not None else visits(cells.homes, cells, floor, dim, grid, upward_only=True)
+    return _members(cells, base, met, dim, grid)
+
+
+def query_units(cells: Cells, queries: DataFrame, floor: float, grid: Grid, extra: tuple[str, ...] = ("vh",)) -> tuple[DataFrame, Load]:
+    """Units in which every query row meets the rows of the cells that its bounds allow."""
+    dim = dimension(queries)
+    came = visits(queries, cells, floor, dim, grid, upward_only=False)
+    return query_members(cells, came, dim, grid, extra)
+
+
+def query_members(cells: Cells, came: DataFrame, dim: int, grid: Grid, extra: tuple[str, ...] = ("vh",)) -> tuple[DataFrame, Load]:
+    return _members(cells, cells.homes.select("rep", "vec", *extra), came.withColumn("_query", F.lit(True)), dim, grid)
 
 
 def _chunks(n: int, width: int) -> Iterator[slice]:
@@ -288,81 +195,99 @@ def _chunks(n: int, width: int) -> Iterator[slice]:
         yield slice(start, min(n, start + step))
 
 
-def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame | None]:
-    """Members of block ``a`` and of block ``b`` (None when the unit is one block), by id."""
-    a = int(pdf["a"].iloc[0])
-    b = int(pdf["b"].iloc[0])
-    ordered = pdf.sort_values("rep", kind="stable")
-    left = ordered[ordered["blk"] == a]
-    return (left, None) if a == b else (left, ordered[ordered["blk"] == b])
+@dataclass(frozen=True)
+class _Side:
+    """The rows of one block by id: ids, vectors and, where asked for, hashes of vectors or scopes."""
+
+    ids: np.ndarray
+    vecs: np.ndarray
+    hashes: np.ndarray | None
+    scopes: list | None
 
+    def __len__(self) -> int:
+        return len(self.ids)
 
-def _matrix(side: pd.DataFrame) -> np.ndarray:
-    return np.stack(side["vec"].to_numpy())
 
+def _sides(table: pa.Table) -> tuple[_Side, _Side | None]:
+    """Members of block ``a`` and of block ``b`` (None when the unit is one block)."""
+    blk, a, b = table["blk"].to_numpy(), table["a"][0].as_py(), table["b"][0].as_py()
 
-_BELOW_ONE = float(np.nextafter(1.0, 0.0))
+    def side(number: int) -> _Side:
+        held = table.filter(pa.array(blk == number))
+        order = np.argsort(held["rep"].to_numpy(), kind="stable")
+        column = lambda name: held[name].to_numpy()[order] if name in held.schema.names else None
+        scopes = held["scope"].take(pa.array(order)).to_pylist() if "scope" in held.schema.names else None
+        vecs = matrix(held["vec"])[order] if held.num_rows else np.zeros((0, 1))
+        return _Side(column("rep"), vecs, column("vh"), scopes)
+
+    return (side(a), None) if a == b else (side(a), side(b))
 
 
-def _copy_codes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A number per row, the same for rows of both sides whose vectors are identical."""
-    # Adding zero turns -0.0, which equals 0.0, into it.
-    both = np.ascontiguousarray(np.concatenate((left, right)) + 0.0)
-    keys = both.view(np.dtype((np.void, both.dtype.itemsize * both.shape[1]))).ravel()
-    codes = np.unique(keys, return_inverse=True)[1].ravel()
-    return codes[: len(left)], codes[len(left) :]
+_BELOW_ONE = float(np.nextafter(1.0, 0.0))
 
 
-def _cosines(rows_vec, cols_vec, row_codes, col_codes) -> np.ndarray:
+def _cosines(rows: _Side, cols: _Side, part: slice) -> np.ndarray:
     """Cosines of unit vectors: one for identical vectors, below one for all others.
 
-    Products are off by rounding on either side of one, whichever vectors they are of.
+    Products are off by rounding on either side of one, whichever vectors they are of. Vectors of
+    sides without hashes are all different.
     """
-    sims = np.minimum(rows_vec @ cols_vec.T, _BELOW_ONE)
-    sims[row_codes[:, None] == col_codes[None, :]] = 1.0
+    sims = np.minimum(rows.vecs[part] @ cols.vecs.T, _BELOW_ONE)
+    if rows.hashes is not None and cols.hashes is not None and rows is not cols:
+        by_hash = np.argsort(cols.hashes, kind="stable")
+        ordered = cols.hashes[by_hash]
+        first = np.searchsorted(ordered, rows.hashes[part], "left")
+        last = np.searchsorted(ordered, rows.hashes[part], "right")
+        for r in np.flatnonzero(last > first):
+            same = by_hash[first[r] : last[r]]
+            same = same[(cols.vecs[same] == rows.vecs[part][r]).all(axis=1)]
+            sims[r, same] = 1.0
     return sims
 
 
-def _best(rows_id, rows_vec, cols_id, cols_vec, floor, cap):
-    """Top ``cap`` columns per row by similarity, then id; columns arrive sorted by id."""
+def _best(rows: _Side, cols: _Side, floor: float, cap: int, exclude: str):
+    """Top ``cap`` columns per row by similarity, then id.
+
+    ``exclude`` is ``own`` for a row's own id, ``later`` for that and all greater ones, or empty.
+    """
     out = []
-    row_codes, col_codes = _copy_codes(rows_vec, cols_vec)
-    for part in _chunks(len(rows_id), len(cols_id)):
-        sims = _cosines(rows_vec[part], cols_vec, row_codes[part], col_codes)
-        sims[rows_id[part][:, None] == cols_id[None, :]] = -2.0
+    for part in _chunks(len(rows), len(cols)):
+        sims = _cosines(rows, cols, part)
+        if exclude == "own":
+            sims[rows.ids[part][:, None] == cols.ids[None, :]] = -2.0
+        elif exclude == "later":
+            sims[rows.ids[part][:, None] <= cols.ids[None, :]] = -2.0
         r, c = np.nonzero(sims >= floor)
         s = sims[r, c]
         order = np.lexsort((c, -s, r))
         r, c, s = r[order], c[order], s[order]
         rank = np.arange(len(r)) - np.searchsorted(r, r)
         keep = rank < cap
-        out.append((rows_id[part][r[keep]], cols_id[c[keep]], s[keep]))
+        out.append((rows.ids[part][r[keep]], cols.ids[c[keep]], s[keep]))
     return out
 
 
 _PAIRS = "rep bigint, other bigint, sim double"
 
 
-def _top_pairs(floor: float, cap: int, both_ways: bool):
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(pdf)
-        if len(left) == 0 or (right is not None and len(right) == 0):
-            return pd.DataFrame({"rep": [], "other": [], "sim": []})
-        li, lv = left["rep"].to_numpy(), _matrix(left)
+def _top_pairs(floor: float, cap: int, both_ways: bool, exclude: str = "own"):
+    def kernel(table: pa.Table) -> pa.Table:
+        left, right = _sides(table)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if right is None:
-            found = _best(li, lv, li, lv, floor, cap)
-        else:
-            ri, rv = right["rep"].to_numpy(), _matrix(right)
-            found = _best(ri, rv, li, lv, floor, cap)
+            found += _best(left, left, floor, cap, exclude)
+        elif len(left) and len(right):
+            found += _best(right, left, floor, cap, exclude)
             if both_ways:
-                found += _best(li, lv, ri, rv, floor, cap)
+                found += _best(left, right, floor, cap, exclude)
         rep, other, sim = (np.concatenate(x) for x in zip(*found))
-        return pd.DataFrame({"rep": rep, "other": other, "sim": sim})
+        return pa.table({"rep": rep, "other": other, "sim": sim})
 
     return kernel
 
 
-def _keep_top(pairs: DataFrame, key: str, other: str, cap: int) -> DataFrame:
+def keep_top(pairs: DataFrame, key: str, other: str, cap: int) -> DataFrame:
+    """The ``cap`` most similar rows of each key with their rank, ties by the smaller id."""
     order = Window.partitionBy(key).orderBy(F.col("sim").desc(), F.col(other))
     return pairs.withColumn("rk", F.row_number().over(order)).filter(F.col("rk") <= cap)
 
@@ -373,19 +298,15 @@ def group_neighbours(
     """``(rep, other, sim, rk)``: top ``cap`` other groups of each group."""
     if floor <= 0:
         raise ValueError("the similarity floor must be positive")
-    members, units = _block_units(
-        groups.table.select("rep", "vec"), None, groups.groups, 0, floor, grid
-    )
-    pairs = members.groupBy("cell", "a", "b").applyInPandas(
-        _top_pairs(floor, cap, both_ways=True), _PAIRS
-    )
-    return _keep_top(pairs, "rep", "other", cap)
+    members, _ = self_units(groups.table.select("rep", "vec"), groups.groups, floor, grid)
+    pairs = members.groupBy("cell", "a", "b").applyInArrow(_top_pairs(floor, cap, both_ways=True), _PAIRS)
+    return keep_top(pairs, "rep", "other", cap)
 
 
 def _expanded_lists(groups: Groups, pairs: DataFrame, cap: int) -> DataFrame:
     """``(rep, near)``: per group the top ``cap`` rows of other groups, in rank order."""
     ids = groups.table.select(F.col("rep").alias("other"), F.explode("ids").alias("j"))
-    rows = _keep_top(
+    rows = keep_top(
         pairs.select("rep", "other", "sim").join(ids, "other").select("rep", "j", "sim"),
         "rep", "j", cap,
     )
@@ -447,9 +368,33 @@ def neighbours(
 # --- search from a second set ---------------------------------------------------------
 
 
-def _stored(units: DataFrame, *columns: str) -> DataFrame:
-    """Unit vectors written once: the block join reads them for sizes, pivots, cells and units."""
-    return as_table(units.select(F.col("id").alias("rep"), *columns), "units")
+def hashed(units: DataFrame, *columns: str) -> DataFrame:
+    """Unit vectors written once, with a hash that tells which ones can be identical."""
+    return as_table(units.select(F.col("id").alias("rep"), *columns, F.xxhash64("vec").alias("vh")), "units")
+
+
+def top_rows(members: DataFrame, groups: DataFrame, floor: float, k: int, exclude: str = "own") -> DataFrame:
+    """``(i, j, sim, rk)``: for each query of the units its ``k`` nearest rows of ``groups``.
+
+    The homes of the units are vectors with the smallest ids that hold them, ``groups (rep, ids)``, ``k + 1`` of
+    them unless there are fewer. A query's own id, or with ``later`` every id from its own on, is no match.
+    """
+    # A group shows at least one row unless its only one is the query itself.
+    pairs = members.groupBy("cell", "a", "b").applyInArrow(
+        _top_pairs(floor, k + 1, both_ways=False, exclude="later" if exclude == "later" else ""), _PAIRS
+    )
+    near = keep_top(pairs, "rep", "other", k + 1).drop("rk")
+    rows = near.join(groups.select(F.col("rep").alias("other"), F.explode("ids").alias("j")), "other")
+    allowed = F.col("j") < F.col("rep") if exclude == "later" else F.col("j") != F.col("rep")
+    return keep_top(rows.filter(allowed).select("rep", "j", "sim"), "rep", "j", k).select(F.col("rep").alias("i"), "j", "sim", "rk")
+
+
+def _grouped_search(queries: DataFrame, base: DataFrame, floor: float, k: int, grid: Grid, exclude: str) -> DataFrame:
+    groups = group_copies(base, k + 1)
+    distinct = groups.table.withColumn("vh", F.xxhash64("vec")).select("rep", "vec", "vh")
+    cells = build_cells(distinct, groups.groups, dimension(distinct), grid)
+    members, _ = query_units(cells, hashed(queries, "vec"), floor, grid)
+    return top_rows(members, groups.table, floor, k, exclude)
 
 
 def search(
@@ -462,22 +407,21 @@ def search(
     """``(i, j, sim, rk)``: for each query row the ``k`` nearest base rows above the floor.
 
     Both inputs are ``(id, vec)``; a base row with the query's own id is not a match. Identical
-    vectors have a cosine of exactly one and come first, as in :func:`neighbours`.
+    vectors have a cosine of exactly one and come first, as in :func:`neighbours`; a vector that very
+    many base rows share is compared once.
     """
-    b, q = _stored(base, "vec"), _stored(queries, "vec")
-    members, _ = _block_units(b, q, b.count(), q.count(), floor, grid)
-    pairs = members.groupBy("cell", "a", "b").applyInPandas(
-        _top_pairs(floor, k, both_ways=False), _PAIRS
-    )
-    return _keep_top(pairs, "rep", "other", k).select(
-        F.col("rep").alias("i"), F.col("other").alias("j"), "sim", "rk"
-    )
+    return _grouped_search(queries, base, floor, k, grid, "own")
+
+
+def preceding(units: DataFrame, floor: float, k: int, grid: Grid = Grid()) -> DataFrame:
+    """``(i, j, sim, rk)``: for each row the ``k`` nearest of the rows with smaller ids."""
+    return _grouped_search(units, units, floor, k, grid, "later")
 
 
 _NAMES = 1_024
 
 
-def _scope_entries(left: pd.Series, right: pd.Series):
+def _scope_entries(left: list, right: list):
     """``(row, name)`` entries of both sides for the names that occur on both, and their number."""
     sides = []
     for scopes in (left, right):
@@ -514,44 +458,33 @@ def threshold_counts(
     each unit, which returns a row only for query rows with a match in it.
     """
     levels = sorted(thresholds)
-    b, q = _stored(base, "vec", "scope"), _stored(queries, "vec", "scope")
-    members, _ = _block_units(b, q, b.count(), q.count(), levels[0], grid)
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(pdf)
-        if len(left) == 0 or right is None or len(right) == 0:
-            return pd.DataFrame({"id": [], "threshold": [], "n": [], "n_scoped": []})
-        li, lv = left["rep"].to_numpy(), _matrix(left)
-        ri, rv = right["rep"].to_numpy(), _matrix(right)
-        left_scope, right_scope, names = _scope_entries(left["scope"], right["scope"])
-        row_codes, col_codes = _copy_codes(rv, lv)
-        out = []
-        for part in _chunks(len(ri), len(li)):
-            sims = _cosines(rv[part], lv, row_codes[part], col_codes)
-            sims[ri[part][:, None] == li[None, :]] = -2.0
-            shared = np.zeros(sims.shape, dtype=bool)
-            # Some names at a time, so that memory does not follow the vocabulary.
-            for start in range(0, names, _NAMES):
-                held = slice(start, min(names, start + _NAMES))
-                ours = _flags(right_scope, part, held)
-                shared |= (ours @ _flags(left_scope, slice(0, len(li)), held).T) > 0
-            for t in levels:
-                hit = sims >= t
-                n = hit.sum(axis=1)
-                some = n > 0
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "id": ri[part][some],
-                            "threshold": t,
-                            "n": n[some],
-                            "n_scoped": (hit & shared).sum(axis=1)[some],
-                        }
-                    )
-                )
-        return pd.concat(out)
-
-    partial = members.groupBy("cell", "a", "b").applyInPandas(
+    b, q = hashed(base, "vec", "scope"), hashed(queries, "vec", "scope")
+    cells = build_cells(b, b.count(), dimension(b), grid)
+    members, _ = query_units(cells, q, levels[0], grid, ("vh", "scope"))
+
+    def kernel(table: pa.Table) -> pa.Table:
+        left, right = _sides(table)
+        out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if right is not None and len(left) and len(right):
+            left_scope, right_scope, names = _scope_entries(left.scopes, right.scopes)
+            for part in _chunks(len(right), len(left)):
+                sims = _cosines(right, left, part)
+                sims[right.ids[part][:, None] == left.ids[None, :]] = -2.0
+                shared = np.zeros(sims.shape, dtype=bool)
+                # Some names at a time, so that memory does not follow the vocabulary.
+                for start in range(0, names, _NAMES):
+                    held = slice(start, min(names, start + _NAMES))
+                    ours = _flags(right_scope, part, held)
+                    shared |= (ours @ _flags(left_scope, slice(0, len(left)), held).T) > 0
+                for t in levels:
+                    hit = sims >= t
+                    n = hit.sum(axis=1)
+                    some = n > 0
+                    out.append((right.ids[part][some], np.full(some.sum(), t), n[some], (hit & shared).sum(axis=1)[some]))
+        ids, level, n, scoped = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"id": ids, "threshold": level, "n": n, "n_scoped": scoped})
+
+    partial = members.groupBy("cell", "a", "b").applyInArrow(
         kernel, "id bigint, threshold double, n bigint, n_scoped bigint"
     )
     grid_rows = q.select(
@@ -569,17 +502,13 @@ def threshold_counts(
 
 
 def _star_edges(floor: float):
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = _sides(pdf)
-        ids = left["rep"].to_numpy()
-        lv = _matrix(left) if len(left) else np.zeros((0, 1))
-        if right is not None:
-            if len(left) == 0 or len(right) == 0:
-                return pd.DataFrame({"u": [], "v": []})
-            rv = _matrix(right)
-            ids = np.concatenate((ids, right["rep"].to_numpy()))
-        else:
-            rv = lv
+    def kernel(table: pa.Table) -> pa.Table:
+        left, right = _sides(table)
+        none = pa.table({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+        if not len(left) or (right is not None and not len(right)):
+            return none
+        lv, rv = left.vecs, left.vecs if right is None else right.vecs
+        ids = left.ids if right is None else np.concatenate((left.ids, right.ids))
         offset = 0 if right is None else len(left)
         n = len(ids)
         order = np.argsort(ids, kind="stable")
@@ -605,7 +534,7 @@ def _star_edges(floor: float):
             kept.append((moved, order[low[moved]]))
         low = tied(*(np.concatenate(x) for x in zip(*kept))) if kept else rank
         linked = low != rank
-        return pd.DataFrame({"u": ids[linked], "v": ids[order[low[linked]]]})
+        return pa.table({"u": ids[linked], "v": ids[order[low[linked]]]})
 
     return kernel
 
@@ -613,11 +542,5 @@ def _star_edges(floor: float):
 def linkage_edges(groups: Groups, floor: float, grid: Grid = Grid()) -> DataFrame:
     """Edges ``(u, v)`` over group representatives with the same connected components as
     the full graph of pairs at or above the floor, at most one per row and unit."""
-    members, _ = _block_units(
-        groups.table.select("rep", "vec"), None, groups.groups, 0, floor, grid
-    )
-    return (
-        members.groupBy("cell", "a", "b")
-        .applyInPandas(_star_edges(floor), "u bigint, v bigint")
-        .distinct()
-    )
+    members, _ = self_units(groups.table.select("rep", "vec"), groups.groups, floor, grid)
+    return members.groupBy("cell", "a", "b").applyInArrow(_star_edges(floor), "u bigint, v bigint").distinct()

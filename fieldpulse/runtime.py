@@ -50,6 +50,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def published(spark: SparkSession, root: str) -> list[int]:
+    """Versions under ``root`` whose marker is there, from the names of the markers; no table file is opened."""
+    fs, at = hadoop_path(spark, f"{root}/_published")
+    if not fs.exists(at):
+        return []
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(at))
+
+
+def publish(spark: SparkSession, root: str, version: int) -> None:
+    """Make the marker of a version in one step; fails if it is there already."""
+    fs, marker = hadoop_path(spark, f"{root}/_published/{version}")
+    fs.create(marker, False).close()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application cut and wrote to its own folder below the shared one.
 

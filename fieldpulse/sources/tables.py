@@ -4,18 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpulse.runtime import hadoop_path
+from fieldpulse.runtime import hadoop_path, publish, published
 from fieldpulse.schema import TABLES, conform
 
 
-def _versions(spark: SparkSession, root: str, name: str) -> list[int]:
-    """Published versions, from the names of their markers; no table file is opened."""
-    fs, at = hadoop_path(spark, f"{root}/{name}/_published")
-    if not fs.exists(at):
-        return []
-    return sorted(int(f.getPath().getName()) for f in fs.listStatus(at))
-
-
 def save_snapshot(df: DataFrame, root: str, name: str, version: int, keep: int | None = None) -> str:
     """Write one version of a table from the executors, then publish it by an empty marker file.
 
@@ -25,20 +17,20 @@ def save_snapshot(df: DataFrame, root: str, name: str, version: int, keep: int |
     """
     spark = df.sparkSession
     path = f"{root}/{name}/version={version}"
-    if version in _versions(spark, root, name):
+    if version in published(spark, f"{root}/{name}"):
         raise ValueError(f"version {version} of {name} is published already")
     conform(df, name).write.mode("overwrite").parquet(path)
-    fs, marker = hadoop_path(spark, f"{root}/{name}/_published/{version}")
-    fs.create(marker, False).close()
-    for old in _versions(spark, root, name)[: -keep] if keep else ():
-        fs.delete(hadoop_path(spark, f"{root}/{name}/_published/{old}")[1], False)
-        fs.delete(hadoop_path(spark, f"{root}/{name}/version={old}")[1], True)
+    publish(spark, f"{root}/{name}", version)
+    for old in published(spark, f"{root}/{name}")[: -keep] if keep else ():
+        for gone in (f"_published/{old}", f"version={old}"):
+            fs, at = hadoop_path(spark, f"{root}/{name}/{gone}")
+            fs.delete(at, True)
     return path
 
 
 def load_snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """One published version of a table, the newest by default."""
-    there = _versions(spark, root, name)
+    there = published(spark, f"{root}/{name}")
     chosen = max(there, default=None) if version is None else version
     if chosen not in there:
         raise ValueError(f"{name} has no published version" + (f" {version}" if version is not None else ""))

@@ -14,7 +14,7 @@ from fieldpulse.operators.cluster import (
 from fieldpulse.operators.neighbours import Grid, neighbours, pool, search, threshold_counts
 from fieldpulse.runtime import dense_ids
 
-SMALL = Grid(rows_per_cell=20, block_rows=8, max_pivots=6, always_cells=True)
+SMALL = Grid(rows_per_cell=4, block_rows=8, max_coarse=6, part_bytes=700)
 
 
 def points(n, dim=4, seed=0, copies=0):
@@ -181,7 +181,7 @@ def test_identical_vectors_are_alike_to_every_operator(spark):
     rows = [(n, kinds[n % 12 if n % 3 else 0]) for n in range(60)]
     units = pool(spark.createDataFrame(rows, "k bigint, e array<double>"), "k", "e")
     same = {(i, j) for i, a in rows for j, b in rows if i != j and a == b}
-    for grid in (Grid(), Grid(block_rows=5, rows_per_cell=6, always_cells=True)):
+    for grid in (Grid(), Grid(block_rows=5, rows_per_cell=6)):
         for found in (neighbours(units, 1.0, 60, grid), search(units, units, 1.0, 60, grid)):
             got = found.collect()
             assert {(r["i"], r["j"]) for r in got} == same and {r["sim"] for r in got} == {1.0}
