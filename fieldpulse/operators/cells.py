@@ -113,6 +113,8 @@ def _far_apart(sample: np.ndarray, count: int) -> list[int]:
     chosen = [0]
     nearest = sample @ sample[0]
     while len(chosen) < min(count, len(sample)):
+        # Equal vectors may all be as near as can be; none is taken twice.
+        nearest[chosen] = np.inf
         chosen.append(int(nearest.argmin()))
         nearest = np.maximum(nearest, sample @ sample[chosen[-1]])
     return chosen
