@@ -23,7 +23,8 @@ RECALL_RECORD = (
 )
 LISTING_RECORD = "struct<modelYear:string,make:string,model:string>"
 
-LANDING = "make string, query_model string, model_year int, status int, body string"
+# ``landed_seq`` counts responses in the order they were written; feeds landed before it was kept have none.
+LANDING = "make string, query_model string, model_year int, status int, body string, landed_seq bigint"
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:

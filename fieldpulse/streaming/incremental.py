@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fieldpulse.operators.merge import last_wins
 from fieldpulse.operators.normalise import normalise_reports
-from fieldpulse.runtime import as_table, hadoop_path, path_exists
+from fieldpulse.runtime import as_table
 from fieldpulse.sources.landed import LANDING, REPORT_RECORD, open_envelope
 
 
@@ -88,53 +89,15 @@ def release(rows: DataFrame, filed: str, as_of: Column, holdback_days: int) -> t
     return rows.filter(~waits), rows.filter(waits)
 
 
-def merge_sink(
-    path: str,
-    initial: DataFrame,
-    merge: Callable[[DataFrame, DataFrame], DataFrame],
-    keys: list[str],
-    order: list[str],
-) -> Callable[[DataFrame, int], None]:
-    """Micro-batch upsert into a versioned table: ``version=<epoch>`` follows ``version=<epoch - 1>``.
-
-    The batch is reduced to one row per key first. A replayed batch reads the same predecessor
-    and replaces its own version, so it never applies twice. ``initial`` is what came before
-    the stream; the columns of every version are its columns.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = (
-            initial if epoch == 0
-            else spark.read.schema(initial.schema).parquet(f"{path}/version={epoch - 1}")
-        )
-        after = merge(before, last_wins(batch, keys, order))
-        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in initial.schema.fields]
-        after.select(*typed).write.mode("overwrite").parquet(f"{path}/version={epoch}")
-
-    return write
-
-
-def newest_version(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table as the last finished micro-batch left it.
+def report_stream(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
+    """Normalised complaint rows of landed responses, rejects included, as they arrive.
 
-    The version is found among the folder names, by the marker of a finished write; no older file is opened.
+    ``landed_seq`` and ``rec_ord`` tell in which order the records of a micro-batch were delivered.
     """
-    fs, at = hadoop_path(spark, path)
-    names = [f.getPath().getName() for f in fs.listStatus(at)]
-    done = [
-        int(n.partition("=")[2]) for n in names
-        if n.startswith("version=") and path_exists(spark, f"{path}/{n}/_SUCCESS")
-    ]
-    return spark.read.schema(schema).parquet(f"{path}/version={max(done)}")
-
-
-def report_stream(spark: SparkSession, path: str, per_batch: int | None = None) -> DataFrame:
-    """Normalised complaint rows of landed responses, rejects included, as they arrive."""
     reader = spark.readStream.schema(LANDING)
     if per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    records = open_envelope(reader.json(path), REPORT_RECORD, "make", "query_model", "model_year")
+    records = open_envelope(reader.json(path), REPORT_RECORD, "make", "query_model", "model_year", "landed_seq")
     return normalise_reports(records.withColumnRenamed("model_year", "query_year"))
 
 
@@ -183,3 +146,97 @@ def snapshot_changes(before: DataFrame, after: DataFrame, key: str, columns: lis
     return a.join(b, key, "full_outer").select(key, change.alias("change")).filter(
         F.col("change").isNotNull()
     )
+
+
+_CHANGE = "change string, old string, new string, at timestamp, seq bigint"
+
+
+def state_changes(stream: DataFrame, key: str, columns: list[str], at: str, seq: str, gone: str | None = None) -> DataFrame:
+    """``(key, change, old, new, at, seq)``: one event for every real change of ``columns`` of a key.
+
+    The stream delivers sightings of a key, told apart by ``(at, seq)``. The first one is ``added``; a sighting that
+    differs from the one before it is ``changed``; one whose column ``gone`` is true is ``removed``, after
+    which the key may be added again. A sighting that is not newer than the last one seen, as in a delivery
+    that comes twice, is no event. ``old`` and ``new`` are JSON texts of the columns. State is one row per key.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    zone = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    key_type = stream.schema[key].dataType.simpleString()
+    held = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    rows = stream.select(
+        F.col(key), held.alias("now"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.col(seq).cast("bigint").alias("seq"),
+        F.coalesce(F.col(gone) if gone else F.lit(False), F.lit(False)).alias("gone"),
+    )
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, last_us, last_seq = state.get if state.exists else (None, None, None)
+        # Sightings of one key in one micro-batch; the trigger's limit bounds them.
+        seen = pd.concat(list(batches)).sort_values(["us", "seq"], kind="stable")
+        out = []
+        for now, us, number, away in zip(seen["now"], seen["us"].tolist(), seen["seq"].tolist(), seen["gone"].tolist()):
+            if last_us is not None and (us, number) <= (last_us, last_seq):
+                continue
+            now = None if away else now
+            if now != last:
+                kind = "added" if last is None else "removed" if now is None else "changed"
+                out.append((keys[0], kind, last, now, pd.Timestamp(us, unit="us", tz="UTC").tz_convert(zone).tz_localize(None), number))
+            last, last_us, last_seq = now, us, number
+        state.update((last, last_us, last_seq))
+        yield pd.DataFrame(out, columns=["key", "change", "old", "new", "at", "seq"])
+
+    changed = rows.groupBy(key).applyInPandasWithState(
+        step, f"key {key_type}, {_CHANGE}", "last string, us bigint, seq bigint", "append", GroupStateTimeout.NoTimeout
+    )
+    return changed.withColumnRenamed("key", key)
+
+
+def hold_back(stream: DataFrame, key: str, filed: str, days: int, delay: str = "0 seconds", shards: int = 1) -> DataFrame:
+    """Rows of the stream once their holdback is over, with ``release_at`` and ``late``.
+
+    Recent filings are incomplete, so a row waits until the watermark of ``filed`` has passed its filing by ``days``;
+    an event-time timer of its day of filing then releases it. A row that comes after its release time goes
+    on at once and is marked ``late``, so late rows are counted one by one and none is dropped. Rows without a
+    filing date are passed on as not late. What waits is state: it outlives a restart, and each row
+    leaves it once. ``shards`` divides the rows of a day among so many groups.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    held = F.to_json(F.struct(*stream.columns), {"ignoreNullFields": "false"})
+    # Spark drops rows behind the watermark ahead of state with timers. So a row travels without a time, and
+    # its time beside it without the row: times move the watermark, and no row is dropped.
+    time, nothing = F.col(filed).cast("timestamp"), F.lit(None)
+    apart = F.explode(F.array(
+        F.struct(time.alias("at"), nothing.cast("string").alias("row")), F.struct(nothing.cast("timestamp").alias("at"), held.alias("row"))
+    ))
+    rows = stream.select(
+        apart.alias("_r"), F.to_date(time).alias("day"), F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"),
+        F.unix_millis(F.date_add(F.to_date(time), days + 1).cast("timestamp")).alias("due"),
+    ).select(F.col("_r.at").alias("at"), "day", "shard", "due", F.col("_r.row").alias("row")).withWatermark("at", delay)
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            due, waiting = state.get
+            state.remove()
+            yield pd.DataFrame({"row": waiting, "due": due, "late": False})
+            return
+        for seen in batches:
+            seen = seen[seen["row"].notna()]
+            if not len(seen):
+                continue
+            if pd.isna(seen["due"].iloc[0]):
+                yield pd.DataFrame({"row": seen["row"], "due": None, "late": False})
+                continue
+            due = int(seen["due"].iloc[0])
+            if due < state.getCurrentWatermarkMs():
+                yield pd.DataFrame({"row": seen["row"], "due": due, "late": True})
+                continue
+            state.update((due, [*(state.get[1] if state.exists else ()), *seen["row"]]))
+            # Timers lie ahead of the watermark; one that is due at it fires with its next step.
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    released = rows.groupBy("day", "shard").applyInPandasWithState(
+        step, "row string, due bigint, late boolean", "due bigint, waiting array<string>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+    opened = F.from_json("row", stream.schema)
+    return released.select(opened.alias("r"), F.timestamp_millis("due").alias("release_at"), "late").select("r.*", "release_at", "late")

@@ -1,7 +1,9 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
+from fieldpulse.operators.buckets import BucketTable
 from fieldpulse.operators.merge import last_wins, upsert
 from fieldpulse.runtime import scratch_path
 from fieldpulse.streaming.incremental import (
@@ -9,13 +11,13 @@ from fieldpulse.streaming.incremental import (
     counts_over_time,
     epoch_sink,
     filed_once,
+    hold_back,
     landing_stream,
     late_rows,
     lateness,
     latest_epoch,
-    merge_sink,
-    newest_version,
     run_available,
+    state_changes,
 )
 
 SCHEMA = "k bigint, v string, at timestamp, seq bigint"
@@ -42,16 +44,16 @@ def test_counts_equal_batch(spark, tmp_path):
 
 
 def test_merge_equals_batch_and_resumes(spark, tmp_path):
-    path, root, cp = str(tmp_path / "in"), str(tmp_path / "state"), scratch_path(spark, "cp")
-    empty = spark.createDataFrame([], SCHEMA)
+    path, cp = str(tmp_path / "in"), scratch_path(spark, "cp")
+    table = BucketTable(spark, str(tmp_path / "state"), spark.createDataFrame([], SCHEMA).schema, ["k"], 4)
     applied = []
 
     def merge(before, batch):
         applied.append(1)
         return upsert(before, batch, ["k"])
 
-    sink = merge_sink(root, empty, merge, ["k"], ["at", "seq"])
-    state = lambda: {r["k"]: r["v"] for r in newest_version(spark, root, empty.schema).collect()}
+    sink = table.upsert_sink(merge, ["at", "seq"])
+    state = lambda: {r["k"]: r["v"] for r in table.read().collect()}
     run_available(landed(spark, path, BATCHES[:2]), sink, cp)
     assert state() == {1: "c", 2: "b", 3: "d"} and len(applied) == 2
     run_available(landed(spark, path, BATCHES[2:]), sink, cp)
@@ -59,10 +61,54 @@ def test_merge_equals_batch_and_resumes(spark, tmp_path):
     want = last_wins(spark.read.schema(SCHEMA).parquet(path), ["k"], ["at", "seq"])
     done = state()
     assert done == {r["k"]: r["v"] for r in want.collect()}
-    # A batch replayed after a lost acknowledgement leaves the table as it was.
-    replay = spark.createDataFrame([(2, "e", dt.datetime(2024, 1, 1, 2), 5), (1, "f", dt.datetime(2024, 1, 2, 6), 6)], SCHEMA)
+    # A batch replayed after a lost acknowledgement is not even applied.
+    replay = spark.createDataFrame([(2, "other", dt.datetime(2024, 1, 1, 2), 5)], SCHEMA)
+    files = sorted(table.read().inputFiles())
     sink(replay, 2)
-    assert state() == done
+    assert state() == done and len(applied) == 3 and sorted(table.read().inputFiles()) == files
+
+
+def test_a_merge_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    schema = "k bigint, v string"
+    table = BucketTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, ["k"], 32)
+    assert table.read().count() == 0 and table.version() is None and table.manifest() == {}
+    put = lambda before, batch: upsert(before, batch, ["k"])
+    table.merge(spark.range(400).selectExpr("id as k", "'a' as v"), put)
+    before = {f.rsplit("/", 2)[1]: f for f in table.read().inputFiles()}
+    rows = spark.createDataFrame([(7, "b"), (8, "b"), (1_000, "new")], schema)
+    touched = table.merge(rows, put)
+    after = {f.rsplit("/", 2)[1]: f for f in table.read().inputFiles()}
+    assert 1 <= len(touched) <= 3 and len(before) == 32
+    assert {name for name in before if before[name] != after[name]} == {f"bucket={b}" for b in touched}
+    assert table.read().filter("v = 'b'").count() == 2 and table.read().count() == 401
+    # Old versions stay readable until they are dropped; an empty bucket leaves the manifest.
+    assert table.read(0).count() == 400
+    assert table.read_keys(rows).count() == 3 and len(table.read_keys(rows).inputFiles()) <= 3
+    table.merge(rows, lambda current, batch: current.filter("false"))
+    assert set(table.manifest()) == set(range(32)) - set(touched)
+    assert table.drop_unused() == 2 * len(touched) and table.read().count() == 401 - table_rows(spark, touched)
+    assert table.merge(rows.filter("false"), put) == [] and table.version() == 3
+    assert table.merge(rows, put, version=3) == [] and table.version() == 3
+
+
+def table_rows(spark, touched):
+    ids = spark.range(400).union(spark.range(1_000, 1_001))
+    return ids.filter(F.pmod(F.xxhash64("id"), F.lit(32)).isin(touched)).count()
+
+
+def test_a_half_written_merge_is_not_seen_and_a_stray_row_is_refused(spark, tmp_path):
+    schema = "k bigint, v string"
+    table = BucketTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, ["k"], 8)
+    put = lambda before, batch: upsert(before, batch, ["k"])
+    table.merge(spark.range(50).selectExpr("id as k", "'a' as v"), put)
+    spark.range(3).selectExpr("id as k", "'lost' as v", "0 as bucket").write.partitionBy("bucket").parquet(f"{table.root}/data/version=1")
+    assert table.read().filter("v = 'lost'").isEmpty() and table.version() == 0
+    one = spark.createDataFrame([(1, "b")], schema)
+    with pytest.raises(Exception, match="did not touch"):
+        table.merge(one, lambda current, batch: spark.range(50).selectExpr("id as k", "'c' as v"))
+    assert table.version() == 0 and table.read().filter("v = 'a'").count() == 50
+    table.merge(one, put)
+    assert table.read().filter("v = 'b'").count() == 1 and table.read().count() == 50
 
 
 def test_first_filing_only(spark, tmp_path):
@@ -95,3 +141,41 @@ def test_rejects_are_counted_and_a_replay_does_not_count_twice(spark, tmp_path):
     assert got == {None: 2, "bad": 4, "worse": 2}
     kept = spark.read.parquet(out)
     assert sorted((r["k"], r["epoch"]) for r in kept.collect()) == [(1, 0), (1, 1)] and "reject_reason" not in kept.columns
+
+
+def test_changes_are_told_once_and_in_order(spark, tmp_path):
+    """Sightings out of order, repeats, a removal and a return, over micro-batches, a restart and a second delivery."""
+    path, out, cp = str(tmp_path / "in"), scratch_path(spark, "out"), scratch_path(spark, "cp")
+    batches = [[(1, "a", 0, 1), (2, "x", 0, 2), (1, "b", 2, 4), (1, "a", 1, 3)], [(1, "b", 3, 5), (2, "gone", 4, 6), (2, "gone", 5, 7)]]
+    later = [[(1, "b", 2, 4), (1, "c", 1, 2), (2, "x", 6, 8)], [(1, "a", 9, 9), (2, None, 9, 10)]]
+    for rows in (batches, later, []):
+        stream = landed(spark, path, rows).withColumn("away", F.col("v") == "gone")
+        changes = state_changes(stream, "k", ["v"], "at", "seq", "away")
+        run_available(changes, epoch_sink(out), cp)
+    schema = changes.schema
+    value = lambda c: F.get_json_object(c, "$.v")
+    got = spark.read.schema(schema).parquet(out).select("k", "seq", "change", value("old"), value("new"))
+    assert sorted(map(tuple, got.collect())) == [
+        (1, 1, "added", None, "a"), (1, 4, "changed", "a", "b"), (1, 9, "changed", "b", "a"),
+        (2, 2, "added", None, "x"), (2, 6, "removed", "x", None), (2, 8, "added", None, "x"), (2, 10, "changed", "x", None),
+    ]
+
+
+def test_holdback_releases_each_row_once_over_restarts(spark, tmp_path):
+    path, cp, schema = str(tmp_path / "in"), scratch_path(spark, "cp"), "k bigint, filed date"
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    runs = [
+        [(1, day(0)), (2, day(0)), (3, day(3)), (4, None)],
+        [(5, day(9)), (6, day(2)), (6, day(2))],
+        [(7, day(1)), (8, day(40))],
+        [],
+    ]
+    seen = []
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        out = scratch_path(spark, "out")
+        released = hold_back(landing_stream(spark, path, schema), "k", "filed", 5, shards=2)
+        run_available(released, epoch_sink(out), cp)
+        seen.append(sorted((r["k"], r["late"]) for r in spark.read.schema(released.schema).parquet(out).collect()))
+    # Day 9 passes the release of days 0 to 2 and not of day 3; day 40 that of all before; 7 came after its release.
+    assert seen == [[(4, False)], [(1, False), (2, False), (6, False), (6, False)], [(3, False), (5, False), (7, True)], []]
