@@ -121,7 +121,30 @@ select count(*) as rows_loaded, count(*) filter (where is_vehicle) as rows_vehic
 from raw""",
 )
 def backfill_funnel(spark: SparkSession, sf: str) -> DataFrame:
-    return flat.funnel(flat_rows(spark, sf), _FAMILY, _YEARS)
+    """Counts of the feed beside the rows of the table that the backfill wrote, read back."""
+    rows = flat_rows(spark, sf)
+    return flat.funnel(rows, _FAMILY, _YEARS, written=as_table(flat.collapse(rows, _FAMILY, _YEARS), "complaints"))
+
+
+@query(
+    "landing_folders",
+    """select c_mktsegment as make, 'NATION ' || c_nationkey as query_model, year(o_orderdate)::int as model_year, count(*) as records,
+       min(o_orderkey) as first_number
+from orders join customer on c_custkey = o_custkey
+where c_nationkey > 3 and not (o_orderstatus = 'P' and o_orderpriority = '5-LOW') group by all""",
+)
+def landing_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses landed in a folder for every vehicle and year; the keys come back from the folders' names."""
+    path = scratch_path(spark, "folders")
+    vehicles = responses(spark, sf).drop("key_ord")
+    vehicles.repartition("make", "query_model", "model_year").write.partitionBy("make", "query_model", "model_year").json(path)
+    records = landed.open_envelope(
+        landed.read_landing(spark, path), landed.REPORT_RECORD, "make", "query_model", "model_year"
+    )
+    number = F.col("record.odiNumber")
+    return records.filter(number.isNotNull()).groupBy("make", "query_model", "model_year").agg(
+        F.count("*").alias("records"), F.min(number).alias("first_number")
+    )
 
 
 @query(

@@ -20,6 +20,7 @@ from fieldpulse.plans.formation import form_members, formation_pool, member_fact
 from fieldpulse.plans.inbox import ranking, sample_narratives
 from fieldpulse.plans.novelty import (
     INSTRUCTIONS,
+    Assessment,
     assess,
     assessment_report,
     pattern_vehicles,
@@ -710,23 +711,41 @@ from (select s_suppkey as id from supplier) a left join results r on r.id = a.id
 )
 def check_novelty(spark: SparkSession, sf: str) -> DataFrame:
     """Every supplier key asked by name: assessed and unassessed patterns, one that fails, and unknown ids."""
+    outcome = _by_name(spark, sf, _label_patterns(spark, sf))
+    return outcome.results.withColumn("candidates_considered", F.col("candidates_considered").cast("bigint"))
+
+
+def _by_name(spark: SparkSession, sf: str, patterns: DataFrame, more: DataFrame | None = None,
+             members: DataFrame | None = None) -> Assessment:
     asked = b.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
-    notices = _notices(spark, sf)
-    outcome = assess(
-        _label_patterns(spark, sf), _label_members(spark, sf), b.reports(spark, sf, components=False),
+    asked = asked if more is None else asked.union(more)
+    notices, held = _notices(spark, sf), _label_members(spark, sf)
+    return assess(
+        patterns, held if members is None else held.unionByName(members), b.reports(spark, sf, components=False),
         _vectors(spark, sf), notices.drop("embedding"), notices, judge_down_for_one,
         F.lit("2000-02-01 00:00:00").cast("timestamp"), pattern_ids=asked, source="tool",
         answers_path=scratch_path(spark, "answers"), slices=2,
     )
-    return outcome.results.withColumn("candidates_considered", F.col("candidates_considered").cast("bigint"))
 
 
 @query(
     "assessment_report",
-    _JUDGED + """ select count(*) as patterns, count(*) filter (where candidates_considered = 0) as no_candidates,
-       count(*) filter (where verdict = 'novel') as novel, count(*) filter (where verdict = 'known') as known,
-       count(*) filter (where verdict = 'partially_covered') as partially_covered,
-       0::bigint as failed from results""",
+    _JUDGED + """ select count(*) + 2 as patterns, count(*) filter (where r.id <> 3 and candidates_considered = 0) + 2 as no_candidates,
+       count(*) filter (where r.id <> 3 and verdict = 'novel') + 2 as novel,
+       count(*) filter (where r.id <> 3 and verdict = 'known') as known,
+       count(*) filter (where r.id <> 3 and verdict = 'partially_covered') as partially_covered,
+       count(*) filter (where r.id is null or r.id = 3) as failed
+from (select s_suppkey as id from supplier) a left join results r on r.id = a.id""",
 )
 def assessment_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return assessment_report(_assess(spark, sf).results)
+    """The supplier keys asked by name, one of which fails and some unknown, and two patterns whose members have no vector."""
+    bare = spark.range(900_001, 900_003).select("id", F.concat(F.lit("bare "), F.col("id").cast("string")).alias("name"))
+    patterns = _label_patterns(spark, sf).unionByName(bare, allowMissingColumns=True)
+    vectors = b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("o_orderkey"))
+    others = b.table(spark, sf, "orders").join(vectors, "o_orderkey", "left_anti")
+    ends = others.agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+    members = ends.select(F.explode(F.array(
+        F.struct(F.lit(900_001).alias("pattern_id"), F.col("a").alias("odi_number")),
+        F.struct(F.lit(900_002).alias("pattern_id"), F.col("b").alias("odi_number")),
+    )).alias("m")).select(F.col("m.pattern_id").cast("bigint").alias("pattern_id"), "m.odi_number", F.lit(0.5).alias("similarity"))
+    return assessment_report(_by_name(spark, sf, patterns, bare.select("id"), members).results)

@@ -11,6 +11,7 @@ from fieldpulse import settings
 from fieldpulse.catalog import bindings as b
 from fieldpulse.catalog.registry import query
 from fieldpulse.functions.labels import category_label
+from fieldpulse.plans.novelty import batch
 from fieldpulse.plans import inbox as views
 from fieldpulse.plans.scoring import (
     cohorts,
@@ -137,6 +138,17 @@ def inbox_all(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "assessment_batch",
+    f"""with {_SQL_PATTERNS.strip().rstrip(',')}
+select id from (select s.id, row_number() over (order by ratio desc nulls last, s.id) as rn
+                from stored s join scored using (id) where novelty_verdict is null) where rn <= 12""",
+)
+def assessment_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The twelve patterns that a limited batch judges next: no verdict yet, highest ratio first."""
+    return batch(_patterns(spark, sf), limit=12).select("id")
+
+
 @query(
     "inbox_labels",
     f"""with {b.SQL_REPORTS}, {_SQL_PATTERNS}, {_SQL_FACTS}

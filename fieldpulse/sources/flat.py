@@ -94,13 +94,22 @@ def funnel(
     raw: DataFrame,
     models: Iterable[tuple[str, str]] = settings.MODELS,
     years: Iterable[int] = settings.MODEL_YEARS,
+    *,
+    written: DataFrame,
 ) -> DataFrame:
-    """One row of counts from a single scan: loaded, vehicles, scoped, deduped, written."""
+    """One row of counts: loaded, vehicles, scoped and deduped from a scan of the feed, and the rows in ``written``.
+
+    ``written`` is the table as it was read back after the write, so that a loss on the way shows.
+    """
     scope = F.coalesce(in_scope(models, years), F.lit(False))
     stored = F.when(scope & F.col("CDESCR").isNotNull(), F.col("ODINO"))
-    return raw.agg(
+    counts = raw.agg(
         F.count("*").alias("rows_loaded"),
         F.count_if(is_vehicle()).alias("rows_vehicles"),
         F.count_if(scope).alias("rows_scoped"),
         F.count_distinct(stored).alias("complaints_deduped"),
-    ).withColumn("written", F.col("complaints_deduped"))
+    ).withColumn("written", F.lit(0))
+    stored_rows = written.agg(F.count("*").alias("written"))
+    names = counts.columns
+    both = counts.unionByName(stored_rows.select(*[F.lit(0).alias(c) for c in names[:-1]], "written"))
+    return both.agg(*[F.sum(c).alias(c) for c in names])

@@ -48,7 +48,10 @@ def test_flat_scan_and_collapse(spark, tmp_path):
     assert (r["date_of_incident"], r["date_complaint_filed"]) == (None, dt.date(2023, 1, 5))
     assert (r["crash"], r["fire"], r["injuries"], r["deaths"]) == (None, True, None, 1)
     assert "VIN" not in {c.upper() for c in rows[10].asDict()}
-    got = flat.funnel(raw, [("ACME", "Z-9")], [2020, 2021]).first().asDict()
+    written = flat.collapse(raw, [("ACME", "Z-9")], [2020, 2021])
+    got = flat.funnel(raw, [("ACME", "Z-9")], [2020, 2021], written=written).first().asDict()
+    lost = flat.funnel(raw, [("ACME", "Z-9")], [2020, 2021], written=written.limit(0)).first().asDict()
+    assert lost == got | {"written": 0}
     assert got == {"rows_loaded": 8, "rows_vehicles": 7, "rows_scoped": 5, "complaints_deduped": 2, "written": 2}
 
 
