@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ from fieldpulse.catalog import bindings as b
 from fieldpulse.catalog.registry import query, quoted as _quote
 from fieldpulse.functions.vectors import centroids, parse_vector
 from fieldpulse.operators.cells import Grid
-from fieldpulse.operators.cluster import assign_new, connected_components, grow, keep_large, place_arrivals
+from fieldpulse.operators.cluster import assign_new, connected_components, grow, keep_large, linkage_forest, place_arrivals
 from fieldpulse.operators.merge import last_wins
-from fieldpulse.operators.neighbours import neighbours, pool, search, threshold_counts
+from fieldpulse.operators.neighbours import neighbours, pool, scoped_search, search, threshold_counts
 from fieldpulse.operators.vector_index import VectorIndex
 from fieldpulse.plans import formation
+from fieldpulse.plans.coherence import breaking_rank, coherence
 from fieldpulse.plans.formation import form_members, formation_pool, member_facts, pattern_name
 from fieldpulse.plans.inbox import ranking, sample_narratives
 from fieldpulse.plans.novelty import (
@@ -381,6 +383,72 @@ def seed_search(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "scoped_search",
+    f"""with {b.SQL_COMPONENTS},
+base as (
+  select vec_id, embedding::double[] as e, coalesce(components, []::varchar[]) as scope
+  from embeddings left join comp on odi_number = vec_id),
+pairs as (
+  select a.vec_id as i, b.vec_id as j, list_cosine_similarity(a.e, b.e) as sim
+  from base a join base b on a.vec_id <> b.vec_id where list_has_any(a.scope, b.scope))
+select k::bigint as k, i, j, round(sim, 4) as sim, rk::bigint as rk
+from (select *, row_number() over (partition by i order by sim desc, j) as rk from pairs where sim >= 0.05),
+     (select unnest([5, 10, 20]) as k) where rk <= k""",
+)
+def scoped_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest rows among those that share a component, for three lengths of the list."""
+    rows = _scoped(spark, sf)
+    found = as_table(scoped_search(rows, rows, 0.05, 20), "scoped")
+    lengths = F.explode(F.array(*[F.lit(k).cast("bigint") for k in (5, 10, 20)])).alias("k")
+    return found.select(lengths, "i", "j", F.round("sim", 4).alias("sim"), F.col("rk").cast("bigint").alias("rk")).filter("rk <= k")
+
+
+_FLOORS = (0.36, 0.42, 0.48)
+
+
+@query(
+    "linkage_forest",
+    f"""with recursive levels as (select unnest({list(_FLOORS)}::double[]) as level),
+edges as materialized (
+  select level, a.vec_id as u, b.vec_id as v from levels, embeddings a join embeddings b on a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= level),
+reach(level, id, r) as (
+  select level, vec_id, vec_id from embeddings, levels union
+  select reach.level, id, v from reach join edges on u = reach.r and edges.level = reach.level)
+select level, id, min(r)::bigint as component from reach group by all""",
+)
+def forest_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Single linkage at three floors from one forest."""
+    forest = linkage_forest(units(spark, sf), _FLOORS[0])
+    levels = [forest.components(f).select(F.lit(f).alias("level"), "id", "component") for f in _FLOORS]
+    return reduce(DataFrame.unionByName, levels)
+
+
+_COHERENT = """with held as (
+  select label as pattern_id, vec_id, embedding::double[] as e,
+         row_number() over (partition by label order by embedding[1]::double desc, vec_id) as rank from embeddings),
+couples as (
+  select a.pattern_id, a.rank, list_cosine_similarity(a.e, b.e) as sim
+  from held a join held b on a.pattern_id = b.pattern_id and b.rank < a.rank),
+means as (select pattern_id, rank, avg(sim) as mean from couples where rank <= 25 group by all),
+whole as (select pattern_id, avg(sim) as coherence from couples group by 1),
+broken as (select pattern_id, min(rank) as breaks_at from means where mean < 0.0 group by 1)
+select pattern_id::bigint as pattern_id, count(*) as vectors, round(any_value(coherence), 6) as coherence,
+       least(count(*), 25)::bigint as looked_at, any_value(breaks_at)::bigint as breaks_at
+from held left join whole using (pattern_id) left join broken using (pattern_id) group by 1"""
+
+
+@query("pattern_coherence", _COHERENT)
+def pattern_coherence(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean cosine of all pairs of each label, and the rank from which members no longer fit those before."""
+    members, rows = _label_members(spark, sf), as_table(units(spark, sf), "units")
+    both = coherence(members, rows).join(breaking_rank(members, rows, 0.0), "pattern_id")
+    return both.select(
+        "pattern_id", "vectors", F.round("coherence", 6).alias("coherence"), "looked_at", F.col("breaks_at").cast("bigint").alias("breaks_at")
+    )
+
+
 _SHIFT = 1_000_000_000
 _TWICE = f"""
 twice as (

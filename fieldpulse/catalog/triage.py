@@ -11,8 +11,9 @@ from fieldpulse import settings
 from fieldpulse.catalog import bindings as b
 from fieldpulse.catalog.registry import query
 from fieldpulse.functions.labels import category_label
-from fieldpulse.plans.novelty import batch
+from fieldpulse.plans import delay
 from fieldpulse.plans import inbox as views
+from fieldpulse.plans.novelty import batch
 from fieldpulse.plans.scoring import (
     cohorts,
     filing_lag,
@@ -20,6 +21,7 @@ from fieldpulse.plans.scoring import (
     score_patterns,
     scoring_report,
 )
+from fieldpulse.runtime import as_table
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,3 +306,55 @@ def lag(spark: SparkSession, sf: str) -> DataFrame:
         "make", "reports", F.round("mean_days", 6).alias("mean_days"),
         F.col("min_days").cast("bigint").alias("min_days"), F.col("max_days").cast("bigint").alias("max_days"),
     )
+
+
+_START, _AS_OF, _DAYS = dt.date(1995, 1, 1), dt.date(1998, 6, 30), 30
+_WINDOWS = ((_AS_OF - _START).days + 1) // _DAYS
+_TRIANGLE = f"""
+filings as (
+  select o_orderpriority as make, floor(date_diff('day', date '{_START}', o_orderdate::date) / {_DAYS}.0)::int as origin,
+         floor(date_diff('day', date '{_START}', l_shipdate::date) / {_DAYS}.0)::int as filed
+  from lineitem join orders on o_orderkey = l_orderkey),
+cells as (
+  select make, o.origin, d.delay,
+         (select count(*) from filings f where f.make = m.make and f.origin = o.origin and f.filed = o.origin + d.delay) as n
+  from (select distinct make from filings) m, (select unnest(range({_WINDOWS}))::int as origin) o,
+       (select unnest(range({_WINDOWS}))::int as delay) d
+  where o.origin + d.delay < {_WINDOWS}),
+triangle as (select *, sum(n) over (partition by make, origin order by delay)::bigint as known from cells),
+grown as (
+  select a.make, a.delay, sum(b.known) as later, sum(a.known) filter (where b.known is not null) as now
+  from triangle a left join triangle b on b.make = a.make and b.origin = a.origin and b.delay = a.delay + 1 group by all),
+growth as (select make, delay, case when now > 0 then later / now::double else 1.0 end as growth from grown),
+factors as (
+  select make, delay, growth, 1 / product(growth) over (partition by make order by delay rows between current row and unbounded following) as complete
+  from growth)"""
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    lines = b.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), b.day("l_shipdate").alias("filed"))
+    orders = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("make"), b.day("o_orderdate").alias("incident")
+    )
+    return delay.triangle(lines.join(orders, "k"), "incident", "filed", ["make"], _START, _AS_OF, _DAYS)
+
+
+@query("filing_triangle", f"with {_TRIANGLE} select make, origin, delay, n, known from triangle")
+def filing_triangle(spark: SparkSession, sf: str) -> DataFrame:
+    return _cells(spark, sf)
+
+
+@query(
+    "filing_completion",
+    f"""with {_TRIANGLE},
+newest as (select make, origin, max(delay) as delay, arg_max(known, delay) as known from triangle group by all)
+select make, origin, delay, known, round(growth, 6) as growth, round(complete, 6) as complete, round(known / complete, 4) as expected
+from newest join factors using (make, delay)""",
+)
+def filing_completion(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of the newest windows corrected for what is still to be filed."""
+    cells = as_table(_cells(spark, sf), "triangle")
+    growth = delay.completion(cells, ["make"]).select("make", "delay", F.round("growth", 6).alias("growth"))
+    return delay.corrected_counts(cells, ["make"]).join(growth, ["make", "delay"]).select(
+        "make", "origin", "delay", "known", "growth", F.round("complete", 6).alias("complete"), F.round("expected", 4).alias("expected")
+    )

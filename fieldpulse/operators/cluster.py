@@ -8,6 +8,7 @@ the new decisions to the rows that wait for them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -18,6 +19,7 @@ from fieldpulse import settings
 from fieldpulse.operators.neighbours import (
     Grid,
     Groups,
+    forest_edges,
     group_copies,
     head_edges,
     keep_top,
@@ -225,9 +227,24 @@ def connected_components(
 ) -> DataFrame:
     """``(id, component)``: order-independent linkage, named by the smallest id."""
     groups = group_copies(units, 1)
-    edges = linkage_edges(groups, floor, grid)
+    labels = component_labels(groups.table.select(F.col("rep").alias("u")), linkage_edges(groups, floor, grid))
+    return _every_copy(units, groups, labels)
+
+
+def _every_copy(units: DataFrame, groups: Groups, labels: DataFrame) -> DataFrame:
+    """``(id, component)`` of all rows from the labels ``(u, label)`` of their vectors."""
+    named = groups.table.join(labels.select(F.col("u").alias("rep"), F.col("label").alias("component")), "rep")
+    if not groups.has_copies:
+        return named.select(F.col("rep").alias("id"), "component")
+    return with_vector_key(units).join(
+        with_vector_key(named.select("vec", "component")), ["_vh", "vec"]
+    ).select("id", "component")
+
+
+def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(u, label)`` for nodes ``(u)`` under edges ``(u, v)``; a label is the smallest node reachable."""
     both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = cut(groups.table.select(F.col("rep").alias("u"), F.col("rep").alias("label")))
+    labels = cut(nodes.select("u", F.col("u").alias("label")))
     while True:
         offered = (
             both.join(labels.select(F.col("u").alias("v"), "label"), "v")
@@ -245,14 +262,59 @@ def connected_components(
             )
         )
         if labels.filter(F.col("label") != F.col("_was")).isEmpty():
-            break
+            return labels.drop("_was")
         labels = labels.drop("_was")
-    named = groups.table.join(labels.select(F.col("u").alias("rep"), F.col("label").alias("component")), "rep")
-    if not groups.has_copies:
-        return named.select(F.col("rep").alias("id"), "component")
-    return with_vector_key(units).join(
-        with_vector_key(named.select("vec", "component")), ["_vh", "vec"]
-    ).select("id", "component")
+
+
+@dataclass(frozen=True)
+class Forest:
+    """A spanning forest of the greatest similarities: ``edges (u, v, sim)`` over the vectors of ``units``, down to ``floor``."""
+
+    units: DataFrame
+    groups: Groups
+    edges: DataFrame
+    floor: float
+
+    def components(self, floor: float) -> DataFrame:
+        """``(id, component)`` at any floor from the forest's own on, as :func:`connected_components` gives."""
+        if floor < self.floor:
+            raise ValueError(f"the forest was grown down to {self.floor}")
+        nodes = self.groups.table.select(F.col("rep").alias("u"))
+        return _every_copy(self.units, self.groups, component_labels(nodes, self.edges.filter(F.col("sim") >= floor).select("u", "v")))
+
+
+def linkage_forest(units: DataFrame, floor: float, grid: Grid = Grid()) -> Forest:
+    """Single linkage at every floor from ``floor`` on, grown once.
+
+    Every unit of the block join keeps a spanning forest of its own pairs; a pair that it leaves out closes a cycle of
+    pairs at least as similar, so it joins nothing at any floor. Borůvka rounds over what is left
+    take the best edge out of every component until none leads out; components at least halve in a round.
+    """
+    groups = group_copies(units, 1)
+    nodes = groups.table.select(F.col("rep").alias("u"))
+    kept = cut(forest_edges(groups, floor, grid))
+    outer = kept.select("u", "v", "sim", F.col("u").alias("cu"), F.col("v").alias("cv"))
+    chosen = []
+    while True:
+        outer = cut(outer)
+        # A total order of the edges, so that the best edges of a round close no cycle.
+        order = F.struct("sim", -F.least("u", "v"), -F.greatest("u", "v"))
+        edge = F.struct("u", "v", "sim", "cu", "cv")
+        ends = outer.select(F.explode(F.array("cu", "cv")).alias("c"), edge.alias("e"), order.alias("o"))
+        best = cut(ends.groupBy("c").agg(F.max_by("e", "o").alias("e")).select("e.*").distinct())
+        if best.isEmpty():
+            break
+        chosen.append(best.select("u", "v", "sim"))
+        labels = component_labels(
+            best.select("cu").union(best.select("cv")).distinct().toDF("u"), best.select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        )
+        for end in ("cu", "cv"):
+            outer = outer.join(labels.select(F.col("u").alias(end), F.col("label").alias("_l")), end, "left").withColumn(
+                end, F.coalesce("_l", end)
+            ).drop("_l")
+        outer = outer.filter("cu <> cv")
+    edges = reduce(DataFrame.unionByName, chosen) if chosen else kept.limit(0)
+    return Forest(units, groups, edges, floor)
 
 
 def number_patterns(kept: DataFrame) -> DataFrame:

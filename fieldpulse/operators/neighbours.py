@@ -245,18 +245,22 @@ def _cosines(rows: _Side, cols: _Side, part: slice) -> np.ndarray:
     return sims
 
 
-def _best(rows: _Side, cols: _Side, floor: float, cap: int, exclude: str):
+def _best(rows: _Side, cols: _Side, floor: float, cap: int, exclude: str, scoped: bool = False):
     """Top ``cap`` columns per row by similarity, then id.
 
-    ``exclude`` is ``own`` for a row's own id, ``later`` for that and all greater ones, or empty.
+    ``exclude`` is ``own`` for a row's own id, ``later`` for that and all greater ones, or empty. ``scoped`` rows
+    look at columns that share a name with them only.
     """
     out = []
+    mine, theirs, names = _scope_entries(rows.scopes, cols.scopes) if scoped else (None, None, 0)
     for part in _chunks(len(rows), len(cols)):
         sims = _cosines(rows, cols, part)
         if exclude == "own":
             sims[rows.ids[part][:, None] == cols.ids[None, :]] = -2.0
         elif exclude == "later":
             sims[rows.ids[part][:, None] <= cols.ids[None, :]] = -2.0
+        if scoped:
+            sims[~_sharing(mine, theirs, names, part, len(cols))] = -2.0
         r, c = np.nonzero(sims >= floor)
         s = sims[r, c]
         order = np.lexsort((c, -s, r))
@@ -270,14 +274,14 @@ def _best(rows: _Side, cols: _Side, floor: float, cap: int, exclude: str):
 _PAIRS = "rep bigint, other bigint, sim double"
 
 
-def _top_pairs(floor: float, cap: int, both_ways: bool, exclude: str = "own"):
+def _top_pairs(floor: float, cap: int, both_ways: bool, exclude: str = "own", scoped: bool = False):
     def kernel(table: pa.Table) -> pa.Table:
         left, right = _sides(table)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if right is None:
             found += _best(left, left, floor, cap, exclude)
         elif len(left) and len(right):
-            found += _best(right, left, floor, cap, exclude)
+            found += _best(right, left, floor, cap, exclude, scoped)
             if both_ways:
                 found += _best(left, right, floor, cap, exclude)
         rep, other, sim = (np.concatenate(x) for x in zip(*found))
@@ -445,6 +449,30 @@ def _flags(entries, rows: slice, names: slice) -> np.ndarray:
     return m
 
 
+def _sharing(rows, cols, names: int, part: slice, width: int) -> np.ndarray:
+    """Which of the rows ``part`` share a name with which column."""
+    shared = np.zeros((part.stop - part.start, width), dtype=bool)
+    # Some names at a time, so that memory does not follow the vocabulary.
+    for start in range(0, names, _NAMES):
+        held = slice(start, min(names, start + _NAMES))
+        shared |= (_flags(rows, part, held) @ _flags(cols, slice(0, width), held).T) > 0
+    return shared
+
+
+def scoped_search(queries: DataFrame, base: DataFrame, floor: float, k: int, grid: Grid = Grid()) -> DataFrame:
+    """``(i, j, sim, rk)``: for each query row the ``k`` nearest base rows that share a name with it.
+
+    Both inputs are ``(id, vec, scope)`` with ``scope`` an array of names. The scope is tested in the unit, before
+    the cut, so a query gets ``k`` rows wherever so many share a name with it above the floor. A base row with
+    the query's own id is not a match; ties go to the smaller id.
+    """
+    b, q = hashed(base, "vec", "scope"), hashed(queries, "vec", "scope")
+    cells = build_cells(b, b.count(), dimension(b), grid)
+    members, _ = query_units(cells, q, floor, grid, ("vh", "scope"))
+    pairs = members.groupBy("cell", "a", "b").applyInArrow(_top_pairs(floor, k, both_ways=False, scoped=True), _PAIRS)
+    return keep_top(pairs, "rep", "other", k).select(F.col("rep").alias("i"), F.col("other").alias("j"), "sim", "rk")
+
+
 def threshold_counts(
     queries: DataFrame,
     base: DataFrame,
@@ -470,12 +498,7 @@ def threshold_counts(
             for part in _chunks(len(right), len(left)):
                 sims = _cosines(right, left, part)
                 sims[right.ids[part][:, None] == left.ids[None, :]] = -2.0
-                shared = np.zeros(sims.shape, dtype=bool)
-                # Some names at a time, so that memory does not follow the vocabulary.
-                for start in range(0, names, _NAMES):
-                    held = slice(start, min(names, start + _NAMES))
-                    ours = _flags(right_scope, part, held)
-                    shared |= (ours @ _flags(left_scope, slice(0, len(left)), held).T) > 0
+                shared = _sharing(right_scope, left_scope, names, part, len(left))
                 for t in levels:
                     hit = sims >= t
                     n = hit.sum(axis=1)
@@ -544,3 +567,40 @@ def linkage_edges(groups: Groups, floor: float, grid: Grid = Grid()) -> DataFram
     the full graph of pairs at or above the floor, at most one per row and unit."""
     members, _ = self_units(groups.table.select("rep", "vec"), groups.groups, floor, grid)
     return members.groupBy("cell", "a", "b").applyInArrow(_star_edges(floor), "u bigint, v bigint").distinct()
+
+
+def _tree_edges(floor: float):
+    def kernel(table: pa.Table) -> pa.Table:
+        left, right = _sides(table)
+        none = pa.table({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), "sim": np.zeros(0)})
+        if not len(left) or (right is not None and not len(right)):
+            return none
+        sides = [left] if right is None else [left, right]
+        ids, vecs = np.concatenate([s.ids for s in sides]), np.concatenate([s.vecs for s in sides])
+        n, border = len(ids), len(left)
+        # From any row outwards, always over the best edge; below the floor the next tree begins.
+        best, over, free = np.full(n, -np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+        out = []
+        while free.any():
+            at = int(np.where(free, best, -np.inf).argmax()) if np.isfinite(best[free]).any() else int(free.argmax())
+            if best[at] >= floor:
+                out.append((ids[over[at]], ids[at], best[at]))
+            free[at] = False
+            # In a unit of two blocks only pairs across them count; the others have units of their own.
+            across = slice(0, n) if right is None else slice(border, n) if at < border else slice(0, border)
+            sims = vecs[across] @ vecs[at]
+            better = (sims >= floor) & (sims > best[across]) & free[across]
+            best[across][better] = sims[better]
+            over[across][better] = at
+        if not out:
+            return none
+        u, v, sim = zip(*out)
+        return pa.table({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "sim": np.array(sim)})
+
+    return kernel
+
+
+def forest_edges(groups: Groups, floor: float, grid: Grid = Grid()) -> DataFrame:
+    """Edges ``(u, v, sim)`` that have, at every level from the floor on, the connected components of all pairs."""
+    members, _ = self_units(groups.table.select("rep", "vec"), groups.groups, floor, grid)
+    return members.groupBy("cell", "a", "b").applyInArrow(_tree_edges(floor), "u bigint, v bigint, sim double")
