@@ -13,45 +13,122 @@ from fieldpulse.llm.rows import map_texts, text_or_empty
 from fieldpulse.runtime import as_table
 
 MIN_COSINE = 0.8
-LICENSE_FILES = r"^((un)?licen[sc]e|copying)([.-].*)?$"
+LICENSE_FILES = r"^([a-z0-9.]+-)?((un)?licen[sc]es?|copying)([.-].*)?$"
+# Of two licences whose closeness to a passage differs by less, neither is taken for the other.
+MARGIN = 0.002
 
-# Notices that the licences ask to be placed in files, and the usual short forms.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+    "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(thing: str, kind: str, version: str, colon: str) -> str:
+    """The header that the GNU licences ask for, by kind and version."""
+    return (
+        f"This {thing} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {kind} "
+        f"License as published by the Free Software Foundation; either version {version} of the License, or (at your "
+        "option) any later version."
+    )
+
+
+# Titles, headers and defining paragraphs of the licences, and the usual short notices. Numbers that
+# a notice holds must stand in a passage too; clauses are given without theirs.
 TEMPLATES: Mapping[str, Sequence[str]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+        "compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+        "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY "
+        "KIND, either express or implied. See the License for the specific language governing permissions and "
+        "limitations under the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "The MIT License (MIT)",
+        _MIT,
+        _MIT + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject "
+        "to the following conditions:",
         "SPDX-License-Identifier: MIT",
     ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        _BSD, _BSD + _BSD_END,
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met",
+        _BSD + _BSD_NAMES, _BSD + _BSD_NAMES + _BSD_END,
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
+    "ISC": (
+        "Licensed under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        _gnu("program", "General Public", "3", ":"),
         "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        _gnu("program", "General Public", "2", ";"),
         "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
+    "LGPL-3.0": (
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        _gnu("library", "Lesser General Public", "3", ":"),
+    ),
+    "LGPL-2.1": (
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        _gnu("library", "Lesser General Public", "2.1", ";"),
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        _gnu("program", "Affero General Public", "3", ":"),
     ),
-    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
     ),
     "CC-BY-4.0": (
@@ -72,6 +149,7 @@ TEMPLATES: Mapping[str, Sequence[str]] = {
 }
 
 _WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
+_NUMBER = r"[0-9]+(?:[.][0-9]+)*"
 
 
 def _terms(text: str) -> list[str]:
@@ -154,14 +232,19 @@ def _candidates(files: DataFrame, weight: dict[str, float], unknown: float, min_
     return map_texts(files, run, "path string, passage int, norm double, terms array<struct<term: string, w: double>>")
 
 
-def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, min_cosine: float = MIN_COSINE) -> DataFrame:
+def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, min_cosine: float = MIN_COSINE,
+            margin: float = MARGIN) -> DataFrame:
     """``(path, license, cosine)`` of each file with a passage near a template; ties go to the smaller name.
 
+    A passage must hold the numbers of a template, so no version is taken for another. A passage
+    goes to the closest licence; it says nothing if a second one is closer than ``margin`` to the first.
     ``files`` is ``(path, text, whole)``. Terms are weighted by count times ``ln((1+N)/(1+n)) + 1``
     with ``n`` of all ``N`` passages of the corpus holding the term; a term of no template weighs as
     one that no passage holds, so foreign words always lower the cosine.
     """
     spark = files.sparkSession
+    import re
+
     spelled = [(name, k, _terms(t)) for name, texts in templates.items() for k, t in enumerate(texts)]
     vocabulary = sorted({w for _, _, words in spelled for w in words})
     # One number per template term, whatever the size of the corpus.
@@ -172,16 +255,24 @@ def notices(files: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES
     for name, k, words in spelled:
         counted = {w: words.count(w) * weight[w] for w in words}
         norm = sum(v * v for v in counted.values()) ** 0.5
-        rows += [(name, k, w, v / norm) for w, v in counted.items()]
-    vectors = F.broadcast(spark.createDataFrame(rows, "license string, template int, term string, unit double"))
+        numbers = {w for w in counted if re.fullmatch(_NUMBER, w)}
+        rows += [(name, k, w, v / norm, w in numbers, len(numbers)) for w, v in counted.items()]
+    vectors = F.broadcast(spark.createDataFrame(
+        rows, "license string, template int, term string, unit double, number boolean, numbers int"
+    ))
     found = _candidates(files, weight, log(1 + total) + 1, min_cosine)
     cosine = F.sum(F.col("w") * F.col("unit")) / F.first("norm")
     near = (
         found.select("path", "passage", "norm", F.inline("terms")).join(vectors, "term")
-        .groupBy("path", "passage", "license", "template").agg(cosine.alias("cosine"))
-        .filter(F.round("cosine", 9) >= min_cosine)
+        .groupBy("path", "passage", "license", "template")
+        .agg(F.round(cosine, 9).alias("cosine"), F.count_if("number").alias("held"), F.first("numbers").alias("numbers"))
+        .filter((F.col("cosine") >= min_cosine) & (F.col("held") == F.col("numbers")))
+        .groupBy("path", "passage", "license").agg(F.max("cosine").alias("cosine"))
     )
-    best = near.groupBy("path", "license").agg(F.max(F.round("cosine", 9)).alias("cosine"))
+    # Few licences are near to one passage.
+    ranked = near.groupBy("path", "passage").agg(F.sort_array(F.collect_list(F.struct("cosine", "license")), False).alias("r"))
+    clear = (F.size("r") < 2) | (F.try_element_at("r", F.lit(1))["cosine"] - F.try_element_at("r", F.lit(2))["cosine"] >= margin)
+    best = ranked.filter(clear).select("path", F.col("r")[0]["license"].alias("license"), F.col("r")[0]["cosine"].alias("cosine"))
     return best.groupBy("path").agg(F.min_by(F.struct("license", "cosine"), F.struct(-F.col("cosine"), "license")).alias("b")).select("path", "b.*")
 
 
