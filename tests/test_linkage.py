@@ -3,12 +3,12 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_neighbours import brute_neighbours, frame, listed, points
 
-from fieldpulse.operators.cluster import linkage_forest
-from fieldpulse.operators.neighbours import Grid, scoped_search
+from fieldpulse.operators.neighbours import Grid, _tree_edges, scoped_search
 from fieldpulse.plans.coherence import breaking_rank, coherence
 from fieldpulse.plans.delay import completion, corrected_counts, triangle
 
@@ -24,18 +24,32 @@ def linked(ids, v, floor):
         low = spread
 
 
-def test_one_forest_gives_the_components_of_every_floor(spark):
-    ids, v = points(70, dim=6, seed=5, copies=12)
-    forest = linkage_forest(frame(spark, ids, v), 0.8, Grid(rows_per_cell=9, block_rows=8))
-    assert forest.edges.count() <= forest.groups.groups - 1
+def test_forests_of_units_hold_the_components_of_every_floor():
+    """What the units of several blocks keep, without Spark; the registered query runs the rounds over it."""
+    ids, v = points(70, dim=6, seed=5)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    blocks = np.arange(len(ids)) % 3
+    edges = []
+    for a in range(3):
+        for b in range(a, 3):
+            held = (blocks == a) | (blocks == b)
+            unit = pa.table({
+                "blk": blocks[held].astype(np.int32), "a": np.full(held.sum(), a, np.int32), "b": np.full(held.sum(), b, np.int32),
+                "rep": ids[held], "vec": pa.array(list(u[held])),
+            })
+            kept = _tree_edges(0.8)(unit).to_pylist()
+            assert len(kept) < held.sum()
+            edges += kept
     sizes = set()
-    for floor in (0.8, 0.97):
-        got = {r["id"]: r["component"] for r in forest.components(floor).collect()}
-        assert got == linked(ids, v, floor)
-        sizes.add(len(set(got.values())))
-    assert len(sizes) == 2
-    with pytest.raises(ValueError):
-        forest.components(0.7)
+    for floor in (0.8, 0.9, 0.97, 0.99):
+        low = {int(i): int(i) for i in ids}
+        for _ in ids:
+            for e in edges:
+                if e["sim"] >= floor:
+                    low[e["u"]] = low[e["v"]] = min(low[e["u"]], low[e["v"]])
+        assert low == linked(ids, v, floor)
+        sizes.add(len(set(low.values())))
+    assert len(sizes) == 4
 
 
 def test_scoped_lists_are_full_where_a_filter_after_the_cut_is_not(spark):
