@@ -9,6 +9,7 @@ from fieldpulse.catalog import bindings as b
 from fieldpulse.catalog.registry import query
 from fieldpulse.functions.labels import rate_ratio, severity
 from fieldpulse.operators import merge
+from fieldpulse.plans import agreement as digests
 from fieldpulse.plans.profile import feed_agreement
 from fieldpulse.runtime import scratch_path
 from fieldpulse.schema import TABLES, Table, cascade, conform, violations
@@ -431,3 +432,33 @@ def agreement(spark: SparkSession, sf: str) -> DataFrame:
     )
     rows = feed_agreement(left, right, "k", ["status", "d"])
     return rows.withColumns({c: F.round(c, 6) for c in ("status_match", "d_match")})
+
+
+@query(
+    "feed_agreement_digests",
+    """with ends as (select max(o_orderdate::date) as last_day, max(o_totalprice) as dearest from orders),
+refreshed as (
+  select o_orderkey as k, o_orderstatus as status,
+         case when o_totalprice = dearest then o_orderdate::date + 1 else o_orderdate::date end as d
+  from orders, ends where o_orderdate::date < last_day),
+both_feeds as (
+  select o.o_orderkey, k, o_orderstatus = status as same_status, o_orderdate::date = d as same_day
+  from orders o full join refreshed on k = o_orderkey)
+select count(*) as keys, count(*) filter (where k is not null and o_orderkey is not null) as in_both,
+       count(*) filter (where k is null) as left_only, count(*) filter (where o_orderkey is null) as right_only,
+       round(avg(same_status::int::double) filter (where k is not null and o_orderkey is not null), 9) as status_match,
+       round(avg(same_day::int::double) filter (where k is not null and o_orderkey is not null), 9) as d_match
+from both_feeds""",
+)
+def agreement_by_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders against an earlier delivery of them, which lacks the last day and dates the dearest order a day later."""
+    orders = b.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), b.day("o_orderdate").alias("d"), "o_totalprice"
+    )
+    last_day, dearest = orders.agg(F.max("d"), F.max("o_totalprice")).first()
+    dated = F.when(F.col("o_totalprice") == F.lit(dearest), F.date_add("d", 1)).otherwise(F.col("d"))
+    earlier = orders.filter(F.col("d") < F.lit(last_day)).withColumn("d", dated)
+    left, right = (
+        digests.store(df, scratch_path(spark, "feed"), "k", ["status", "d"], 64) for df in (orders, earlier)
+    )
+    return digests.agreement(left, right).withColumns({c: F.round(c, 9) for c in ("status_match", "d_match")})

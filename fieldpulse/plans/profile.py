@@ -34,8 +34,8 @@ def rule_shares(df: DataFrame, text: Column, rules: dict[str, str]) -> DataFrame
     )
 
 
-def feed_agreement(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row: coverage of two feeds on a key and match rate per shared column."""
+def feed_tallies(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row: keys by the feeds that hold them, and per shared column the keys on which both agree."""
     a = left.select(key, F.struct(*columns).alias("a"))
     b = right.select(key, F.struct(*columns).alias("b"))
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
@@ -44,13 +44,20 @@ def feed_agreement(left: DataFrame, right: DataFrame, key: str, columns: list[st
         F.count_if(both).alias("in_both"),
         F.count_if(F.col("b").isNull()).alias("left_only"),
         F.count_if(F.col("a").isNull()).alias("right_only"),
-        *[
-            F.avg(F.when(both, F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).cast("double"))).alias(f"{c}_match")
-            for c in columns
-        ],
+        *[F.count_if(both & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))).alias(f"{c}_match") for c in columns],
     )
 
 
+def match_rates(tallies: DataFrame, columns: list[str]) -> DataFrame:
+    """Agreeing keys as shares of the keys in both feeds, NULL where there are none."""
+    return tallies.withColumns({f"{c}_match": F.try_divide(f"{c}_match", "in_both") for c in columns})
+
+
+def feed_agreement(left: DataFrame, right: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row: coverage of two feeds on a key and match rate per shared column."""
+    return match_rates(feed_tallies(left, right, key, columns), columns)
+
+
 def ingest_report(normalised: DataFrame, arrivals: DataFrame, responses: DataFrame) -> DataFrame:
     """``(metric, detail, n)`` rows of one ingest run.
 
