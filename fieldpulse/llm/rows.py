@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 # Cells of 8 to 16 bytes in memory: a broadcast table stays in the tens of megabytes.
 BROADCAST_CELLS = 4_000_000
 BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 # Name under which a worker process keeps things from task to task.
 MEMORY = "_fieldpulse_worker_memory"
 
@@ -35,7 +36,7 @@ def map_texts(rows: DataFrame, run: Callable[[Iterator], Iterator], schema: str
               remembers: bool = False) -> DataFrame:
     """``mapInArrow`` over rows that hold whole texts, in bounded memory.
 
-    Batches are bounded in bytes, so neither side of the exchange holds more than a few megabytes of
+    Batches are bounded in bytes (:data:`BATCH_BYTES` unless the session has a bound of its own), so neither side of the exchange holds more than a few megabytes of
     texts, however long they are; a text above the bound is a batch of its own. Worker processes
     outlive their tasks: unless ``run`` itself ``remembers``, what an earlier step left in
     :data:`MEMORY` is dropped first, and freed memory goes back to the system afterwards.
@@ -55,7 +56,9 @@ def map_texts(rows: DataFrame, run: Callable[[Iterator], Iterator], schema: str
         except (AttributeError, OSError):
             pass  # a C library without it keeps the memory for its next use
 
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, BATCH_BYTES)
     return rows.mapInArrow(bounded, schema)
 
 

@@ -116,6 +116,18 @@ def scan_new(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RUL
     )
 
 
+def _versions(docs: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    text = text_or_empty(text_col)
+    return docs.select(F.col(path_col).alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
+
+
+def record(docs: DataFrame, ledger_folder: str, path_col: str = "doc_id", text_col: str = "text",
+           rules: Sequence[Rule] = RULES) -> None:
+    """Scan what the ledger does not hold of ``docs`` and ``rules`` and append it, without a result by path."""
+    versions = _versions(docs, path_col, text_col)
+    scan_new(versions, read_ledger(docs.sparkSession, ledger_folder), rules).write.mode("append").parquet(ledger_folder)
+
+
 def scan(docs: DataFrame, ledger_folder: str, path_col: str = "doc_id", text_col: str = "text",
          rules: Sequence[Rule] = RULES) -> DataFrame:
     """One row per input row: ``(path, findings)``; new entries are appended to the ledger.
@@ -127,10 +139,8 @@ def scan(docs: DataFrame, ledger_folder: str, path_col: str = "doc_id", text_col
     repeated rows are returned each. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    text = text_or_empty(text_col)
-    versions = docs.select(F.col(path_col).alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
-    paths = as_table(versions.select("path", "blob"), "secrets-paths")
-    scan_new(versions, read_ledger(spark, ledger_folder), rules).write.mode("append").parquet(ledger_folder)
+    paths = as_table(_versions(docs, path_col, text_col).select("path", "blob"), "secrets-paths")
+    record(docs, ledger_folder, path_col, text_col, rules)
 
     rank = reduce(lambda chain, r: chain.when(F.col("f.rule") == r[1].key, r[0]), enumerate(rules[1:], 1),
                   F.when(F.col("f.rule") == rules[0].key, 0))

@@ -58,3 +58,24 @@ def test_only_unseen_pairs_of_blob_and_rule_version_are_scanned(spark, docs, tmp
     added = read_ledger(spark, folder).select(F.explode("rules").alias("r")).groupBy("r").count().collect()
     assert {r["r"]: r["count"] for r in added} == {"assign@1": first + 1, "access@1": first + 1, "hex@1": first + 1, "hex@2": first + 1}
     assert all(f["stop"] - f["start"] >= 40 for r in again.collect() for f in r["findings"] if f["rule"] == "hex")
+
+
+def test_the_query_scans_only_the_new_rule_the_second_time(spark, docs, tmp_path, monkeypatch):
+    from fieldpulse.llm import queries, secrets
+
+    _, df = docs
+    plain = {(r["doc_id"], str(r["findings"])) for r in scan(df, str(tmp_path / "plain")).collect()}
+    folder, scanned, once = str(tmp_path / "twice"), [], secrets.scan_new
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    monkeypatch.setattr(queries, "scratch_path", lambda *_: folder)
+
+    def watched(*args):
+        found = once(*args)
+        scanned.append({tuple(r["rules"]) for r in found.select("rules").collect()})
+        return found
+
+    monkeypatch.setattr(secrets, "scan_new", watched)
+    got = queries.secret_scans(spark, "")
+    assert got.count() == df.count()
+    assert scanned == [{("assign@1", "access@1")}, {("hex@1",)}]
+    assert {(r["doc_id"], str(r["findings"])) for r in scan(df, folder).collect()} == plain
