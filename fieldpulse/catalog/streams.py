@@ -225,23 +225,23 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_distinct_users",
-    """with seen as (select distinct event_type, date_trunc('month', ts)::date as month, user_id from events),
-sizes as (select event_type, date_trunc('month', ts)::date as month, count(*) as events, count(distinct user_id) as users from events group by all)
-select event_type, month, events, users,
+    """with seen as (select distinct event_type, ts::date as day, user_id from events),
+sizes as (select event_type, ts::date as day, count(*) as events, count(distinct user_id) as users from events group by all)
+select event_type, day, events, users,
        (select count(*) from seen a join seen b using (event_type, user_id)
-        where a.event_type = s.event_type and a.month = s.month and b.month = s.month - interval 1 month) as returning_users
+        where a.event_type = s.event_type and a.day = s.day and b.day = s.day - 1) as returning_users
 from sizes s""",
 )
 def stream_distinct_users(spark: SparkSession, sf: str) -> DataFrame:
-    """Users of an event type and month, and those seen the month before, from sketches merged over four micro-batches."""
+    """Users of an event type and day, and those seen the day before, from sketches merged over four micro-batches."""
     stream = _landed_events(spark, sf, F.pmod(F.xxhash64("event_id"), F.lit(4)))
-    rows = stream.select("event_type", F.trunc("ts", "month").alias("month"), "user_id")
-    schema = T.StructType.fromDDL(f"event_type string, month date, {FIELDS}")
-    keys = ["event_type", "month"]
+    rows = stream.select("event_type", F.to_date("ts").alias("day"), "user_id")
+    schema = T.StructType.fromDDL(f"event_type string, day date, {FIELDS}")
+    keys = ["event_type", "day"]
     table = BucketTable(spark, scratch_path(spark, "sketches"), schema, keys, 8)
     run_available(rows, sketch_sink(table, keys, "user_id", 18), scratch_path(spark, "progress"))
     now = table.read()
-    before = now.select("event_type", F.add_months("month", 1).alias("month"), F.col("seen").alias("seen_before"))
+    before = now.select("event_type", F.date_add("day", 1).alias("day"), F.col("seen").alias("seen_before"))
     return now.join(before, keys, "left").select(
         *keys, F.col("n").alias("events"), distinct().alias("users"), shared("seen", "seen_before").alias("returning_users")
     )
