@@ -4,13 +4,14 @@ A few coarse pivots, chosen far apart, divide the space; inside each coarse cell
 chosen far apart among four times as many, are the pivots of cells. Coarse pivots number at most the square root of the cells and travel to tasks;
 cells are a table ``(coarse, cell, pivot, radius, rows)`` that meets the rows of its coarse cell only.
 A row visits a cell if a partner within the floor can live there: its radius and the half-space border
-between pivots both have to allow it.
+between pivots both have to allow it. Cells that are small against the whole set share a lot: a row is sent
+once to a lot, however many of its cells it visits, so what moves does not follow the number of cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +32,26 @@ class Grid:
     """Bounds of the block join, in rows or bytes, none of them on the number of cells.
 
     ``max_coarse`` and ``coarse_bytes`` bound the pivots that tasks receive, ``block_rows`` and ``block_bytes`` a side
-    of a unit, ``part_bytes`` the rows of a coarse cell that meet its cells in one group.
+    of a unit, ``part_bytes`` the rows of a coarse cell that meet its cells in one group. Cells share a lot up to
+    one in ``lots`` of all rows.
     """
 
     rows_per_cell: int = 4_096
     max_coarse: int = 1_024
     coarse_bytes: int = 8 << 20
-    block_rows: int = 4_096
+    block_rows: int = 32_768
     block_bytes: int = 32 << 20
     part_bytes: int = 32 << 20
     max_partitions: int = 20_000
+    lots: int = 16
 
     def rows_in_block(self, dim: int) -> int:
         return max(1, min(self.block_rows, self.block_bytes // (8 * max(1, dim))))
 
+    def rows_in_lot(self, n: int, dim: int) -> int:
+        """Rows of a lot, and of a side of a unit, among ``n`` rows: they follow ``n`` up to the bounds of a block."""
+        return min(self.rows_in_block(dim), max(self.rows_per_cell, -(-n // self.lots)))
+
     def rows_in_part(self, dim: int) -> int:
         return max(1, self.part_bytes // (8 * max(1, dim)))
 
@@ -84,14 +91,17 @@ class Reach:
         Rows live with the nearest of ``pivots``. No partner lives in a cell whose pivot is further than the reach
         and the cell's radius, nor beyond a half-space border that is further away than the chord.
         """
-        turned = angles(x, pivots)
-        near, each = turned.argmin(axis=1), np.arange(len(x))
-        squares = 2.0 - 2.0 * np.cos(turned)
+        near_as = np.clip(x @ pivots.T, -1.0, 1.0)
+        near, each = near_as.argmax(axis=1), np.arange(len(x))
+        squares = 2.0 - 2.0 * near_as
         gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T)))
         with np.errstate(divide="ignore", invalid="ignore"):
             border = (squares - squares[each, near][:, None]) / (2.0 * gaps[near])
         # Coinciding pivots give NaN, which must not prune.
-        return (turned <= self.turn + radii[None, :]) & ~(border > self.chord)
+        # An arc of at most the reach and the radius, told by its cosine; cells without rows have a radius of minus infinity.
+        arc = self.turn + radii
+        least = np.where(arc >= np.pi, -1.0, np.where(arc < 0.0, np.inf, np.cos(np.clip(arc, 0.0, np.pi))))
+        return (near_as >= least[None, :]) & ~(border > self.chord)
 
 
 def _with(schema: StructType, *fields: tuple[str, object]) -> StructType:
@@ -164,15 +174,15 @@ def to_coarse(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _meet(rows: DataFrame, cells: DataFrame, counts: DataFrame, part_rows: int, run, schema: StructType) -> DataFrame:
-    """``run(rows, cells)`` for the rows and the cells of each coarse cell, in parts of about ``part_rows`` rows.
+def _meet(rows: DataFrame, cells: DataFrame, counts: DataFrame, part_rows: int, run, schema: StructType, by: str = "coarse") -> DataFrame:
+    """``run(rows, cells)`` for the rows and the cells of each coarse cell or pack, in parts of about ``part_rows`` rows.
 
     ``counts`` is ``(coarse, n)``, at most one row per coarse pivot; a crowded coarse cell is more groups, not a larger one.
     """
-    parts = F.broadcast(counts.select("coarse", F.greatest(F.ceil(F.col("n") / part_rows), F.lit(1)).cast("int").alias("_parts")))
-    left = rows.join(parts, "coarse").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("rep")), F.col("_parts")).cast("int"))
-    right = cells.join(parts, "coarse").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return left.drop("_parts").groupBy("coarse", "part").cogroup(right.drop("_parts").groupBy("coarse", "part")).applyInArrow(run, schema)
+    parts = F.broadcast(counts.select(by, F.greatest(F.ceil(F.col("n") / part_rows), F.lit(1)).cast("int").alias("_parts")))
+    left = rows.join(parts, by).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), F.col("rep")), F.col("_parts")).cast("int"))
+    right = cells.join(parts, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return left.drop("_parts").groupBy(by, "part").cogroup(right.drop("_parts").groupBy(by, "part")).applyInArrow(run, schema)
 
 
 def into_cells(rows: DataFrame, cells: DataFrame, part_rows: int) -> DataFrame:
@@ -199,7 +209,8 @@ def into_cells(rows: DataFrame, cells: DataFrame, part_rows: int) -> DataFrame:
 class Cells:
     """``pivots`` and ``radii`` of the coarse cells, ``table`` of the cells, ``homes``: the rows with ``coarse`` and ``cell``.
 
-    ``single`` is the number of rows if one cell holds them all, so that there is no bound to test.
+    ``single`` is the number of rows if one cell holds them all, so that there is no bound to test. ``lots`` is None as
+    long as every cell stands for itself; see :func:`in_lots`.
     """
 
     pivots: np.ndarray
@@ -207,6 +218,52 @@ class Cells:
     table: DataFrame
     homes: DataFrame
     single: int | None = None
+    lots: Lots | None = None
+
+
+@dataclass(frozen=True)
+class Lots:
+    """``side``: rows of a lot; ``packs``: the pack of each coarse cell; ``several``: whether a pack has more than one lot.
+
+    A pack is coarse cells that share one lot, or one crowded coarse cell with lots of its own.
+    """
+
+    side: int
+    packs: np.ndarray
+    several: np.ndarray
+
+
+def in_lots(cells: Cells, dim: int, grid: Grid) -> Cells:
+    """``cells`` with the number of its lot in place of each cell, in ``table`` and ``homes``.
+
+    Coarse cells that together have no more rows than a lot share one. The cells of a crowded one are dealt to as many lots
+    as its rows ask for, by a hash of their names, so the lot of a row follows from its coarse cell and its cell alone.
+    """
+    if cells.single is not None:
+        return cells
+    held = np.zeros(len(cells.pivots), np.int64)
+    # One row per coarse pivot, at most `Grid.max_coarse`.
+    for r in cells.table.groupBy("coarse").agg(F.sum("rows").alias("n")).collect():
+        held[r["coarse"]] = r["n"]
+    side = grid.rows_in_lot(int(held.sum()), dim)
+    first, dealt, packs, several, lots, room = [], [], [], [], 0, -1
+    for rows in map(int, held):
+        parts = max(1, -(-rows // side))
+        if rows > room:
+            several.append(parts > 1)
+            lots, room = lots + parts, side if parts == 1 else 0
+        # A coarse cell that still finds room is in the newest lot.
+        first.append(lots - parts)
+        dealt.append(parts)
+        packs.append(len(several) - 1)
+        room -= rows if parts == 1 else 0
+    at = F.col("coarse") + 1
+    spread = F.pmod(F.xxhash64(F.lit("lot"), F.col("cell")), F.element_at(F.lit(dealt), at))
+    lot = (F.element_at(F.lit(first), at) + spread).cast("bigint")
+    return replace(
+        cells, table=cells.table.withColumn("cell", lot), homes=cells.homes.withColumn("cell", lot),
+        lots=Lots(side, np.array(packs), np.array(several)),
+    )
 
 
 def coarse_radii(placed: DataFrame, count: int) -> np.ndarray:
@@ -248,16 +305,21 @@ def build_cells(base: DataFrame, n: int, dim: int, grid: Grid, to_keep: bool = F
 
 
 def visits(rows: DataFrame, cells: Cells, floor: float, dim: int, grid: Grid, upward_only: bool) -> DataFrame:
-    """Rows ``(rep, vec, ...)`` with ``cells``: the names of the cells where a partner within the floor may live.
+    """Rows ``(rep, vec, ...)`` with ``cells``: the names of the cells, or lots, where a partner within the floor may live.
 
-    With ``upward_only`` a row that lives in ``cell`` lists cells of higher names only, so that two
-    cells of one set meet once. Rows without a cell to visit drop. Written once, as lists.
+    With ``upward_only`` a row that lives in ``cell`` lists higher names only, so that two cells of one set meet
+    once. Rows without a cell to visit drop. Written once, as lists; a row may come with several lists, which
+    have no name in common.
     """
     if cells.single is not None:
         return rows.withColumn("cells", F.array().cast("array<bigint>") if upward_only else F.array(F.lit(0).cast("bigint")))
-    reach, (pivots, radii) = Reach.of(floor), (cells.pivots, cells.radii)
-    kept = rows.select(*[c for c in rows.columns if c not in ("coarse", "angle")])
-    listed = _with(kept.schema, ("coarses", ArrayType(IntegerType())))
+    reach, (pivots, radii), lots = Reach.of(floor), (cells.pivots, cells.radii), cells.lots
+    packs = np.arange(len(pivots)) if lots is None else lots.packs
+    several = np.ones(len(pivots), bool) if lots is None else lots.several
+    # Lots are numbered from pack to pack, names of cells are not.
+    from_own = upward_only and lots is not None
+    kept = rows.select(*[c for c in rows.columns if c not in ("angle", *(() if from_own else ("coarse",)))])
+    listed = _with(StructType([f for f in kept.schema if f.name != "coarse"]), ("packs", ArrayType(IntegerType())))
 
     def lists(allowed: np.ndarray, names: np.ndarray) -> pa.ListArray:
         at, which = np.nonzero(allowed)
@@ -265,34 +327,50 @@ def visits(rows: DataFrame, cells: Cells, floor: float, dim: int, grid: Grid, up
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(names[which]))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = np.arange(len(pivots), dtype=np.int32)
+        numbers, starts = np.unique(packs, return_index=True)
         for batch in batches:
             x = matrix(batch.column("vec")) if batch.num_rows else np.zeros((0, pivots.shape[1]))
+            own = packs[batch.column("coarse").to_numpy()] if from_own and batch.num_rows else None
             for part in _lines(len(x), len(pivots)):
                 some = batch.slice(part.start, part.stop - part.start)
-                yield _append(some, listed.names, coarses=lists(reach.allows(x[part], pivots, radii), numbers))
+                allowed = np.logical_or.reduceat(reach.allows(x[part], pivots, radii), starts, axis=1)
+                if own is not None:
+                    mine = own[part][:, None]
+                    allowed &= (numbers[None, :] > mine) | (several[None, :] & (numbers[None, :] == mine))
+                yield _append(some, listed.names, packs=lists(allowed, numbers.astype(np.int32)))
 
     sent = as_table(kept.mapInArrow(spread, listed), "cells-sent")
-    exploded = sent.withColumn("coarse", F.explode("coarses")).drop("coarses")
-    counts = exploded.groupBy("coarse").agg(F.count("*").alias("n"))
-    schema = _with(StructType([f for f in exploded.schema if f.name not in ("coarse", "cell")]), ("cells", ArrayType(LongType())))
+    exploded = sent.withColumn("pack", F.explode("packs")).drop("packs")
+    counts = exploded.groupBy("pack").agg(F.count("*").alias("n"))
+    schema = _with(StructType([f for f in exploded.schema if f.name not in ("pack", "cell")]), ("cells", ArrayType(LongType())))
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
-        names = right["cell"].to_numpy() if right.num_rows else np.zeros(0, np.int64)
-        order = np.argsort(names)
         if left.num_rows and right.num_rows:
-            names, bounds, fine = names[order], right["radius"].to_numpy()[order], matrix(right["pivot"])[order]
-            x = matrix(left["vec"])
-            for part in _lines(len(x), len(fine)):
-                allowed = reach.allows(x[part], fine, bounds)
+            # Cells by coarse cell, as the border between two pivots counts only where both are of one.
+            order = np.lexsort((right["cell"].to_numpy(), right["coarse"].to_numpy()))
+            coarse, names, bounds = (right[c].to_numpy()[order] for c in ("coarse", "cell", "radius"))
+            fine, x = matrix(right["pivot"])[order], matrix(left["vec"])
+            targets = np.unique(names)
+            inside, starts = np.unique(coarse, return_index=True)
+            for part in _lines(len(x), max(len(fine), len(pivots))):
+                wide = reach.allows(x[part], pivots, radii)
+                allowed = np.zeros((part.stop - part.start, len(targets)), bool)
+                for number, start, stop in zip(inside, starts, [*starts[1:], len(coarse)]):
+                    near = np.flatnonzero(wide[:, number])
+                    if len(near):
+                        hit = reach.allows(x[part][near], fine[start:stop], bounds[start:stop])
+                        mine, firsts = np.unique(names[start:stop], return_index=True)
+                        at = np.searchsorted(targets, mine)
+                        allowed[near[:, None], at[None, :]] |= np.logical_or.reduceat(hit, firsts, axis=1)
                 if upward_only:
-                    allowed &= names[None, :] > left["cell"].to_numpy()[part][:, None]
+                    allowed &= targets[None, :] > left["cell"].to_numpy()[part][:, None]
                 some = left.slice(part.start, part.stop - part.start)
                 held = allowed.any(axis=1)
-                found.append(_append(some.filter(pa.array(held)), schema.names, cells=lists(allowed[held], names)))
+                found.append(_append(some.filter(pa.array(held)), schema.names, cells=lists(allowed[held], targets)))
         none = _append(left.slice(0, 0), schema.names, cells=pa.array([], pa.list_(pa.int64())))
         return pa.concat_tables([none, *found])
 
-    inside = cells.table.select("coarse", "cell", "pivot", "radius")
-    return as_table(_meet(exploded, inside, counts, grid.rows_in_part(dim), choose, schema), "cells-visits")
+    pack = F.element_at(F.lit([int(p) for p in packs]), F.col("coarse") + 1).cast("int")
+    by_pack = cells.table.select(pack.alias("pack"), "coarse", "cell", "pivot", "radius")
+    return as_table(_meet(exploded, by_pack, counts, grid.rows_in_part(dim), choose, schema, "pack"), "cells-visits")

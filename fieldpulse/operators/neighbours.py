@@ -7,7 +7,7 @@ All neighbour searches share one shape:
 2. group rows live in cells on two levels, whose number follows the rows, and visit the
    other cells that their bounds allow (:mod:`fieldpulse.operators.cells`), so pairs
    that cannot match never meet;
-3. cells and their visitors are cut into blocks of bounded size, and every (block, block)
+3. lots of cells and their visitors are cut into blocks of bounded size, and every (block, block)
    unit is one Spark group whose similarities are a single matrix product;
 4. a unit returns only its partial answer (top-k per row, counts per row, or a
    spanning star), and a second aggregation merges the partial answers exactly.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse import settings
 from fieldpulse.functions.vectors import norm, unit
-from fieldpulse.operators.cells import Cells, Grid, build_cells, matrix, visits
+from fieldpulse.operators.cells import Cells, Grid, build_cells, in_lots, matrix, visits
 from fieldpulse.runtime import as_table
 
 
@@ -97,7 +97,7 @@ def group_copies(units: DataFrame, keep: int) -> Groups:
 
 @dataclass(frozen=True)
 class Load:
-    """Size of a block join: cells, visits to cells, and (block, block) units."""
+    """Size of a block join: cells, visits to lots of them, and (block, block) units."""
 
     cells: int
     visits: int
@@ -117,27 +117,29 @@ def _members(cells: Cells, base: DataFrame, visitors: DataFrame | None, dim: int
     """
     among = visitors is None or "_query" not in visitors.columns
     homes = cells.homes.select("cell", *base.columns).withColumn("visitor", F.lit(False))
-    held = cells.table.select("cell", F.col("rows").alias("h"))
+    held = cells.table.groupBy("cell").agg(F.sum("rows").alias("h"), F.count("*").alias("n")).filter("h > 0")
     if visitors is None:
         spots, sizes = homes, held.withColumn("v", F.lit(0).cast("bigint"))
     else:
         came = visitors.select("rep", "vec", *[c for c in base.columns if c not in ("rep", "vec")], F.explode("cells").alias("cell"))
         counts = visitors.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("v"))
         spots = homes.unionByName(came.withColumn("visitor", F.lit(True)))
-        sizes = held.join(counts, "cell", "left").select("cell", "h", F.coalesce("v", F.lit(0)).alias("v"))
-    rows, own = grid.rows_in_block(dim), F.col("_h") * (F.col("_h") + 1) / 2 if among else F.lit(0)
+        sizes = held.join(counts, "cell", "left").select("cell", "h", "n", F.coalesce("v", F.lit(0)).alias("v"))
+    own = F.col("_h") * (F.col("_h") + 1) / 2 if among else F.lit(0)
     if cells.single is not None:
         came = 0 if visitors is None else visitors.count()
+        rows = grid.rows_in_lot(max(cells.single, came), dim)
         h, v = -(-cells.single // rows), -(-came // rows)
         load = Load(1, came, (h * (h + 1) // 2 if among else 0) + h * v)
         spots = spots.withColumns({"_h": F.lit(h), "_v": F.lit(v)})
     else:
+        rows = grid.rows_in_block(dim) if cells.lots is None else cells.lots.side
         sizes = as_table(sizes.select(
-            "cell", "v", F.ceil(F.col("h") / rows).cast("int").alias("_h"), F.ceil(F.col("v") / rows).cast("int").alias("_v")
+            "cell", "v", "n", F.ceil(F.col("h") / rows).cast("int").alias("_h"), F.ceil(F.col("v") / rows).cast("int").alias("_v")
         ), "cells-sizes")
-        told = sizes.agg(F.count("*").alias("cells"), F.sum("v").alias("visits"), F.sum(own + F.col("_h") * F.col("_v")).alias("units")).first()
-        load = Load(told["cells"], int(told["visits"] or 0), int(told["units"] or 0))
-        spots = spots.join(sizes.drop("v"), "cell")
+        told = sizes.agg(F.sum("n").alias("cells"), F.sum("v").alias("visits"), F.sum(own + F.col("_h") * F.col("_v")).alias("units")).first()
+        load = Load(int(told["cells"] or 0), int(told["visits"] or 0), int(told["units"] or 0))
+        spots = spots.join(sizes.drop("v", "n"), "cell")
 
     spread = F.xxhash64(F.lit("block"), F.col("rep"))
     blk = F.col("blk")
@@ -173,7 +175,7 @@ def _members(cells: Cells, base: DataFrame, visitors: DataFrame | None, dim: int
 def self_units(base: DataFrame, n: int, floor: float, grid: Grid) -> tuple[DataFrame, Load]:
     """Units in which every two rows of ``base (rep, vec, ...)`` that can reach the floor meet once."""
     dim = dimension(base)
-    cells = build_cells(base, n, dim, grid)
+    cells = in_lots(build_cells(base, n, dim, grid), dim, grid)
     met = None if cells.single is not None else visits(cells.homes, cells, floor, dim, grid, upward_only=True)
     return _members(cells, base, met, dim, grid)
 
@@ -181,6 +183,7 @@ def self_units(base: DataFrame, n: int, floor: float, grid: Grid) -> tuple[DataF
 def query_units(cells: Cells, queries: DataFrame, floor: float, grid: Grid, extra: tuple[str, ...] = ("vh",)) -> tuple[DataFrame, Load]:
     """Units in which every query row meets the rows of the cells that its bounds allow."""
     dim = dimension(queries)
+    cells = in_lots(cells, dim, grid)
     came = visits(queries, cells, floor, dim, grid, upward_only=False)
     return query_members(cells, came, dim, grid, extra)
 
@@ -422,11 +425,12 @@ def preceding(units: DataFrame, floor: float, k: int, grid: Grid = Grid()) -> Da
     return _grouped_search(units, units, floor, k, grid, "later")
 
 
-_NAMES = 1_024
+# Places looked at together where scopes are compared.
+_PLACES = 2_000_000
 
 
 def _scope_entries(left: list, right: list):
-    """``(row, name)`` entries of both sides for the names that occur on both, and their number."""
+    """``(row, name)`` entries of ``left``, and the lists of the rows of ``right`` by name, for names on both; their number."""
     sides = []
     for scopes in (left, right):
         rows = np.repeat(np.arange(len(scopes)), [len(s) for s in scopes])
@@ -437,25 +441,25 @@ def _scope_entries(left: list, right: list):
     for rows, names in sides:
         codes = np.array([number.get(c, -1) for c in names], dtype=np.int64)
         out.append((rows[codes >= 0], codes[codes >= 0]))
-    return out[0], out[1], len(common)
-
-
-def _flags(entries, rows: slice, names: slice) -> np.ndarray:
-    """Which of ``names`` each of ``rows`` has, as a small dense matrix."""
-    row, name = entries
-    mine = (row >= rows.start) & (row < rows.stop) & (name >= names.start) & (name < names.stop)
-    m = np.zeros((rows.stop - rows.start, names.stop - names.start), dtype=np.float32)
-    m[row[mine] - rows.start, name[mine] - names.start] = 1.0
-    return m
+    rows, codes = out[1]
+    order = np.argsort(codes, kind="stable")
+    return out[0], (np.searchsorted(codes[order], np.arange(len(common) + 1)), rows[order]), len(common)
 
 
 def _sharing(rows, cols, names: int, part: slice, width: int) -> np.ndarray:
-    """Which of the rows ``part`` share a name with which column."""
+    """Which of the rows ``part`` share a name with which column, from the list of columns of each name."""
     shared = np.zeros((part.stop - part.start, width), dtype=bool)
-    # Some names at a time, so that memory does not follow the vocabulary.
-    for start in range(0, names, _NAMES):
-        held = slice(start, min(names, start + _NAMES))
-        shared |= (_flags(rows, part, held) @ _flags(cols, slice(0, width), held).T) > 0
+    row, name = rows
+    mine = (row >= part.start) & (row < part.stop)
+    row, name = row[mine] - part.start, name[mine]
+    starts, listed = cols
+    sizes = starts[name + 1] - starts[name]
+    ends = np.cumsum(sizes)
+    # Some entries at a time, so that memory does not follow names that very many rows have.
+    for held in np.split(np.arange(len(row)), np.flatnonzero(np.diff(ends // _PLACES)) + 1):
+        n = sizes[held]
+        places = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[name[held]], n)
+        shared[np.repeat(row[held], n), listed[places]] = True
     return shared
 
 
@@ -494,7 +498,7 @@ def threshold_counts(
         left, right = _sides(table)
         out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if right is not None and len(left) and len(right):
-            left_scope, right_scope, names = _scope_entries(left.scopes, right.scopes)
+            right_scope, left_scope, names = _scope_entries(right.scopes, left.scopes)
             for part in _chunks(len(right), len(left)):
                 sims = _cosines(right, left, part)
                 sims[right.ids[part][:, None] == left.ids[None, :]] = -2.0

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldpulse.operators.cells import Cells, Grid, build_cells, coarse_radii, into_cells, to_coarse, visits
+from fieldpulse.operators.cells import Cells, Grid, build_cells, coarse_radii, in_lots, into_cells, to_coarse, visits
 from fieldpulse.operators.neighbours import dimension, group_copies, hashed, query_members, top_rows
 from fieldpulse.runtime import as_table, hadoop_path, published, publish
 
@@ -57,12 +57,13 @@ class VectorIndex:
         path = f"{self.root}/rows"
         return self.spark.read.schema(_ROWS).parquet(path).filter(F.col("batch") <= version)
 
-    def allowed_rows(self, came: DataFrame, version: int, table: DataFrame) -> DataFrame:
-        """The stored rows of the cells in the lists ``came.cells``; other coarse cells are not opened."""
+    def allowed_rows(self, came: DataFrame, version: int, table: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+        """The stored rows of the cells, or lots, in the lists ``came.cells``; other coarse cells are not opened."""
         asked = as_table(came.select(F.explode("cells").alias("cell")).distinct().join(table.select("cell", "coarse"), "cell"), "index-asked")
         # At most `Grid.max_coarse` numbers, so that partitions are pruned before the scan is planned.
         opened = [r["coarse"] for r in asked.select("coarse").distinct().collect()]
-        return self.rows(version).filter(F.col("coarse").isin(opened)).join(asked.select("cell"), "cell", "left_semi")
+        rows = self.rows(version) if rows is None else rows
+        return rows.filter(F.col("coarse").isin(opened)).join(asked.select("cell"), "cell", "left_semi")
 
     def search(self, queries: DataFrame, floor: float, k: int) -> DataFrame:
         """``(i, j, sim, rk)``: for each query row its ``k`` nearest stored rows above the floor, exactly."""
@@ -70,9 +71,10 @@ class VectorIndex:
             raise ValueError(f"the index keeps {self.keep} ids of a vector, too few for k = {k}")
         version = self.version()
         cells = self._cells(version)
+        cells = in_lots(cells, cells.pivots.shape[1], self.grid)
         asked = hashed(queries, "vec")
         came = visits(asked, cells, floor, cells.pivots.shape[1], self.grid, upward_only=False)
-        homes = self.allowed_rows(came, version, cells.table)
+        homes = self.allowed_rows(came, version, cells.table, cells.homes)
         members, _ = query_members(replace(cells, homes=homes), came, cells.pivots.shape[1], self.grid)
         return top_rows(members, homes, floor, k)
 

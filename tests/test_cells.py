@@ -140,3 +140,11 @@ def test_batches_of_arrivals_end_up_as_one(spark):
             owners |= placed
             index.append(batch)
         assert {int(i): owners[int(i)] for i in ids[80:]} == {int(i): want[int(i)] for i in ids[80:]}
+
+
+def test_rows_sent_do_not_follow_the_cells_where_nothing_can_be_pruned(spark):
+    """Three hundred cells that every row may visit: a row is sent to lots of them, not to each."""
+    rng = np.random.default_rng(2)
+    ids, v = np.arange(600), rng.normal(size=(600, 24))
+    _, load = self_units(based(spark, ids, v), 600, 0.05, Grid(rows_per_cell=2))
+    assert load.cells > 200 and load.visits < 20 * 600

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_neighbours import brute_neighbours, frame, listed, points
 
+from fieldpulse.operators import neighbours
 from fieldpulse.operators.neighbours import Grid, _tree_edges, scoped_search
 from fieldpulse.plans.coherence import breaking_rank, coherence
 from fieldpulse.plans.delay import completion, corrected_counts, triangle
@@ -99,3 +100,13 @@ def test_delay_corrects_the_newest_windows(spark):
     assert counts[5] == (8, pytest.approx(16.0)) and counts[4] == (12, pytest.approx(16.0)) and counts[0] == (16, pytest.approx(16.0))
     with pytest.raises(ValueError):
         triangle(df, "i", "f", ["g"], start, start, 10)
+
+
+def test_rows_that_share_a_name_whatever_part_of_the_entries_is_looked_at(monkeypatch):
+    rng = np.random.default_rng(4)
+    left, right = ([[f"n{x}" for x in rng.integers(0, 12, rng.integers(0, 4))] for _ in range(n)] for n in (30, 45))
+    for places in (3, 1_000_000):
+        monkeypatch.setattr(neighbours, "_PLACES", places)
+        rows, cols, names = neighbours._scope_entries(left, right)
+        found = np.concatenate([neighbours._sharing(rows, cols, names, slice(a, a + 10), 45) for a in (0, 10, 20)])
+        assert found.tolist() == [[bool(set(a) & set(c)) for c in right] for a in left]
