@@ -48,21 +48,21 @@ def store(df: DataFrame, root: str, key: str, columns: list[str], buckets: int =
     """Write ``key`` and ``columns`` of ``df`` by bucket, then the digests of what was written.
 
     Rows are dealt to files by adaptive rebalancing, so that a bucket with a key held by very many rows is cut
-    into several files. The digests combine by key, then by bucket, before anything is shuffled.
+    into several files. The digests are of the rows read back: hashes are summed by bucket alone, so that only the
+    counts of a key are held by key, and those are dealt by key, not a bucket to a task.
     """
     if buckets < 1:
         raise ValueError("at least one bucket")
     bucket = F.when(F.col(key).isNull(), KEYLESS).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
     placed = df.select(key, *columns, bucket.alias("bucket")).hint("rebalance", F.col("bucket"))
     placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/rows")
+    feed = Feed(df.sparkSession, root, placed.schema, key, tuple(columns), buckets)
     first, second = _marks([key, *columns])
-    by_key = placed.groupBy("bucket", key).agg(
-        F.count("*").alias("rows"), F.sum(first).alias("first"), F.sum(second).alias("second")
-    )
-    by_key.groupBy("bucket").agg(
-        F.count("*").alias("keys"), F.max("rows").alias("most"), F.sum("first").alias("first"), F.sum("second").alias("second")
-    ).coalesce(1).write.mode("overwrite").parquet(f"{root}/digests")
-    return Feed(df.sparkSession, root, placed.schema, key, tuple(columns), buckets)
+    sums = feed.rows().groupBy("bucket").agg(F.sum(first).alias("first"), F.sum(second).alias("second"))
+    by_key = feed.rows().groupBy("bucket", key).agg(F.count("*").alias("rows"))
+    counts = by_key.groupBy("bucket").agg(F.count("*").alias("keys"), F.max("rows").alias("most"))
+    counts.join(sums, "bucket").coalesce(1).write.mode("overwrite").parquet(f"{root}/digests")
+    return feed
 
 
 def settled_and_open(left: Feed, right: Feed) -> tuple[int, list[int]]:

@@ -99,3 +99,16 @@ def test_shared_values_and_missing_sketches(spark):
     found = by.select(shared("x", "y").alias("xy"), shared("x", "z").alias("xz"), shared("x", "w").alias("xw"), distinct("z").alias("z")).first()
     assert tuple(found) == (20, 0, 0, 0)
     assert sketched(rows.limit(0), ["g"], "v").count() == 0
+
+
+def test_digests_are_of_the_rows_that_were_written(spark):
+    """The feed's rows are made once: a second making of them may differ, and costs the whole feed again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def mark(x):
+        made.add(1)
+        return x
+
+    rows = feed(spark, ROWS).withColumn("a", F.udf(mark, "string")("a"))
+    assert kept(spark, rows).digests().agg(F.sum("keys")).first()[0] == len(ROWS)
+    assert made.value == len(ROWS)
