@@ -150,7 +150,7 @@ def form_patterns(spark: SparkSession, sf: str) -> DataFrame:
     "round(similarity, 4) as similarity from formed",
 )
 def form_patterns_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """The same formation with its ids in ranges of 50 rows, which hand decisions on to each other."""
+    """The same formation with its ids in ranges of 50 rows, or more where that would be very many, which hand decisions on to each other."""
     members, _, _ = form_members(units(spark, sf), FLOOR, CAP, MIN, block_rows=50)
     return members.select("pattern_id", "odi_number", F.round("similarity", 4).alias("similarity"))
 

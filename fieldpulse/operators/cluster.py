@@ -32,6 +32,8 @@ from fieldpulse.operators.vector_index import VectorIndex
 from fieldpulse.runtime import cut, dense_ids
 
 BLOCK_ROWS = 10_000
+# Smaller ranges grow with the rows up to that, so that their rounds stay about this many.
+RANGES = 32
 
 
 def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -64,6 +66,10 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
     return decided
 
 
+def range_count(rows: int, block_rows: int) -> int:
+    return max(1, -(-rows // max(block_rows, min(BLOCK_ROWS, -(-rows // RANGES)))))
+
+
 def resolve_in_order(
     nodes: DataFrame, votes: DataFrame, node_count: int, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -73,11 +79,12 @@ def resolve_in_order(
     or, when NULL, is decided here because ``j`` is a node with a smaller id. A node
     without votes founds a cluster. Ids must not be negative.
 
+    A range has ``block_rows`` rows; one smaller than ``BLOCK_ROWS`` grows with the rows, to one in ``RANGES`` of them at most.
     The lowest unresolved id range always completes, so the number of rounds is at most
     the number of ranges and at most the depth of the graph. A range runs again only when another
     range has decided a row that it waits for.
     """
-    blocks = max(1, -(-node_count // block_rows))
+    blocks = range_count(node_count, block_rows)
     votes = votes.repartitionByRange(blocks, "i").withColumn("block", F.spark_partition_id())
     votes = cut(votes.select("block", "i", "j", "sim", "rk", "cluster"))
     listeners = votes.select("i").distinct()

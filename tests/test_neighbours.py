@@ -9,6 +9,7 @@ from fieldpulse.operators.cluster import (
     connected_components,
     formation_report,
     grow,
+    range_count,
     resolve_in_order,
 )
 from fieldpulse.operators.neighbours import Grid, neighbours, pool, search, threshold_counts
@@ -188,3 +189,8 @@ def test_identical_vectors_are_alike_to_every_operator(spark):
         scoped = units.withColumn("scope", F.array(F.lit("x")))
         counts = {r["id"]: (r["n"], r["n_scoped"]) for r in threshold_counts(scoped, scoped, (1.0,), grid).collect()}
         assert counts == {i: (sum(a == i for a, _ in same),) * 2 for i, _ in rows}
+
+
+def test_small_ranges_grow_with_the_rows():
+    assert [range_count(n, 50) for n in (0, 40, 500, 10_256, 100_000)] == [1, 1, 10, 32, 32]
+    assert range_count(1_000_000, 50) == range_count(1_000_000, 10_000) == 100
