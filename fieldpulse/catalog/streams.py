@@ -148,18 +148,19 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     Every response comes twice, first as a draft; some drafts share a micro-batch with what replaces them. The
     refresh of a stored row without full components fills in the coarse ones.
     """
-    path = scratch_path(spark, "landing")
+    path, progress = scratch_path(spark, "landing"), scratch_path(spark, "progress")
     final = responses(spark, sf).withColumn("landed_seq", F.col("key_ord") + F.lit(1 << 40))
     draft = responses(spark, sf).withColumns(
         {"landed_seq": F.col("key_ord"), "body": F.regexp_replace("body", "Order of", "Draft of")}
     )
     late = F.col("key_ord") % 2 == 0
-    for rows in (draft, final.filter(late).unionByName(draft.filter(late)), final.filter(~late)):
-        rows.drop("key_ord").coalesce(1).write.mode("append").json(path)
     now = F.lit("2000-02-01 00:00:00").cast("timestamp")
     table = BucketTable(spark, scratch_path(spark, "complaints"), TABLES["complaints"].schema, ["odi_number"], 16)
     sink = table.upsert_sink(lambda current, batch: upsert_api(current, batch, now), ["landed_seq", "rec_ord"])
-    run_available(accepted(report_stream(spark, path, per_batch=1)), sink, scratch_path(spark, "progress"))
+    # A delivery is a micro-batch, in as many files as its size asks for.
+    for rows in (draft, final.filter(late).unionByName(draft.filter(late)), final.filter(~late)):
+        rows.drop("key_ord").write.mode("append").json(path)
+        run_available(accepted(report_stream(spark, path)), sink, progress)
     return table.read().select(
         "odi_number", "make", "model", F.col("model_year").cast("bigint").alias("model_year"),
         F.array_join("components_coarse", "|").alias("components_coarse"),

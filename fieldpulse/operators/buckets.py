@@ -83,7 +83,8 @@ class BucketTable:
             placed = after.select(*typed).withColumn("bucket", self._bucket())
             checked = placed.withColumn("bucket", F.when(F.col("bucket").isin(touched), F.col("bucket")).otherwise(strayed.cast("int")))
             target = f"{self.root}/data/version={version}"
-            checked.repartition(min(len(touched), 2_000), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+            # Dealt by adaptive rebalancing, so that a large bucket is several files of bounded size, not one task.
+            checked.hint("rebalance", F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(target)
             fs, at = hadoop_path(self.spark, target)
             written = {int(f.getPath().getName().partition("=")[2]) for f in fs.listStatus(at) if f.isDirectory()}
             held = {b: v for b, v in held.items() if b not in touched} | dict.fromkeys(written, version)
