@@ -174,11 +174,13 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
 select coalesce(reject_reason, 'accepted') as outcome, count(*) as n, true as kept_all from records group by 1""",
 )
 def stream_rejects(spark: SparkSession, sf: str) -> DataFrame:
-    """Several micro-batches, one landed file each: rejects counted by reason, accepted rows passed on."""
-    path, counts, out = (scratch_path(spark, n) for n in ("landing", "rejects", "accepted"))
-    responses(spark, sf).drop("key_ord").repartition(3).write.json(path)
-    stream = report_stream(spark, path, per_batch=1)
-    run_available(stream, counting_sink(epoch_sink(out), counts), scratch_path(spark, "progress"))
+    """Three micro-batches, one delivery each: rejects counted by reason, accepted rows passed on."""
+    path, counts, out, progress = (scratch_path(spark, n) for n in ("landing", "rejects", "accepted", "progress"))
+    landed, sink = responses(spark, sf), counting_sink(epoch_sink(out), counts)
+    for n in range(3):
+        # In as many files as its size asks for.
+        landed.filter(F.pmod(F.xxhash64("key_ord"), F.lit(3)) == n).drop("key_ord").write.mode("append").json(path)
+        run_available(report_stream(spark, path), sink, progress)
     outcome = F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")
     seen = spark.read.parquet(counts).select(outcome, "n", F.lit(0).alias("passed"))
     passed = spark.read.parquet(out).select(F.lit("accepted").alias("outcome"), F.lit(0).alias("n"), F.lit(1).alias("passed"))

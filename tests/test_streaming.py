@@ -179,3 +179,33 @@ def test_holdback_releases_each_row_once_over_restarts(spark, tmp_path):
         seen.append(sorted((r["k"], r["late"]) for r in spark.read.schema(released.schema).parquet(out).collect()))
     # Day 9 passes the release of days 0 to 2 and not of day 3; day 40 that of all before; 7 came after its release.
     assert seen == [[(4, False)], [(1, False), (2, False), (6, False), (6, False)], [(3, False), (5, False), (7, True)], []]
+
+
+def test_a_large_bucket_is_several_files(spark, tmp_path):
+    schema = spark.createDataFrame([], "k bigint, v string").schema
+    table = BucketTable(spark, str(tmp_path / "large"), schema, ["k"], 1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        table.merge(spark.range(0, 8_000, 1, 4).selectExpr("id as k", "sha2(string(id), 256) as v"), lambda current, new: current.unionByName(new))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert table.read().count() == 8_000 and len(table.read().inputFiles()) > 1
+
+
+def test_landed_deliveries_come_in_as_many_files_as_tasks(spark, tmp_path):
+    import glob
+
+    import __spark_entry__ as entry
+
+    spark.sql(
+        "select id as o_orderkey, id % 20 as o_custkey, substr('OFP', int(id % 3) + 1, 1) as o_orderstatus, "
+        "if(id % 2 = 0, '2-HIGH', '5-LOW') as o_orderpriority, timestamp_ntz '1995-01-01' as o_orderdate from range(300)"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select id as c_custkey, 'c' as c_name, 'M' as c_mktsegment, int(id % 3) + 4 as c_nationkey from range(20)").write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    below = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/**/landing-*/*.json".removeprefix("file:")
+    before = set(glob.glob(below, recursive=True))
+    outcomes = entry.queries()["stream_rejects"](spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in outcomes) > 0 and all(r["kept_all"] for r in outcomes)
+    assert len(set(glob.glob(below, recursive=True)) - before) > 3
