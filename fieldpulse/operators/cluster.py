@@ -11,8 +11,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldpulse import settings
@@ -26,14 +28,17 @@ from fieldpulse.operators.neighbours import (
     linkage_edges,
     preceding,
     search,
+    spanning,
     with_vector_key,
 )
 from fieldpulse.operators.vector_index import VectorIndex
-from fieldpulse.runtime import cut, dense_ids
+from fieldpulse.runtime import as_table, cut, dense_ids
 
 BLOCK_ROWS = 10_000
 # Smaller ranges grow with the rows up to that, so that their rounds stay about this many.
 RANGES = 32
+# Edges between components that one group may finish; more are contracted in rounds first.
+TAIL_EDGES = 65_536
 
 
 def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -248,29 +253,87 @@ def _every_copy(units: DataFrame, groups: Groups, labels: DataFrame) -> DataFram
     ).select("id", "component")
 
 
-def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(u, label)`` for nodes ``(u)`` under edges ``(u, v)``; a label is the smallest node reachable."""
-    both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = cut(nodes.select("u", F.col("u").alias("label")))
+def _strongest(outer: DataFrame, order: Column, *columns: str) -> DataFrame:
+    """``(c, d, ...)``: for each component of the edges ``(cu, cv, ...)`` its first one by ``order`` and the other end of it."""
+    ends = outer.select(
+        F.explode(F.array(F.struct(F.col("cu").alias("c"), F.col("cv").alias("d")), F.struct(F.col("cv").alias("c"), F.col("cu").alias("d")))).alias("_e"),
+        order.alias("o"), *columns,
+    )
+    best = ends.groupBy("_e.c").agg(F.max_by(F.struct("_e.d", *columns), "o").alias("_b"))
+    return as_table(best.select("c", "_b.*"), "strongest")
+
+
+def _roots(best: DataFrame) -> DataFrame:
+    """``(c, root)`` where every component ``c`` follows ``d``; only two that follow each other close a cycle.
+
+    Pointers double in a round, so rounds follow the logarithm of the longest way.
+    """
+    other = best.select(F.col("c").alias("d"), F.col("d").alias("_back"))
+    roots = as_table(best.select("c", "d").join(other, "d").select(
+        "c", F.when((F.col("_back") == F.col("c")) & (F.col("c") < F.col("d")), F.col("c")).otherwise(F.col("d")).alias("root")
+    ), "roots")
     while True:
-        offered = (
-            both.join(labels.select(F.col("u").alias("v"), "label"), "v")
-            .groupBy("u")
-            .agg(F.min("label").alias("_offer"))
-        )
-        hooked = labels.join(offered, "u", "left").select(
-            "u", F.col("label").alias("_was"), F.least("label", F.coalesce("_offer", "label")).alias("label")
-        )
-        # Pointer jump: take over the label that the chosen label itself has.
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("_next"))
-        labels = cut(
-            hooked.join(jump, "label").select(
-                "u", F.least("label", "_next").alias("label"), "_was"
-            )
+        ahead = roots.select(F.col("c").alias("root"), F.col("root").alias("_next"))
+        moved = as_table(roots.join(ahead, "root").select("c", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved")), "roots")
+        roots = moved.drop("_moved")
+        if moved.filter("_moved").isEmpty():
+            return roots
+
+
+def _contracted(outer: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges ``(cu, cv, ...)`` between different components once all follow their roots."""
+    for end in ("cu", "cv"):
+        outer = outer.join(roots.toDF(end, "_root"), end).drop(end).withColumnRenamed("_root", end)
+    return outer.filter("cu <> cv")
+
+
+def _one_of_each(outer: DataFrame, order: Column, *columns: str) -> DataFrame:
+    """Of the edges between the same two components the first by ``order``, both ways the same."""
+    pair = (F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv"))
+    if not columns:
+        return outer.select(*pair).distinct()
+    best = outer.select(*pair, order.alias("o"), F.struct(*columns).alias("_b")).groupBy("cu", "cv").agg(F.max_by("_b", "o").alias("_b"))
+    return best.select("cu", "cv", "_b.*")
+
+
+def _tail_labels(table: pa.Table) -> pa.Table:
+    cu, cv = (table[c].to_numpy() for c in ("cu", "cv"))
+    _, ids, lows = spanning(cu, cv, np.zeros(len(cu)))
+    return pa.table({"c": ids, "root": lows})
+
+
+def _tail_edges(table: pa.Table) -> pa.Table:
+    kept, _, _ = spanning(*(table[c].to_numpy() for c in ("cu", "cv", "sim")))
+    return table.take(pa.array(kept)).select(["u", "v", "sim"])
+
+
+def component_labels(nodes: DataFrame, edges: DataFrame, tail_edges: int = TAIL_EDGES) -> DataFrame:
+    """``(u, label)`` for nodes ``(u)`` under edges ``(u, v)``; a label is the smallest node reachable.
+
+    In a round every component follows one of its edges, so those with edges at least halve. The last ``tail_edges``
+    edges at most are one group.
+    """
+    outer = edges.select(F.col("u").alias("cu"), F.col("v").alias("cv")).filter("cu <> cv")
+    order, steps = F.struct(-F.least("cu", "cv"), -F.greatest("cu", "cv")), []
+    while True:
+        outer = as_table(_one_of_each(outer, order), "outer")
+        left = outer.count()
+        if left <= tail_edges:
+            break
+        steps.append(_roots(_strongest(outer, order)))
+        outer = _contracted(outer, steps[-1])
+    if left:
+        steps.append(as_table(outer.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_tail_labels, "c bigint, root bigint"), "roots"))
+    named = nodes.select("u", F.col("u").alias("label"))
+    for step in steps:
+        named = named.join(step.select(F.col("c").alias("label"), F.col("root").alias("_root")), "label", "left").select(
+            "u", F.coalesce("_root", "label").alias("label")
         )
-        if labels.filter(F.col("label") != F.col("_was")).isEmpty():
-            return labels.drop("_was")
-        labels = labels.drop("_was")
+    if not steps:
+        return named
+    named = as_table(named, "named")
+    lowest = named.groupBy("label").agg(F.min("u").alias("_low"))
+    return named.join(lowest, "label").select("u", F.col("_low").alias("label"))
 
 
 @dataclass(frozen=True)
@@ -290,36 +353,26 @@ class Forest:
         return _every_copy(self.units, self.groups, component_labels(nodes, self.edges.filter(F.col("sim") >= floor).select("u", "v")))
 
 
-def linkage_forest(units: DataFrame, floor: float, grid: Grid = Grid()) -> Forest:
+def linkage_forest(units: DataFrame, floor: float, grid: Grid = Grid(), tail_edges: int = TAIL_EDGES) -> Forest:
     """Single linkage at every floor from ``floor`` on, grown once.
 
     Every unit of the block join keeps a spanning forest of its own pairs; a pair that it leaves out closes a cycle of
     pairs at least as similar, so it joins nothing at any floor. Borůvka rounds over what is left
-    take the best edge out of every component until none leads out; components at least halve in a round.
+    take the best edge out of every component and keep the best between any two; components at least halve in a round,
+    and the last ``tail_edges`` edges at most are one group.
     """
     groups = group_copies(units, 1)
-    nodes = groups.table.select(F.col("rep").alias("u"))
-    kept = cut(forest_edges(groups, floor, grid))
-    outer = kept.select("u", "v", "sim", F.col("u").alias("cu"), F.col("v").alias("cv"))
+    kept = as_table(forest_edges(groups, floor, grid), "forest")
+    outer = kept.filter("u <> v").select("u", "v", "sim", F.col("u").alias("cu"), F.col("v").alias("cv"))
+    # A total order of the edges, so that the best edges of a round close no cycle.
+    order, edge = F.struct("sim", -F.least("u", "v"), -F.greatest("u", "v")), ("u", "v", "sim")
     chosen = []
-    while True:
-        outer = cut(outer)
-        # A total order of the edges, so that the best edges of a round close no cycle.
-        order = F.struct("sim", -F.least("u", "v"), -F.greatest("u", "v"))
-        edge = F.struct("u", "v", "sim", "cu", "cv")
-        ends = outer.select(F.explode(F.array("cu", "cv")).alias("c"), edge.alias("e"), order.alias("o"))
-        best = cut(ends.groupBy("c").agg(F.max_by("e", "o").alias("e")).select("e.*").distinct())
-        if best.isEmpty():
-            break
-        chosen.append(best.select("u", "v", "sim"))
-        labels = component_labels(
-            best.select("cu").union(best.select("cv")).distinct().toDF("u"), best.select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        )
-        for end in ("cu", "cv"):
-            outer = outer.join(labels.select(F.col("u").alias(end), F.col("label").alias("_l")), end, "left").withColumn(
-                end, F.coalesce("_l", end)
-            ).drop("_l")
-        outer = outer.filter("cu <> cv")
+    while (left := outer.count()) > tail_edges:
+        best = _strongest(outer, order, *edge)
+        chosen.append(best.select(*edge).distinct())
+        outer = as_table(_one_of_each(_contracted(outer, _roots(best)), order, *edge), "outer")
+    if left:
+        chosen.append(as_table(outer.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_tail_edges, "u bigint, v bigint, sim double"), "tail"))
     edges = reduce(DataFrame.unionByName, chosen) if chosen else kept.limit(0)
     return Forest(units, groups, edges, floor)
 

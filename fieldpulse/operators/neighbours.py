@@ -573,33 +573,66 @@ def linkage_edges(groups: Groups, floor: float, grid: Grid = Grid()) -> DataFram
     return members.groupBy("cell", "a", "b").applyInArrow(_star_edges(floor), "u bigint, v bigint").distinct()
 
 
+def spanning(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the edges of a spanning forest of the greatest similarities, the ids, and the smallest id in the tree of each."""
+    ids, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    order = np.argsort(-sim, kind="stable")
+    a, b = ends[: len(u)][order], ends[len(u) :][order]
+    n, live, chosen, tree = len(ids), np.arange(len(u)), [np.zeros(0, np.int64)], np.arange(len(ids))
+    while True:
+        x, y = tree[a[live]], tree[b[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            break
+        # The first edge out of every tree, in the order of similarity.
+        first = np.full(n, len(u))
+        np.minimum.at(first, x, live)
+        np.minimum.at(first, y, live)
+        out = np.flatnonzero(first < len(u))
+        taken = first[out]
+        chosen.append(np.unique(taken))
+        follows = np.arange(n)
+        follows[out] = tree[a[taken]] + tree[b[taken]] - out
+        # Two that follow each other: the smaller one stays.
+        stays = out[(follows[follows[out]] == out) & (out < follows[out])]
+        follows[stays] = stays
+        while not np.array_equal(follows, follows[follows]):
+            follows = follows[follows]
+        tree = follows[tree]
+    low = np.full(n, n)
+    np.minimum.at(low, tree, np.arange(n))
+    return order[np.concatenate(chosen)], ids, ids[low[tree]]
+
+
+# Pairs that a unit holds before it reduces them to a forest.
+_HELD_PAIRS = 2_000_000
+
+
 def _tree_edges(floor: float):
     def kernel(table: pa.Table) -> pa.Table:
         left, right = _sides(table)
-        none = pa.table({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64), "sim": np.zeros(0)})
-        if not len(left) or (right is not None and not len(right)):
-            return none
-        sides = [left] if right is None else [left, right]
-        ids, vecs = np.concatenate([s.ids for s in sides]), np.concatenate([s.vecs for s in sides])
-        n, border = len(ids), len(left)
-        # From any row outwards, always over the best edge; below the floor the next tree begins.
-        best, over, free = np.full(n, -np.inf), np.zeros(n, np.int64), np.ones(n, bool)
-        out = []
-        while free.any():
-            at = int(np.where(free, best, -np.inf).argmax()) if np.isfinite(best[free]).any() else int(free.argmax())
-            if best[at] >= floor:
-                out.append((ids[over[at]], ids[at], best[at]))
-            free[at] = False
-            # In a unit of two blocks only pairs across them count; the others have units of their own.
-            across = slice(0, n) if right is None else slice(border, n) if at < border else slice(0, border)
-            sims = vecs[across] @ vecs[at]
-            better = (sims >= floor) & (sims > best[across]) & free[across]
-            best[across][better] = sims[better]
-            over[across][better] = at
-        if not out:
-            return none
-        u, v, sim = zip(*out)
-        return pa.table({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "sim": np.array(sim)})
+        cols = left if right is None else right
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+        def reduced() -> tuple[np.ndarray, ...]:
+            edges = tuple(np.concatenate(x) for x in zip(*held))
+            kept = spanning(*edges)[0]
+            return tuple(x[kept] for x in edges)
+
+        pairs = 0
+        for part in _chunks(len(left), len(cols)) if len(cols) else ():
+            sims = left.vecs[part] @ cols.vecs.T
+            r, c = np.nonzero(sims >= floor)
+            if right is None:
+                upper = c > r + part.start
+                r, c = r[upper], c[upper]
+            held.append((left.ids[part][r], cols.ids[c], sims[r, c]))
+            pairs += len(r)
+            if pairs >= _HELD_PAIRS:
+                held, pairs = [reduced()], 0
+        u, v, sim = reduced()
+        return pa.table({"u": u, "v": v, "sim": sim})
 
     return kernel
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from test_neighbours import brute_neighbours, frame, listed, points
 
 from fieldpulse.operators import neighbours
-from fieldpulse.operators.neighbours import Grid, _tree_edges, scoped_search
+from fieldpulse.operators.cluster import component_labels, linkage_forest
+from fieldpulse.operators.neighbours import Grid, _tree_edges, scoped_search, spanning
 from fieldpulse.plans.coherence import breaking_rank, coherence
 from fieldpulse.plans.delay import completion, corrected_counts, triangle
 
@@ -53,6 +54,56 @@ def test_forests_of_units_hold_the_components_of_every_floor():
     assert len(sizes) == 4
 
 
+def started_jobs(spark, group, run):
+    """What ``run`` returns and how many jobs it started."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("tail", [0, 3, 1_000])
+def test_labels_of_long_ways_take_few_rounds(spark, tail):
+    """A way of 150 nodes in ascending order took a round for about every second of them."""
+    way = [(10 * k, 10 * k + 10) for k in range(150)]
+    edges = [*way, *[(5, 7 + 10 * k) for k in range(20)], (9_001, 9_000), (9_001, 9_001)]
+    nodes = sorted({x for e in edges for x in e} | {4, 8_000})
+    labels, jobs = started_jobs(spark, f"way-{tail}", lambda: component_labels(
+        spark.createDataFrame([(n,) for n in nodes], "u bigint"), spark.createDataFrame(edges, "u bigint, v bigint"), tail
+    ).collect())
+    want = {n: 0 if n % 10 == 0 and n <= 1_500 else 5 if n == 5 or n % 10 == 7 else 9_000 if n > 9_000 else n for n in nodes}
+    assert {r["u"]: r["label"] for r in labels} == want
+    assert jobs < 200
+
+
+@pytest.mark.parametrize("tail", [0, 20, 1_000])
+def test_forest_rounds_and_their_tail_give_the_components_of_every_floor(spark, tail):
+    ids, v = points(70, dim=6, seed=5, copies=4)
+    forest = linkage_forest(frame(spark, ids, v), 0.8, Grid(rows_per_cell=30, block_rows=25), tail)
+    edges = forest.edges.collect()
+    assert len({(e["u"], e["v"]) for e in edges}) == len(edges) < len(ids)
+    for floor in (0.8, 0.97):
+        got = {r["id"]: r["component"] for r in forest.components(floor).collect()}
+        assert got == linked(ids, v, floor)
+
+
+def test_spanning_keeps_a_forest_of_the_greatest_sums():
+    rng = np.random.default_rng(8)
+    u, v = rng.integers(0, 60, 400), rng.integers(0, 60, 400)
+    sim = np.round(rng.random(400), 1)
+    kept, ids, lows = spanning(u, v, sim)
+    low, want = {int(i): int(i) for i in ids}, 0.0
+    for e in np.argsort(-sim, kind="stable"):
+        a, b = low[int(u[e])], low[int(v[e])]
+        if a != b:
+            want += sim[e]
+            low = {i: min(a, b) if c in (a, b) else c for i, c in low.items()}
+    assert dict(zip(ids.tolist(), lows.tolist())) == low
+    assert sim[kept].sum() == pytest.approx(want) and len(kept) == len(ids) - len(set(low.values()))
+
+
 def test_scoped_lists_are_full_where_a_filter_after_the_cut_is_not(spark):
     ids, v = points(90, seed=9)
     scope = {int(i): ["A"] if n % 3 else ["B", "C"] if n % 2 else [] for n, i in enumerate(ids)}
