@@ -133,14 +133,35 @@ def key_text(columns: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def violations(name: str, frames: dict[str, DataFrame], tables: dict[str, Table] | None = None) -> DataFrame:
-    """``(rule, key, n)``: broken rules of one table; empty when it is sound."""
+# Rows of a task that counts keys.
+_DEALT_ROWS = 500_000
+
+
+def _dealt(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Rows by key in ``parts`` tasks, ahead of their counting.
+
+    Nearly every key is new, so a count before the shuffle only holds the keys of a whole split, and an explicit
+    number keeps adaptive execution from merging small-looking parts.
+    """
+    return df.repartition(parts, *keys)
+
+
+def violations(
+    name: str, frames: dict[str, DataFrame], tables: dict[str, Table] | None = None, dealt_rows: int = _DEALT_ROWS
+) -> DataFrame:
+    """``(rule, key, n)``: broken rules of one table; empty when it is sound.
+
+    A task counts about ``dealt_rows`` rows of the table or of a parent, so its memory does not follow theirs.
+    """
     registry = TABLES if tables is None else tables
     spec, df = registry[name], frames[name]
+    rows = df.count()
+    parts = max(1, -(-rows // dealt_rows))
     found = []
     for label, cols in [("primary_key", spec.key)] + [("unique", u) for u in spec.unique]:
         found.append(
-            df.groupBy(*cols)
+            _dealt(df.select(*cols), parts, *cols)
+            .groupBy(*cols)
             .agg(F.count("*").alias("n"))
             .filter(F.col("n") > 1)
             .select(
@@ -151,7 +172,7 @@ def violations(name: str, frames: dict[str, DataFrame], tables: dict[str, Table]
         F.array(*[F.when(F.col(c).isNull(), F.lit(f"not_null:{c}")) for c in spec.key + spec.required])
     )
     found.append(
-        df.select(F.explode(missing).alias("rule"), key_text(spec.key).alias("key"))
+        _dealt(df.select(F.explode(missing).alias("rule"), key_text(spec.key).alias("key")), parts, "rule", "key")
         .groupBy("rule", "key")
         .agg(F.count("*").alias("n"))
     )
@@ -159,11 +180,12 @@ def violations(name: str, frames: dict[str, DataFrame], tables: dict[str, Table]
         if parent not in frames:
             continue
         keys = frames[parent].select(*[F.col(p).alias(c) for c, p in zip(cols, parent_cols)])
+        both = max(parts, -(-keys.count() // dealt_rows))
         found.append(
-            df.filter(_present(cols))
+            _dealt(df.select(*cols).filter(_present(cols)), both, *cols)
             .groupBy(*cols)
             .agg(F.count("*").alias("n"))
-            .join(keys, list(cols), "left_anti")
+            .join(_dealt(keys, both, *cols), list(cols), "left_anti")
             .select(
                 F.lit(f"foreign_key:{','.join(cols)}->{parent}").alias("rule"),
                 key_text(cols).alias("key"),

@@ -1,10 +1,11 @@
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldpulse.operators import merge
-from fieldpulse.schema import TABLES, cascade, conform, violations
+from fieldpulse.schema import TABLES, Table, cascade, conform, violations
 from fieldpulse.sources.tables import load_snapshot, save_snapshot
 from fieldpulse.streaming.incremental import snapshot_changes
 
@@ -168,3 +169,24 @@ def test_integrity(spark):
     }
     kept = cascade(members, ("pattern_id",), frames["patterns"], ("id",))
     assert kept.count() == 3
+
+
+def test_keys_are_counted_in_tasks_that_follow_the_rows(spark):
+    """Rows go to tasks by key before they are counted; merged tasks held the keys of all of them."""
+    child = Table("child", "a bigint, b bigint", key=("a", "b"), required=("c",), unique=(("c",),), parents=((("a",), "parent", ("k",)),))
+    rows = [(n % 40 if n else None, n % 3, n // 2 if n % 7 else None) for n in range(120)] + [(1, 1, 999), (1, 1, 999)]
+    frames = {
+        "child": spark.createDataFrame(rows, "a bigint, b bigint, c bigint"),
+        "parent": spark.createDataFrame([(n % 35,) for n in range(90)], "k bigint"),
+    }
+    text = lambda *key: "|".join("" if k is None else str(k) for k in key)
+    want = {("primary_key:a,b", text(*k), n) for k, n in Counter(r[:2] for r in rows).items() if n > 1}
+    want |= {("unique:c", text(k), n) for k, n in Counter(r[2] for r in rows).items() if n > 1}
+    want |= {("not_null:c", text(*k), n) for k, n in Counter(r[:2] for r in rows if r[2] is None).items()}
+    want |= {("not_null:a", text(None, 0), 1)}
+    want |= {("foreign_key:a->parent", text(k), n) for k, n in Counter(r[0] for r in rows).items() if k is not None and k >= 35}
+    found = violations("child", frames, {"child": child}, dealt_rows=10)
+    got = [(r["rule"], r["key"], r["n"]) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("13), REPARTITION_BY_NUM") >= 5 and "ENSURE_REQUIREMENTS" not in plan
