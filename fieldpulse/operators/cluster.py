@@ -90,6 +90,8 @@ def resolve_in_order(
     range has decided a row that it waits for.
     """
     blocks = range_count(node_count, block_rows)
+    # Written once: the ranges are sampled before rows go to them.
+    votes = as_table(votes.select("i", "j", "sim", "rk", "cluster"), "votes")
     votes = votes.repartitionByRange(blocks, "i").withColumn("block", F.spark_partition_id())
     votes = cut(votes.select("block", "i", "j", "sim", "rk", "cluster"))
     listeners = votes.select("i").distinct()

@@ -248,6 +248,35 @@ def _cosines(rows: _Side, cols: _Side, part: slice) -> np.ndarray:
     return sims
 
 
+# Steps of similarity by which entries beyond the cap are told before they are sorted.
+_LEVELS = 64
+
+
+def _top(row: np.ndarray, col: np.ndarray, sim: np.ndarray, rows: int, cap: int) -> np.ndarray:
+    """Places of the ``cap`` best entries of each row by similarity, then column, in that order."""
+    at = np.arange(len(row))
+    if len(row) > 2 * cap * rows:
+        # Whoever has `cap` entries on higher steps cannot be among the best; a sort of all would cost more than the product.
+        low, high = sim.min(), sim.max()
+        level = ((sim - low) * ((_LEVELS - 1) / max(high - low, 1e-12))).astype(np.int64)
+        counts = np.bincount(row * _LEVELS + level, minlength=rows * _LEVELS).reshape(rows, _LEVELS)
+        enough = counts[:, ::-1].cumsum(axis=1) >= cap
+        least = enough.sum(axis=1) - 1
+        at = np.flatnonzero(level >= least[row])
+        row, col, sim = row[at], col[at], sim[at]
+    order = np.lexsort((col, -sim, row))
+    row = row[order]
+    return at[order[np.arange(len(row)) - np.searchsorted(row, row) < cap]]
+
+
+def _reaching(sims: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of the entries from ``floor`` on."""
+    flat = sims.ravel()
+    at = np.flatnonzero(flat >= floor)
+    r = at // max(1, sims.shape[1])
+    return r, at - r * sims.shape[1], flat[at]
+
+
 def _best(rows: _Side, cols: _Side, floor: float, cap: int, exclude: str, scoped: bool = False):
     """Top ``cap`` columns per row by similarity, then id.
 
@@ -257,23 +286,48 @@ def _best(rows: _Side, cols: _Side, floor: float, cap: int, exclude: str, scoped
     out = []
     mine, theirs, names = _scope_entries(rows.scopes, cols.scopes) if scoped else (None, None, 0)
     for part in _chunks(len(rows), len(cols)):
-        sims = _cosines(rows, cols, part)
-        if exclude == "own":
-            sims[rows.ids[part][:, None] == cols.ids[None, :]] = -2.0
-        elif exclude == "later":
-            sims[rows.ids[part][:, None] <= cols.ids[None, :]] = -2.0
-        if scoped:
-            sims[~_sharing(mine, theirs, names, part, len(cols))] = -2.0
-        r, c = np.nonzero(sims >= floor)
-        s = sims[r, c]
-        order = np.lexsort((c, -s, r))
-        r, c, s = r[order], c[order], s[order]
-        rank = np.arange(len(r)) - np.searchsorted(r, r)
-        keep = rank < cap
-        out.append((rows.ids[part][r[keep]], cols.ids[c[keep]], s[keep]))
+        r, c, s = _reaching(_cosines(rows, cols, part), floor)
+        ids = rows.ids[part]
+        if exclude or scoped:
+            held = ids[r] != cols.ids[c] if exclude == "own" else ids[r] > cols.ids[c] if exclude == "later" else np.ones(len(r), bool)
+            if scoped:
+                held &= _sharing(mine, theirs, names, part, len(cols))[r, c]
+            r, c, s = r[held], c[held], s[held]
+        best = _top(r, c, s, len(ids), cap)
+        out.append((ids[r[best]], cols.ids[c[best]], s[best]))
     return out
 
 
+# Entries of the other way that a unit holds before it reduces them to the best.
+_HELD = 2_000_000
+
+
+def _best_both(left: _Side, right: _Side, floor: float, cap: int):
+    """Top ``cap`` of the other side for the rows of both, from one product; no vector is on both sides."""
+    out = []
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    waiting = 0
+
+    def reduced() -> tuple[np.ndarray, ...]:
+        c, r, s = (np.concatenate(x) for x in zip(*held))
+        best = _top(c, r, s, len(left), cap)
+        return c[best], r[best], s[best]
+
+    for part in _chunks(len(right), len(left)):
+        r, c, s = _reaching(right.vecs[part] @ left.vecs.T, floor)
+        s, r = np.minimum(s, _BELOW_ONE), r + part.start
+        some = (s >= floor) & (right.ids[r] != left.ids[c])
+        r, c, s = r[some], c[some], s[some]
+        best = _top(r - part.start, c, s, part.stop - part.start, cap)
+        out.append((right.ids[r[best]], left.ids[c[best]], s[best]))
+        held.append((c, r, s))
+        waiting += len(r)
+        if waiting >= _HELD:
+            held, waiting = [reduced()], 0
+    c, r, s = reduced()
+    return [*out, (left.ids[c], right.ids[r], s)]
+
+
 _PAIRS = "rep bigint, other bigint, sim double"
 
 
@@ -284,9 +338,10 @@ def _top_pairs(floor: float, cap: int, both_ways: bool, exclude: str = "own", sc
         if right is None:
             found += _best(left, left, floor, cap, exclude)
         elif len(left) and len(right):
-            found += _best(right, left, floor, cap, exclude, scoped)
             if both_ways:
-                found += _best(left, right, floor, cap, exclude)
+                found += _best_both(left, right, floor, cap)
+            else:
+                found += _best(right, left, floor, cap, exclude, scoped)
         rep, other, sim = (np.concatenate(x) for x in zip(*found))
         return pa.table({"rep": rep, "other": other, "sim": sim})
 
@@ -605,10 +660,6 @@ def spanning(u: np.ndarray, v: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray,
     return order[np.concatenate(chosen)], ids, ids[low[tree]]
 
 
-# Pairs that a unit holds before it reduces them to a forest.
-_HELD_PAIRS = 2_000_000
-
-
 def _tree_edges(floor: float):
     def kernel(table: pa.Table) -> pa.Table:
         left, right = _sides(table)
@@ -629,7 +680,7 @@ def _tree_edges(floor: float):
                 r, c = r[upper], c[upper]
             held.append((left.ids[part][r], cols.ids[c], sims[r, c]))
             pairs += len(r)
-            if pairs >= _HELD_PAIRS:
+            if pairs >= _HELD:
                 held, pairs = [reduced()], 0
         u, v, sim = reduced()
         return pa.table({"u": u, "v": v, "sim": sim})

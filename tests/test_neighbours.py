@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldpulse.operators import neighbours as neighbour_ops
 from fieldpulse.operators.cluster import (
     assign_new,
     connected_components,
@@ -194,3 +195,35 @@ def test_identical_vectors_are_alike_to_every_operator(spark):
 def test_small_ranges_grow_with_the_rows():
     assert [range_count(n, 50) for n in (0, 40, 500, 10_256, 100_000)] == [1, 1, 10, 32, 32]
     assert range_count(1_000_000, 50) == range_count(1_000_000, 10_000) == 100
+
+
+@pytest.mark.parametrize("held", [5, 10**6])
+def test_one_product_gives_the_best_of_both_sides(monkeypatch, held):
+    """The lists of either side equal those of a product of its own, ties by the smaller id."""
+    monkeypatch.setattr(neighbour_ops, "_HELD", held)
+    monkeypatch.setattr(neighbour_ops, "_chunks", lambda n, width: iter([slice(a, min(n, a + 7)) for a in range(0, n, 7)]))
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=(90, 3)), 0) + 0.01
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.sort(rng.permutation(500)[:90])
+    left, right = (neighbour_ops._Side(ids[s], v[s], None, None) for s in (slice(0, 40), slice(40, 90)))
+    for floor, cap in ((0.1, 2), (0.5, 4), (0.99, 60)):
+        rows = lambda found: [tuple(x) for x in zip(*(np.concatenate(c).tolist() for c in zip(*found)))]
+        want = {}
+        for a, b in ((left, right), (right, left)):
+            for i, x in zip(a.ids.tolist(), a.vecs):
+                sims = np.minimum(b.vecs @ x, np.nextafter(1.0, 0.0))
+                order = sorted((-round(s, 12), j) for s, j in zip(sims, b.ids.tolist()) if s >= floor)
+                want[i] = [s for s, _ in order[:cap]]
+        got = {}
+        for i, _, s in rows(neighbour_ops._best_both(left, right, floor, cap)):
+            got.setdefault(i, []).append(-round(s, 12))
+        assert {i: sorted(l) for i, l in got.items()} == {i: l for i, l in want.items() if l}
+
+
+def test_entries_beyond_the_cap_go_before_the_sort_and_none_of_the_best():
+    rng = np.random.default_rng(3)
+    row, col = (x.ravel() for x in np.indices((20, 300)))
+    for sim in (np.round(rng.random(6_000), 2), np.full(6_000, 0.5), rng.random(6_000)):
+        want = [r * 300 + c for r in range(20) for _, c in sorted((-sim[r * 300 + c], c) for c in range(300))[:7]]
+        assert neighbour_ops._top(row, col, sim, 20, 7).tolist() == want
