@@ -41,16 +41,21 @@ RANGES = 32
 TAIL_EDGES = 65_536
 
 
+_DECIDED = "block int, i bigint, cluster bigint, join_sim double, j bigint, sim double, rk int"
+_DECIDED_COLUMNS = [c.split()[0] for c in _DECIDED.split(", ")]
+
+
 def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Resolve the rows of one id range whose voters are all known.
+    """Resolve the rows of one id range whose voters are all known; the votes of the others are handed back.
 
-    Most votes win, then the strongest match, then the first voter in rank order.
+    Most votes win, then the strongest match, then the first voter in rank order. A decision has no voter: ``rk`` is -1.
     """
     pdf = pdf.sort_values(["i", "rk"], kind="stable")
     row, voter, sims, owners = (pdf[c].tolist() for c in ("i", "j", "sim", "cluster"))
     known: dict[int, int] = {}
     out = []
     start, n = 0, len(row)
+    kept = np.zeros(n, bool)
     while start < n:
         i, end = row[start], start
         support: dict[int, tuple[int, float]] = {}
@@ -61,14 +66,16 @@ def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
             votes, best = support.get(owner, (0, sims[end]))
             support[owner] = (votes + 1, best)
             end += 1
-        if not waits:
+        if waits:
+            kept[start:end] = True
+        else:
             winner = max(support, key=support.get)
             known[i] = winner
             out.append((i, winner, support[winner][1]))
         start = end
     decided = pd.DataFrame(out, columns=["i", "cluster", "join_sim"])
-    decided.insert(0, "block", pdf["block"].iloc[0])
-    return decided
+    decided = decided.assign(block=pdf["block"].iloc[0], j=-1, sim=0.0, rk=-1)
+    return pd.concat([decided, pdf[kept].assign(join_sim=0.0)])[_DECIDED_COLUMNS]
 
 
 def range_count(rows: int, block_rows: int) -> int:
@@ -93,7 +100,7 @@ def resolve_in_order(
     # Written once: the ranges are sampled before rows go to them.
     votes = as_table(votes.select("i", "j", "sim", "rk", "cluster"), "votes")
     votes = votes.repartitionByRange(blocks, "i").withColumn("block", F.spark_partition_id())
-    votes = cut(votes.select("block", "i", "j", "sim", "rk", "cluster"))
+    votes = as_table(votes.select("block", "i", "j", "sim", "rk", "cluster"), "ranges")
     listeners = votes.select("i").distinct()
     founders = nodes.select("i").join(listeners, "i", "left_anti").select(
         "i", F.col("i").alias("cluster"), F.lit(1.0).alias("join_sim")
@@ -102,7 +109,7 @@ def resolve_in_order(
     pending = votes.join(
         listeners.select(F.col("i").alias("j"), F.lit(True).alias("_waits")), "j", "left"
     ).select(
-        "block", "i", "j", "sim", "rk",
+        "block", "i", "j", "sim", F.col("rk").cast("int").alias("rk"),
         F.coalesce("cluster", F.when(F.col("_waits"), F.lit(-1)).otherwise(F.col("j")))
         .cast("bigint").alias("cluster"),
         F.lit(True).alias("_news"),
@@ -110,13 +117,12 @@ def resolve_in_order(
     left = listeners.count()
     resolved = [founders]
     while left:
-        called = pending.filter("_news").select("block").distinct()
-        done = cut(
-            pending.drop("_news").join(called, "block", "left_semi")
-            .repartition(blocks, "block")
-            .groupBy("block")
-            .applyInPandas(_decide, "block int, i bigint, cluster bigint, join_sim double")
+        # Numbers of ranges, at most as many as there are.
+        called = F.col("block").isin([r["block"] for r in pending.filter("_news").select("block").distinct().collect()])
+        looked = as_table(
+            pending.filter(called).drop("_news").repartition(blocks, "block").groupBy("block").applyInPandas(_decide, _DECIDED), "decided"
         )
+        done = looked.filter("rk < 0").select("block", "i", "cluster", "join_sim")
         newly = done.count()
         if newly == 0:
             raise RuntimeError(f"{left} rows cannot be resolved: the votes are not acyclic")
@@ -124,19 +130,21 @@ def resolve_in_order(
         left -= newly
         if len(resolved) > 50:
             # Many rounds: fold their results so that the plan stays short.
-            resolved = [cut(reduce(DataFrame.unionByName, resolved))]
+            resolved = [as_table(reduce(DataFrame.unionByName, resolved), "resolved")]
         if left:
             answers = done.select(F.col("i").alias("j"), F.col("cluster").alias("_known"), F.col("block").alias("_from"))
             told = (F.col("cluster") < 0) & F.col("_known").isNotNull() & (F.col("_from") != F.col("block"))
-            pending = cut(
-                pending.join(done.select("i"), "i", "left_anti")
+            votes = ["block", "i", "j", "sim", "rk", "cluster"]
+            pending = as_table(
+                pending.filter(~called).select(votes).unionByName(looked.filter("rk >= 0").select(votes))
                 .join(answers, "j", "left")
                 .select(
                     "block", "i", "j", "sim", "rk",
                     F.when(F.col("cluster") < 0, F.coalesce("_known", "cluster"))
                     .otherwise(F.col("cluster")).alias("cluster"),
                     F.coalesce(told, F.lit(False)).alias("_news"),
-                )
+                ),
+                "pending",
             )
     return reduce(DataFrame.unionByName, resolved)
 

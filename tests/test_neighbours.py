@@ -1,11 +1,13 @@
 """Exact neighbour join and growth against brute force, with copies, hot groups and small blocks."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fieldpulse.operators import neighbours as neighbour_ops
 from fieldpulse.operators.cluster import (
+    _decide,
     assign_new,
     connected_components,
     formation_report,
@@ -227,3 +229,13 @@ def test_entries_beyond_the_cap_go_before_the_sort_and_none_of_the_best():
     for sim in (np.round(rng.random(6_000), 2), np.full(6_000, 0.5), rng.random(6_000)):
         want = [r * 300 + c for r in range(20) for _, c in sorted((-sim[r * 300 + c], c) for c in range(300))[:7]]
         assert neighbour_ops._top(row, col, sim, 20, 7).tolist() == want
+
+
+def test_a_range_hands_back_the_votes_of_rows_that_wait():
+    """Row 5 listens to 3 of its own range, row 7 to 1 of another one; a round read and sorted all votes again for that."""
+    votes = pd.DataFrame({
+        "block": [4] * 4, "i": [7, 5, 3, 7], "j": [1, 3, 2, 5], "sim": [0.4, 0.6, 0.5, 0.9], "rk": [2, 1, 1, 1], "cluster": [-1, -1, 2, -1],
+    })
+    looked = _decide(votes)
+    assert looked[looked.rk < 0][["block", "i", "cluster", "join_sim"]].values.tolist() == [[4, 3, 2, 0.5], [4, 5, 2, 0.6]]
+    assert looked[looked.rk > 0][["block", "i", "j", "sim", "rk", "cluster"]].values.tolist() == [[4, 7, 5, 0.9, 1, -1], [4, 7, 1, 0.4, 2, -1]]
