@@ -41,14 +41,19 @@ def day(name: str):
     return F.col(name).cast("date")
 
 
-def order_components(spark: SparkSession, sf: str) -> DataFrame:
-    """``(odi_number, components)``: sorted distinct part descriptions of an order's lines."""
+def order_components(spark: SparkSession, sf: str, wanted: DataFrame | None = None) -> DataFrame:
+    """``(odi_number, components)``: sorted distinct part descriptions of an order's lines.
+
+    ``wanted (odi_number)`` are the orders whose components are asked for; lines of others go before names come to them.
+    """
     parts = table(spark, sf, "part").select(
         F.col("p_partkey").alias("l_partkey"),
         F.concat("p_type", F.lit(": "), "p_name").alias("component"),
     )
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey")
-    return lines.groupBy(F.col("l_orderkey").alias("odi_number")).agg(
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    if wanted is not None:
+        lines = lines.join(wanted.select(F.col("odi_number").alias("l_orderkey")), "l_orderkey", "left_semi")
+    return lines.join(parts, "l_partkey").groupBy(F.col("l_orderkey").alias("odi_number")).agg(
         F.array_sort(F.collect_set("component")).alias("components")
     )
 

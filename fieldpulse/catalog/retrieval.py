@@ -305,8 +305,13 @@ def pool_of_failure_reports(spark: SparkSession, sf: str) -> DataFrame:
 _THRESHOLDS = (0.1, 0.2, 0.3, 0.4)
 
 
+def _vector_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of the orders that have a vector."""
+    return b.order_components(spark, sf, b.table(spark, sf, "embeddings").select(F.col("vec_id").alias("odi_number")))
+
+
 def _scoped(spark: SparkSession, sf: str) -> DataFrame:
-    parts = b.order_components(spark, sf).select(
+    parts = _vector_components(spark, sf).select(
         F.col("odi_number").alias("id"), F.col("components").alias("scope")
     )
     return units(spark, sf).join(parts, "id", "left").withColumn(
@@ -348,7 +353,7 @@ from tagged, (select unnest([5, 10, 20]) as k) where rk <= k group by all""",
 )
 def topk_sweep(spark: SparkSession, sf: str) -> DataFrame:
     pairs = neighbours(units(spark, sf), FLOOR, 20)
-    tagged = sharing_components(pairs, b.order_components(spark, sf))
+    tagged = sharing_components(pairs, _vector_components(spark, sf))
     return top_k_sweep(tagged, (5, 10, 20)).select(
         "seed", F.col("k").cast("bigint").alias("k"), "kept", "scoped",
         F.round("weakest", 6).alias("weakest"), F.round("lost", 6).alias("lost"),

@@ -33,17 +33,18 @@ class Grid:
 
     ``max_coarse`` and ``coarse_bytes`` bound the pivots that tasks receive, ``block_rows`` and ``block_bytes`` a side
     of a unit, ``part_bytes`` the rows of a coarse cell that meet its cells in one group. Cells share a lot up to
-    one in ``lots`` of all rows.
+    one in ``lots`` of all rows. Rows without cells are dealt to ``blocks`` blocks.
     """
 
     rows_per_cell: int = 4_096
     max_coarse: int = 1_024
     coarse_bytes: int = 8 << 20
-    block_rows: int = 32_768
+    block_rows: int = 65_536
     block_bytes: int = 32 << 20
     part_bytes: int = 32 << 20
     max_partitions: int = 20_000
     lots: int = 16
+    blocks: int = 12
 
     def rows_in_block(self, dim: int) -> int:
         return max(1, min(self.block_rows, self.block_bytes // (8 * max(1, dim))))
@@ -52,6 +53,10 @@ class Grid:
         """Rows of a lot, and of a side of a unit, among ``n`` rows: they follow ``n`` up to the bounds of a block."""
         return min(self.rows_in_block(dim), max(self.rows_per_cell, -(-n // self.lots)))
 
+    def rows_in_side(self, n: int, dim: int) -> int:
+        """Rows of a side of a unit where ``n`` rows have no cells: the blocks are as many at any ``n`` up to their bounds."""
+        return min(self.rows_in_block(dim), max(1, -(-n // self.blocks)))
+
     def rows_in_part(self, dim: int) -> int:
         return max(1, self.part_bytes // (8 * max(1, dim)))
 
@@ -275,6 +280,16 @@ def coarse_radii(placed: DataFrame, count: int) -> np.ndarray:
     return radii
 
 
+def one_cell(base: DataFrame, n: int, dim: int) -> Cells:
+    """All ``n`` rows in one cell, where every row is visited by every row."""
+    one = base.sparkSession.range(1).select(
+        F.lit(0).alias("coarse"), F.lit(0).cast("bigint").alias("cell"), F.lit(None).cast("array<double>").alias("pivot"),
+        F.lit(float(np.pi)).alias("radius"), F.lit(n).cast("bigint").alias("rows"),
+    )
+    homes = base.withColumns({"coarse": F.lit(0), "cell": F.lit(0).cast("bigint")})
+    return Cells(np.zeros((1, dim)), np.full(1, np.pi), one, homes, single=n)
+
+
 def build_cells(base: DataFrame, n: int, dim: int, grid: Grid, to_keep: bool = False) -> Cells:
     """Cells of about ``grid.rows_per_cell`` of the rows ``(rep, vec, ...)``; ``n`` is their number.
 
@@ -283,12 +298,7 @@ def build_cells(base: DataFrame, n: int, dim: int, grid: Grid, to_keep: bool = F
     spark = base.sparkSession
     wanted = -(-n // grid.rows_per_cell)
     if wanted <= 1 and not to_keep:
-        one = spark.range(1).select(
-            F.lit(0).alias("coarse"), F.lit(0).cast("bigint").alias("cell"), F.lit(None).cast("array<double>").alias("pivot"),
-            F.lit(float(np.pi)).alias("radius"), F.lit(n).cast("bigint").alias("rows"),
-        )
-        homes = base.withColumns({"coarse": F.lit(0), "cell": F.lit(0).cast("bigint")})
-        return Cells(np.zeros((1, dim)), np.full(1, np.pi), one, homes, single=n)
+        return one_cell(base, n, dim)
     count = max(1, min(grid.max_coarse, grid.coarse_bytes // (8 * max(1, dim)), int(np.ceil(np.sqrt(wanted)))))
     pivots = _coarse_pivots(base, count) if n else np.zeros((1, dim))
     placed = as_table(to_coarse(base, pivots), "cells-coarse")
@@ -304,6 +314,28 @@ def build_cells(base: DataFrame, n: int, dim: int, grid: Grid, to_keep: bool = F
     return Cells(pivots, coarse_radii(placed, len(pivots)), table, homes)
 
 
+# Rows of a cell on which the bounds are tried.
+_TRIED = 128
+
+
+def bounds_prune(queries: DataFrame, base: DataFrame, floor: float, dim: int, grid: Grid) -> bool:
+    """Whether cells are worth their making: a row visits fewer than half of the lots.
+
+    Told by some rows in cells of about ``_TRIED``, as many as all rows have. Their radii are rather too small than too
+    large, so bounds that do not prune here do not prune among all rows either. Results never depend on it.
+    """
+    share = max(1, grid.rows_per_cell // _TRIED)
+    some = F.pmod(F.xxhash64(F.lit("tried"), F.col("rep")), F.lit(share)) == 0
+    tried = as_table(base.filter(some).select("rep", "vec"), "cells-tried")
+    asking = tried if queries is base else as_table(queries.filter(some).select("rep", "vec"), "cells-asking")
+    few = replace(grid, rows_per_cell=grid.rows_per_cell // share)
+    cells = in_lots(build_cells(tried, tried.count(), dim, few), dim, few)
+    if cells.single is not None:
+        return False
+    met = visits(asking, cells, floor, dim, few, upward_only=False).agg(F.sum(F.size("cells"))).first()[0] or 0
+    return 2 * met <= asking.count() * cells.table.select("cell").distinct().count()
+
+
 def visits(rows: DataFrame, cells: Cells, floor: float, dim: int, grid: Grid, upward_only: bool) -> DataFrame:
     """Rows ``(rep, vec, ...)`` with ``cells``: the names of the cells, or lots, where a partner within the floor may live.
 

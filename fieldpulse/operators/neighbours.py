@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fieldpulse import settings
 from fieldpulse.functions.vectors import norm, unit
-from fieldpulse.operators.cells import Cells, Grid, build_cells, in_lots, matrix, visits
+from fieldpulse.operators.cells import Cells, Grid, bounds_prune, build_cells, in_lots, matrix, one_cell, visits
 from fieldpulse.runtime import as_table
 
 
@@ -128,7 +128,9 @@ def _members(cells: Cells, base: DataFrame, visitors: DataFrame | None, dim: int
     own = F.col("_h") * (F.col("_h") + 1) / 2 if among else F.lit(0)
     if cells.single is not None:
         came = 0 if visitors is None else visitors.count()
-        rows = grid.rows_in_lot(max(cells.single, came), dim)
+        n = max(cells.single, came)
+        # More rows than a cell has are in one because cells would not prune.
+        rows = grid.rows_in_lot(n, dim) if cells.single <= grid.rows_per_cell else grid.rows_in_side(n, dim)
         h, v = -(-cells.single // rows), -(-came // rows)
         load = Load(1, came, (h * (h + 1) // 2 if among else 0) + h * v)
         spots = spots.withColumns({"_h": F.lit(h), "_v": F.lit(v)})
@@ -174,8 +176,12 @@ def _members(cells: Cells, base: DataFrame, visitors: DataFrame | None, dim: int
 
 def self_units(base: DataFrame, n: int, floor: float, grid: Grid) -> tuple[DataFrame, Load]:
     """Units in which every two rows of ``base (rep, vec, ...)`` that can reach the floor meet once."""
+    return self_members(build_cells(base, n, dimension(base), grid), base, floor, grid)
+
+
+def self_members(cells: Cells, base: DataFrame, floor: float, grid: Grid) -> tuple[DataFrame, Load]:
     dim = dimension(base)
-    cells = in_lots(build_cells(base, n, dim, grid), dim, grid)
+    cells = in_lots(cells, dim, grid)
     met = None if cells.single is not None else visits(cells.homes, cells, floor, dim, grid, upward_only=True)
     return _members(cells, base, met, dim, grid)
 
@@ -188,6 +194,13 @@ def query_units(cells: Cells, queries: DataFrame, floor: float, grid: Grid, extr
     return query_members(cells, came, dim, grid, extra)
 
 
+def fitting_cells(queries: DataFrame, base: DataFrame, floor: float, grid: Grid) -> Cells:
+    """Cells of the base where bounds of the floor prune, else one cell: what moves then follows the rows alone."""
+    n, dim = base.count(), dimension(base)
+    divided = n > grid.rows_per_cell and bounds_prune(queries, base, floor, dim, grid)
+    return build_cells(base, n, dim, grid) if divided else one_cell(base, n, dim)
+
+
 def query_members(cells: Cells, came: DataFrame, dim: int, grid: Grid, extra: tuple[str, ...] = ("vh",)) -> tuple[DataFrame, Load]:
     return _members(cells, cells.homes.select("rep", "vec", *extra), came.withColumn("_query", F.lit(True)), dim, grid)
 
@@ -233,15 +246,15 @@ def _cosines(rows: _Side, cols: _Side, part: slice) -> np.ndarray:
     """Cosines of unit vectors: one for identical vectors, below one for all others.
 
     Products are off by rounding on either side of one, whichever vectors they are of. Vectors of
-    sides without hashes are all different.
+    sides without hashes are all different. What a row has in common with itself is left as it is.
     """
     sims = np.minimum(rows.vecs[part] @ cols.vecs.T, _BELOW_ONE)
-    if rows.hashes is not None and cols.hashes is not None and rows is not cols:
+    if rows.hashes is not None and cols.hashes is not None:
         by_hash = np.argsort(cols.hashes, kind="stable")
         ordered = cols.hashes[by_hash]
         first = np.searchsorted(ordered, rows.hashes[part], "left")
         last = np.searchsorted(ordered, rows.hashes[part], "right")
-        for r in np.flatnonzero(last > first):
+        for r in np.flatnonzero(last - first > (1 if rows is cols else 0)):
             same = by_hash[first[r] : last[r]]
             same = same[(cols.vecs[same] == rows.vecs[part][r]).all(axis=1)]
             sims[r, same] = 1.0
@@ -525,13 +538,33 @@ def scoped_search(queries: DataFrame, base: DataFrame, floor: float, k: int, gri
     the cut, so a query gets ``k`` rows wherever so many share a name with it above the floor. A base row with
     the query's own id is not a match; ties go to the smaller id.
     """
-    b, q = hashed(base, "vec", "scope"), hashed(queries, "vec", "scope")
-    cells = build_cells(b, b.count(), dimension(b), grid)
+    b = hashed(base, "vec", "scope")
+    q = b if queries is base else hashed(queries, "vec", "scope")
+    cells = fitting_cells(q, b, floor, grid)
     members, _ = query_units(cells, q, floor, grid, ("vh", "scope"))
     pairs = members.groupBy("cell", "a", "b").applyInArrow(_top_pairs(floor, k, both_ways=False, scoped=True), _PAIRS)
     return keep_top(pairs, "rep", "other", k).select(F.col("rep").alias("i"), F.col("other").alias("j"), "sim", "rk")
 
 
+def _counted(rows: _Side, cols: _Side, levels: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Per level, matches and matches with a shared name of every row, and the same of every column; an id is no match of itself."""
+    by_row, by_col = np.zeros((len(levels), 2, len(rows)), np.int64), np.zeros((len(levels), 2, len(cols)), np.int64)
+    mine, theirs, names = _scope_entries(rows.scopes, cols.scopes)
+    # Sums by products; a part has fewer entries than a float can count.
+    ones = np.ones(len(cols), np.float32)
+    for part in _chunks(len(rows), len(cols)):
+        sims = _cosines(rows, cols, part)
+        sims[rows.ids[part][:, None] == cols.ids[None, :]] = -2.0
+        shared = _sharing(mine, theirs, names, part, len(cols))
+        for k, t in enumerate(levels):
+            hit = sims >= t
+            for which, some in enumerate((hit, hit & shared)):
+                some = some.astype(np.float32)
+                by_row[k, which, part] = some @ ones
+                by_col[k, which] += (np.ones(len(some), np.float32) @ some).astype(np.int64)
+    return by_row, by_col
+
+
 def threshold_counts(
     queries: DataFrame,
     base: DataFrame,
@@ -542,27 +575,26 @@ def threshold_counts(
 
     Inputs are ``(id, vec, scope)`` where ``scope`` is an array of component names;
     ``n_scoped`` counts the matches that share a component. Counts are summed inside
-    each unit, which returns a row only for query rows with a match in it.
+    each unit, which returns a row only for query rows with a match in it. Where the base
+    is the queries, two rows meet once and one product counts for both. Cells are made
+    only where the lowest threshold lets their bounds prune.
     """
-    levels = sorted(thresholds)
-    b, q = hashed(base, "vec", "scope"), hashed(queries, "vec", "scope")
-    cells = build_cells(b, b.count(), dimension(b), grid)
-    members, _ = query_units(cells, q, levels[0], grid, ("vh", "scope"))
+    levels, alike = sorted(thresholds), queries is base
+    b = hashed(base, "vec", "scope")
+    q = b if alike else hashed(queries, "vec", "scope")
+    cells = fitting_cells(q, b, levels[0], grid)
+    members, _ = self_members(cells, b, levels[0], grid) if alike else query_units(cells, q, levels[0], grid, ("vh", "scope"))
 
     def kernel(table: pa.Table) -> pa.Table:
         left, right = _sides(table)
+        right = left if right is None else right
         out = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        if right is not None and len(left) and len(right):
-            right_scope, left_scope, names = _scope_entries(right.scopes, left.scopes)
-            for part in _chunks(len(right), len(left)):
-                sims = _cosines(right, left, part)
-                sims[right.ids[part][:, None] == left.ids[None, :]] = -2.0
-                shared = _sharing(right_scope, left_scope, names, part, len(left))
-                for t in levels:
-                    hit = sims >= t
-                    n = hit.sum(axis=1)
-                    some = n > 0
-                    out.append((right.ids[part][some], np.full(some.sum(), t), n[some], (hit & shared).sum(axis=1)[some]))
+        if len(left) and len(right):
+            found = _counted(right, left, levels)
+            for side, counts in zip((right, left), found if alike and right is not left else found[:1]):
+                for t, (hits, scoped) in zip(levels, counts):
+                    some = hits > 0
+                    out.append((side.ids[some], np.full(some.sum(), t), hits[some], scoped[some]))
         ids, level, n, scoped = (np.concatenate(x) for x in zip(*out))
         return pa.table({"id": ids, "threshold": level, "n": n, "n_scoped": scoped})
 
