@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldpulse.operators.merge import last_wins
-from fieldpulse.runtime import as_table, hadoop_path, publish, published
+from fieldpulse.runtime import as_table, drop_path, hadoop_path, publish, published, scratch_path
 
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -67,13 +67,20 @@ class BucketTable:
         """Apply ``merge(current, incoming) -> next`` to the buckets that ``incoming`` has keys of; returns these.
 
         ``next`` may change, add and drop rows of those buckets only. ``version`` names the merge, by default
-        the next one; one that is published already changes nothing and returns no bucket.
+        the next one; one that is published already changes nothing and returns no bucket. Arrivals are stored
+        for the merge and deleted after it.
         """
         before = self.version()
         version = (0 if before is None else before + 1) if version is None else version
         if before is not None and version <= before:
             return []
-        rows = as_table(incoming.withColumn("_bucket", self._bucket()), "arrivals")
+        arrivals = scratch_path(self.spark, "arrivals")
+        try:
+            return self._merged(as_table(incoming.withColumn("_bucket", self._bucket()), "arrivals", arrivals), merge, before, version)
+        finally:
+            drop_path(self.spark, arrivals)
+
+    def _merged(self, rows: DataFrame, merge: Merge, before: int | None, version: int) -> list[int]:
         touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())
         held = self.manifest(before) if before is not None else {}
         if touched:
@@ -94,17 +101,22 @@ class BucketTable:
         publish(self.spark, self.root, version)
         return touched
 
-    def upsert_sink(self, merge: Merge, order: Iterable[str], first: int = 0) -> Callable[[DataFrame, int], None]:
+    def upsert_sink(
+        self, merge: Merge, order: Iterable[str], first: int = 0, keep: int | None = None
+    ) -> Callable[[DataFrame, int], None]:
         """For ``foreachBatch``: micro-batch ``n``, reduced to the last sighting of each key, is merge ``first + n``.
 
         ``first`` is the number of merges before the stream began, the same in all its runs. ``order`` tells
         sightings of one micro-batch apart; between micro-batches the later one arrives later. A replayed
-        micro-batch finds its merge published and changes nothing.
+        micro-batch finds its merge published and changes nothing. With ``keep``, versions older than the ``keep``
+        newest ones go after each merge; without it all stay.
         """
         order = list(order)
 
         def write(batch: DataFrame, epoch: int) -> None:
             self.merge(last_wins(batch, self.keys, order), merge, first + epoch)
+            if keep is not None:
+                self.drop_unused(keep)
 
         return write
 

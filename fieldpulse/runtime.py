@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +66,12 @@ def publish(spark: SparkSession, root: str, version: int) -> None:
     fs.create(marker, False).close()
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder and all below it; one that is not there is no error."""
+    fs, at = hadoop_path(spark, path)
+    fs.delete(at, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application cut and wrote to its own folder below the shared one.
 
@@ -71,17 +79,36 @@ def drop_scratch(spark: SparkSession) -> None:
     """
     folder = spark.sparkContext.getCheckpointDir()
     if folder:
-        fs, at = hadoop_path(spark, folder)
-        fs.delete(at, True)
+        drop_path(spark, folder)
+
+
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, what an execution shuffled is deleted as it ends, not when the driver collects its garbage.
+
+    For jobs of many large executions. A DataFrame made here and executed twice shuffles again.
+    """
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLES_GO)
+        else:
+            spark.conf.set(_SHUFFLES_GO, before)
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back.
+def as_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write once to the shared folder, or to ``path``, and read back.
 
     Used where several later steps want different columns of one result: the
     columnar copy keeps column pruning and real size statistics.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name) if path is None else path
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

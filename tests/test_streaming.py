@@ -209,3 +209,104 @@ def test_landed_deliveries_come_in_as_many_files_as_tasks(spark, tmp_path):
     outcomes = entry.queries()["stream_rejects"](spark, str(tmp_path)).collect()
     assert sum(r["n"] for r in outcomes) > 0 and all(r["kept_all"] for r in outcomes)
     assert len(set(glob.glob(below, recursive=True)) - before) > 3
+
+
+def test_arrivals_of_a_merge_go_with_it_whether_it_succeeds_or_fails(spark, tmp_path):
+    import glob
+
+    schema = "k bigint, v string"
+    below = f"{scratch_path(spark, 'none').rsplit('/', 1)[0]}/arrivals-*".removeprefix("file:")
+    before = set(glob.glob(below))
+    table = BucketTable(spark, str(tmp_path / "t"), spark.createDataFrame([], schema).schema, ["k"], 8)
+    table.merge(spark.range(50).selectExpr("id as k", "'a' as v"), lambda current, new: upsert(current, new, ["k"]))
+    with pytest.raises(Exception, match="did not touch"):
+        table.merge(spark.createDataFrame([(1, "b")], schema), lambda current, new: spark.range(50).selectExpr("id as k", "'c' as v"))
+    assert set(glob.glob(below)) == before and table.read().count() == 50
+
+
+def test_a_sink_keeps_as_many_versions_as_asked(spark, tmp_path):
+    path, cp = str(tmp_path / "in"), scratch_path(spark, "cp")
+    table = BucketTable(spark, str(tmp_path / "state"), spark.createDataFrame([], SCHEMA).schema, ["k"], 4)
+    put = lambda before, batch: upsert(before, batch, ["k"])
+    sink = table.upsert_sink(put, ["at", "seq"], keep=1)
+    run_available(landed(spark, path, BATCHES), sink, cp)
+    want = last_wins(spark.read.schema(SCHEMA).parquet(path), ["k"], ["at", "seq"])
+    state = lambda: {r["k"]: r["v"] for r in table.read().collect()}
+    assert state() == {r["k"]: r["v"] for r in want.collect()}
+    folders = lambda: sorted(p.parent.name + "/" + p.name for p in (tmp_path / "state/data").glob("*/bucket=*"))
+    assert folders() == sorted(f"version={v}/bucket={b}" for b, v in table.manifest().items())
+    assert [p.name for p in (tmp_path / "state/manifest").glob("version=*")] == [f"version={table.version()}"]
+    # A replayed micro-batch still finds its merge published.
+    sink(spark.createDataFrame([(2, "other", dt.datetime(2024, 1, 1, 2), 5)], SCHEMA), 2)
+    assert state() == {r["k"]: r["v"] for r in want.collect()}
+
+
+def test_shuffle_files_go_as_an_execution_ends(spark):
+    import time
+
+    from fieldpulse.runtime import _SHUFFLES_GO, short_shuffles
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found, every = set(), disk.getAllFiles()
+        for n in range(every.size()):
+            name = every.apply(n).getName()
+            found |= {name} if name.startswith("shuffle_") else set()
+        return found
+
+    before, setting = files(), spark.conf.get(_SHUFFLES_GO, None)
+    with short_shuffles(spark):
+        inside = spark.range(1_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("g")).count()
+        assert inside.collect() and spark.conf.get(_SHUFFLES_GO) == "true"
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(_SHUFFLES_GO, None) == setting
+    # A second execution shuffles again.
+    assert sum(r["count"] for r in inside.collect()) == 1_000
+    outside = spark.range(1_000).repartition(3, "id").groupBy((F.col("id") % 7).alias("g")).count()
+    kept = files()
+    assert outside.collect() and files() - kept
+
+
+def test_ingest_keeps_one_packed_delivery_and_one_version(spark, tmp_path, monkeypatch):
+    import glob
+
+    import __spark_entry__ as entry
+    from fieldpulse.catalog import streams
+
+    spark.sql(
+        "select id as o_orderkey, id % 20 as o_custkey, substr('OFP', int(id % 3) + 1, 1) as o_orderstatus, "
+        "if(id % 2 = 0, '2-HIGH', '3-MEDIUM') as o_orderpriority, timestamp_ntz '1995-01-01' as o_orderdate from range(300)"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("select id as c_custkey, concat('c', id) as c_name, 'M' as c_mktsegment, int(id % 6) as c_nationkey from range(20)").write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    root = scratch_path(spark, "none").rsplit("/", 1)[0].removeprefix("file:")
+    names = lambda what: set(glob.glob(f"{root}/{what}"))
+    before = {what: names(what) for what in ("landing-*", "arrivals-*", "complaints-*")}
+    files_before, deliveries = names("landing-*/*.json*"), []
+
+    def run(stream, sink, checkpoint):
+        files = names("landing-*/*.json*") - files_before
+        rows = spark.read.json(sorted(files))
+        deliveries.append((all(f.endswith(".json.gz") for f in files), rows.count(), rows.filter("body like '%Draft of%'").count()))
+        return run_available(stream, sink, checkpoint)
+
+    monkeypatch.setattr(streams, "run_available", run)
+    got = {r["odi_number"]: r.asDict() for r in entry.queries()["stream_ingest"](spark, str(tmp_path)).collect()}
+    # Nations 0 to 3 are failures, medium open orders lack a summary, high part-filled ones an incident date.
+    nation = lambda k: k % 20 % 6
+    good = [k for k in range(300) if nation(k) > 3 and not (k % 3 == 0 and k % 2) and not (k % 3 == 2 and k % 2 == 0)]
+    assert sorted(got) == good and good
+    assert all(r["summary"] == f"Order of c{k % 20}" and r["model"] == f"NATION {nation(k)}" for k, r in got.items())
+    assert all(r["components"] == r["components_coarse"] for r in got.values())
+    # Every delivery was landed whole, and alone.
+    assert [n for _, n, _ in deliveries] == [300, 300, 150] and all(packed for packed, _, _ in deliveries)
+    drafts = [n for _, _, n in deliveries]
+    assert drafts[0] > drafts[1] > 0 and drafts[2] == 0
+    assert names("landing-*") == before["landing-*"] and names("arrivals-*") == before["arrivals-*"]
+    (table,) = names("complaints-*") - before["complaints-*"]
+    assert len(glob.glob(f"{table}/data/*/bucket=*")) == len({f.rsplit("/", 1)[1] for f in glob.glob(f"{table}/data/*/bucket=*")})
+    assert len(glob.glob(f"{table}/manifest/version=*")) == 1
